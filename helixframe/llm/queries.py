@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontamination, mixing, sharding
+from helixframe.llm import decontamination, html_text, media, mixing, sharding, simhash, toxicity
 from helixframe.llm.common import table
 
 
@@ -15,11 +15,27 @@ def op2_decontamination(spark, sf_dir):
     return out.drop("items")
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op6_sharding)}
+def op7_media(spark, sf_dir):
+    return media.read_media(media.store_texts(table(spark, sf_dir, "documents"))).drop("error")
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op6_sharding, op7_media, op9_toxicity, op10_simhash)}
 
 SQL = {}
 
