@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontamination, html_text, media, mixing, sharding, simhash, toxicity
+from helixframe.llm import decontamination, html_text, media, mixing, sharding, simhash, toxicity, warc
 from helixframe.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_warc(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
@@ -35,7 +39,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op6_sharding, op7_media, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op5_warc, op6_sharding, op7_media, op9_toxicity, op10_simhash)}
 
 SQL = {}
 
@@ -72,3 +76,12 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+SQL["op5_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, payload_bytes,
+    list_reduce(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((CAST(concat('0x', substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), lambda a, b: concat(a, b)) AS payload_digest,
+    CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to FROM h
+"""
