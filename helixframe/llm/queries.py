@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontamination, html_text, media, mixing, sharding, simhash, toxicity, warc
+from helixframe.llm import decontamination, html_text, media, mixing, quality, sharding, simhash, toxicity, warc
 from helixframe.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark, sf_dir):
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op5_warc, op6_sharding, op7_media, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op4_quality, op5_warc, op6_sharding, op7_media, op9_toxicity, op10_simhash)}
 
 SQL = {}
 
