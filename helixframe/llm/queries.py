@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontamination, html_text, media, mixing, quality, sharding, simhash, toxicity, warc
+from helixframe.llm import decontamination, html_text, media, mixing, quality, sharding, simhash, suffix, toxicity, warc
 from helixframe.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_media(spark, sf_dir):
     return media.read_media(media.store_texts(table(spark, sf_dir, "documents"))).drop("error")
 
 
+def op8_repeats(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op4_quality, op5_warc, op6_sharding, op7_media, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op4_quality, op5_warc, op6_sharding, op7_media, op8_repeats, op9_toxicity, op10_simhash)}
 
 SQL = {}
 
