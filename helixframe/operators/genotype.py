@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.stats import lround, normal_density
@@ -58,12 +58,10 @@ def genotype(calls: DataFrame, levels: DataFrame, contigs: DataFrame, ploidy: in
     low, high = lambda x: F.when(x >= 0, -1).otherwise(x), lambda x: F.when(x <= 0, 1).otherwise(x)
     maf = F.when(F.col("nsnps") > 0, F.col("maf") / F.col("nsnps"))
     oemaf = maf / F.lit(control_maf) if control_maf else F.lit(None).cast("double")
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.orderBy("tid", "start", "end", F.col("mpb").desc()))  # calls only: a few thousand a genome
+    number = F.row_number().over(Window.orderBy("tid", "start", "end", F.col("pty").desc()))  # calls only: a few thousand a genome
     return c.select(
         F.concat(F.lit("CNV"), F.lpad(number.cast("string"), 8, "0")).alias("id"), "contig", s.cast("int").alias("start"), e.cast("int").alias("end"),
         low(F.col("cipos_lo") - F.col("start")).alias("cipos_lo"), high(F.col("cipos_hi") - F.col("start")).alias("cipos_hi"), low(F.col("ciend_lo") - F.col("end")).alias("ciend_lo"), high(F.col("ciend_hi") - F.col("end")).alias("ciend_hi"),
         "srl", "srr", "nsnps", "cn", "rds", "pty", "mpb", F.coalesce(maf, F.lit(0.5)).alias("maf"), F.coalesce(oemaf, F.lit(1.0)).alias("oemaf"), F.col("_l.gl").alias("cnl"), "gq", "gq_corrected",
-        F.when(F.col("gq") == 0, -1).otherwise(lround(F.col("cn"))).cast("int").alias("cn_int"), F.when(F.col("gq") < 15, "LowQual").otherwise("PASS").alias("ft"), ((F.col("srl") > 0) | (F.col("srr") > 0)).alias("precise"),
+        F.when(F.col("gq") == 0, -1).otherwise(lround(F.col("cn"))).cast("int").alias("cn_int"), F.when(F.col("gq") < 15, "LowQual").otherwise("PASS").alias("ft"), ((F.col("srl") > 0) & (F.col("srr") > 0)).alias("precise"),
     )
