@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from helixframe.functions.stats import render
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def _short(x):
     return None if x is None else render(float(x))
 
