@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -125,8 +123,8 @@ def segment(matrix: DataFrame, signal_cols: list[str], ploidy: float = 2, k: int
     ready = matrix.select("contig", "start", "end", *[(F.col(c).cast("double") - ploidy).alias(c) for c in signal_cols])
     ready = forward_fill(ready, signal_cols)
 
-    def run(key, parts: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        pdf = parts.sort_values(["start", "end"])
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "end"])
         rows = segment_contig(pdf["start"].to_numpy(), pdf["end"].to_numpy(), pdf[signal_cols].to_numpy(np.float64), k, threshold, epsilon)
         return pd.DataFrame([(key[0], a, b, v + ploidy) for a, b, v in rows], columns=["contig", "start", "end", "cn"])
 

@@ -67,9 +67,9 @@ def bed_adaptive_windows(bases: DataFrame, intervals: DataFrame, contigs: DataFr
     inside = interval_join(bases, merged.select("contig", "start", "end"), bucket).drop("start", "end")
     out = adaptive_windows(inside, size, offset, ploidy, block)
     order = Window.partitionBy("contig").orderBy("start")
-    moves = merged.select("contig", F.col("end").alias("_at"), F.lead("start").over(order).alias("_to")).filter("_to is not null")
+    moves = merged.select("contig", F.col("end").alias("start"), F.lead("start").over(order).alias("_to")).filter("_to is not null")
     first = merged.groupBy("contig").agg(F.min("start").alias("_first"))
-    out = out.join(F.broadcast(first), "contig").join(moves, (out["contig"] == moves["contig"]) & (F.col("start") == F.col("_at")), "left").drop(moves["contig"])
+    out = out.join(F.broadcast(first), "contig").join(moves, ["contig", "start"], "left")  # one row a contig
     start = F.when(F.col("start") == 0, F.col("_first")).otherwise(F.coalesce("_to", "start")).cast("long")
     return out.withColumn("start", start).select("contig", "start", "end", "mappable", "counts", "cn")
 

@@ -2,5 +2,494 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from helixframe.functions import stats
+from helixframe.operators import bias, calls, genotype, intervals, merge, prefix, reads, scan, segment, variants, windows
+from helixframe.plans import views as v
+
 QUERIES = {}
 SQL = {}
+SCAN, RATIO, PERCENTILE, SIZE, FRACTION = 720, 0.8, 0.05, 1440, 0.25
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(name: str, to: str | None = None):
+    return F.round(F.col(name), 6).alias(to or name)
+
+
+# Reads -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {v.ALIGN} SELECT qname, tid, pos, flag FROM v_align WHERE flag & 5 = 0")
+def flag_filter(spark, d):
+    return reads.drop_flagged(v.align(spark, d), 5).select("qname", "tid", "pos", "flag")
+
+
+@query(f"WITH {v.ALIGN} SELECT tid, count(*) AS n, CAST(sum(alen) AS BIGINT) AS bases FROM v_align WHERE mapq >= 10 GROUP BY tid")
+def mapq_filter(spark, d):
+    return reads.min_quality(v.align(spark, d), 10).groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.sum("alen").alias("bases"))
+
+
+@query(f"""WITH {v.ALIGN}, x AS (SELECT qname, flag AS line, flag * 16 AS f, pos, pos + mapq - 25 AS mpos FROM v_align)
+SELECT qname, line, CASE WHEN f & 16 = 0 AND f & 32 = 0 THEN 0 WHEN f & 16 <> 0 AND f & 32 <> 0 THEN 1 WHEN f & 16 = 0 THEN CASE WHEN pos < mpos THEN 2 ELSE 3 END ELSE CASE WHEN pos > mpos THEN 2 ELSE 3 END END AS layout FROM x""")
+def layout_class(spark, d):
+    x = v.align(spark, d).select("qname", F.col("flag").alias("line"), (F.col("flag") * 16).alias("flag"), "pos", (F.col("pos") + F.col("mapq") - 25).alias("mpos"))
+    return x.select("qname", "line", reads.layout().alias("layout"))
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Lines 1 and 2 of an order as the two reads of a pair, in the order of place and line."""
+    a = v.align(spark, d).filter("flag in (1, 2)")
+    mate = Window.partitionBy("qname")
+    other = lambda c: (F.sum(c).over(mate) - F.col(c)).cast("int")
+    p = a.withColumn("_n", F.count(F.lit(1)).over(mate)).select("qname", F.lit(1).alias("flag"), "tid", "pos", other("tid").alias("mtid"), other("pos").alias("mpos"), "alen", F.col("flag").alias("line"), "_n").filter("_n = 2")
+    return p.withColumn("ord", F.col("pos").cast("long") * 10 + F.col("line"))
+
+
+_PAIRS = f"""{v.ALIGN}, two AS (SELECT a.qname, a.tid, a.pos, b.pos AS mpos, a.alen, a.flag AS line, b.flag AS mline FROM v_align a JOIN v_align b ON a.qname = b.qname AND a.flag + b.flag = 3 AND a.tid = b.tid WHERE a.flag IN (1, 2)),
+seconds AS (SELECT * FROM two WHERE pos > mpos OR (pos = mpos AND line > mline))"""
+
+
+@query(f"WITH {_PAIRS} SELECT qname, tid, pos, mpos, line FROM seconds")
+def mate_pairs(spark, d):
+    return reads.second_mates(reads.mates_here(_pairs(spark, d))).select("qname", "tid", "pos", "mpos", "line")
+
+
+@query(f"""WITH {_PAIRS}, x AS (SELECT *, pos + alen - mpos AS isize FROM seconds)
+SELECT qname, tid, CAST(CASE WHEN isize > 100 AND isize < 900 THEN mpos + isize // 2 ELSE pos + alen // 2 END AS INTEGER) AS mid FROM x""")
+def fragment_midpoints(spark, d):
+    return reads.fragment_midpoints(reads.second_mates(reads.mates_here(_pairs(spark, d))), 100, 900).select("qname", "tid", "mid")
+
+
+@query(f"""WITH {_PAIRS}, x AS (SELECT pos + alen - mpos AS isize FROM seconds), m AS (SELECT count(*) AS n, list_sort(list(isize))[count(*) // 2 + 1] AS median FROM x),
+dev AS (SELECT list_sort(list(abs(isize - median)))[count(*) // 2 + 1] AS mad FROM x, m)
+SELECT n, CAST(median AS INTEGER) AS median, CAST(mad AS INTEGER) AS mad, CAST(median // 2 * 2 + 1 AS INTEGER) AS meanisize, CAST(greatest(0, median - 3 * mad) AS INTEGER) AS low, CAST(median + 3 * mad AS INTEGER) AS high FROM m, dev""")
+def isize_stats(spark, d):
+    x = reads.second_mates(reads.mates_here(_pairs(spark, d))).select((F.col("pos") + F.col("alen") - F.col("mpos")).alias("isize"))
+    m = stats.median_mad(x, "isize").crossJoin(F.broadcast(x.agg(F.count(F.lit(1)).alias("n"))))
+    c = F.col
+    return m.select("n", c("median").cast("int"), c("mad").cast("int"), (F.floor(c("median") / 2) * 2 + 1).cast("int").alias("meanisize"), F.greatest(F.lit(0), c("median") - 3 * c("mad")).cast("int").alias("low"), (c("median") + 3 * c("mad")).cast("int").alias("high"))
+
+
+@query("""WITH c AS (SELECT p_brand AS contig, CAST(sum(p_size) AS BIGINT) AS length FROM part GROUP BY p_brand),
+r AS (SELECT *, sum(length) OVER (ORDER BY length DESC, contig ROWS UNBOUNDED PRECEDING) AS run, sum(length) OVER () AS total FROM c) SELECT max(length) AS n95 FROM r WHERE run > 0.95 * total""")
+def n95_length(spark, d):
+    c = v.table(spark, d, "part").groupBy(F.col("p_brand").alias("contig")).agg(F.sum("p_size").alias("length"))
+    return spark.range(1).select(F.lit(stats.n95_length(c)).cast("long").alias("n95"))
+
+
+@query(f"WITH {v.DEPTH} SELECT contig, pos, CAST(depth AS BIGINT) AS depth FROM v_depth")
+def depth_track(spark, d):
+    return v.depth(spark, d).withColumn("depth", F.col("depth").cast("long"))
+
+
+# Sequence content ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {v.SEQUENCE}, x AS (SELECT contig, pos, length, CAST(sum(CASE WHEN ch IN ('e', 't', 'E', 'T') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS BIGINT) AS g FROM v_seq),
+y AS (SELECT contig, CASE WHEN pos >= 25 AND pos < length - 25 THEN g ELSE 0 END AS gc FROM x) SELECT contig, gc, count(*) AS n FROM y GROUP BY contig, gc""")
+def gc_window(spark, d):
+    x = v.sequence(spark, d).select("contig", "pos", "length", F.col("ch").isin("e", "t", "E", "T").cast("long").alias("gc"))
+    out = prefix.centred_sums(x, ["gc"], 25, block=4_096)
+    return out.groupBy("contig", F.col("gc_sum").alias("gc")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Scan windows, curve, bounds -------------------------------------------------------------------------------------
+
+_BINS = f"""{v.BASE}, v_tiles AS (SELECT contig, s AS start, s + {SCAN} AS "end" FROM (SELECT contig, length, unnest(generate_series(0, {v.MINUTES - SCAN - 1}, {SCAN})) AS s FROM v_contigs)),
+v_bins AS (SELECT t.contig, t.start, t."end", CAST(coalesce(sum(b.depth), 0) AS BIGINT) AS cov, CAST(coalesce(sum(CASE WHEN b.uniq = 1 THEN b.depth ELSE 0 END), 0) AS BIGINT) AS uniqcov
+    FROM v_tiles t LEFT JOIN v_base b ON t.contig = b.contig AND t.start = b.pos // {SCAN} * {SCAN} GROUP BY t.contig, t.start, t."end")"""
+_SELECT = f"""{_BINS}, pre AS (SELECT *, cov > 0 AND uniqcov::DOUBLE / cov > {RATIO} AS ok FROM v_bins), med AS (SELECT list_sort(list(cov))[count(*) // 2 + 1] AS median FROM pre WHERE ok),
+mads AS (SELECT list_sort(list(abs(cov - median)))[count(*) // 2 + 1] AS mad FROM pre, med WHERE ok),
+v_sel AS (SELECT contig, start, "end", cov, uniqcov, ok AND cov > greatest(0, median - mad) AND cov < median + mad AS selected FROM pre, med, mads)"""
+_SHARES = """coalesce(sample / nullif(CAST(sum(sample) OVER () AS DOUBLE), 0), 0) AS frac_s, coalesce(reference / nullif(CAST(sum(reference) OVER () AS DOUBLE), 0), 0) AS frac_r,
+    coalesce(sum(sample) OVER (ORDER BY gc) / nullif(CAST(sum(sample) OVER () AS DOUBLE), 0), 0) AS pct_s, coalesce(sum(reference) OVER (ORDER BY gc) / nullif(CAST(sum(reference) OVER () AS DOUBLE), 0), 0) AS pct_r"""
+_CURVE = f"""{_SELECT}, known AS (SELECT b.gc, b.depth FROM v_base b JOIN v_sel s ON b.contig = s.contig AND b.pos // {SCAN} * {SCAN} = s.start WHERE s.selected AND b.uniq = 1),
+per AS (SELECT g.gc, CAST(coalesce(sum(k.depth), 0) AS BIGINT) AS sample, count(k.gc) AS reference FROM (SELECT CAST(unnest(generate_series(0, 23)) AS INTEGER) AS gc) g LEFT JOIN known k ON g.gc = k.gc GROUP BY g.gc),
+v_curve0 AS (SELECT *, CASE WHEN reference > 0 THEN sample::DOUBLE / reference ELSE 0 END AS coverage, {_SHARES} FROM per),
+v_curve AS (SELECT *, CASE WHEN frac_r > 0 THEN frac_s / frac_r ELSE 1 END AS obsexp FROM v_curve0)"""
+_P = f"CAST(CAST({PERCENTILE} AS FLOAT) AS DOUBLE)"
+_BOUNDS = f"""{_CURVE}, raw AS (SELECT coalesce(max(CASE WHEN pct_s < {_P} OR pct_r < {_P} THEN gc END), 0) AS low, coalesce(min(CASE WHEN pct_s + {_P} > 1 OR pct_r + {_P} > 1 THEN gc END), 24) AS high FROM v_curve),
+v_bounds AS (SELECT low, CASE WHEN low >= high THEN low + 1 ELSE high END AS high FROM raw)"""
+_RENORM = f"""{_BOUNDS}, inner0 AS (SELECT gc, {_SHARES} FROM v_curve, v_bounds WHERE gc > low AND gc < high),
+v_renorm AS (SELECT c.gc, c.sample, c.reference, c.coverage, coalesce(i.frac_s, 0) AS frac_s, coalesce(i.frac_r, 0) AS frac_r, coalesce(i.pct_s, 0) AS pct_s, coalesce(i.pct_r, 0) AS pct_r,
+    CASE WHEN i.frac_r > 0 THEN i.frac_s / i.frac_r ELSE 1 END AS obsexp FROM v_curve c LEFT JOIN inner0 i ON c.gc = i.gc)"""
+_OK = f"{_RENORM}, v_ok AS (SELECT b.contig, b.pos, b.depth, r.obsexp, r.coverage AS expected FROM v_base b JOIN v_renorm r ON b.gc = r.gc, v_bounds WHERE b.gc > low AND b.gc < high AND b.uniq = 1)"
+
+
+def _bins(spark, d):
+    b = v.base(spark, d).filter("depth > 0").select("contig", "pos", F.col("depth").alias("n"), (F.col("uniq") == 1).alias("unique"))
+    return scan.scan_bins(b, intervals.tiles(v.contigs(spark, d), SCAN), SCAN)
+
+
+def _curve(spark, d):
+    chosen = scan.select_windows(_bins(spark, d), RATIO).filter("selected").select("contig", "start")
+    b = v.base(spark, d).filter("uniq = 1").withColumn("start", F.expr(f"pos div {SCAN} * {SCAN}"))
+    return bias.curve(b.join(chosen, ["contig", "start"]).select("gc", "depth"), 24)
+
+
+def _ok(spark, d):
+    """Callable minutes with depth, obsexp and expected. The bounds come to the driver; the curve has 24 rows."""
+    c = _curve(spark, d)
+    low, high = bias.bounds(c, PERCENTILE).first()
+    curve = bias.renormalised(c, low, high)
+    b = v.base(spark, d).filter((F.col("gc") > low) & (F.col("gc") < high) & (F.col("uniq") == 1))
+    return b.join(F.broadcast(curve.select("gc", "obsexp", F.col("coverage").alias("expected"))), "gc").select("contig", "pos", "depth", "obsexp", "expected")
+
+
+@query(f'WITH {_BINS} SELECT contig, start, "end", cov, uniqcov FROM v_bins')
+def scan_bins(spark, d):
+    return _bins(spark, d).select("contig", "start", "end", "cov", "uniqcov")
+
+
+@query(f'WITH {_SELECT} SELECT contig, start, "end", cov, uniqcov, selected FROM v_sel')
+def scan_select(spark, d):
+    return scan.select_windows(_bins(spark, d), RATIO).select("contig", "start", "end", "cov", "uniqcov", "selected")
+
+
+_ROUNDED = "round(coverage, 6) AS coverage, round(frac_s, 6) AS frac_s, round(frac_r, 6) AS frac_r, round(pct_s, 6) AS pct_s, round(pct_r, 6) AS pct_r, round(obsexp, 6) AS obsexp"
+
+
+def _rounded(c):
+    return c.select("gc", "sample", "reference", *[r6(x) for x in ("coverage", "frac_s", "frac_r", "pct_s", "pct_r", "obsexp")])
+
+
+@query(f"WITH {_CURVE} SELECT gc, sample, reference, {_ROUNDED} FROM v_curve")
+def strat_curve(spark, d):
+    return _rounded(_curve(spark, d))
+
+
+@query(f"WITH {_BOUNDS} SELECT CAST(low AS INTEGER) AS low, CAST(high AS INTEGER) AS high FROM v_bounds")
+def strat_bounds(spark, d):
+    return bias.bounds(_curve(spark, d), PERCENTILE)
+
+
+@query(f"WITH {_RENORM} SELECT gc, sample, reference, {_ROUNDED} FROM v_renorm")
+def strat_renorm(spark, d):
+    c = _curve(spark, d)
+    return _rounded(bias.renormalised(c, *bias.bounds(c, PERCENTILE).first()))
+
+
+@query(f"""WITH {_CURVE}, x AS (SELECT gc, gc / CAST(23 AS DOUBLE) AS share, sample, reference FROM v_curve), y AS (SELECT *, sample * CAST(sum(reference) OVER () AS DOUBLE) / sum(sample) OVER () AS scaled FROM x WHERE share > 0.25 AND share < 0.75)
+SELECT gc, round(share, 6) AS share, reference, round(scaled, 4) AS scaled_sample, round(scaled / reference, 6) AS bias FROM y""")
+def plot_curve(spark, d):
+    return bias.scaled_shares(_curve(spark, d)).select("gc", r6("share"), "reference", F.round("scaled_sample", 4).alias("scaled_sample"), r6("bias"))
+
+
+# Windows ---------------------------------------------------------------------------------------------------------
+
+
+def _six(w):
+    return w.select("contig", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("mappable").cast("long").alias("mappable"), r6("counts"), r6("cn"))
+
+
+def _fixed_sql(size: int, offset: int) -> str:
+    return f"""WITH {_OK}, k AS (SELECT DISTINCT s AS start FROM (SELECT unnest(generate_series(0, {v.MINUTES - size - 1}, {offset})) AS s)),
+w AS (SELECT o.contig, k.start, count(*) AS mappable, sum(depth) AS cov, sum(obsexp) AS obs, sum(expected) AS ex FROM v_ok o JOIN k ON o.pos >= k.start AND o.pos < k.start + {size} GROUP BY o.contig, k.start)
+SELECT contig, CAST(start AS BIGINT) AS start, CAST(start + {size} AS BIGINT) AS "end", mappable, round(cov / (obs / mappable) * ({size}.0::DOUBLE / mappable), 6) AS counts, round(2.0::DOUBLE * cov / ex, 6) AS cn FROM w WHERE mappable >= {FRACTION} * {size}"""
+
+
+@query(_fixed_sql(SIZE, SIZE))
+def fixed_windows(spark, d):
+    return _six(windows.fixed_windows(_ok(spark, d), v.contigs(spark, d), SIZE, SIZE, FRACTION))
+
+
+@query(_fixed_sql(SIZE, 360))
+def sliding_windows(spark, d):
+    return _six(windows.fixed_windows(_ok(spark, d), v.contigs(spark, d), SIZE, 360, FRACTION))
+
+
+def _adaptive_sql(size: int, offset: int, ok: str = "v_ok") -> str:
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS r FROM {ok}), ks AS (SELECT contig, unnest(generate_series(0, (max(r) + 1 - {size}) // {offset})) AS k FROM ranked GROUP BY contig HAVING max(r) + 1 >= {size}),
+aw AS (SELECT x.contig, k, count(*) AS mappable, sum(depth) AS cov, sum(obsexp) AS obs, sum(expected) AS ex, max(pos) + 1 AS "end" FROM ranked x JOIN ks ON x.contig = ks.contig AND x.r >= k * {offset} AND x.r < k * {offset} + {size} GROUP BY x.contig, k),
+av AS (SELECT aw.*, CASE WHEN k = 0 THEN 0 ELSE b.pos + 1 END AS start FROM aw LEFT JOIN ranked b ON aw.contig = b.contig AND b.r = k * {offset} - 1)"""
+
+
+_AV = """SELECT contig, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", mappable, round(cov / (obs / mappable), 6) AS counts, round(2.0::DOUBLE * cov / ex, 6) AS cn FROM """
+
+
+@query(f"WITH {_OK}, {_adaptive_sql(1000, 1000)} {_AV} av")
+def adaptive_windows(spark, d):
+    return _six(windows.adaptive_windows(_ok(spark, d), 1000, 1000, block=10_000))
+
+
+@query(f"WITH {_OK}, {_adaptive_sql(1000, 300)} {_AV} av")
+def adaptive_overlapping(spark, d):
+    return _six(windows.adaptive_windows(_ok(spark, d), 1000, 300, block=10_000))
+
+
+_BED = f"""v_bed AS (SELECT DISTINCT contig, s AS start, s + n AS "end" FROM (SELECT contig, p_partkey * 97 % 43000 AS s, 100 + p_size * 40 AS n FROM part, v_contigs WHERE p_size % 5 = 0 AND p_partkey < 2000) WHERE s + n <= {v.MINUTES})"""
+
+
+def _bed(spark, d):
+    p = v.table(spark, d, "part").filter("p_size % 5 = 0 and p_partkey < 2000").select((F.col("p_partkey") * 97 % 43000).alias("start"), (F.col("p_partkey") * 97 % 43000 + 100 + F.col("p_size") * 40).alias("end"))
+    return p.join(F.broadcast(v.contigs(spark, d).select("contig")))  # five contigs
+
+
+@query(f"""WITH {_OK}, {_BED}, w AS (SELECT i.contig, i.start, i."end", count(o.pos) AS mappable, sum(depth) AS cov, sum(obsexp) AS obs, sum(expected) AS ex FROM v_bed i LEFT JOIN v_ok o ON o.contig = i.contig AND o.pos >= i.start AND o.pos < i."end" GROUP BY i.contig, i.start, i."end"),
+x AS (SELECT *, mappable >= {FRACTION} * ("end" - start) AS enough FROM w)
+SELECT contig, start, "end", mappable, CASE WHEN enough THEN round(cov / (obs / mappable) * (("end" - start)::DOUBLE / mappable), 6) END AS counts, CASE WHEN enough THEN round(2.0::DOUBLE * cov / ex, 6) END AS cn FROM x""")
+def bed_windows(spark, d):
+    return _six(windows.bed_windows(_ok(spark, d), _bed(spark, d), v.contigs(spark, d), FRACTION, bucket=1024))
+
+
+_SPARSE = """v_sparse AS (SELECT contig, start, "end" FROM v_bed WHERE start % 3 = 0),
+isl0 AS (SELECT *, max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_sparse),
+isl1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM isl0),
+v_union AS (SELECT contig, min(start) AS start, max("end") AS "end" FROM isl1 GROUP BY contig, island)"""
+
+
+@query(f"""WITH {_OK}, {_BED}, {_SPARSE}, v_in AS (SELECT o.* FROM v_ok o JOIN v_union u ON o.contig = u.contig AND o.pos >= u.start AND o.pos < u."end"), {_adaptive_sql(500, 500, 'v_in')},
+nx AS (SELECT contig, "end" AS at, lead(start) OVER (PARTITION BY contig ORDER BY start) AS nxt FROM v_union), f AS (SELECT contig, min(start) AS first FROM v_union GROUP BY contig),
+moved AS (SELECT av.contig, CASE WHEN av.start = 0 THEN f.first ELSE coalesce(nx.nxt, av.start) END AS start, av."end", mappable, cov, obs, ex FROM av JOIN f ON av.contig = f.contig LEFT JOIN nx ON nx.contig = av.contig AND nx.at = av.start AND nx.nxt IS NOT NULL)
+{_AV} moved""")
+def bed_adaptive(spark, d):
+    return _six(windows.bed_adaptive_windows(_ok(spark, d), _bed(spark, d).filter("start % 3 = 0"), v.contigs(spark, d), 500, 500, bucket=1024, block=10_000))
+
+
+@query(f"""WITH {_OK}, lv AS (SELECT unnest([45, 90, 180, 360, 720, 1440, 2880]) AS ws), t AS (SELECT o.contig, ws, o.pos // ws AS k, sum(depth) AS cov, sum(expected) AS ex FROM v_ok o, lv GROUP BY o.contig, ws, o.pos // ws),
+x AS (SELECT ws, 2.0::DOUBLE * cov / ex - 2 AS dv FROM t WHERE (k + 1) * ws < {v.MINUTES} AND ex > 0) SELECT ws, round(sum(dv * dv), 4) AS dev, count(*) AS n FROM x GROUP BY ws""")
+def scale_variance(spark, d):
+    return windows.scale_variance(_ok(spark, d), v.contigs(spark, d), 45, most=5000).select("ws", F.round("dev", 4).alias("dev"), "n")
+
+
+_C = 30
+
+
+@query(f"""WITH {_OK}, rk AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY contig) AS n FROM v_ok),
+s AS (SELECT contig, r, n, sum(depth) OVER a AS lc, sum(expected) OVER a AS le, sum(depth) OVER b AS rc, sum(expected) OVER b AS re FROM rk
+    WINDOW a AS (PARTITION BY contig ORDER BY r ROWS BETWEEN {_C - 1} PRECEDING AND CURRENT ROW), b AS (PARTITION BY contig ORDER BY r ROWS BETWEEN 101 FOLLOWING AND {100 + _C} FOLLOWING)),
+c AS (SELECT contig, r + 50 AS place, 2.0::DOUBLE * lc / le AS l, 2.0::DOUBLE * rc / re AS r FROM s WHERE r >= {_C} AND r < n - {_C} - 100 AND le > 0 AND re > 0)
+SELECT contig, place, round(l, 4) AS l, round(r, 4) AS r FROM c""")
+def contrast_sides(spark, d):
+    ranked = prefix.rank_rows(_ok(spark, d), block=10_000)
+    both = prefix.running_sum(prefix.running_sum(ranked, "depth", "cs", block=10_000), "expected", "es", block=10_000)
+    n = ranked.groupBy("contig").agg(F.count(F.lit(1)).alias("n"))
+    # Each side is a difference of running sums at four ranks: equi-joins by shifted rank, no wide frames.
+    at = lambda shift, tag: both.select("contig", (F.col("rank") - shift).alias("rank"), F.col("cs").alias(f"c{tag}"), F.col("es").alias(f"e{tag}"))
+    x = at(0, "1").join(at(-_C, "0"), ["contig", "rank"]).join(at(100, "2"), ["contig", "rank"]).join(at(100 + _C, "3"), ["contig", "rank"]).join(F.broadcast(n), "contig")
+    x = x.filter((F.col("rank") >= _C) & (F.col("rank") < F.col("n") - _C - 100))
+    side = lambda a, b: stats.safe_div(2.0 * (F.col(f"c{b}") - F.col(f"c{a}")), F.col(f"e{b}") - F.col(f"e{a}"))
+    return x.select("contig", (F.col("rank") + 50).alias("place"), F.round(side("0", "1"), 4).alias("l"), F.round(side("2", "3"), 4).alias("r"))
+
+
+@query(f"""WITH {v.DEPTH}, z AS (SELECT contig, pos // 60 AS h, CAST(sum(depth) AS BIGINT) - 3 AS score FROM v_depth GROUP BY contig, pos // 60), g AS (SELECT *, h - row_number() OVER (PARTITION BY contig ORDER BY h) AS island FROM z WHERE score > 0)
+SELECT contig, min(h) AS first, max(h) AS last, count(*) AS n, max(score) AS height, min(h) FILTER (WHERE score = top) AS peak FROM (SELECT *, max(score) OVER (PARTITION BY contig, island) AS top FROM g) GROUP BY contig, island""")
+def positive_runs(spark, d):
+    z = v.depth(spark, d).groupBy("contig", F.expr("pos div 60").alias("h")).agg((F.sum("depth") - 3).alias("score")).filter("score > 0")
+    g = z.withColumn("island", F.col("h") - F.row_number().over(Window.partitionBy("contig").orderBy("h")))
+    return g.groupBy("contig", "island").agg(F.min("h").alias("first"), F.max("h").alias("last"), F.count(F.lit(1)).alias("n"), F.max("score").alias("height"), F.max_by("h", F.struct("score", -F.col("h"))).alias("peak")).drop("island")
+
+
+# Intervals and variants ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {v.ITV}, a AS (SELECT *, max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_itv),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM a) SELECT contig, min(start) AS start, max("end") AS "end" FROM b GROUP BY contig, island""")
+def interval_union(spark, d):
+    return intervals.union_intervals(v.part_intervals(spark, d))
+
+
+@query(f"""WITH {v.ITV} SELECT p.p_partkey AS pos, i.contig, i.start, i."end" FROM part p JOIN v_itv i ON p.p_brand = i.contig AND p.p_partkey >= i.start AND p.p_partkey < i."end" """)
+def interval_point_join(spark, d):
+    points = v.table(spark, d, "part").select(F.col("p_brand").alias("contig"), F.col("p_partkey").alias("pos"))
+    return intervals.interval_join(points, v.part_intervals(spark, d), 64).select("pos", "contig", "start", "end")
+
+
+@query(f"WITH {v.CONTIGS} SELECT contig, CAST(s AS BIGINT) AS start, CAST(s + {SCAN} AS BIGINT) AS \"end\" FROM (SELECT contig, unnest(generate_series(0, {v.MINUTES - SCAN - 1}, {SCAN})) AS s FROM v_contigs)")
+def tiling(spark, d):
+    return intervals.tiles(v.contigs(spark, d), SCAN).select("contig", "start", "end")
+
+
+_HET = "ref_n + alt_n > 10 AND ref_n >= greatest(ceil({h}::DOUBLE * (ref_n + alt_n)), 2) AND alt_n >= greatest(ceil({h}::DOUBLE * (ref_n + alt_n)), 2)"
+
+
+@query(f"WITH {v.SNP} SELECT contig, pos, ref_n, alt_n FROM v_snp WHERE {_HET.format(h=0.1)}")
+def het_filter(spark, d):
+    return variants.het_sites(v.snps(spark, d), 10)
+
+
+_CONTROL = f"v_ctl AS (SELECT contig, pos, alt_n AS ref_n, (ref_n * 3 + 7) % 60 AS alt_n FROM v_snp WHERE pos % 4 <> 0), c_het AS (SELECT * FROM v_ctl WHERE {_HET.format(h=0.3)})"
+
+
+def _control(spark, d):
+    return v.snps(spark, d).filter("pos % 4 <> 0").select("contig", "pos", F.col("alt_n").alias("ref_n"), ((F.col("ref_n") * 3 + 7) % 60).alias("alt_n"))
+
+
+@query(f"WITH {v.SNP}, {_CONTROL} SELECT s.* FROM v_snp s WHERE EXISTS (SELECT 1 FROM c_het c WHERE c.contig = s.contig AND c.pos = s.pos)")
+def matched_sites(spark, d):
+    return variants.matched_sites(v.snps(spark, d), variants.het_sites(_control(spark, d), 10, control=True))
+
+
+@query(f"""WITH {v.SNP}, {_CONTROL} SELECT s.contig, s.pos, s.ref_n AS ref_t, s.alt_n AS alt_t, round(s.alt_n::DOUBLE / (s.ref_n + s.alt_n), 6) AS baf_t, coalesce(c.ref_n, 0) AS ref_c, coalesce(c.alt_n, 0) AS alt_c, round(coalesce(c.alt_n::DOUBLE / nullif(c.ref_n + c.alt_n, 0), 0.5), 6) AS baf_c
+FROM v_snp s LEFT JOIN c_het c ON s.contig = c.contig AND s.pos = c.pos WHERE s.ref_n + s.alt_n > 0""")
+def baf_table(spark, d):
+    t = variants.baf_table(v.snps(spark, d), variants.het_sites(_control(spark, d), 10, control=True))
+    return t.select("contig", "pos", "ref_t", "alt_t", r6("baf_t"), "ref_c", "alt_c", r6("baf_c"))
+
+
+@query(f"WITH {v.SNP}, x AS (SELECT alt_n::DOUBLE / nullif(ref_n + alt_n, 0) AS f FROM v_snp) SELECT round(avg(least(f, 1 - f)), 6) AS mean_maf FROM x")
+def mean_folded_maf(spark, d):
+    return variants.mean_folded(v.snps(spark, d)).select(r6("mean_maf"))
+
+
+_MAFW = f"""{v.SNP}, {_CONTROL}, w AS (SELECT contig, unnest(generate_series(0, 140000, 500)) AS start FROM (SELECT DISTINCT contig FROM v_snp)),
+t AS (SELECT w.contig, w.start, coalesce(sum(least(ref_n, alt_n)), 0) AS minor, coalesce(sum(greatest(ref_n, alt_n)), 0) AS major, count(s.pos) AS n_snps FROM w LEFT JOIN v_snp s ON s.contig = w.contig AND s.pos >= w.start AND s.pos < w.start + 500 GROUP BY w.contig, w.start),
+k AS (SELECT w.contig, w.start, coalesce(sum(least(ref_n, alt_n)), 0) AS minor, coalesce(sum(greatest(ref_n, alt_n)), 0) AS major FROM w LEFT JOIN c_het s ON s.contig = w.contig AND s.pos >= w.start AND s.pos < w.start + 500 GROUP BY w.contig, w.start)"""
+
+
+def _maf_windows(spark, d):
+    names = v.snps(spark, d).select("contig").distinct()
+    return names.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(140_000).cast("long"), F.lit(500).cast("long"))).alias("start")).withColumn("end", F.col("start") + 500)
+
+
+@query(f"WITH {_MAFW} SELECT contig, start, CAST(minor AS BIGINT) AS minor, CAST(major AS BIGINT) AS major, n_snps FROM t")
+def maf_sums(spark, d):
+    return variants.maf_sums(_maf_windows(spark, d), v.snps(spark, d), 500).select("contig", "start", "minor", "major", "n_snps")
+
+
+@query(f"""WITH {_MAFW}, x AS (SELECT t.contig, t.start, t.minor::DOUBLE / nullif(t.minor + t.major, 0) AS a, k.minor::DOUBLE / nullif(k.minor + k.major, 0) AS b, n_snps >= 3 AND t.minor + t.major >= 10 AND k.minor + k.major >= 10 AS ok FROM t JOIN k ON t.contig = k.contig AND t.start = k.start)
+SELECT contig, start, CASE WHEN ok AND b > 0 THEN round(a / b, 6) END AS maf FROM x""")
+def maf_windows(spark, d):
+    w = _maf_windows(spark, d)
+    t = variants.maf_sums(w, v.snps(spark, d), 500)
+    c = variants.maf_sums(w, variants.het_sites(_control(spark, d), 10, control=True), 500)
+    return variants.maf_ratio(t, 3, 10, control=c).select("contig", "start", r6("maf"))
+
+
+@query(f"""WITH {v.ITV}, {v.SNP}, i AS (SELECT p_partkey AS id, p_brand, p_partkey * 5 AS low, p_partkey * 5 + p_size * 4 AS high, CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS contig FROM part),
+h AS (SELECT i.id, s.pos, s.ref_n, row_number() OVER (PARTITION BY i.id ORDER BY s.ref_n DESC, s.pos) AS n FROM i JOIN v_snp s ON s.contig = i.contig AND s.pos >= i.low AND s.pos <= i.high WHERE s.ref_n >= 2)
+SELECT id, pos AS best_pos, ref_n AS best_support FROM h WHERE n = 1""")
+def best_breakpoint(spark, d):
+    p = v.table(spark, d, "part")
+    i = p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 5).alias("low"), (F.col("p_partkey") * 5 + F.col("p_size") * 4).alias("high"), F.when(F.col("p_size") % 3 == 0, "F").when(F.col("p_size") % 3 == 1, "O").otherwise("P").alias("contig"))
+    return calls.best_breakpoint(i, v.snps(spark, d).select("contig", "pos", F.col("ref_n").alias("support")), "low", "high", bucket=256)
+
+
+@query(f"""WITH {v.SNP}, i AS (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS contig, p_partkey * 5 AS start, p_partkey * 5 + 1 + p_size * 4 AS "end" FROM part),
+s AS (SELECT contig, pos, alt_n::DOUBLE / (ref_n + alt_n) AS f FROM v_snp WHERE ref_n + alt_n > 0)
+SELECT i.contig, i.start, i."end", CAST(count(s.pos) AS INTEGER) AS nsnps, round(coalesce(sum(least(f, 1 - f)), 0), 6) AS maf FROM i LEFT JOIN s ON s.contig = i.contig AND s.pos >= i.start AND s.pos < i."end" GROUP BY i.contig, i.start, i."end" """)
+def call_sites(spark, d):
+    p = v.table(spark, d, "part")
+    i = p.select(F.when(F.col("p_size") % 3 == 0, "F").when(F.col("p_size") % 3 == 1, "O").otherwise("P").alias("contig"), (F.col("p_partkey") * 5).alias("start"), (F.col("p_partkey") * 5 + 1 + F.col("p_size") * 4).alias("end")).distinct()
+    return calls.annotate_sites(i, v.snps(spark, d), 256).select("contig", "start", "end", "nsnps", r6("maf"))
+
+
+# Genotypes -------------------------------------------------------------------------------------------------------
+
+_LIK = """x AS (SELECT c_custkey AS id, CAST(CAST((c_acctbal + 1000) / 1250 AS FLOAT) AS DOUBLE) AS cn, CASE c_nationkey % 3 WHEN 0 THEN 0.12 WHEN 1 THEN 0.2 ELSE 0.5 END::DOUBLE AS sd FROM customer),
+g AS (SELECT id, cn, sd, unnest(generate_series(0, 9)) AS g FROM x), p AS (SELECT id, g, exp(-((cn - g) / sd) * ((cn - g) / sd) / 2) / (sd * sqrt(2 * pi())) AS pdf FROM g),
+l AS (SELECT id, g, CASE WHEN pdf > 0 THEN log10(pdf / sum(pdf) OVER (PARTITION BY id)) ELSE -1000 END AS l FROM p), b AS (SELECT id, g, greatest(l - max(l) OVER (PARTITION BY id), -1000) AS gl FROM l)"""
+
+
+def _likely(spark, d):
+    c = v.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_acctbal") + 1000) / 1250).alias("cn"), F.when(F.col("c_nationkey") % 3 == 0, 0.12).when(F.col("c_nationkey") % 3 == 1, 0.2).otherwise(0.5).alias("sd"))
+    return c.withColumn("l", genotype.likelihoods(F.col("cn"), F.col("sd")))
+
+
+@query(f"WITH {_LIK} SELECT id, CAST(g AS INTEGER) AS g, round(gl, 4) AS gl FROM b")
+def cn_likelihoods(spark, d):
+    return _likely(spark, d).select("id", F.posexplode("l.gl").alias("g", "gl")).select("id", "g", F.round("gl", 4).alias("gl"))
+
+
+@query(f"""WITH {_LIK}, pl AS (SELECT id, round(-10 * gl) AS pl FROM b), s AS (SELECT id, sum(pow(10::DOUBLE, pl / -10)) AS total FROM pl GROUP BY id)
+SELECT id, CAST(CASE WHEN total > 1 THEN round(-10 * greatest(log10(CASE WHEN 1 - 1 / total > 0 THEN 1 - 1 / total END), -1000)) ELSE 0 END AS INTEGER) AS gq FROM s""")
+def gq(spark, d):
+    return _likely(spark, d).select("id", genotype.quality(F.col("l.pl")).alias("gq"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT concat('CNV', lpad(CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS VARCHAR), 8, '0')) AS id, greatest(p - 500, 1) AS start, least(greatest(p + s, 1), 1999) AS "end", CASE WHEN p - 500 >= 0 THEN -1 ELSE p - 500 END AS cipos_lo, CASE WHEN s - 50 <= 0 THEN 1 ELSE s - 50 END AS cipos_hi FROM x""")
+def vcf_info(spark, d):
+    x = v.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    # Ranks by block of orders instead of one global sort.
+    x = x.withColumn("contig", F.lit(0)).withColumn("pos", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+    n = prefix.rank_rows(x, block=1 << 14)
+    low, high = F.col("p") - 500, F.col("s") - 50
+    return n.select(
+        F.concat(F.lit("CNV"), F.lpad((F.col("rank") + 1).cast("string"), 8, "0")).alias("id"), F.greatest(low, F.lit(1)).alias("start"), F.least(F.greatest(F.col("p") + F.col("s"), F.lit(1)), F.lit(1999)).alias("end"),
+        F.when(low >= 0, -1).otherwise(low).alias("cipos_lo"), F.when(high <= 0, 1).otherwise(high).alias("cipos_hi"),
+    )
+
+
+# Matrices and segments -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {v.MINUTE}, x AS (SELECT contig, pos // 720 * 720 AS start, user_id % 4 AS s, CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS value FROM v_min WHERE (pos // 720 + user_id) % 5 <> 0 GROUP BY 1, 2, 3)
+SELECT contig, start, start + 720 AS "end", max(value) FILTER (WHERE s = 0) AS s0, max(value) FILTER (WHERE s = 1) AS s1, max(value) FILTER (WHERE s = 2) AS s2, max(value) FILTER (WHERE s = 3) AS s3 FROM x GROUP BY contig, start""")
+def merge_matrix(spark, d):
+    m = v.minutes(spark, d).withColumn("start", F.expr("pos div 720 * 720")).filter("(pos div 720 + user_id) % 5 <> 0")
+    rows = m.groupBy("contig", "start", F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("sample")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("value")).withColumn("end", F.col("start") + 720)
+    return merge.merge_matrix(rows, ["s0", "s1", "s2", "s3"])
+
+
+@query(f"""WITH {v.DEPTH}, {v.CONTIGS}, h AS (SELECT contig, unnest(generate_series(0, 719)) AS h FROM v_contigs), s AS (SELECT h.contig, h.h, CASE WHEN h.h % 11 <> 3 THEN CAST(sum(d.depth) AS DOUBLE) END AS x FROM h LEFT JOIN v_depth d ON d.contig = h.contig AND d.pos // 60 = h.h GROUP BY h.contig, h.h)
+SELECT contig, h AS start, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY contig ORDER BY h ROWS UNBOUNDED PRECEDING), 0) AS x FROM s""")
+def ffill_signal(spark, d):
+    h = v.contigs(spark, d).select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("start"))
+    s = v.depth(spark, d).groupBy("contig", F.expr("pos div 60").alias("start")).agg(F.sum("depth").cast("double").alias("x"))
+    s = h.join(s, ["contig", "start"], "left").withColumn("x", F.when(F.col("start") % 11 != 3, F.col("x")))
+    return segment.forward_fill(s, ["x"])
+
+
+@query(f"""WITH {v.DEPTH}, s AS (SELECT contig, pos // 60 AS h, CAST(sum(depth) AS BIGINT) AS x FROM v_depth GROUP BY contig, pos // 60), k AS (SELECT contig, h // 24 AS day, x, lag(x) OVER (PARTITION BY contig, h // 24 ORDER BY h) AS before FROM s)
+SELECT contig, day, list_sort(list(x))[count(*) // 2 + 1] AS level, count(*) AS n FROM k WHERE before IS NULL OR before <> x GROUP BY contig, day""")
+def run_dedupe_median(spark, d):
+    s = v.depth(spark, d).groupBy("contig", F.expr("pos div 60").alias("h")).agg(F.sum("depth").alias("x")).withColumn("day", F.expr("h div 24"))
+    k = s.withColumn("before", F.lag("x").over(Window.partitionBy("contig", "day").orderBy("h"))).filter("before is null or before <> x")
+    return k.groupBy("contig", "day").agg(stats.upper_median("x").alias("level"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def segment_lars_dp(spark, d):
+    """Hourly counts of two user groups as a two-column signal."""
+    s = v.minutes(spark, d).groupBy("contig", F.expr("pos div 60").alias("start")).agg(F.count_if(F.col("user_id") % 2 == 0).cast("double").alias("a"), F.count_if(F.col("user_id") % 2 == 1).cast("double").alias("b")).withColumn("end", F.col("start") + 1)
+    return segment.segment(s, ["a", "b"], k=40)
+
+
+@query()
+def nms_peaks(spark, d):
+    z = v.depth(spark, d).groupBy("contig", F.expr("cast(pos div 60 as int)").alias("pos")).agg(F.sum(F.when(F.col("pos") % 2 == 0, F.col("depth")).otherwise(0)).alias("left_n"), F.sum(F.when(F.col("pos") % 2 == 1, F.col("depth")).otherwise(0)).alias("right_n"))
+    return calls.split_peaks(z, 12)
+
+
+@query()
+def cnv_calls(spark, d):
+    return calls.cnv_calls(_ok(spark, d), 500)
+
+
+@query("SELECT doc_id, (text LIKE '%N%' OR text LIKE '%n%') AS holds_n FROM documents")
+def n_content(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", stats.holds_n(F.col("text")).alias("holds_n"))
+
+
+@query("""WITH c AS (SELECT event_id, unnest(string_split(props, '')) AS ch, length(props) AS n FROM events), f AS (SELECT event_id, ch, count(*)::DOUBLE / max(n) AS p FROM c GROUP BY event_id, ch) SELECT event_id, round(-sum(p * log2(p)), 6) AS bits FROM f GROUP BY event_id""")
+def entropy(spark, d):
+    return v.table(spark, d, "events").select("event_id", F.round(stats.entropy(F.col("props")), 6).alias("bits"))
+
+
+@query("SELECT event_type, median(value) AS median FROM events GROUP BY event_type")
+def true_median(spark, d):
+    return v.table(spark, d, "events").groupBy("event_type").agg(stats.true_median("value").alias("median"))
+
+
+def _binomial(k: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([stats.binomial_two_sided(int(a), int(b), 0.5) for a, b in zip(k, n)])
+
+
+@query()
+def binomial_test(spark, d):
+    test = F.pandas_udf(_binomial, "double")
+    return v.snps(spark, d).select("contig", "pos", F.round(test("alt_n", F.col("ref_n") + F.col("alt_n")), 6).alias("p"))
