@@ -23,9 +23,9 @@ def bucketed(intervals: DataFrame, width: int, start: str = "start", end: str =
 def interval_join(points: DataFrame, intervals: DataFrame, width: int, pos: str = "pos", how: str = "inner") -> DataFrame:
     """points (contig, pos, ...) with the intervals (contig, start, end, ...) that hold them, by buckets of `width`: an equi-join, never a nested loop."""
     p = points.withColumn("_bucket", F.expr(f"{pos} div {width}"))
-    i = bucketed(intervals, width)
-    on = (p["contig"] == i["contig"]) & (p["_bucket"] == i["_bucket"]) & (p[pos] >= i["start"]) & (p[pos] < i["end"])
-    return p.join(i, on, how).drop(i["contig"], p["_bucket"], i["_bucket"])
+    i = bucketed(intervals, width).withColumnsRenamed({"contig": "_contig", "_bucket": "_reached"})
+    on = (F.col("contig") == F.col("_contig")) & (F.col("_bucket") == F.col("_reached")) & (F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("end"))
+    return p.join(i, on, how).drop("_contig", "_bucket", "_reached")
 
 
 def tiles(contigs: DataFrame, size: int, offset: int | None = None, strict: bool = True) -> DataFrame:

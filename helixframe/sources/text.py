@@ -30,7 +30,7 @@ def read_sam(spark: SparkSession, sam: str, contigs: DataFrame | None = None) ->
     """Alignments of a SAM text file, in the canonical schema."""
     contigs = contigs if contigs is not None else read_contigs(spark, sam)
     f = F.split("value", "\t")
-    field = lambda i: f.getItem(i)
+    field = lambda i: F.get(f, F.lit(i))
     lines = _numbered(spark, sam).filter(~F.col("value").startswith("@") & (F.length("value") > 0))
     mate = F.when(field(6) == "=", field(2)).when(field(6) != "*", field(6))
     seq = F.when(field(9) != "*", field(9))
@@ -60,7 +60,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def _intervals(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
     f = F.split(F.trim("value"), "[ \\t,;]+")
-    rows = spark.read.text(path).filter(F.size(f) >= 3).select(f.getItem(0).alias("contig"), F.expr("try_cast(split(trim(value), '[ \\\\t,;]+')[1] as int)").alias("start"), F.expr("try_cast(split(trim(value), '[ \\\\t,;]+')[2] as int)").alias("end"))
+    rows = spark.read.text(path).filter(F.size(f) >= 3).select(F.get(f, F.lit(0)).alias("contig"), F.expr("try_cast(split(trim(value), '[ \\\\t,;]+')[1] as int)").alias("start"), F.expr("try_cast(split(trim(value), '[ \\\\t,;]+')[2] as int)").alias("end"))
     return rows.filter("start is not null and end is not null").join(F.broadcast(contigs.select("contig")), "contig", "left_semi")
 
 
@@ -85,10 +85,10 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None) -> DataF
     head = lines.filter(F.col("value").startswith("#CHROM")).select("value").first()
     names = head[0].split("\t") if head else []
     f = F.split("value", "\t")
-    rows = lines.filter(~F.col("value").startswith("#")).select("ord", f.getItem(0).alias("contig"), (f.getItem(1).cast("int") - 1).alias("pos"), F.upper(f.getItem(3)).alias("ref"), F.upper(f.getItem(4)).alias("alt"), f.alias("_f"))
+    rows = lines.filter(~F.col("value").startswith("#")).select("ord", F.get(f, F.lit(0)).alias("contig"), (F.get(f, F.lit(1)).cast("int") - 1).alias("pos"), F.upper(F.get(f, F.lit(3))).alias("ref"), F.upper(F.get(f, F.lit(4))).alias("alt"), f.alias("_f"))
     rows = rows.filter((F.length("ref") == 1) & (F.length("alt") == 1) & (F.col("ref") != F.col("alt")) & ~F.col("alt").isin(".", "*"))
     if sample in names[9:]:
-        rows = rows.withColumn("gt", genotype(F.col("_f").getItem(names.index(sample))))
+        rows = rows.withColumn("gt", genotype(F.get("_f", F.lit(names.index(sample)))))
         carried = F.aggregate("gt", F.lit(0), lambda a, x: a + x)
         rows = rows.filter(carried == 1)
     else:
@@ -110,6 +110,6 @@ def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     names = re.split(r"[ \t,;]+", first[0]) if first else []
     lines = _numbered(spark, path).filter(F.col("value") != (first[0] if first else ""))
     f = F.split("value", "[ \\t,;]+")
-    number = lambda i: F.when(~f.getItem(i).isin("NA", "NaN", "nan"), f.getItem(i).cast("double"))
-    rows = lines.select("ord", f.getItem(0).alias("contig"), f.getItem(1).cast("long").alias("start"), f.getItem(2).cast("long").alias("end"), *[number(i).alias(n) for i, n in enumerate(names) if i > 2])
+    number = lambda i: F.when(~F.get(f, F.lit(i)).isin("NA", "NaN", "nan"), F.get(f, F.lit(i)).cast("double"))
+    rows = lines.select("ord", F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).cast("long").alias("start"), F.get(f, F.lit(2)).cast("long").alias("end"), *[number(i).alias(n) for i, n in enumerate(names) if i > 2])
     return rows.drop("ord"), names[3:]
