@@ -3,10 +3,11 @@
 Every benchmark item is cut into windows of ``window`` words (an item of fewer
 is one window). A document contains a window only if it contains all shingles
 of it, so one of them, the rarest over all documents, is a sufficient prefix.
-Pass one counts the benchmark's shingles in the documents; a window whose
-rarest shingle occurs nowhere is dropped. Pass two joins document positions
-with the prefix shingles, keeps those where the window's offset and length fit
-into the document, and compares the words themselves.
+One pass over the documents finds the positions of the benchmark's shingles
+and writes them with the words around them, which gives each shingle's
+count; a window whose rarest shingle occurs nowhere is dropped. The positions
+of the prefix shingles are then joined with their windows, kept where the
+window's offset and length fit into the document, and compared word by word.
 
 The benchmark's shingles are broadcast in blocks of at most ``BLOCK_ROWS``
 rows: a larger benchmark takes more passes, never a larger broadcast.
@@ -40,15 +41,14 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return cut.withColumn("wtext", F.array_join("win", " ")).dropDuplicates(["item_id", "wtext"])
 
 
-def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, _key, words, pos, h): the hash of the shingle of each length at each position."""
+def _matches(docs: DataFrame, shingles: DataFrame, k: int, window: int) -> DataFrame:
+    """(doc_id, _key, pos, h, from, near): positions whose k-word shingle is among shingles (h), with the words around them."""
     at = docs.select("doc_id", text_key(F.col("text")).alias("_key"), words(F.col("text")).alias("words"))
     at = at.select("doc_id", "_key", "words", F.posexplode("words").alias("pos", "_word"))
-    parts = [at.select("doc_id", "_key", "words", "pos", F.xxhash64(F.slice("words", F.col("pos") + 1, F.lit(k))).alias("h")) for k in lengths]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    at = at.select("doc_id", "_key", "words", "pos", F.xxhash64(F.slice("words", F.col("pos") + 1, F.lit(k))).alias("h"))
+    found = at.join(F.broadcast(shingles), "h")
+    start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    return found.select("doc_id", "_key", "pos", "h", start.alias("from"), F.slice("words", start + 1, F.lit(2 * window - 1)).alias("near"))
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -57,29 +57,26 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingl
     one = windows.dropDuplicates(["wtext"]).select("win", "wlen", "wtext", F.least(F.lit(shingle), F.col("wlen")).alias("k"))
     cut = one.select("*", F.explode(F.sequence(F.lit(0), F.col("wlen") - F.col("k"))).alias("offset"))
     cut = materialize(cut.withColumn("h", F.xxhash64(F.slice("win", F.col("offset") + 1, F.col("k")))), "bench-shingles")
-    by_k = {r["k"]: r["n"] for r in cut.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `shingle` rows
-    empty = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.lit(0).alias("start"), F.lit(0).alias("wlen"), F.lit("").alias("wtext")).limit(0)
-    if not by_k:
-        return empty, windows.select("item_id", "wtext")
-    n_blocks = -(-sum(by_k.values()) // block_rows)
-    at = _positions(docs, sorted(by_k))
-    rare = None
-    for b in range(n_blocks):
-        block = cut.select("h").distinct().filter(F.pmod(F.xxhash64("h"), F.lit(n_blocks)) == b)
-        found = at.select("h").join(F.broadcast(block), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
-        rare = found if rare is None else rare.unionAll(found)
-    rare = materialize(rare, "bench-rarity")
-    first = cut.join(rare, "h", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    first = first.groupBy("wtext").agg(F.min_by(F.struct("win", "wlen", "offset", "h", "n_docs"), F.struct("n_docs", "offset")).alias("p")).select("wtext", "p.*").filter("n_docs > 0")
-    first = materialize(first.select("wtext", "win", "wlen", "offset", "h"), "bench-prefix")
-    hits = None
-    for b in range(n_blocks):
-        block = first if n_blocks == 1 else first.filter(F.pmod(F.xxhash64("wtext"), F.lit(n_blocks)) == b)
-        start = at["pos"] - block["offset"]
-        fits = (at["h"] == block["h"]) & (start >= 0) & (start + block["wlen"] <= F.size(at["words"]))
-        same = F.slice(at["words"], F.greatest(start, F.lit(0)) + 1, block["wlen"]) == block["win"]
-        found = at.join(F.broadcast(block), fits & same).select("doc_id", "_key", start.alias("start"), "wlen", "wtext")
-        hits = found if hits is None else hits.unionAll(found)
+    by_k = {r["k"]: r["n"] for r in cut.groupBy("k").agg(F.count_distinct("h").alias("n")).collect()}  # at most `shingle` rows
+    matches = None
+    for k, n in sorted(by_k.items()):
+        distinct = cut.filter(F.col("k") == k).select("h").distinct()
+        n_blocks = -(-n // block_rows)
+        for b in range(n_blocks):
+            block = distinct if n_blocks == 1 else distinct.filter(F.pmod(F.xxhash64("h"), F.lit(n_blocks)) == b)
+            found = _matches(docs, block, k, window).withColumn("k", F.lit(k))
+            matches = found if matches is None else matches.unionAll(found)
+    if matches is None:
+        none = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.lit(0).alias("start"), F.lit(0).alias("wlen"), F.lit("").alias("wtext")).filter(F.lit(False))
+        return none, windows.select("item_id", "wtext")
+    matches = materialize(matches, "bench-matches")
+    rare = matches.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n_found"))
+    first = cut.join(rare, ["k", "h"], "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    first = first.groupBy("wtext").agg(F.min_by(F.struct("win", "wlen", "offset", "k", "h", "n_found"), F.struct("n_found", "offset")).alias("p")).select("wtext", "p.*").filter("n_found > 0")
+    start = F.col("pos") - F.col("offset")
+    # A window that would begin before the document or end behind it has no equal slice.
+    same = (start >= F.col("from")) & (F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("wlen")) == F.col("win"))
+    hits = matches.join(first, ["k", "h"]).filter(same).select("doc_id", "_key", start.alias("start"), "wlen", "wtext")
     return hits, windows.select("item_id", "wtext")
 
 
