@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.config import CallConfig, SegmentConfig
 from helixframe.functions.stats import n95_length
-from helixframe.operators import bias, calls, content, genotype, intervals, reads, scan, variants, windows
+from helixframe.functions.work import materialize
+from helixframe.operators import bias, calls, content, genotype, intervals, reads, scan, segment, variants, windows
+from helixframe.sources import text
 
 
 def check_contigs(contigs: DataFrame, *sequences: DataFrame) -> list[str]:
@@ -45,9 +46,10 @@ def _support(cfg: CallConfig, alignments, sites, contigs, reference_bases):
 def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference: DataFrame, mappability: DataFrame, sites: DataFrame | None = None, control: DataFrame | None = None, bed: DataFrame | None = None, scan_regions: DataFrame | None = None) -> CallResult:
     """All results of a sample. Two scalars come to the driver: the library's sizes and the bounds of the curve."""
     check_contigs(contigs, reference, mappability)
-    alignments = alignments.persist(StorageLevel.MEMORY_AND_DISK)
+    # Tables that several branches read are written once; this also keeps the plans small.
+    alignments = materialize(alignments, "alignments")
     lib = reads.library_stats(alignments, cfg.mad_cutoff)
-    here = contigs.join(alignments.select("tid").distinct(), "tid", "left_semi")
+    here = materialize(contigs.join(alignments.select("tid").distinct(), "tid", "left_semi"), "contigs")
 
     baf = support = control_support = None
     control_maf = None
@@ -55,42 +57,45 @@ def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference:
         genome = content.bases_of(reference, "base")
         support = _support(cfg, alignments, sites, contigs, genome)
         if control is not None:
-            control_support = variants.het_sites(_support(cfg, control, sites, contigs, genome), cfg.coverage, control=True)
+            control_support = materialize(variants.het_sites(_support(cfg, control, sites, contigs, genome), cfg.coverage, control=True), "control")
             support = variants.matched_sites(support, control_support)
         else:
             support = variants.het_sites(support, cfg.coverage)
-        support = support.persist(StorageLevel.MEMORY_AND_DISK)
+        support = materialize(support, "support")
         control_maf = variants.mean_folded(support).first()[0]
         baf = variants.baf_table(support, control_support)
 
     n = lib["meanisize"]
-    bases = content.content(reference, mappability, here, n).persist(StorageLevel.MEMORY_AND_DISK)
+    bases = materialize(content.content(reference, mappability, here, n), "bases")
 
     # Scan windows and the choice of normal ones.
     at = reads.fragments(alignments, here, cfg.quality, lib["min_isize"], lib["max_isize"], "scan")
     at = at.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("n")).join(bases.select("contig", "pos", "uniq"), ["contig", "pos"]).select("contig", "pos", "n", content.unique_enough(cfg.fragment, n).alias("unique"))
+    at = materialize(at, "fragments")
     scanned = scan.scanned_contigs(here, at.groupBy("contig").agg(F.sum("n").alias("cov")), n95_length(contigs), cfg.sex_contigs, cfg.enough_coverage)
     if scan_regions is not None:
         regions = intervals.valid_windows(scan_regions, scanned, strict=True)
         bins = scan.scan_bins(at, regions)
     else:
         bins = scan.scan_bins(at, intervals.tiles(scanned, cfg.scan_window), cfg.scan_window)
+    bins = materialize(bins, "bins")
     bins = scan.select_windows(bins, cfg.fraction_unique, 10_000 if scan_regions is not None else None, cfg.no_window_selection)
-    bins = bins.persist(StorageLevel.MEMORY_AND_DISK)
+    bins = materialize(bins, "selected")
 
     # The curve over unique bases of selected windows, and its bounds.
     mids = reads.depth(reads.fragments(alignments, here, cfg.quality, lib["min_isize"], lib["max_isize"], "bias", n))
     chosen = bins.filter("selected").select("contig", "start", "end")
     known = intervals.interval_join(bases.filter(content.unique_enough(cfg.fragment, n)), chosen, cfg.scan_window).join(mids, ["contig", "pos"], "left")
-    curve = bias.curve(known.select("gc", F.coalesce("depth", F.lit(0)).alias("depth")), n + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    curve = bias.curve(known.select("gc", F.coalesce("depth", F.lit(0)).alias("depth")), n + 1)
+    curve = materialize(curve, "curve")
     low, high = bias.bounds(curve, cfg.percentile).first()
-    curve = bias.renormalised(curve, low, high).persist(StorageLevel.MEMORY_AND_DISK)
+    curve = materialize(bias.renormalised(curve, low, high), "curve")
 
     # Callable bases with depth and what the curve expects.
     depth = reads.depth(reads.fragments(alignments, here, cfg.quality, lib["min_isize"], lib["max_isize"], "count"))
     ok = bases.filter(content.callable_base(low, high, cfg.fragment, n)).join(depth, ["contig", "pos"], "left")
     ok = ok.join(F.broadcast(curve.select("gc", "obsexp", F.col("coverage").alias("expected"))), "gc").select("contig", "pos", F.coalesce("depth", F.lit(0)).alias("depth"), "obsexp", "expected")
-    ok = ok.persist(StorageLevel.MEMORY_AND_DISK)
+    ok = materialize(ok, "callable")
 
     if bed is not None:
         fixed = windows.bed_windows(ok, bed, here, cfg.fraction_window, cfg.ploidy)
@@ -101,7 +106,8 @@ def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference:
     fixed, adaptive = (_with_maf(cfg, w, support, control_support) for w in (fixed, adaptive))
 
     split = calls.split_peaks(reads.split_breakpoints(alignments, here, cfg.quality, cfg.minsize), cfg.minsize)
-    found = calls.refine(calls.cnv_calls(ok, cfg.minsize, cfg.ploidy), split)
+    found = materialize(calls.cnv_calls(ok, cfg.minsize, cfg.ploidy), "calls")
+    found = calls.refine(found, materialize(split, "split"))
     found = calls.annotate_sites(found, support) if support is not None else found.select("*", F.lit(0).alias("nsnps"), F.lit(0.0).alias("maf"))
     levels = genotype.level_sd(windows.scale_variance(ok, here, cfg.minsize, cfg.ploidy), cfg.compat)
     records = genotype.genotype(found, levels, contigs, cfg.ploidy, control_maf, cfg.compat)
@@ -118,15 +124,11 @@ def _with_maf(cfg: CallConfig, table: DataFrame, support: DataFrame | None, cont
 
 
 def segment_matrix(cfg: SegmentConfig, matrix: DataFrame, signals: list[str]) -> DataFrame:
-    from helixframe.operators.segment import segment
-
-    return segment(matrix, signals, cfg.ploidy, cfg.kchange, cfg.dpthreshold, cfg.epsilon)
+    return segment.segment(matrix, signals, cfg.ploidy, cfg.kchange, cfg.dpthreshold, cfg.epsilon)
 
 
 def load(spark: SparkSession, cfg: CallConfig, sam: str) -> dict:
     """The inputs of call() from text files or Parquet."""
-    from helixframe.sources import text
-
     parquet = sam.rstrip("/").endswith(".parquet")
     contigs = spark.read.parquet(sam.replace(".parquet", ".contigs.parquet")) if parquet else text.read_contigs(spark, sam)
     read = lambda path: spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else text.read_sam(spark, path, contigs)

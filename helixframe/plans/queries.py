@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import stats
+from helixframe.functions.work import materialize
 from helixframe.operators import bias, calls, genotype, intervals, merge, prefix, reads, scan, segment, variants, windows
 from helixframe.plans import views as v
 
@@ -131,13 +132,13 @@ _OK = f"{_RENORM}, v_ok AS (SELECT b.contig, b.pos, b.depth, r.obsexp, r.coverag
 
 def _bins(spark, d):
     b = v.base(spark, d).filter("depth > 0").select("contig", "pos", F.col("depth").alias("n"), (F.col("uniq") == 1).alias("unique"))
-    return scan.scan_bins(b, intervals.tiles(v.contigs(spark, d), SCAN), SCAN)
+    return materialize(scan.scan_bins(b, intervals.tiles(v.contigs(spark, d), SCAN), SCAN), "bins")  # a few hundred rows that several branches read
 
 
 def _curve(spark, d):
     chosen = scan.select_windows(_bins(spark, d), RATIO).filter("selected").select("contig", "start")
     b = v.base(spark, d).filter("uniq = 1").withColumn("start", F.expr(f"pos div {SCAN} * {SCAN}"))
-    return bias.curve(b.join(chosen, ["contig", "start"]).select("gc", "depth"), 24)
+    return materialize(bias.curve(b.join(chosen, ["contig", "start"]).select("gc", "depth"), 24), "curve")  # 24 rows
 
 
 def _ok(spark, d):
