@@ -104,7 +104,7 @@ def test_decontamination(spark):
 
 
 def test_benchmark_in_blocks(spark):
-    items = [(i, " ".join(f"t{i}_{k}" for k in range(12))) for i in range(6)]
+    items = [(i, " ".join(f"t{i}x{k}" for k in range(12))) for i in range(6)]
     rows = [(i, "a b " + t + " c") for i, t in items]
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     one, _ = decontamination.find_windows(d, b)
