@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import materialize, text_key
 
 LENGTH, GRAM = 100, 32
-MAP_BITS = 1 << 27
+MAP_BITS = 1 << 29
 #: Texts are hashed together up to so many bytes.
 TOGETHER = 1 << 18
 
@@ -130,8 +130,8 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def bitmap(spark: SparkSession, keys: DataFrame, n: int):
-    """keys (h bigint, any 64 bits) -> broadcast (bits, bytes): 16 bits a key, MAP_BITS at most, gathered as blocks."""
-    bits = min(MAP_BITS, max(1 << 20, 1 << (16 * n).bit_length()))
+    """keys (h bigint, any 64 bits) -> broadcast (bits, bytes): 32 bits a key, MAP_BITS at most, gathered as blocks."""
+    bits = min(MAP_BITS, 1 << max(20, (32 * n).bit_length() - 1))
     shift, block = 64 - bits.bit_length() + 1, 1 << 20
     place = F.shiftrightunsigned("h", shift)
 
@@ -159,13 +159,27 @@ def marked(found, h: np.ndarray) -> np.ndarray:
     return (np.frombuffer(data, np.uint8)[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _half(fp: np.ndarray) -> np.ndarray:
+    """32 bits of a fingerprint, mixed anew: anchors are least hashes, so their own upper bits crowd at the low end."""
+    return mix(fp) >> np.uint64(32)
+
+
+def _again(text: np.ndarray, fp: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """True for anchors with the same context as an earlier one of their text."""
+    order = np.lexsort((np.arange(fp.size), ctx, fp, text))
+    t, f, c = text[order], fp[order], ctx[order]
+    out = np.zeros(fp.size, bool)
+    out[order[1:]] = (t[1:] == t[:-1]) & (f[1:] == f[:-1]) & (c[1:] == c[:-1])
+    return out
+
+
 def _counts(docs: DataFrame) -> DataFrame:
-    """(h int): the upper half of each anchor's fingerprint that occurs more than once."""
+    """(h): 32 bits, in the upper half, of each anchor's fingerprint that occurs more than once."""
 
     def run(batches):
         for b in batches:
             for _, texts in _runs(b, 0):
-                f = (Scan(texts).fingerprints() >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                f = _half(Scan(texts).fingerprints()).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(f)], ["h"])
 
     return docs.select("text").mapInArrow(run, "h int").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select((F.col("h").cast("bigint") * F.lit(1 << 32)).alias("h"))
@@ -179,14 +193,11 @@ def _anchors(docs: DataFrame, repeated) -> DataFrame:
             for rows, texts in _runs(b, 2):
                 s = Scan(texts)
                 fp = s.fingerprints()
-                at = np.flatnonzero(marked(repeated.value, fp & np.uint64(0xFFFFFFFF00000000)))
+                at = np.flatnonzero(marked(repeated.value, _half(fp) << np.uint64(32)))
                 if not at.size:
                     continue
                 t, fp, ctx = s.texts_of(s.anchor[at]), fp[at], s.contexts(at)
-                order = np.lexsort((at, ctx, fp, t))
-                same = (t[order][1:] == t[order][:-1]) & (fp[order][1:] == fp[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
-                again = np.zeros(at.size, bool)
-                again[order[1:]] = same
+                again = _again(t, fp, ctx)
                 pick = pa.array(rows[t])
                 low, high = s.low[at] - s.start[t], s.high[at] - s.start[t] + s.length
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(low), pa.array(high), pa.array(again)], ["doc_id", "_key", "fp", "ctx", "low", "high", "again"])
@@ -200,7 +211,7 @@ def _class_mark(fp: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _edges(docs: DataFrame, wanted) -> DataFrame:
-    """The marked classes' anchors in the marked documents with their bytes: doc_id, _key, fp, low, place (of the anchor in the bytes), bytes."""
+    """The marked classes' first anchors in the marked documents with their bytes: doc_id, _key, fp, low, place (of the anchor in the bytes), bytes."""
 
     def run(batches):
         for b in batches:
@@ -209,9 +220,9 @@ def _edges(docs: DataFrame, wanted) -> DataFrame:
                 s = Scan(texts)
                 if not s.anchor.size:
                     continue
-                fp, t = s.fingerprints(), s.texts_of(s.anchor)
-                h = _class_mark(fp, s.contexts(np.arange(fp.size)), marks[rows[t]])
-                at = np.flatnonzero(marked(wanted.value, h))
+                fp, t, ctx = s.fingerprints(), s.texts_of(s.anchor), s.contexts(np.arange(s.anchor.size))
+                at = np.flatnonzero(marked(wanted.value, _class_mark(fp, ctx, marks[rows[t]])))
+                at = at[~_again(t[at], fp[at], ctx[at])]  # what is there again goes whole
                 if not at.size:
                     continue
                 t, pick = t[at], pa.array(rows[t[at]])
@@ -240,7 +251,7 @@ def _windows(fp: np.ndarray, low: np.ndarray, place: np.ndarray, data: list[byte
 
 
 #: An anchor with more edges than this has its windows dealt out by Spark.
-HOT_EDGES, EDGES_A_TASK = 2_000, 20_000
+HOT_EDGES, EDGES_A_TASK = 20_000, 20_000
 
 
 def _ranks(doc_id: pa.Array) -> np.ndarray:
