@@ -273,7 +273,7 @@ _C = 30
 s AS (SELECT contig, r, n, sum(depth) OVER a AS lc, sum(expected) OVER a AS le, sum(depth) OVER b AS rc, sum(expected) OVER b AS re FROM rk
     WINDOW a AS (PARTITION BY contig ORDER BY r ROWS BETWEEN {_C - 1} PRECEDING AND CURRENT ROW), b AS (PARTITION BY contig ORDER BY r ROWS BETWEEN 101 FOLLOWING AND {100 + _C} FOLLOWING)),
 c AS (SELECT contig, r + 50 AS place, 2.0::DOUBLE * lc / le AS l, 2.0::DOUBLE * rc / re AS r FROM s WHERE r >= {_C} AND r < n - {_C} - 100 AND le > 1e-9 AND re > 1e-9)
-SELECT contig, place, round(l, 4) AS l, round(r, 4) AS r FROM c""")
+SELECT contig, place, round(l + 1e-7, 4) AS l, round(r + 1e-7, 4) AS r FROM c""")
 def contrast_sides(spark, d):
     ranked = prefix.rank_rows(_ok(spark, d), block=10_000)
     both = prefix.running_sum(prefix.running_sum(ranked, "depth", "cs", block=10_000), "expected", "es", block=10_000)
@@ -284,7 +284,7 @@ def contrast_sides(spark, d):
     x = x.filter((F.col("rank") >= _C) & (F.col("rank") < F.col("n") - _C - 100))
     x = x.filter((F.col("e1") - F.col("e0") > 1e-9) & (F.col("e3") - F.col("e2") > 1e-9))
     side = lambda a, b: stats.safe_div(2.0 * (F.col(f"c{b}") - F.col(f"c{a}")), F.col(f"e{b}") - F.col(f"e{a}"))
-    return x.select("contig", (F.col("rank") + 50).alias("place"), F.round(side("0", "1"), 4).alias("l"), F.round(side("2", "3"), 4).alias("r"))
+    return x.select("contig", (F.col("rank") + 50).alias("place"), F.round(side("0", "1") + 1e-7, 4).alias("l"), F.round(side("2", "3") + 1e-7, 4).alias("r"))
 
 
 @query(f"""WITH {v.DEPTH}, z AS (SELECT contig, pos // 60 AS h, CAST(sum(depth) AS BIGINT) - 3 AS score FROM v_depth GROUP BY contig, pos // 60), g AS (SELECT *, h - row_number() OVER (PARTITION BY contig ORDER BY h) AS island FROM z WHERE score > 0)
