@@ -26,27 +26,36 @@ def with_sd(calls: DataFrame, levels: DataFrame, size: str = "size") -> DataFram
     return calls.crossJoin(l).withColumn("sd", F.coalesce(F.try_element_at(fit, F.lit(1))["sd"], F.lit(MOST_SD))).drop("_levels")
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once: nested expressions over arrays would else compute it again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def likelihoods(cn: Column, sd: Column) -> Column:
-    """Struct of gl (log10 likelihoods of 0..9, best 0), pl and cn_int (the likeliest)."""
+    """Struct of gl (log10 likelihoods of copy numbers 0..9, the best 0) and pl."""
     x = cn.cast("float").cast("double")
-    states = F.sequence(F.lit(0), F.lit(STATES - 1))
-    raw = F.transform(states, lambda g: normal_density(x, g.cast("double"), sd))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
-    logs = F.transform(raw, lambda v: F.when((total > 0) & (v > 0), F.log10(v / total)).otherwise(F.lit(FLOOR)))
-    best = F.array_max(logs)
-    gl = F.transform(logs, lambda v: F.greatest(v - best, F.lit(FLOOR)))
-    return F.struct(gl.alias("gl"), F.transform(gl, lambda v: lround(v * -10)).alias("pl"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda g: normal_density(x, g.cast("double"), sd))
+
+    def logs(r: Column) -> Column:
+        whole = F.aggregate(r, F.lit(0.0), lambda a, v: a + v)
+        return bind(whole, lambda t: F.transform(r, lambda v: F.when((t > 0) & (v > 0), F.log10(v / t)).otherwise(F.lit(FLOOR))))
+
+    def scaled(l: Column) -> Column:
+        return bind(F.array_max(l), lambda best: F.transform(l, lambda v: F.greatest(v - best, F.lit(FLOOR))))
+
+    both = lambda g: F.struct(g.alias("gl"), F.transform(g, lambda v: lround(v * -10)).alias("pl"))
+    return bind(raw, lambda r: bind(logs(r), lambda l: bind(scaled(l), both)))
 
 
 def quality(pl: Column, compat: bool = True) -> Column:
     """GQ. compat has 0 where the other states' chances vanish beside 1; else the sum over the other states is taken by itself."""
     chance = F.transform(pl, lambda v: F.pow(F.lit(10.0), v.cast("double") / -10))
-    total = F.aggregate(chance, F.lit(0.0), lambda a, v: a + v)
     if compat:
-        p = F.greatest(F.log10(F.when(total > 1, 1 - 1 / total)), F.lit(FLOOR))
-        return F.when(total > 1, lround(p * -10)).otherwise(F.lit(0)).cast("int")
+        total = F.aggregate(chance, F.lit(0.0), lambda a, v: a + v)
+        p = lambda t: F.greatest(F.log10(F.when(t > 1, 1 - 1 / t)), F.lit(FLOOR))
+        return bind(total, lambda t: F.when(t > 1, lround(p(t) * -10)).otherwise(F.lit(0)).cast("int"))
     others = F.aggregate(F.slice(F.array_sort(chance), 1, STATES - 1), F.lit(0.0), lambda a, v: a + v)
-    return lround(F.greatest(F.log10(F.when(others > 0, others / (1 + others))), F.lit(FLOOR / 10)) * -10).cast("int")
+    return bind(others, lambda o: lround(F.greatest(F.log10(F.when(o > 0, o / (1 + o))), F.lit(FLOOR / 10)) * -10).cast("int"))
 
 
 def genotype(calls: DataFrame, levels: DataFrame, contigs: DataFrame, ploidy: int = 2, control_maf: float | None = None, compat: bool = True) -> DataFrame:
