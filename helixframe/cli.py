@@ -39,9 +39,10 @@ def build() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    from helixframe.functions.work import materialize
     from helixframe.operators.merge import merge_tables
     from helixframe.plans import pipeline
-    from helixframe.sources import sinks, text
+    from helixframe.sources import bcf, sinks, text
 
     args = vars(build().parse_args(argv))
     spark = spark or SparkSession.builder.appName("helixframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -59,7 +60,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             sinks.tsv(sinks.baf_file(r.baf.orderBy("contig", "pos"), cfg.sample), f"{cfg.outprefix}.baf.gz")
         if cfg.statsfile:
             sinks.stats_lines(r.library, r.bins, r.curve, r.low, r.high).write.mode("overwrite").csv(cfg.statsfile, sep="\t", quote="", compression="gzip")
-        sinks.write_vcf(r.records, inputs["contigs"], f"{cfg.outprefix}.vcf", cfg.sample)
+        records = materialize(r.records, "records")
+        sinks.write_vcf(records, inputs["contigs"], f"{cfg.outprefix}.vcf", cfg.sample)
+        bcf.write_bcf(records, inputs["contigs"], f"{cfg.outprefix}.bcf", cfg.sample)
     elif isinstance(cfg, MergeConfig):
         sinks.tsv(merge_tables([text.read_windows(spark, p) for p in args["inputs"]], cfg.by_type).withColumnRenamed("contig", "chr"), cfg.outfile, null="NaN")
     else:

@@ -11,7 +11,7 @@ from helixframe.config import CallConfig, SegmentConfig
 from helixframe.functions.stats import n95_length
 from helixframe.functions.work import materialize
 from helixframe.operators import bias, calls, content, genotype, intervals, reads, scan, segment, variants, windows
-from helixframe.sources import text
+from helixframe.sources import bam, bcf, text
 
 
 def check_contigs(contigs: DataFrame, *sequences: DataFrame) -> list[str]:
@@ -127,14 +127,21 @@ def segment_matrix(cfg: SegmentConfig, matrix: DataFrame, signals: list[str]) ->
     return segment.segment(matrix, signals, cfg.ploidy, cfg.kchange, cfg.dpthreshold, cfg.epsilon)
 
 
-def load(spark: SparkSession, cfg: CallConfig, sam: str) -> dict:
-    """The inputs of call() from text files or Parquet."""
-    parquet = sam.rstrip("/").endswith(".parquet")
-    contigs = spark.read.parquet(sam.replace(".parquet", ".contigs.parquet")) if parquet else text.read_contigs(spark, sam)
-    read = lambda path: spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else text.read_sam(spark, path, contigs)
-    out = {"alignments": read(sam), "contigs": contigs, "reference": text.read_fasta(spark, cfg.genome), "mappability": text.read_fasta(spark, cfg.mappability)}
+def load(spark: SparkSession, cfg: CallConfig, path: str) -> dict:
+    """The inputs of call() from BAM, SAM or Parquet alignments, text sequences and intervals, VCF or BCF sites."""
+    if path.rstrip("/").endswith(".parquet"):
+        contigs = spark.read.parquet(path.replace(".parquet", ".contigs.parquet"))
+    else:
+        contigs = (bam if path.endswith(".bam") else text).read_contigs(spark, path)
+
+    def read(path: str) -> DataFrame:
+        if path.rstrip("/").endswith(".parquet"):
+            return spark.read.parquet(path)
+        return bam.read_bam(spark, path) if path.endswith(".bam") else text.read_sam(spark, path, contigs)
+
+    out = {"alignments": read(path), "contigs": contigs, "reference": text.read_fasta(spark, cfg.genome), "mappability": text.read_fasta(spark, cfg.mappability)}
     if cfg.vcffile:
-        out["sites"] = text.read_vcf(spark, cfg.vcffile, cfg.sample)
+        out["sites"] = (bcf.read_bcf if cfg.vcffile.endswith(".bcf") else text.read_vcf)(spark, cfg.vcffile, cfg.sample)
     if cfg.controlfile:
         out["control"] = read(cfg.controlfile)
     if cfg.bed_intervals:

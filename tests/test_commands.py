@@ -1,8 +1,11 @@
 import glob
 import gzip
+import os
 import random
+import struct
 
 from helixframe import cli
+from helixframe.sources import bcf, bgzf
 from helixframe.streaming import depth as stream
 
 
@@ -46,6 +49,12 @@ def test_three_commands(spark, tmp_path):
     assert {r[0] for r in read_gz(t("stats"))} == {"LP", "SW", "GC", "BoundsGC"}
     vcf = [x for f in glob.glob(t("o.vcf") + "/part-*") for x in open(f)]
     assert vcf[0].startswith("##fileformat") and sum(x.startswith("##INFO") for x in vcf) == 15
+    calls = [x.split("\t") for x in vcf if x[0] != "#"]
+    header, first = bcf.read_header(t("o.bcf"))
+    with open(t("o.bcf"), "rb") as f:
+        stream = bgzf.Stream(f, first >> 16, bgzf.size_of(t("o.bcf")))
+        records = list(bgzf.read_records(stream, first & 0xFFFF, None, bcf.HEAD, bcf.length))
+    assert [struct.unpack_from("<i", r, 12)[0] + 1 for r in records] == [int(c[1]) for c in calls] and os.path.exists(t("o.bcf.csi"))
     assert cli.main(["merge", t("o.fixed.cov.gz"), t("o.adaptive.cov.gz"), "--outfile", t("m.gz")], spark) == 0
     merged = read_gz(t("m.gz"))
     assert merged[0][:3] == ["chr", "start", "end"]
