@@ -353,8 +353,9 @@ k AS (SELECT w.contig, w.start, coalesce(sum(least(ref_n, alt_n)), 0) AS minor,
 
 
 def _maf_windows(spark, d):
-    names = v.snps(spark, d).select("contig").distinct()
-    return names.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(140_000).cast("long"), F.lit(500).cast("long"))).alias("start")).withColumn("end", F.col("start") + 500)
+    # Up to the contig's last site; at least the windows that the SQL lists.
+    last = v.snps(spark, d).groupBy("contig").agg(F.greatest(F.lit(140_000).cast("long"), F.expr("max(pos) div 500 * 500")).alias("last"))
+    return last.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(500).cast("long"))).alias("start")).withColumn("end", F.col("start") + 500)
 
 
 @query(f"WITH {_MAFW} SELECT contig, start, CAST(minor AS BIGINT) AS minor, CAST(major AS BIGINT) AS major, n_snps FROM t")
