@@ -4,14 +4,15 @@ A tree builder takes the tokens of the standard library's parser and supplies
 implied tags (an opening block closes a paragraph, <li>, <td>, <tr>, <option> and
 the like close their predecessors, stray end tags are ignored, open elements
 are closed at the end). Visibility: head, script, style, template and similar
-elements, hidden attributes and inline display:none or visibility:hidden.
+elements, hidden attributes and inline display:none hide all within; inline
+visibility is inherited, so a visible child of a hidden parent shows.
 Rendering: white space collapses outside <pre>; blocks start new lines and
 paragraph-like blocks stand apart by an empty line; list items carry
 their bullet or number, indented by depth; the cells of a table are padded
-to their columns' widths, which takes a cell's lines into account.
+to their columns' widths, which takes a cell's lines and its row and column spans into account.
 
-Trees are walked with a stack of their own, so depth costs no recursion; elements
-nested deeper than ``MAX_DEPTH`` become children of the one at that depth. A null
+Trees are walked with a stack of their own, so depth costs no recursion; only the
+white space of an indent ends at ``MAX_INDENT`` steps. A null
 or empty page gives an empty text; broken markup is read as text, never an error.
 """
 
@@ -19,14 +20,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_DEPTH = 512
+MAX_INDENT = 512
+#: As HTML has them.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link svg math iframe object audio video canvas datalist select".split())
+HIDDEN = frozenset("head script style template title meta link iframe audio video canvas datalist desc metadata annotation annotation-xml".split())
 #: Blocks; the value is the number of line breaks around them.
 BLOCKS = dict.fromkeys("address article aside body center dd details dialog dir div dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option search section summary tbody tfoot thead tr ul caption".split(), 1)
 BLOCKS |= dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre dl table hr".split(), 2)
@@ -40,7 +44,7 @@ SIBLINGS = {
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 SPACE = re.compile(r"[ \t\n\r\f]+")
-OFF = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
 
 class Node:
@@ -56,22 +60,25 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
-        self.open = [self.root]
+        self.open, self.at = [self.root], defaultdict(list)  # at: where elements of a name are open
+
+    def _cut(self, i: int) -> None:
+        for n in reversed(self.open[i:]):
+            self.at[n.tag].pop()
+        del self.open[i:]
 
     def _close_to(self, names, stops) -> None:
         """Close the innermost open element of these names and all in it, unless a stop comes first."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in names:
-                del self.open[i:]
-                return
-            if self.open[i].tag in stops:
-                return
+        last = lambda tags: max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+        i = last(names)
+        if i and i >= last(stops):
+            self._cut(i)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body") and self.at[tag]:
             return
         if self.open[-1].tag == "head" and tag not in HIDDEN and tag not in VOID:
-            self.open.pop()  # anything visible ends the head
+            self._cut(len(self.open) - 1)  # anything visible ends the head
         if tag in CLOSES_P:
             self._close_to({"p"}, {"td", "th", "table", "button", "caption", "object", "template"})
         if tag in SIBLINGS:
@@ -79,31 +86,41 @@ class Tree(HTMLParser):
         if tag in ("tr", "tbody", "thead", "tfoot"):
             self._close_to({"tr"}, {"table"})
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, dict(attrs))
         self.open[-1].kids.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        if tag not in VOID:
+            self.at[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        foreign = self.at["svg"] or self.at["math"] or tag in ("svg", "math")
         self.handle_starttag(tag, attrs)
+        if foreign and self.open[-1].tag == tag and tag not in VOID:
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
             self.open[-1].kids.append(Node("br"))
-        elif tag == "p" and not any(n.tag == "p" for n in self.open):
+        elif tag == "p" and not self.at["p"]:
             self.open[-1].kids.append(Node("p"))
         elif tag not in VOID:
             stops = () if tag in ("table", "body", "html") else {"table"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else {"td", "th", "table"}
             self._close_to({tag}, stops)
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip(" \t\n\r\f"):
+            self._cut(len(self.open) - 1)
         self.open[-1].kids.append(data)
 
 
-def hidden(node: Node) -> bool:
+def styles(node: Node) -> dict:
+    return {k.lower(): x.lower() for k, x in STYLE.findall(node.attrs.get("style") or "")}
+
+
+def hidden(node: Node, style: dict) -> bool:
     a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or bool(a.get("style") and OFF.search(a["style"]))
+    return node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or style.get("display") == "none"
 
 
 def width(text: str) -> int:
@@ -138,8 +155,9 @@ class Flow:
         if not self.line:
             if self.lines and self.breaks > 1 and self.lines[-1]:
                 self.lines.append("")
-            pad = "  " * max(self.indent - 1, 0)
-            self.line.append(pad + self.mark if self.mark else "  " * self.indent)
+            indent = min(self.indent, MAX_INDENT)
+            pad = "  " * max(indent - 1, 0)
+            self.line.append(pad + self.mark if self.mark else "  " * indent)
             self.mark, self.breaks, self.space = "", 0, False
         if self.space:
             self.line.append(" ")
@@ -196,39 +214,65 @@ def align(grid: list[list[list[str]]]) -> list[str]:
     return out
 
 
+class Grid:
+    """Rows of a table's cells; covered places of a span stay empty."""
+
+    def __init__(self):
+        self.rows, self.held, self.covered = [], {}, set()
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.covered = set(self.held)
+        self.held = {c: n - 1 for c, n in self.held.items() if n > 1}
+
+    def cell(self, lines: list[str], attrs: dict) -> None:
+        row = self.rows[-1]
+        while len(row) in self.covered:
+            row.append([])
+        across = min(max(_number(attrs.get("colspan"), 1), 1), MAX_COLSPAN)
+        down = min(max(_number(attrs.get("rowspan"), 1), 0), MAX_ROWSPAN) or MAX_ROWSPAN
+        if down > 1:
+            self.held |= dict.fromkeys(range(len(row), len(row) + across), down - 1)
+        row += [lines, *([[]] * (across - 1))]
+
+
 def render(root: Node) -> str:
     """Walks the tree with a stack of (action, node); tables and cells collect into flows of their own."""
-    flow, flows, lists, grids, pre = Flow(), [], [], [], 0
+    flow, flows, lists, grids, pre, seen = Flow(), [], [], [], 0, [True]
     stack = [("in", root)]
     while stack:
         what, node = stack.pop()
         if what == "text":
-            flow.text(node, pre > 0)
+            if seen[-1]:
+                flow.text(node, pre > 0)
             continue
         tag = node.tag
         if what == "in":
-            if hidden(node):
+            style = styles(node)
+            if hidden(node, style):
                 continue
+            shown = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility"), seen[-1])
             if tag == "br":
-                flow.newline()
+                if shown:
+                    flow.newline()
                 continue
             if tag == "hr":
                 flow.block(2)
                 continue
             if tag == "img":
-                if node.attrs.get("alt"):
+                if shown and node.attrs.get("alt"):
                     flow.text(node.attrs["alt"], False)
                 continue
             if tag == "table":
                 flow.block(2)
                 flows.append(flow)
-                grids.append([])
+                grids.append(Grid())
                 flow = Flow()
             elif tag == "tr" and grids:
-                grids[-1].append([])
+                grids[-1].row()
             elif tag in ("td", "th") and grids:
-                if not grids[-1]:
-                    grids[-1].append([])
+                if not grids[-1].rows:
+                    grids[-1].row()
                 flows.append(flow)
                 flow = Flow()
             elif tag in ("ul", "ol", "menu", "dir"):
@@ -246,27 +290,30 @@ def render(root: Node) -> str:
                         flow.mark = "- "
                 else:
                     flow.mark = "- "
+                if not shown:
+                    flow.mark = ""
             elif tag in ("dd", "blockquote"):
                 flow.block(BLOCKS[tag])
                 flow.indent += 1
             elif tag in BLOCKS:
                 flow.block(BLOCKS[tag])
             pre += tag in ("pre", "textarea", "listing")
+            seen.append(shown)
             stack.append(("out", node))
             stack.extend(("text", k) if isinstance(k, str) else ("in", k) for k in reversed(node.kids))
         else:
+            seen.pop()
             pre -= tag in ("pre", "textarea", "listing")
             if tag == "table":
                 # What stands in a table outside its cells (captions, stray text) comes first.
-                loose, grid = flow.done(), grids.pop()
+                loose, grid = flow.done(), grids.pop().rows
                 flow = flows.pop()
                 flow.rows([*loose, *align([r for r in grid if any(c for c in r)])])
                 flow.block(2)
             elif tag in ("td", "th") and grids:
                 lines = flow.done()
                 flow = flows.pop()
-                span = min(max(_number(node.attrs.get("colspan"), 1), 1), 100)
-                grids[-1][-1] += [lines, *([[]] * (span - 1))]
+                grids[-1].cell(lines, node.attrs)
             elif tag in ("ul", "ol", "menu", "dir"):
                 flow.indent -= 1
                 lists.pop()
