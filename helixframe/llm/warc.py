@@ -4,7 +4,8 @@ Writing: a record a page through Spark's text writer, whose line separator is th
 record's end, so that files are committed and retried like any other output.
 Of pages with equal payloads the smallest page_id is the response that
 holds the payload; the others are revisit records with an empty block, their
-payload's digest and the page they refer to.
+payload's digest and the page they refer to. Who comes first is found on (page_id,
+SHA-1) alone.
 
 Reading: the text reader splits files at the version line, so each piece starts
 at a candidate record. Tasks take from each piece its length and, from its
@@ -40,17 +41,24 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Pieces of records that span several are found again by broadcast up to so many, beyond by shuffle.
 BROADCAST_PIECES = 100_000
+#: Digests that several pages share are broadcast up to so many (about 50 bytes each), beyond joined by shuffle.
+BROADCAST_DIGESTS = 200_000
+#: Rows of one digest are dealt out over so many tasks.
+SALTS = 16
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Five hex digits are four base-32 digits."""
-    digest, alphabet = F.sha1(payload), F.lit(BASE32)
-    parts = []
-    for i in range(8):
-        v = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(alphabet, F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*parts)
+def base32(hexed: Column) -> Column:
+    """40 hex digits in base 32: ten of them are eight, whose digits 0-9A-V stand for the alphabet's."""
+    parts = [F.lpad(F.conv(F.substring(hexed, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
+
+
+def join_salted(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join of rows with a table of one row a key; the rows of a hot key are dealt out by another column."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def _field(name: str, value: Column) -> Column:
@@ -61,10 +69,16 @@ def _field(name: str, value: Column) -> Column:
 
 def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
     """pages: page_id, url, html."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    p = p.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    first = p.groupBy("digest").agg(F.min("page_id").alias("first"))
-    p = p.join(first, "digest")
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("hex", F.sha1(F.col("payload").cast("binary")))
+    keys = materialize(p.select("page_id", "hex"), "warc-keys")
+    repeated = keys.groupBy("hex").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    repeated = materialize(repeated, "warc-repeated")
+    if repeated.count() <= BROADCAST_DIGESTS:
+        p = p.join(F.broadcast(repeated), "hex", "left")
+    else:
+        marks = join_salted(keys.distinct(), repeated, "hex", "page_id").withColumnsRenamed({"page_id": "_id", "hex": "_hex"})
+        p = p.join(marks, p["page_id"].eqNullSafe(marks["_id"]) & (p["hex"] == marks["_hex"]), "left").drop("_id", "_hex")
+    p = p.withColumn("first", F.coalesce("first", "page_id")).withColumn("digest", base32(F.col("hex")))
     again = ~F.col("page_id").eqNullSafe(F.col("first"))
     mark = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url", "digest"))
     uuid = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(mark, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
@@ -145,7 +159,7 @@ def _records(pieces: DataFrame, keep_payload: bool) -> DataFrame:
         "file", "record", _header(head, "WARC-Type").alias("record_type"), _header(head, "X-Page-ID").alias("page_id"), _header(head, "WARC-Target-URI").alias("url"), _header(head, "X-Refers-To-Page-ID").alias("refers_to"),
         F.regexp_replace(_header(head, "WARC-Payload-Digest"), "^sha1:", "").alias("said_digest"), F.col("_n").alias("payload_bytes"), payload.alias("payload"),
     )
-    parsed = parsed.withColumn("payload_digest", base32_sha1(F.col("payload")))
+    parsed = parsed.withColumn("payload_digest", base32(F.sha1("payload")))
     return parsed if keep_payload else parsed.drop("payload")
 
 
@@ -179,6 +193,6 @@ def archive_report(pages: DataFrame, path: str | None = None) -> DataFrame:
     r = read_warc(spark, path, keep_payload=False)
     r = materialize(r.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "said_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")), "warc-records")
     held = r.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("_bytes")).withColumnRenamed("payload_digest", "_digest")
-    again = r.filter("record_type = 'revisit'").join(held, F.col("said_digest") == F.col("_digest"), "left")
+    again = join_salted(r.filter("record_type = 'revisit'").withColumn("_digest", F.col("said_digest")), held, "_digest", "page_id", "left")
     again = again.select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to")
     return r.filter("record_type = 'response'").select(*again.columns).unionByName(again)

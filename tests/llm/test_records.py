@@ -40,7 +40,9 @@ def test_warc_round_trip(spark, tmp_path, compression):
     assert {i: int(r.refers_to) for i, r in got.items() if r.record_type == "revisit"} == {3: 2, 6: 4, 9: 4}
 
 
-def test_warc_report(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_warc_report(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
     rows = [(5, "u", "x"), (3, "u", "x"), (None, "u", "x"), (4, None, None), (6, "u", "y"), (6, "u", "y")]
     got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_report(spark.createDataFrame(rows, PAGES)).collect())
     x, y = b32(b"x"), b32(b"y")
