@@ -29,8 +29,8 @@ from helixframe.llm.labelled import remainder, training_rows
 
 MAX_ROWS = 20_000
 FEATURES, GAMMA, RIDGE, SEED = 384, 0.06, 1e-3, 7
-#: Partitions that sum the normal equations; each sends FEATURES**2 / 2 numbers.
-PARTS = 8
+#: Tasks that sum the normal equations, and slices in which their sums are added.
+PARTS, SLICES = 8, 16
 LIMIT = 0.7
 
 _KIND = np.full(256, 4, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 blank, 4 other ASCII, 5 beyond ASCII, 6 line end, 7 sentence end
@@ -84,11 +84,11 @@ class Model:
 
 
 def fourier(z: np.ndarray) -> np.ndarray:
-    """Cosines of random projections, the standardised statistics themselves, and 1."""
+    """Cosines of random projections, and 1."""
     rng = np.random.default_rng(SEED)
     w, phase = rng.normal(0, np.sqrt(2 * GAMMA), (len(NAMES), FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
     z = np.clip(z, -8, 8)
-    return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z @ w + phase), z / 10, np.ones((len(z), 1))])
+    return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z @ w + phase), np.ones((len(z), 1))])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,24 +126,31 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         return Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), np.array([0.5 if not n else share]))
     mean, scale = np.array(moments[::2]), np.maximum(np.array(moments[1::2]), 1e-6)
     for_levels = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(4)) == 0
-    size = FEATURES + len(NAMES) + 1
+    size = FEATURES + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = np.zeros((size, size)), np.zeros(size)
+    upper = np.triu_indices(size + 1)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a = np.zeros((size + 1, size + 1))
         for pdf in batches:
-            if len(pdf):
-                f = fourier((np.stack(pdf["x"].to_list()) - mean) / scale)
+            for lo in range(0, len(pdf), 2048):
+                rows = pdf.iloc[lo : lo + 2048]
+                f = np.c_[fourier((np.stack(rows["x"].to_list()) - mean) / scale), rows["label"].to_numpy(np.float64)]
                 a += f.T @ f
-                b += f.T @ pdf["label"].to_numpy(np.float64)
-        yield pd.DataFrame({"a": [a[np.triu_indices(size)].tobytes()], "b": [b.tobytes()]})
-
-    parts = x.filter(~for_levels).repartition(PARTS, "doc_id").mapInPandas(run, "a binary, b binary").collect()  # PARTS rows of about 0.7 MB
-    upper = np.sum([np.frombuffer(p["a"]) for p in parts], axis=0)
-    a = np.zeros((size, size))
-    a[np.triu_indices(size)] = upper
-    a = a + np.triu(a, 1).T
+        cuts = np.array_split(a[upper], SLICES)
+        yield pd.DataFrame({"slice": range(SLICES), "v": [c.tobytes() for c in cuts]})
+
+    def added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [key[0]], "v": [np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()]})
+
+    # One triangle a partition; executors add them slice by slice, so SLICES rows come back, of one triangle in all.
+    parts = x.filter(~for_levels).coalesce(PARTS).mapInPandas(part, "slice int, v binary")
+    sums = parts.groupBy("slice").applyInPandas(added, "slice int, v binary").orderBy("slice").collect()
+    a = np.zeros((size + 1, size + 1))
+    a[upper] = np.concatenate([np.frombuffer(r["v"]) for r in sums])
+    a, b = a[:size, :size] + np.triu(a[:size, :size], 1).T, a[:size, size]
     rows = max(a[-1, -1], 1.0)
-    weights = np.linalg.solve(a + RIDGE * rows / size * np.eye(size), np.sum([np.frombuffer(p["b"]) for p in parts], axis=0))
+    weights = np.linalg.solve(a + RIDGE * rows / size * np.eye(size), b)
     model = Model(mean, scale, weights, np.zeros(0), np.zeros(0))
     kept = x.filter(for_levels).orderBy("doc_id").select("label", "x").toPandas()  # a quarter of the bounded sample
     if not len(kept):
