@@ -1,16 +1,17 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features: the n-grams of UTF-8 bytes, ASCII letters in lower case and runs of
-anything but letters and digits as one space, hashed into 2**20 buckets; a document has a bucket or
+Features: the n-grams of characters, ASCII letters in lower case and runs of ASCII
+characters other than letters and digits as one space, hashed into 2**20 buckets; a document has a bucket or
 not. For each bucket the log ratio of its smoothed rate in toxic and in clean
 documents scales the feature; buckets whose ratio the sample doesn't support
 (chi-square) are left out, as are the weaker ones beyond a set number. Logistic regression with an L2 penalty weighs what
-remains. Each n-gram length has its own share of the buckets.
+remains; a toxic row counts ``POSITIVE`` times, as clean ones are many more. Each n-gram length has its own share of the buckets.
 
 Fitting takes at most about ``MAX_ROWS`` labelled documents (a documented
 bound; whole texts) in one task. Scoring is a pass over whole texts.
 
-Nulls: a null or empty text scores the intercept. Without labelled rows of both
+Nulls: a null or empty text scores the intercept, equal texts alike; rows that repeat
+an id are scored by their own texts. Without labelled rows of both
 kinds every score is the share of toxic ones, or 0.
 """
 
@@ -33,18 +34,23 @@ SIZES = (4, 5, 6, 7)
 BITS = 20
 #: Buckets kept: those that reach CHI_SQUARE, and of them the strongest MOST_KEPT.
 CHI_SQUARE, MOST_KEPT = 12.0, 4000
+#: Weight of a toxic row in the fit, against 1 of a clean one.
+POSITIVE = 4.0
 LIMIT = 0.7
 
-_map = np.full(256, 32, np.uint8)
-for _lo, _hi in ((48, 57), (97, 122), (128, 255)):
-    _map[_lo : _hi + 1] = np.arange(_lo, _hi + 1)
-_map[65:91] = np.arange(97, 123)
-_MAP = _map.tobytes()
 
+def characters(text: str) -> np.ndarray:
+    """Code points with the blank runs as one, one before and one behind; none for a text of blanks."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    c = np.where((c >= 65) & (c <= 90), c + 32, c)
+    blank = ~(((c >= 48) & (c <= 57)) | ((c >= 97) & (c <= 122)) | (c >= 128))
+    c = np.r_[32, np.where(blank, 32, c), 32].astype(np.uint32)
+    return c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
 
-def gram_buckets(text: bytes, sizes=SIZES, bits=BITS) -> np.ndarray:
+
+def gram_buckets(text: str, sizes=SIZES, bits=BITS) -> np.ndarray:
     """The bucket of every n-gram of the text, repeats included."""
-    b = np.frombuffer(b" " + b" ".join(text.translate(_MAP).split()) + b" ", np.uint8).astype(np.uint32)
+    b = characters(text)
     out, h = [], b.copy()
     for n in range(2, max(sizes) + 1):
         if b.size < n:
@@ -57,7 +63,7 @@ def gram_buckets(text: bytes, sizes=SIZES, bits=BITS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def held(text: bytes, wanted: np.ndarray) -> np.ndarray:
+def held(text: str, wanted: np.ndarray) -> np.ndarray:
     """The distinct buckets of the text among those that wanted marks."""
     h = gram_buckets(text)
     return np.unique(h[wanted[h]])
@@ -75,7 +81,7 @@ class Model:
         return w
 
 
-def fit(texts: list[bytes], labels: np.ndarray, steps: int = 100, penalty: float = 2e-3) -> Model:
+def fit(texts: list[str], labels: np.ndarray, steps: int = 150, penalty: float = 2e-3, positive: float = POSITIVE) -> Model:
     n, good = labels.size, int(labels.sum())
     if good in (0, n):
         share = min(max(good / n if n else 0.0, 1e-6), 1 - 1e-6)
@@ -99,7 +105,9 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 100, penalty: float
         col.append(f)
     row, col = np.concatenate(row), np.concatenate(col)
     x = ratio[col]
-    w, bias = np.zeros(kept.size), float(np.log(good / (n - good)))
+    share = np.where(labels > 0, positive, 1.0)
+    share /= share.mean()
+    w, bias = np.zeros(kept.size), float(np.log(positive * good / (n - good)))
     # Accelerated gradient steps; the curvature bound comes from a few power iterations.
     v = np.ones(max(kept.size, 1))[: kept.size]
     top = 1.0
@@ -107,13 +115,13 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 100, penalty: float
         u = np.bincount(col, x * np.bincount(row, x * v[col], n)[row], kept.size) if kept.size else v
         top = max(float(np.linalg.norm(u)), 1e-9)
         v = u / top
-    rate = 1 / (0.25 * (top + n) / n + penalty)
+    rate = 1 / (0.25 * share.max() * (top + n) / n + penalty)
     w_old, b_old = w, bias
     for k in range(steps):
         m = k / (k + 3)
         wy, by = w + m * (w - w_old), bias + m * (bias - b_old)
         z = np.bincount(row, x * wy[col], n) + by
-        g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
+        g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
         w_old, b_old = w, bias
         w = wy - rate * (np.bincount(col, x * g[row], kept.size) / n + penalty * wy)
         bias = by - rate * g.mean()
@@ -128,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         if not got:
             return
         all_rows = pd.concat(got).sort_values("doc_id")
-        m = fit([t.encode() for t in all_rows["text"]], all_rows["label"].to_numpy(np.float64))
+        m = fit(all_rows["text"].tolist(), all_rows["label"].to_numpy(np.float64))
         yield pd.DataFrame({"bias": [m.bias], "buckets": [m.buckets.astype(np.int32).tobytes()], "weights": [m.weights.tobytes()]})
 
     found = rows.repartition(1).mapInPandas(run, "bias double, buckets binary, weights binary").collect()
@@ -149,7 +157,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                z = np.array([model.bias + float(weights[held((t.as_py() or "").encode(), wanted)].sum()) for t in part.column(at)], np.float64)
+                z = np.array([model.bias + float(weights[held(t.as_py() or "", wanted)].sum()) for t in part.column(at)], np.float64)
                 s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, name])
 
@@ -163,6 +171,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """docs without those that score LIMIT or more."""
-    out = score(docs, train(docs.select("doc_id", "text"), labels, max_rows), "_toxic_score")
-    return out.filter(F.col("_toxic_score") < LIMIT).drop("_toxic_score")
+    """docs without those that score LIMIT or more; all other columns stay, whatever their names."""
+    name = "_toxic_score"
+    while name in docs.columns:
+        name += "_"
+    out = score(docs, train(docs.select("doc_id", "text"), labels, max_rows), name)
+    return out.filter(F.col(name) < LIMIT).drop(name)
