@@ -2,15 +2,14 @@
 
 Every benchmark item is cut into windows of ``window`` words (an item of fewer
 is one window). A document contains a window only if it contains all shingles
-of it, so one of them, the rarest over all documents, is a sufficient prefix.
-One pass over the documents finds the positions of the benchmark's shingles
-and writes them with the words around them, which gives each shingle's
-count; a window whose rarest shingle occurs nowhere is dropped. The positions
-of the prefix shingles are then joined with their windows, kept where the
-window's offset and length fit into the document, and compared word by word.
+of it, so one of them is a sufficient prefix. A first pass over the documents
+counts the benchmark's shingles, which orders them by rarity; each window's rarest
+one becomes its prefix, and a window whose prefix occurs nowhere is dropped. A
+second pass joins the documents' positions with the prefixes alone, drops those
+where the window would begin before the document or end behind it, and compares
+the rest word by word. The documents' words are written once for both passes.
 
-The benchmark's shingles are broadcast in blocks of at most ``BLOCK_ROWS``
-rows: a larger benchmark takes more passes, never a larger broadcast.
+Shingles are broadcast up to ``BROADCAST_ROWS``; beyond, both passes join them by shuffle.
 
 Nulls: a null or empty text has no words and no hits. Rows that repeat an id
 are told apart by their text; identical rows get identical results. Benchmark
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import ascii_lower, materialize, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_ROWS = 200_000
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -41,49 +40,59 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return cut.withColumn("wtext", F.array_join("win", " ")).dropDuplicates(["item_id", "wtext"])
 
 
-def _matches(docs: DataFrame, shingles: DataFrame, k: int, window: int) -> DataFrame:
-    """(doc_id, _key, pos, h, from, near): positions whose k-word shingle is among shingles (h), with the words around them."""
-    at = docs.select("doc_id", text_key(F.col("text")).alias("_key"), words(F.col("text")).alias("words"))
-    at = at.select("doc_id", "_key", "words", F.posexplode("words").alias("pos", "_word"))
-    at = at.select("doc_id", "_key", "words", "pos", F.xxhash64(F.slice("words", F.col("pos") + 1, F.lit(k))).alias("h"))
-    found = at.join(F.broadcast(shingles), "h")
-    start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    return found.select("doc_id", "_key", "pos", "h", start.alias("from"), F.slice("words", start + 1, F.lit(2 * window - 1)).alias("near"))
+def doc_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, _key, n_words, words), written once."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("_key"), words(F.col("text")).alias("words"))
+    return materialize(rows.select("doc_id", "_key", F.size("words").cast("long").alias("n_words"), "words"), "bench-words")
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(hits: doc_id, _key, start, wlen, wtext; windows: item_id, wtext). docs: doc_id, text."""
+def _shingle(words: str, start: Column, k: int) -> Column:
+    return F.xxhash64(F.lit(k), F.slice(words, start, F.lit(k)))
+
+
+def _positions(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """texts' rows at every position pos with the hash h of the shingle that starts there, for each size."""
+    at = texts.select("doc_id", "_key", "n_words", "words", F.posexplode("words").alias("pos", "_word"))
+    hashes = [_shingle("words", F.col("pos") + 1, k) for k in sizes]
+    return at.select("doc_id", "_key", "n_words", "words", "pos", (hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))).alias("h"))
+
+
+def find_windows(texts: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(hits: doc_id, _key, start, wlen, wtext; windows: item_id, wtext). texts: doc_words()."""
     windows = materialize(item_windows(benchmark, window), "bench-windows")
     one = windows.dropDuplicates(["wtext"]).select("win", "wlen", "wtext", F.least(F.lit(shingle), F.col("wlen")).alias("k"))
     cut = one.select("*", F.explode(F.sequence(F.lit(0), F.col("wlen") - F.col("k"))).alias("offset"))
-    cut = materialize(cut.withColumn("h", F.xxhash64(F.slice("win", F.col("offset") + 1, F.col("k")))), "bench-shingles")
-    by_k = {r["k"]: r["n"] for r in cut.groupBy("k").agg(F.count_distinct("h").alias("n")).collect()}  # at most `shingle` rows
-    matches = None
-    for k, n in sorted(by_k.items()):
-        distinct = cut.filter(F.col("k") == k).select("h").distinct()
-        n_blocks = -(-n // block_rows)
-        for b in range(n_blocks):
-            block = distinct if n_blocks == 1 else distinct.filter(F.pmod(F.xxhash64("h"), F.lit(n_blocks)) == b)
-            found = _matches(docs, block, k, window).withColumn("k", F.lit(k))
-            matches = found if matches is None else matches.unionAll(found)
-    if matches is None:
-        none = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.lit(0).alias("start"), F.lit(0).alias("wlen"), F.lit("").alias("wtext")).filter(F.lit(False))
+    hashed = F.element_at(F.array(*[_shingle("win", F.col("offset") + 1, k) for k in range(1, shingle + 1)]), F.col("k"))
+    cut = materialize(cut.withColumn("h", hashed), "bench-shingles")
+    sizes = sorted(r["k"] for r in cut.select("k").distinct().collect())  # at most `shingle` rows
+    distinct = cut.select("h").distinct()
+    if not sizes:
+        none = texts.select("doc_id", "_key", F.lit(0).alias("start"), F.lit(0).alias("wlen"), F.lit("").alias("wtext")).filter(F.lit(False))
         return none, windows.select("item_id", "wtext")
-    matches = materialize(matches, "bench-matches")
-    rare = matches.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n_found"))
-    first = cut.join(rare, ["k", "h"], "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
-    first = first.groupBy("wtext").agg(F.min_by(F.struct("win", "wlen", "offset", "k", "h", "n_found"), F.struct("n_found", "offset")).alias("p")).select("wtext", "p.*").filter("n_found > 0")
+    small = distinct.count() <= most
+    every = _positions(texts, sizes).select("h")
+    counts = (every.join(F.broadcast(distinct), "h").groupBy("h") if small else every.groupBy("h")).agg(F.count(F.lit(1)).alias("n_found"))
+    first = cut.join(counts if small else counts.join(distinct, "h"), "h", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    first = first.groupBy("wtext").agg(F.min_by(F.struct("win", "wlen", "offset", "h", "n_found"), F.struct("n_found", "offset")).alias("p")).select("wtext", "p.*").filter("n_found > 0").drop("n_found")
+    first = materialize(first, "bench-prefixes")
+    prefixes = first.select("h").distinct()
+    begin = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    near = [begin.alias("from"), F.slice("words", begin + 1, F.lit(2 * window - 1)).alias("near")]
+    if prefixes.count() <= most:
+        found = _positions(texts, sizes).join(F.broadcast(prefixes), "h").select("doc_id", "_key", "n_words", "pos", "h", *near)
+    else:
+        at = _positions(texts, sizes).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "pos", "h").join(prefixes, "h").distinct()
+        found = texts.join(at, texts["doc_id"].eqNullSafe(at["_id"]) & (texts["_key"] == at["_k"])).select("doc_id", "_key", "n_words", "pos", "h", *near)
     start = F.col("pos") - F.col("offset")
-    # A window that would begin before the document or end behind it has no equal slice.
-    same = (start >= F.col("from")) & (F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("wlen")) == F.col("win"))
-    hits = matches.join(first, ["k", "h"]).filter(same).select("doc_id", "_key", start.alias("start"), "wlen", "wtext")
+    pairs = found.join(first, "h").filter((start >= 0) & (start + F.col("wlen") <= F.col("n_words")))
+    hits = pairs.filter(F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("wlen")) == F.col("win")).select("doc_id", "_key", start.alias("start"), "wlen", "wtext")
     return hits, windows.select("item_id", "wtext")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the list of items."""
-    d = docs.select("doc_id", "text")
-    hits, windows = find_windows(d, benchmark.select("item_id", "text"), window, shingle)
+    texts = doc_words(docs)
+    hits, windows = find_windows(texts, benchmark.select("item_id", "text"), window, shingle)
     hits = materialize(hits.dropDuplicates(), "bench-hits")
     key = ["doc_id", "_key"]
     spans = hits.groupBy(*key, "start").agg(F.max("wlen").alias("wlen"))
@@ -94,8 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     items = hits.join(windows, "wtext").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
     per = n_hit.join(items, [n_hit["doc_id"].eqNullSafe(items["doc_id"]), n_hit["_key"] == items["_key"]], "left").select(n_hit["doc_id"].alias("_id"), n_hit["_key"].alias("_k"), "n_hit", "items")
-    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long")
-    base = d.select("doc_id", text_key(F.col("text")).alias("_key"), n_words.alias("n_words"))
+    base = texts.select("doc_id", "_key", "n_words")
     out = base.join(per, base["doc_id"].eqNullSafe(per["_id"]) & (base["_key"] == per["_k"]), "left")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
@@ -104,6 +112,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """docs without those that hold a benchmark window."""
-    hits, _ = find_windows(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window, shingle)
+    hits, _ = find_windows(doc_words(docs), benchmark.select("item_id", "text"), window, shingle)
     hit = hits.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (text_key(docs["text"]) == hit["_k"]), "left_anti")
