@@ -56,3 +56,24 @@ def test_stage_on_a_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = sorted(x.doc_id for x in near_copies.drop_near_copies(docs).collect())
     assert got == brute([tuple(x) for x in docs.collect()])
+
+
+def test_texts_that_share_a_part(spark):
+    """300 texts with a common part below the similarity, and a cluster of 40 near copies within them: no pair for each two of them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    part = [word() for _ in range(90)]
+    rows = [" ".join([*part, *(word() for _ in range(30))]) for _ in range(300)]
+    base = [*part, *(word() for _ in range(30))]
+    for _ in range(40):
+        copy = list(base)
+        copy[r.randrange(95, 120)] = word()
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in near_copies.drop_near_copies(docs).collect()) == brute(rows)
+    found = near_copies.classes(docs)
+    sets = near_copies.sets_of(docs, found.select("_key", "node"))
+    open_ = found.selectExpr("node", "n", "node as root")
+    pairs = near_copies.prefix_pairs(open_, sets, 0.8)
+    assert 40 * 39 // 2 <= pairs.count() < 2000  # of 57,630 pairs
