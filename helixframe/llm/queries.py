@@ -28,7 +28,7 @@ def op5_warc(spark, sf_dir):
 
 
 def op6_sharding(spark, sf_dir):
-    return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return sharding.sharding_report(table(spark, sf_dir, "documents"))
 
 
 def op7_media(spark, sf_dir):

@@ -5,7 +5,8 @@ rendezvous (the shard with the largest hash of id and shard number, so that one
 more shard only takes rows into itself), and a hash of the whole record picks
 one of the shard's buckets, as many as keep a bucket at ``bucket_bytes``. Pass
 two gathers each bucket, Fisher-Yates shuffles it (Spark's seeded ``shuffle``)
-and numbers its rows behind those of the shard's earlier buckets.
+and numbers its rows behind those of the shard's earlier buckets; ``write_shards``
+writes them in shard=N folders.
 
 Nulls: a null text counts one byte, with CRC 0; rows with a null id share a
 shard. Rows that repeat an id share its shard; each has a slot of its own.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, text_key
+from helixframe.llm.common import materialize, text_key, work_path
 
 BUCKET_BYTES = 16_000_000
 #: Columns that sharding adds; columns of the input with these names give way to them.
@@ -35,14 +36,22 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def record_bytes(docs: DataFrame, carry: list[str]) -> Column:
+    """About the bytes of a row: its carried texts, and 64 for the rest."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in carry if docs.schema[c].dataType.typeName() in ("string", "binary")]
+    nested = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in carry if docs.schema[c].dataType.typeName() in ("array", "map", "struct")]
+    return sum([x.cast("long") for x in texts + nested], F.lit(64).cast("long"))
+
+
 def shard_rows(docs: DataFrame, carry: list[str], n_shards: int = 16, bucket_bytes: int = BUCKET_BYTES, seed: int = 29) -> DataFrame:
     """The columns named in carry, with size, text_crc32, law, shard, slot and grown_shard."""
     carry = [c for c in carry if c.lower() not in ADDED]
     size, crc = record_size(F.col("text")), F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    carried = int(total) if "text" in carry else 64 * docs.count()
-    per_shard = max(1, -(-carried // (bucket_bytes * n_shards)))
-    mark = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text_key(F.col("text")))
+    total = docs.agg(F.sum(record_bytes(docs, carry))).first()[0] or 0
+    per_shard = max(1, -(-int(total) // (bucket_bytes * n_shards)))
+    # Rows of one mark are equal in all that is carried, so their order among themselves doesn't matter.
+    plain = [F.col(f"`{c}`") for c in carry if not docs.schema[c].dataType.typeName() in ("map", "variant")]
+    mark = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text_key(F.col("text")), *plain)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), size.alias("size"), crc.alias("crc"), mark.alias("mark"),
         rendezvous(F.col("doc_id"), n_shards, seed).alias("shard"), rendezvous(F.col("doc_id"), n_shards + 1, seed).alias("grown"),
@@ -62,3 +71,15 @@ def shard_rows(docs: DataFrame, carry: list[str], n_shards: int = 16, bucket_byt
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, bucket_bytes: int = BUCKET_BYTES, seed: int = 29) -> None:
     """Write all of docs in shard=N folders, in shuffled order."""
     shard_rows(docs, docs.columns, n_shards, bucket_bytes, seed).write.partitionBy("shard").parquet(path)
+
+
+def sharding_report(docs: DataFrame, path: str | None = None, **kw) -> DataFrame:
+    """Write the shards and describe each record as it is read back from them."""
+    spark = docs.sparkSession
+    path = path or work_path(spark, "shards")
+    write_shards(docs, path, **kw)
+    names = [c for c in docs.columns if c.lower() not in ADDED]
+    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("law", "string").add("slot", "long").add("grown_shard", "integer").add("shard", "integer")
+    back = spark.read.schema(schema).parquet(path)
+    size, crc = record_size(F.col("text")), F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    return back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")

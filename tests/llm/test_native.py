@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontamination, mixing, sharding
@@ -103,12 +104,14 @@ def test_decontamination(spark):
     assert decontamination.drop_contaminated(d, b.limit(0)).count() == len(rows)
 
 
-def test_benchmark_in_blocks(spark):
+@pytest.mark.parametrize("most", [0, 10])
+def test_benchmark_beyond_broadcast(spark, most):
     items = [(i, " ".join(f"t{i}x{k}" for k in range(12))) for i in range(6)]
     rows = [(i, "a b " + t + " c") for i, t in items]
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    one, _ = decontamination.find_windows(d, b)
-    many, _ = decontamination.find_windows(d, b, block_rows=7)
+    texts = decontamination.doc_words(d)
+    one, _ = decontamination.find_windows(texts, b)
+    many, _ = decontamination.find_windows(texts, b, most=most)
     key = lambda x: sorted((r.doc_id, r.start, r.wtext) for r in x.collect())
     assert key(one) == key(many) and len(key(one)) == 18
 
@@ -136,6 +139,37 @@ def test_sharding(spark):
     assert sharding.shard_rows(d.limit(0), d.columns).count() == 0
 
 
+def place(key, shards):
+    """The shard with the largest hash of id and shard number: XXH64 by Spark's rule, column by column."""
+    seed = 42
+    marks = []
+    for j in range(shards):
+        h = xxhash.xxh64_intdigest((29).to_bytes(4, "little"), seed)
+        h = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), h)
+        h = h if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), h)
+        marks.append(h - (1 << 64) if h >> 63 else h)
+    return marks.index(max(marks))
+
+
+def test_written_shards(spark, tmp_path):
+    """The report comes from the written files; every row is there once, in its shard, as it was."""
+    rows = [(i, f"text {i} " * (i % 9), "s" + str(i % 2)) for i in range(300)] + [(5, None, "s"), (None, "no id", None), (5, None, "s"), (6, "long " * 50_000, "s")]
+    d = docs(spark, rows).withColumn("slot", F.lit("own"))
+    path = str(tmp_path / "shards")
+    got = sharding.sharding_report(d, path, bucket_bytes=4096).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert all((r.shard, r.grown_shard) == (place(r.doc_id, 16), place(r.doc_id, 17)) for r in got)
+    back = spark.read.parquet(path)
+    assert {r.input_file_name.split("shard=")[1].split("/")[0] for r in back.select(F.input_file_name().alias("input_file_name")).distinct().collect()} == {str(r.shard) for r in got}
+    whole = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in back.collect())
+    assert whole == Counter((i, t, "en", s, 0) for i, t, s in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.sharding_report(d.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_native_plans(spark):
     d = docs(spark, [(1, "a b c d e f g h i j", "s")])
     b = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
