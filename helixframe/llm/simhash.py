@@ -4,13 +4,15 @@ Fingerprints: words of the ASCII-lower-cased text, 3-word shingles with
 repeats, XXH64 with seed 42, majority of each bit.
 
 Join: two fingerprints that differ in at most 3 bits agree in one of four
-16-bit blocks, so each distinct fingerprint goes to four groups, rotated so that
-the shared block leads. Within a task the sorted fingerprints are a binary trie; pairs of
-its nodes, both with the same leading block, are traversed together level by level,
-adding up the differing bits and dropping a pair once they exceed the budget;
-small node pairs are compared outright. A task reports its links as a spanning
-forest, at most one edge a fingerprint, so a large group of near copies
-doesn't leave as all its pairs, and no connection is lost.
+16-bit blocks, so each distinct fingerprint goes to four tries, rotated so that
+the shared block leads. Sorted fingerprints are a binary trie, a node being a
+range of them. Pairs of nodes that share the leading block are traversed together
+level by level down to single fingerprints, adding up the differing bits and
+dropping a pair once they exceed the budget. A pair of nodes whose fingerprints are
+all connected by links already found is dropped too, so a large cluster of near
+copies doesn't cost all its pairs, and no connection is lost. A crowded node is
+split: each task takes one pair of its descendants of some levels below that can still meet
+the budget.
 
 Components: label propagation with pointer jumping over distinct fingerprints,
 each round written to the shared folder. Only fingerprints with a link take part.
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import materialize, text_key
 
 BUDGET, BLOCKS, BLOCK_BITS = 3, 4, 16
-#: Node pairs with so few pairs of fingerprints are compared outright.
-LEAF_PAIRS = 64
-#: Pairs compared, or node pairs held, at once.
-CHUNK = 1 << 20
+#: Node pairs held at once.
+CHUNK = 1 << 15
+#: Fingerprints of one leading block beyond which its node is split among tasks.
+CROWD = 50_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -67,70 +69,79 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 class Forest:
-    """Union-find over 0..n-1 that keeps the edges that joined two trees."""
+    """Components of 0..n-1 and the edges that made them; reach[i] ends the run of i's component that starts at i."""
 
     def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+        self.root, self.edges, self.steps = np.arange(n), [], 0
+        self.reach = np.arange(1, n + 1)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            p, q = self.find(x), self.find(y)
-            if p != q:
-                self.up[max(p, q)] = min(p, q)
-                self.edges.append((x, y))
-
-
-def _product(lo1, hi1, lo2, hi2):
-    """All index pairs of ranges lo1..hi1 and lo2..hi2, for arrays of ranges."""
-    n1, n2 = hi1 - lo1, hi2 - lo2
-    n = n1 * n2
-    pair = np.repeat(np.arange(n.size), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return lo1[pair] + k // n2[pair], lo2[pair] + k % n2[pair]
-
-
-def trie_links(values: np.ndarray, budget: int = BUDGET, shared_bits: int = BLOCK_BITS):
-    """Yields index arrays (a, b), a < b, of sorted distinct uint64 values whose first shared_bits agree and that differ in at most budget bits."""
+        p, q = self.root[a], self.root[b]
+        _, one = np.unique(np.minimum(p, q) * self.root.size + np.maximum(p, q), return_index=True)
+        one = one[p[one] != q[one]]
+        if not one.size:
+            return
+        self.edges.append(np.stack([a[one], b[one]]))
+        a, b = a[one], b[one]
+        while True:
+            p, q = self.root[a], self.root[b]
+            apart = p != q
+            if not apart.any():
+                break
+            up = np.arange(self.root.size)
+            np.minimum.at(up, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+            while True:
+                higher = up[up]
+                if (higher == up).all():
+                    break
+                up = higher
+            self.root = up[self.root]
+        n = self.root.size
+        ends = np.flatnonzero(np.r_[self.root[1:] != self.root[:-1], True]) + 1
+        self.reach = ends[np.searchsorted(ends, np.arange(n), side="right")]
+
+    def connected(self, lo1, hi1, lo2, hi2) -> np.ndarray:
+        return (self.root[lo1] == self.root[lo2]) & (self.reach[lo1] >= hi1) & (self.reach[lo2] >= hi2)
+
+
+def trie_links(values: np.ndarray, budget: int = BUDGET, shared_bits: int = BLOCK_BITS, between: tuple[int, int] | None = None) -> Forest:
+    """Connects all of sorted distinct uint64 values that differ in at most budget bits.
+
+    Pairs share the first shared_bits; with between, two prefixes of shared_bits bits, one is below each of these nodes.
+    """
     n = values.size
+    forest = Forest(n)
     if n < 2:
-        return
+        return forest
     lead = values >> np.uint64(64 - shared_bits) if shared_bits else np.zeros(n, np.uint64)
-    starts = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
-    ends = np.r_[starts[1:], n]
-    keep = ends - starts > 1
-    starts, ends = starts[keep], ends[keep]
+    if between is None:
+        starts = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+        ends = np.r_[starts[1:], n]
+        keep = ends - starts > 1
+        lo1, hi1 = starts[keep], ends[keep]
+        lo2, hi2, bits = lo1, hi1, np.zeros(lo1.size, np.int64)
+    else:
+        (lo1, hi1), (lo2, hi2) = (np.searchsorted(lead, [np.uint64(x), np.uint64(x + 1)]).reshape(2, 1) for x in between)
+        bits = np.array([(between[0] ^ between[1]).bit_count()])
+        bits, lo1, hi1, lo2, hi2 = (x[(lo1 < hi1) & (lo2 < hi2) & (bits <= budget)] for x in (bits, lo1, hi1, lo2, hi2))
     # A stack of frontiers: (depth, lo1, hi1, lo2, hi2, differing bits so far). A node is a range of the sorted values.
-    stack = [(shared_bits, starts, ends, starts.copy(), ends.copy(), np.zeros(starts.size, np.int64))]
+    stack = [(shared_bits, lo1, hi1, lo2, hi2, bits)]
     while stack:
-        depth, lo1, hi1, lo2, hi2, bits = stack.pop()
-        if lo1.size > CHUNK:
-            half = lo1.size // 2
-            stack += [(depth, lo1[s], hi1[s], lo2[s], hi2[s], bits[s]) for s in (slice(half), slice(half, None))]
+        depth, *pairs = stack.pop()
+        if pairs[0].size > CHUNK:
+            half = pairs[0].size // 2
+            stack += [(depth, *[x[cut] for x in pairs]) for cut in (slice(half), slice(half, None))]
             continue
-        leaf = ((hi1 - lo1) * (hi2 - lo2) <= LEAF_PAIRS) | (depth >= 64)
-        if leaf.any():
-            spans = [x[leaf] for x in (lo1, hi1, lo2, hi2)]
-            total = np.cumsum((spans[1] - spans[0]) * (spans[3] - spans[2]))
-            cuts = np.searchsorted(total, np.arange(CHUNK, total[-1] + CHUNK, CHUNK), side="right")
-            at = 0
-            for cut in [*np.unique(np.maximum(cuts, 1)), total.size]:
-                if cut > at:
-                    a, b = _product(*[x[at:cut] for x in spans])
-                    near = (a < b) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
-                    if near.any():
-                        yield a[near], b[near]
-                    at = cut
-        rest = ~leaf
-        if not rest.any():
+        rest = ~forest.connected(*pairs[:4])
+        lo1, hi1, lo2, hi2, bits = (x[rest] for x in pairs)
+        forest.steps += lo1.size
+        single = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
+        a, b = lo1[single], lo2[single]
+        near = (a != b) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
+        forest.join(a[near], b[near])
+        lo1, hi1, lo2, hi2, bits = (x[~single] for x in (lo1, hi1, lo2, hi2, bits))
+        if not lo1.size:
             continue
-        lo1, hi1, lo2, hi2, bits = (x[rest] for x in (lo1, hi1, lo2, hi2, bits))
         # Each node's first value with this bit set; below that depth all its values share a prefix.
         step = np.uint64(1) << np.uint64(63 - depth)
         head = ~((step << np.uint64(1)) - np.uint64(1)) if depth else np.uint64(0)
@@ -144,10 +155,13 @@ def trie_links(values: np.ndarray, budget: int = BUDGET, shared_bits: int = BLOC
                 ok = (l1 < h1) & (l2 < h2) & (spent <= budget)
                 if x > y:
                     ok &= ~same  # of a node with itself, one order will do
+                if x == y:
+                    ok &= ~same | (h1 - l1 > 1)
                 parts.append([z[ok] for z in (l1, h1, l2, h2, spent)])
         joined = [np.concatenate(z) for z in zip(*parts)]
         if joined[0].size:
             stack.append((depth + 1, *joined))
+    return forest
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -155,25 +169,36 @@ def links(fps: DataFrame) -> DataFrame:
     turn = lambda by: F.expr(f"(fp << {by}) | shiftrightunsigned(fp, {64 - by})") if by else F.col("fp")
     spread = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("block"), turn(BLOCK_BITS * i).alias("turned")) for i in range(BLOCKS)])).alias("x")).select("x.*")
     spread = spread.withColumn("lead", F.shiftrightunsigned("turned", 64 - BLOCK_BITS).cast("int"))
+    # A crowded node's rows go, for each pair of its descendants `deeper` levels below within the budget, to that pair's task.
+    crowds = spread.groupBy("block", "lead").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWD)
+    crowds = crowds.select("block", "lead", F.least(F.lit(12), F.ceil(F.log2(F.col("_n") / CROWD)) + 1).cast("int").alias("deeper"))
+    spread = spread.join(crowds, ["block", "lead"], "left").withColumn("deeper", F.coalesce("deeper", F.lit(0)))
+    own = F.when(F.col("deeper") > 0, F.expr(f"cast(shiftrightunsigned(turned << {BLOCK_BITS}, 64 - deeper) as int)")).otherwise(0)
+    spread = spread.withColumn("own", own)
+    others = F.expr(f"filter(sequence(0, shiftleft(1, deeper) - 1), x -> bit_count(x ^ own) <= {BUDGET})")
+    spread = spread.withColumn("other", F.explode(F.when(F.col("deeper") > 0, others).otherwise(F.array(F.lit(0)))))
+    spread = spread.select("block", "turned", "lead", "deeper", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(batches):
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(6)] for b in batches if b.num_rows]
         if not parts:
             return
-        block, turned = (np.concatenate(x) for x in zip(*parts))
-        for i in range(BLOCKS):
-            values = np.unique(turned[block == i].view(np.uint64))
-            forest = Forest(values.size)
-            for a, b in trie_links(values):
-                forest.join(a, b)
-            if forest.edges:
-                e = values[np.array(forest.edges).T]
-                by = np.uint64(BLOCK_BITS * i)
-                back = (e >> by) | (e << (np.uint64(64) - by)) if i else e
+        block, turned, lead, deeper, i, j = (np.concatenate(x) for x in zip(*parts))
+        jobs = [((block == k) & (deeper == 0), k, BLOCK_BITS, None) for k in range(BLOCKS)]
+        for k, at, d, x, y in np.unique(np.stack([block, lead, deeper, i, j])[:, deeper > 0], axis=1).T.tolist():
+            mine = (block == k) & (lead == at) & (deeper == d) & (i == x) & (j == y)
+            jobs.append((mine, k, BLOCK_BITS + d, None if x == y else ((at << d) | x, (at << d) | y)))
+        for mine, k, bits, between in jobs:
+            values = np.unique(turned[mine].view(np.uint64))
+            edges = trie_links(values, BUDGET, bits, between).edges
+            if edges:
+                e = values[np.concatenate(edges, axis=1)]
+                by = np.uint64(BLOCK_BITS * k)
+                back = (e >> by) | (e << (np.uint64(64) - by)) if k else e
                 yield pa.RecordBatch.from_arrays([pa.array(back[0].view(np.int64)), pa.array(back[1].view(np.int64))], ["a", "b"])
 
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.repartition(n, "block", "lead").select("block", "turned").mapInArrow(run, "a bigint, b bigint")
+    return spread.repartition(n, "block", "lead", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -128,14 +128,73 @@ def test_fingerprints():
         assert simhash.fingerprint(t.encode()) == fingerprint(t)
 
 
-def test_trie_finds_every_link():
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    flips = [b ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64))) for b in base for _ in range(4)]
-    v = np.unique(np.r_[base, np.array(flips, np.uint64), np.arange(200, dtype=np.uint64)])
-    want = {(i, j) for i in range(v.size) for j in range(i + 1, v.size) if int(v[i] ^ v[j]).bit_count() <= 3}
-    got = [p for a, b in simhash.trie_links(v, shared_bits=0) for p in zip(a.tolist(), b.tolist())]
-    assert len(got) == len(set(got)) and set(got) == want
+def parts(n, edges):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[find(a)] = find(b)
+    least = {}
+    for x in range(n):
+        least.setdefault(find(x), x)
+    return [least[find(x)] for x in range(n)]
+
+
+def near_pairs(v):
+    return [(i, j) for i in range(v.size) for j in (np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= 3) + i + 1).tolist()]
+
+
+def fingerprints_near(seed, bases, copies):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, bases, dtype=np.uint64)
+    flips = [b ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64))) for b in base for _ in range(copies)]
+    return np.unique(np.r_[base, np.array(flips, np.uint64)])
+
+
+@pytest.mark.parametrize(("bases", "copies"), [(300, 4), (2, 900)])
+def test_trie_finds_every_link(monkeypatch, bases, copies):
+    monkeypatch.setattr(simhash, "CHUNK", 1000)
+    v = np.unique(np.r_[fingerprints_near(5, bases, copies), np.arange(200, dtype=np.uint64)])
+    found = simhash.trie_links(v, shared_bits=0)
+    edges = np.concatenate(found.edges, axis=1).T.tolist()
+    assert all(int(v[a] ^ v[b]).bit_count() <= 3 for a, b in edges)
+    assert parts(v.size, edges) == parts(v.size, near_pairs(v))
+
+
+def test_large_cluster_is_cheap():
+    """10,000 near copies: far fewer steps than their 50 million pairs, all connected; random values die within some levels."""
+    rng = np.random.default_rng(8)
+    v = np.unique(np.array([sum(1 << int(x) for x in rng.choice(48, 2, False)) for _ in range(5000)] + [sum(1 << int(x) for x in rng.choice(48, 3, False)) for _ in range(20_000)], np.uint64))[:10_000]
+    assert v.size == 10_000
+    found = simhash.trie_links(v)
+    assert len(set(found.root.tolist())) == 1 and found.steps < 300 * v.size
+    random_values = np.unique(rng.integers(0, 1 << 48, 10_000, dtype=np.uint64))
+    assert 0 < simhash.trie_links(random_values).steps < 2000 * random_values.size
+
+
+def test_trie_is_walked_on_the_tables(spark):
+    """The trie's traversal, not a comparison of all pairs of a block, finds the links: its steps are counted."""
+    fps = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct().toPandas().fp.to_numpy()
+    v = np.unique(fps.view(np.uint64))
+    steps = 0
+    for k in range(4):
+        by = np.uint64(16 * k)
+        steps += simhash.trie_links(np.unique((v << by) | (v >> (np.uint64(64) - by))) if k else v).steps
+    assert 10_000 < steps < 100 * v.size
+
+
+@pytest.mark.parametrize("crowd", [50_000, 20, 5])
+def test_links_of_crowds(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    v = np.unique(np.r_[fingerprints_near(6, 40, 6), fingerprints_near(7, 1, 150)])
+    at = {int(x): i for i, x in enumerate(v.view(np.int64))}
+    got = simhash.links(spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")).collect()
+    assert parts(v.size, [(at[r.a], at[r.b]) for r in got]) == parts(v.size, near_pairs(v))
 
 
 def test_components(spark):
