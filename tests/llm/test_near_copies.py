@@ -75,5 +75,5 @@ def test_texts_that_share_a_part(spark):
     found = near_copies.classes(docs)
     sets = near_copies.sets_of(docs, found.select("_key", "node"))
     open_ = found.selectExpr("node", "n", "node as root")
-    pairs = near_copies.prefix_pairs(open_, sets, 0.8)
+    pairs = near_copies.prefix_pairs(near_copies.prefixes(open_, sets, 0.8), 0.8)
     assert 40 * 39 // 2 <= pairs.count() < 2000  # of 57,630 pairs
