@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own for the session where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset a session in one process (master local) gets a folder of its own; a cluster gets an error, as its executors share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="helixframe-")
         _own[spark.sparkContext.applicationId] = found
     return found

@@ -91,14 +91,15 @@ def contrast_scores(depth: np.ndarray, expected: np.ndarray, minsize: int, ploid
             break
         at = np.arange(s, n - s - SPACER)
         l, r = at - s + 1, at + SPACER + 1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a = ploidy * (cov[at + 1] - cov[l]) / (exp[at + 1] - exp[l])
-            b = ploidy * (cov[r + s] - cov[r]) / (exp[r + s] - exp[r])
-        a, b = np.nan_to_num(a, nan=0.0, posinf=0.0), np.nan_to_num(b, nan=0.0, posinf=0.0)
+        # Differences of running sums: an expectation of zero is a rest of rounding.
+        left, right = exp[at + 1] - exp[l], exp[r + s] - exp[r]
+        a = np.where(left > 1e-9, ploidy * (cov[at + 1] - cov[l]) / np.maximum(left, 1e-9), 0.0)
+        b = np.where(right > 1e-9, ploidy * (cov[r + s] - cov[r]) / np.maximum(right, 1e-9), 0.0)
         gap = np.abs(a - b)
         shift = _away(gap)
         off = np.abs(gap - shift) + np.abs(a - _away(a)) + np.abs(b - _away(b))
-        gain = np.where((shift >= 1) & (off < 1), shift * (shift - off), 0.0)
+        # off is 1 over a whole range of values, where only rounding would decide: those count as 1.
+        gain = np.where((shift >= 1) & (off < 1 - 1e-6), shift * (shift - off), 0.0)
         total[at + SPACER // 2] += gain.astype(np.float32)
     total[total < 1.5] = 0
     return total

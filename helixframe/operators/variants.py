@@ -93,3 +93,18 @@ def maf_ratio(sums: DataFrame, min_snps: int, min_coverage: int, control: DataFr
     depth = F.floor(safe_div((F.col("minor") + F.col("major")).cast("double"), F.col("n_snps"))).cast("int")
     out = sums.withColumn("_depth", depth).join(F.broadcast(expected.select(F.col("depth").alias("_d"), "exp_maf")), F.col("_depth") == F.col("_d"), "left")
     return out.withColumn("maf", F.when(enough, safe_div(t, F.coalesce("exp_maf", F.lit(beyond))))).drop("_depth", "_d", "exp_maf")
+
+
+def binomial_test(counts: DataFrame, k: str, n: str) -> DataFrame:
+    """counts with p: the exact two-sided chance of k of n at one half, summed over the outcomes of each distinct (k, n)."""
+    pairs = counts.select(F.col(k).alias("_k"), F.col(n).alias("_n")).distinct()
+    each = pairs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long"))))
+    # ln n! by sums of logarithms: one row a number up to the largest n.
+    top = pairs.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    facts = counts.sparkSession.range(top + 1).select(F.col("id").alias("_m"), F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("id")), F.lit(0.0), lambda a, x: a + F.when(x > 1, F.log(x.cast("double"))).otherwise(0.0)).alias("_f"))
+    fact = lambda df, col, name: df.join(F.broadcast(facts.select(F.col("_m").alias(f"_m_{name}"), F.col("_f").alias(name))), F.expr(f"{col} = _m_{name}")).drop(f"_m_{name}")
+    each = fact(fact(fact(fact(fact(each, "_n", "fn"), "_i", "fi"), "_n - _i", "fj"), "_k", "fk"), "_n - _k", "fl")
+    log = lambda a, b: F.col("fn") - F.col(a) - F.col(b) - F.col("_n") * F.log(F.lit(2.0))
+    chance = F.sum(F.when(log("fi", "fj") <= log("fk", "fl") + 1e-7, F.exp(log("fi", "fj"))).otherwise(0.0))
+    p = each.groupBy("_k", "_n").agg(F.least(chance, F.lit(1.0)).alias("p"))
+    return counts.join(p, (counts[k] == p["_k"]) & (counts[n] == p["_n"])).drop("_k", "_n")

@@ -231,11 +231,11 @@ def adaptive_overlapping(spark, d):
     return _six(windows.adaptive_windows(_ok(spark, d), 1000, 300, block=10_000))
 
 
-_BED = f"""v_bed AS (SELECT DISTINCT contig, s AS start, s + n AS "end" FROM (SELECT contig, p_partkey * 97 % 43000 AS s, 100 + p_size * 40 AS n FROM part, v_contigs WHERE p_size % 5 = 0 AND p_partkey < 2000) WHERE s + n <= {v.MINUTES})"""
+_BED = f"""v_bed AS (SELECT DISTINCT contig, s AS start, s + n AS "end" FROM (SELECT contig, p_partkey * 97 % 43000 AS s, 100 + p_size * 40 AS n FROM part, v_contigs) WHERE s + n <= {v.MINUTES})"""
 
 
 def _bed(spark, d):
-    p = v.table(spark, d, "part").filter("p_size % 5 = 0 and p_partkey < 2000").select((F.col("p_partkey") * 97 % 43000).alias("start"), (F.col("p_partkey") * 97 % 43000 + 100 + F.col("p_size") * 40).alias("end"))
+    p = v.table(spark, d, "part").select((F.col("p_partkey") * 97 % 43000).alias("start"), (F.col("p_partkey") * 97 % 43000 + 100 + F.col("p_size") * 40).alias("end"))
     return p.join(F.broadcast(v.contigs(spark, d).select("contig")))  # five contigs
 
 
@@ -246,53 +246,68 @@ def bed_windows(spark, d):
     return _six(windows.bed_windows(_ok(spark, d), _bed(spark, d), v.contigs(spark, d), FRACTION, bucket=1024))
 
 
-_SPARSE = """v_sparse AS (SELECT contig, start, "end" FROM v_bed WHERE start % 3 = 0),
+_SPARSE = """v_sparse AS (SELECT DISTINCT contig, p_partkey * 97 % 43000 AS start, p_partkey * 97 % 43000 + p_size AS "end" FROM part, v_contigs),
 isl0 AS (SELECT *, max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_sparse),
 isl1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM isl0),
 v_union AS (SELECT contig, min(start) AS start, max("end") AS "end" FROM isl1 GROUP BY contig, island)"""
 
 
-@query(f"""WITH {_OK}, {_BED}, {_SPARSE}, v_in AS (SELECT o.* FROM v_ok o JOIN v_union u ON o.contig = u.contig AND o.pos >= u.start AND o.pos < u."end"), {_adaptive_sql(500, 500, 'v_in')},
+@query(f"""WITH {_OK}, {_SPARSE}, v_in AS (SELECT o.* FROM v_ok o JOIN v_union u ON o.contig = u.contig AND o.pos >= u.start AND o.pos < u."end"), {_adaptive_sql(500, 500, 'v_in')},
 nx AS (SELECT contig, "end" AS at, lead(start) OVER (PARTITION BY contig ORDER BY start) AS nxt FROM v_union), f AS (SELECT contig, min(start) AS first FROM v_union GROUP BY contig),
 moved AS (SELECT av.contig, CASE WHEN av.start = 0 THEN f.first ELSE coalesce(nx.nxt, av.start) END AS start, av."end", mappable, cov, obs, ex FROM av JOIN f ON av.contig = f.contig LEFT JOIN nx ON nx.contig = av.contig AND nx.at = av.start AND nx.nxt IS NOT NULL)
 {_AV} moved""")
 def bed_adaptive(spark, d):
-    return _six(windows.bed_adaptive_windows(_ok(spark, d), _bed(spark, d).filter("start % 3 = 0"), v.contigs(spark, d), 500, 500, bucket=1024, block=10_000))
+    p = v.table(spark, d, "part").select((F.col("p_partkey") * 97 % 43000).alias("start"), (F.col("p_partkey") * 97 % 43000 + F.col("p_size")).alias("end"))
+    short = p.join(F.broadcast(v.contigs(spark, d).select("contig")))  # five contigs
+    return _six(windows.bed_adaptive_windows(_ok(spark, d), short, v.contigs(spark, d), 500, 500, bucket=1024, block=10_000))
 
 
-@query(f"""WITH {_OK}, lv AS (SELECT unnest([45, 90, 180, 360, 720, 1440, 2880]) AS ws), t AS (SELECT o.contig, ws, o.pos // ws AS k, sum(depth) AS cov, sum(expected) AS ex FROM v_ok o, lv GROUP BY o.contig, ws, o.pos // ws),
+@query(f"""WITH {_OK}, lv AS (SELECT unnest([45, 90, 180, 360, 720, 1440, 2880, 5760, 11520, 23040]) AS ws), t AS (SELECT o.contig, ws, o.pos // ws AS k, sum(depth) AS cov, sum(expected) AS ex FROM v_ok o, lv GROUP BY o.contig, ws, o.pos // ws),
 x AS (SELECT ws, 2.0::DOUBLE * cov / ex - 2 AS dv FROM t WHERE (k + 1) * ws < {v.MINUTES} AND ex > 0) SELECT ws, round(sum(dv * dv), 4) AS dev, count(*) AS n FROM x GROUP BY ws""")
 def scale_variance(spark, d):
-    return windows.scale_variance(_ok(spark, d), v.contigs(spark, d), 45, most=5000).select("ws", F.round("dev", 4).alias("dev"), "n")
+    return windows.scale_variance(_ok(spark, d), v.contigs(spark, d), 45).select("ws", F.round("dev", 4).alias("dev"), "n")
 
 
-_C = 30
+_MIN = 60
+_CONTRAST = f"""{_OK}, v_rank AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY contig) AS n FROM v_ok),
+v_cum AS (SELECT contig, r, n, sum(depth) OVER w AS cs, sum(expected) OVER w AS es FROM v_rank WINDOW w AS (PARTITION BY contig ORDER BY r ROWS UNBOUNDED PRECEDING)),
+v_scale AS (SELECT unnest({calls.scales(_MIN)}) AS s),
+v_at AS (SELECT contig, s, r, n, cs, es, lag(cs, s) OVER k AS cb, lag(es, s) OVER k AS eb, lead(cs, 100) OVER k AS cc, lead(es, 100) OVER k AS ec, lead(cs, 100 + s) OVER k AS cd, lead(es, 100 + s) OVER k AS ed FROM v_cum, v_scale WINDOW k AS (PARTITION BY contig, s ORDER BY r)),
+v_sides AS (SELECT contig, s, r + 50 AS place, CASE WHEN es - eb > 1e-9 THEN 2.0::DOUBLE * (cs - cb) / (es - eb) ELSE 0 END AS l, CASE WHEN ed - ec > 1e-9 THEN 2.0::DOUBLE * (cd - cc) / (ed - ec) ELSE 0 END AS r FROM v_at WHERE r >= s AND r < n - s - 100),
+v_gap AS (SELECT contig, s, place, round(abs(coalesce(l, 0) - coalesce(r, 0))) AS shift, abs(abs(coalesce(l, 0) - coalesce(r, 0)) - round(abs(coalesce(l, 0) - coalesce(r, 0)))) + abs(coalesce(l, 0) - round(coalesce(l, 0))) + abs(coalesce(r, 0) - round(coalesce(r, 0))) AS off FROM v_sides),
+v_score AS (SELECT contig, place, sum(CASE WHEN shift >= 1 AND off < 1 - 1e-6 THEN shift * (shift - off) ELSE 0 END) AS score FROM v_gap GROUP BY contig, place HAVING sum(CASE WHEN shift >= 1 AND off < 1 - 1e-6 THEN shift * (shift - off) ELSE 0 END) >= 1.5)"""
 
 
-@query(f"""WITH {_OK}, rk AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY contig) AS n FROM v_ok),
-s AS (SELECT contig, r, n, sum(depth) OVER a AS lc, sum(expected) OVER a AS le, sum(depth) OVER b AS rc, sum(expected) OVER b AS re FROM rk
-    WINDOW a AS (PARTITION BY contig ORDER BY r ROWS BETWEEN {_C - 1} PRECEDING AND CURRENT ROW), b AS (PARTITION BY contig ORDER BY r ROWS BETWEEN 101 FOLLOWING AND {100 + _C} FOLLOWING)),
-c AS (SELECT contig, r + 50 AS place, 2.0::DOUBLE * lc / le AS l, 2.0::DOUBLE * rc / re AS r FROM s WHERE r >= {_C} AND r < n - {_C} - 100 AND le > 1e-9 AND re > 1e-9)
-SELECT contig, place, round(l + 1e-7, 4) AS l, round(r + 1e-7, 4) AS r FROM c""")
-def contrast_sides(spark, d):
-    ranked = prefix.rank_rows(_ok(spark, d), block=10_000)
-    both = prefix.running_sum(prefix.running_sum(ranked, "depth", "cs", block=10_000), "expected", "es", block=10_000)
-    n = ranked.groupBy("contig").agg(F.count(F.lit(1)).alias("n"))
-    # Each side is a difference of running sums at four ranks: equi-joins by shifted rank, no wide frames.
-    at = lambda shift, tag: both.select("contig", (F.col("rank") - shift).alias("rank"), F.col("cs").alias(f"c{tag}"), F.col("es").alias(f"e{tag}"))
-    x = at(0, "1").join(at(-_C, "0"), ["contig", "rank"]).join(at(100, "2"), ["contig", "rank"]).join(at(100 + _C, "3"), ["contig", "rank"]).join(F.broadcast(n), "contig")
-    x = x.filter((F.col("rank") >= _C) & (F.col("rank") < F.col("n") - _C - 100))
-    x = x.filter((F.col("e1") - F.col("e0") > 1e-9) & (F.col("e3") - F.col("e2") > 1e-9))
-    side = lambda a, b: stats.safe_div(2.0 * (F.col(f"c{b}") - F.col(f"c{a}")), F.col(f"e{b}") - F.col(f"e{a}"))
-    return x.select("contig", (F.col("rank") + 50).alias("place"), F.round(side("0", "1") + 1e-7, 4).alias("l"), F.round(side("2", "3") + 1e-7, 4).alias("r"))
+def _per_contig(run, schema):
+    """bases -> run(depth, expected) of each contig's callable bases, as the caller runs it."""
 
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        return run(pdf["depth"].to_numpy(float), pdf["expected"].to_numpy(float)).assign(contig=key[0])
 
-@query(f"""WITH {v.DEPTH}, z AS (SELECT contig, pos // 60 AS h, CAST(sum(depth) AS BIGINT) - 3 AS score FROM v_depth GROUP BY contig, pos // 60), g AS (SELECT *, h - row_number() OVER (PARTITION BY contig ORDER BY h) AS island FROM z WHERE score > 0)
-SELECT contig, min(h) AS first, max(h) AS last, count(*) AS n, max(score) AS height, min(h) FILTER (WHERE score = top) AS peak FROM (SELECT *, max(score) OVER (PARTITION BY contig, island) AS top FROM g) GROUP BY contig, island""")
+    return lambda bases: bases.select("contig", "pos", "depth", "expected").groupBy("contig").applyInPandas(one, schema)
+
+
+@query(f"WITH {_CONTRAST} SELECT contig, place, CAST(floor(2 * ln(score) + 0.2) AS BIGINT) AS band FROM v_score")
+def contrast_scores(spark, d):
+    """Scores in bands of half a unit of their logarithm: they are sums in single precision."""
+
+    def run(depth, expected):
+        score = calls.contrast_scores(depth, expected, _MIN)
+        at = score.nonzero()[0]
+        return pd.DataFrame({"place": at, "score": score[at].astype(float)})
+
+    return _per_contig(run, "contig string, place long, score double")(_ok(spark, d)).select("contig", "place", F.floor(2 * F.log("score") + 0.2).alias("band"))
+
+
+@query(f"""WITH {_CONTRAST}, g AS (SELECT *, place - row_number() OVER (PARTITION BY contig ORDER BY place) AS island FROM v_score)
+SELECT contig, min(place) - 1 AS low, max(place) + 1 AS high FROM g GROUP BY contig, island""")
 def positive_runs(spark, d):
-    z = v.depth(spark, d).groupBy("contig", F.expr("pos div 60").alias("h")).agg((F.sum("depth") - 3).alias("score")).filter("score > 0")
-    g = z.withColumn("island", F.col("h") - F.row_number().over(Window.partitionBy("contig").orderBy("h")))
-    return g.groupBy("contig", "island").agg(F.min("h").alias("first"), F.max("h").alias("last"), F.count(F.lit(1)).alias("n"), F.max("score").alias("height"), F.max_by("h", F.struct("score", -F.col("h"))).alias("peak")).drop("island")
+    def run(depth, expected):
+        found = calls.peaks(calls.contrast_scores(depth, expected, _MIN))
+        return pd.DataFrame(found, columns=["low", "high", "pos", "height"])[["low", "high"]]
+
+    return _per_contig(run, "contig string, low long, high long")(_ok(spark, d)).select("contig", "low", "high")
 
 
 # Intervals and variants ------------------------------------------------------------------------------------------
@@ -347,14 +362,13 @@ def mean_folded_maf(spark, d):
     return variants.mean_folded(v.snps(spark, d)).select(r6("mean_maf"))
 
 
-_MAFW = f"""{v.SNP}, {_CONTROL}, w AS (SELECT contig, unnest(generate_series(0, 140000, 500)) AS start FROM (SELECT DISTINCT contig FROM v_snp)),
+_MAFW = f"""{v.SNP}, {_CONTROL}, w AS (SELECT contig, unnest(generate_series(0, max(pos) // 500 * 500, 500)) AS start FROM v_snp GROUP BY contig),
 t AS (SELECT w.contig, w.start, coalesce(sum(least(ref_n, alt_n)), 0) AS minor, coalesce(sum(greatest(ref_n, alt_n)), 0) AS major, count(s.pos) AS n_snps FROM w LEFT JOIN v_snp s ON s.contig = w.contig AND s.pos >= w.start AND s.pos < w.start + 500 GROUP BY w.contig, w.start),
 k AS (SELECT w.contig, w.start, coalesce(sum(least(ref_n, alt_n)), 0) AS minor, coalesce(sum(greatest(ref_n, alt_n)), 0) AS major FROM w LEFT JOIN c_het s ON s.contig = w.contig AND s.pos >= w.start AND s.pos < w.start + 500 GROUP BY w.contig, w.start)"""
 
 
 def _maf_windows(spark, d):
-    # Up to the contig's last site; at least the windows that the SQL lists.
-    last = v.snps(spark, d).groupBy("contig").agg(F.greatest(F.lit(140_000).cast("long"), F.expr("max(pos) div 500 * 500")).alias("last"))
+    last = v.snps(spark, d).groupBy("contig").agg(F.expr("max(pos) div 500 * 500").alias("last"))
     return last.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(500).cast("long"))).alias("start")).withColumn("end", F.col("start") + 500)
 
 
@@ -413,27 +427,32 @@ def gq(spark, d):
     return _likely(spark, d).select("id", genotype.quality(F.col("l.pl")).alias("gq"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey, l_linenumber)
-SELECT concat('CNV', lpad(CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS VARCHAR), 8, '0')) AS id, greatest(p - 500, 1) AS start, least(greatest(p + s, 1), 1999) AS "end", CASE WHEN p - 500 >= 0 THEN -1 ELSE p - 500 END AS cipos_lo, CASE WHEN s - 50 <= 0 THEN 1 ELSE s - 50 END AS cipos_hi FROM x""")
+@query("""WITH x AS (SELECT CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS contig, p_size % 3 AS tid, p_partkey - 20 AS a, p_partkey - 20 + p_size * 40 AS b, p_size AS z, p_partkey AS k FROM part), n AS (SELECT *, max(k) OVER () + 500 AS length FROM x)
+SELECT concat('CNV', lpad(CAST(row_number() OVER (ORDER BY tid, a, b) AS VARCHAR), 8, '0')) AS id, contig, CAST(greatest(a, 1) AS INTEGER) AS start, CAST(least(greatest(b, 1), length - 1) AS INTEGER) AS "end",
+    CAST(CASE WHEN 10 - z >= 0 THEN -1 ELSE 10 - z END AS INTEGER) AS cipos_lo, CAST(CASE WHEN z - 30 <= 0 THEN 1 ELSE z - 30 END AS INTEGER) AS cipos_hi, CAST(CASE WHEN 25 - z >= 0 THEN -1 ELSE 25 - z END AS INTEGER) AS ciend_lo, CAST(CASE WHEN z - 5 <= 0 THEN 1 ELSE z - 5 END AS INTEGER) AS ciend_hi,
+    round(CASE WHEN z % 4 > 0 THEN 0.3 * z / (z % 4) ELSE 0.5 END, 6)::DOUBLE AS maf, round(CASE WHEN z % 4 > 0 THEN 0.3 * z / (z % 4) / 0.4 ELSE 1.0 END, 6)::DOUBLE AS oemaf, z % 2 > 0 AND z % 5 > 0 AS precise FROM n""")
 def vcf_info(spark, d):
-    x = v.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
-    # Ranks by block of orders instead of one global sort.
-    x = x.withColumn("contig", F.lit(0)).withColumn("pos", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
-    n = prefix.rank_rows(x, block=1 << 14)
-    low, high = F.col("p") - 500, F.col("s") - 50
-    return n.select(
-        F.concat(F.lit("CNV"), F.lpad((F.col("rank") + 1).cast("string"), 8, "0")).alias("id"), F.greatest(low, F.lit(1)).alias("start"), F.least(F.greatest(F.col("p") + F.col("s"), F.lit(1)), F.lit(1999)).alias("end"),
-        F.when(low >= 0, -1).otherwise(low).alias("cipos_lo"), F.when(high <= 0, 1).otherwise(high).alias("cipos_hi"),
+    """Calls made of the parts, numbered and clamped by the genotyper."""
+    p = v.table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_size") % 3).alias("tid"), (F.col("p_partkey") - 20).alias("start"), (F.col("p_partkey") - 20 + F.col("p_size") * 40).alias("end"))
+    z = F.col("p_size")
+    c = p.select(
+        F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("tid").cast("int") + 1).alias("contig"), "start", "end", (F.col("start") + 10 - z).alias("cipos_lo"), (F.col("start") + z - 30).alias("cipos_hi"), (F.col("end") + 25 - z).alias("ciend_lo"), (F.col("end") + z - 5).alias("ciend_hi"),
+        (z % 2).alias("srl"), (z % 5).alias("srr"), (z % 4).alias("nsnps"), (0.3 * z).alias("maf"), (z / 10).alias("cn"), F.lit(1.0).alias("rds"), F.lit(0.0).alias("pty"), F.lit(1.0).alias("mpb"),
     )
+    longest = v.table(spark, d, "part").agg((F.max("p_partkey") + 500).alias("length"))
+    tids = spark.createDataFrame([("F", 0), ("O", 1), ("P", 2)], "contig string, tid int").join(longest)  # one row
+    levels = genotype.level_sd(windows.scale_variance(_ok(spark, d), v.contigs(spark, d), 45))
+    g = genotype.genotype(c, levels, tids, control_maf=0.4)
+    return g.select("id", "contig", "start", "end", *[F.col(x).cast("int").alias(x) for x in ("cipos_lo", "cipos_hi", "ciend_lo", "ciend_hi")], r6("maf"), r6("oemaf"), "precise")
 
 
 # Matrices and segments -------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {v.MINUTE}, x AS (SELECT contig, pos // 720 * 720 AS start, user_id % 4 AS s, CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS value FROM v_min WHERE (pos // 720 + user_id) % 5 <> 0 GROUP BY 1, 2, 3)
+@query(f"""WITH {v.MINUTE}, x AS (SELECT contig, pos // 720 * 720 AS start, user_id % 4 AS s, CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS value FROM v_min GROUP BY 1, 2, 3)
 SELECT contig, start, start + 720 AS "end", max(value) FILTER (WHERE s = 0) AS s0, max(value) FILTER (WHERE s = 1) AS s1, max(value) FILTER (WHERE s = 2) AS s2, max(value) FILTER (WHERE s = 3) AS s3 FROM x GROUP BY contig, start""")
 def merge_matrix(spark, d):
-    m = v.minutes(spark, d).withColumn("start", F.expr("pos div 720 * 720")).filter("(pos div 720 + user_id) % 5 <> 0")
+    m = v.minutes(spark, d).withColumn("start", F.expr("pos div 720 * 720"))
     rows = m.groupBy("contig", "start", F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("sample")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("value")).withColumn("end", F.col("start") + 720)
     return merge.merge_matrix(rows, ["s0", "s1", "s2", "s3"])
 
@@ -448,18 +467,24 @@ def ffill_signal(spark, d):
 
 
 @query(f"""WITH {v.DEPTH}, s AS (SELECT contig, pos // 60 AS h, CAST(sum(depth) AS BIGINT) AS x FROM v_depth GROUP BY contig, pos // 60), k AS (SELECT contig, h // 24 AS day, x, lag(x) OVER (PARTITION BY contig, h // 24 ORDER BY h) AS before FROM s)
-SELECT contig, day, list_sort(list(x))[count(*) // 2 + 1] AS level, count(*) AS n FROM k WHERE before IS NULL OR before <> x GROUP BY contig, day""")
+SELECT contig, day, CAST(list_sort(list(x))[count(*) // 2 + 1] AS DOUBLE) AS level FROM k WHERE before IS NULL OR before <> x GROUP BY contig, day""")
 def run_dedupe_median(spark, d):
+    """The level of each day of hours, as of a segment."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h", ignore_index=True)
+        ends = pdf.groupby("day").tail(1)
+        return pd.DataFrame({"contig": key[0], "day": ends["day"], "level": segment.levels(pdf[["x"]].to_numpy(float), ends.index.tolist())})
+
     s = v.depth(spark, d).groupBy("contig", F.expr("pos div 60").alias("h")).agg(F.sum("depth").alias("x")).withColumn("day", F.expr("h div 24"))
-    k = s.withColumn("before", F.lag("x").over(Window.partitionBy("contig", "day").orderBy("h"))).filter("before is null or before <> x")
-    return k.groupBy("contig", "day").agg(stats.upper_median("x").alias("level"), F.count(F.lit(1)).alias("n"))
+    return s.groupBy("contig").applyInPandas(run, "contig string, day long, level double")
 
 
 @query()
 def segment_lars_dp(spark, d):
     """Hourly counts of two user groups as a two-column signal."""
     s = v.minutes(spark, d).groupBy("contig", F.expr("pos div 60").alias("start")).agg(F.count_if(F.col("user_id") % 2 == 0).cast("double").alias("a"), F.count_if(F.col("user_id") % 2 == 1).cast("double").alias("b")).withColumn("end", F.col("start") + 1)
-    return segment.segment(s, ["a", "b"], k=40)
+    return segment.segment(s, ["a", "b"])
 
 
 @query()
@@ -488,11 +513,10 @@ def true_median(spark, d):
     return v.table(spark, d, "events").groupBy("event_type").agg(stats.true_median("value").alias("median"))
 
 
-def _binomial(k: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([stats.binomial_two_sided(int(a), int(b), 0.5) for a, b in zip(k, n)])
-
-
-@query()
+@query(f"""WITH {v.SNP}, p AS (SELECT DISTINCT alt_n AS k, ref_n + alt_n AS n FROM v_snp), t AS (SELECT k, n, unnest(generate_series(0, n)) AS i FROM p),
+m AS (SELECT k, n, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) AS pi, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) AS pk FROM t),
+r AS (SELECT k, n, least(sum(CASE WHEN pi <= pk * exp(1e-7) THEN pi ELSE 0 END), 1) AS p FROM m GROUP BY k, n)
+SELECT contig, pos, round(r.p, 6) AS p FROM v_snp JOIN r ON r.k = alt_n AND r.n = ref_n + alt_n""")
 def binomial_test(spark, d):
-    test = F.pandas_udf(_binomial, "double")
-    return v.snps(spark, d).select("contig", "pos", F.round(test("alt_n", F.col("ref_n") + F.col("alt_n")), 6).alias("p"))
+    s = v.snps(spark, d).withColumn("n", F.col("ref_n") + F.col("alt_n"))
+    return variants.binomial_test(s, "alt_n", "n").select("contig", "pos", r6("p"))

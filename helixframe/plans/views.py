@@ -62,13 +62,13 @@ BASE = DEPTH + ", " + CONTIGS + f""", v_base AS (SELECT e.contig, e.pos, CAST((e
 
 
 def sequence(spark, sf_dir) -> DataFrame:
-    """Characters of the English documents: contig (doc_id), pos, ch, length."""
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("contig"), "text", F.length("text").cast("long").alias("length"))
+    """Characters of the documents: contig (doc_id), pos, ch, length."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contig"), "text", F.length("text").cast("long").alias("length"))
     return d.select("contig", "length", F.posexplode(F.split("text", "")).alias("pos", "ch")).filter(F.col("ch") != "")
 
 
 SEQUENCE = """v_seq AS (SELECT contig, length, pos - 1 AS pos, cs[pos] AS ch FROM (SELECT contig, length, cs, unnest(generate_series(1, len(cs))) AS pos
-    FROM (SELECT CAST(doc_id AS VARCHAR) AS contig, CAST(length(text) AS BIGINT) AS length, string_split(text, '') AS cs FROM documents WHERE lang = 'en')))"""
+    FROM (SELECT CAST(doc_id AS VARCHAR) AS contig, CAST(length(text) AS BIGINT) AS length, string_split(text, '') AS cs FROM documents)))"""
 
 
 def part_intervals(spark, sf_dir) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,14 +10,19 @@ from pyspark.sql import types as T
 from helixframe.functions.stats import render
 
 
-@F.udf(T.StringType())
-def _short(x):
-    return None if x is None else render(float(x))
-
-
 def rendered(df: DataFrame) -> DataFrame:
     """Floating-point columns as text with six significant digits in the shortest form."""
-    return df.select(*[_short(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not floats:
+        return df
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in floats else f for f in df.schema.fields])
+
+    def run(batches):
+        for b in batches:
+            columns = [pa.array([None if x is None else render(x) for x in c.to_pylist()], pa.string()) if n in floats else c for n, c in zip(b.schema.names, b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def tsv(df: DataFrame, path: str, null: str = "NA", compression: str = "gzip", single: bool = False) -> None:
@@ -66,7 +72,7 @@ def vcf_header(contigs: list[tuple[str, int]], sample: str) -> list[str]:
 
 def vcf_lines(records: DataFrame, method: str = "helixframe") -> DataFrame:
     """Genotyped records -> (id, line). FILTER is always PASS; the verdict is in FT."""
-    short = lambda c: _short(F.col(c))
+    records, short = rendered(records), F.col
     info = F.concat_ws(
         ";", F.when(F.col("precise"), "PRECISE").otherwise("IMPRECISE"), F.lit("SVTYPE=CNV"), F.lit(f"SVMETHOD={method}"), F.concat(F.lit("END="), "end"), F.concat(F.lit("SRL="), "srl"), F.concat(F.lit("SRR="), "srr"), F.concat(F.lit("NSNPS="), "nsnps"),
         F.concat(F.lit("MAF="), short("maf")), F.concat(F.lit("OEMAF="), short("oemaf")), F.concat(F.lit("CIEND="), "ciend_lo", F.lit(","), "ciend_hi"), F.concat(F.lit("CIPOS="), "cipos_lo", F.lit(","), "cipos_hi"),

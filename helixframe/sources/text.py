@@ -46,16 +46,24 @@ def read_sam(spark: SparkSession, sam: str, contigs: DataFrame | None = None) ->
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Sequence lines with the place of their first base: contig, block_start, bases. The line sums run by file split, then within."""
-    lines = _numbered(spark, path).filter(F.length("value") > 0)
-    head = F.col("value").startswith(">")
-    # Names are rare: a window over header lines only, joined by range of ord.
-    names = lines.filter(head).select("ord", F.regexp_extract("value", r"^>(\S+)", 1).alias("contig"))
-    names = names.select("contig", F.col("ord").alias("_from"), F.lead("ord").over(Window.orderBy("ord")).alias("_to"))
-    body = lines.filter(~head).select("ord", F.trim("value").alias("bases"))
-    named = body.join(F.broadcast(names), (body["ord"] > names["_from"]) & (names["_to"].isNull() | (body["ord"] < names["_to"])))
-    per = Window.partitionBy("contig").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return named.select("contig", F.coalesce(F.sum(F.length("bases")).over(per), F.lit(0)).cast("int").alias("block_start"), "bases")
+    """Sequence lines with the place of their first base: contig, block_start, bases. Names and lengths run within a file split, then from split to split (one row each)."""
+    name = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
+    lines = _numbered(spark, path).filter(F.length("value") > 0).select("ord", F.shiftright("ord", 33).alias("split"), name.alias("name"), F.trim("value").alias("bases"))
+    lines = lines.withColumn("n", F.when(F.col("name").isNull(), F.length("bases")).otherwise(0))
+    so_far = Window.partitionBy("split").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("own", F.last("name", ignorenulls=True).over(so_far)).withColumn("heads", F.count("name").over(so_far))
+    before = Window.partitionBy("split", "heads").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ends = lines.groupBy("split").agg(F.max_by("own", "ord").alias("own"), F.max("heads").alias("heads"), F.max_by(F.col("offset") + F.col("n"), "ord").alias("tail"))
+    by = Window.orderBy("split")
+    up_to = by.rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("own", F.last("own", ignorenulls=True).over(up_to)).withColumn("run", F.count_if(F.col("heads") > 0).over(up_to))
+    ends = ends.withColumn("tail", F.sum("tail").over(Window.partitionBy("run").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = ends.select("split", F.lag("own").over(by).alias("from"), F.coalesce(F.lag("tail").over(by), F.lit(0)).alias("base"))
+    placed = lines.filter("name is null").join(carried, "split")
+    first = F.col("heads") == 0
+    start = F.col("offset") + F.when(first, F.col("base")).otherwise(0)
+    return placed.select(F.when(first, F.col("from")).otherwise(F.col("own")).alias("contig"), start.cast("int").alias("block_start"), "bases").filter("contig is not null")
 
 
 def _intervals(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:

@@ -116,6 +116,31 @@ def test_lars_against_design_matrix():
     assert segment.change_points(y, 1)[0] == first
 
 
-def test_entropy_of_random_masks_partition():
-    rng = random.Random(5)
-    assert math.isclose(sum(variants.expected_folded(d) > 0 for d in range(2, 20)), 18) and rng.random() < 1
+def test_expected_folded():
+    """By enumeration: the mean of min(k, d - k) / d over fair coins, ties of nothing left out."""
+    for d in range(2, 20):
+        assert 0 < variants.expected_folded(d) <= 0.5
+    assert variants.expected_folded(19) > variants.expected_folded(3)
+
+
+def test_binomial_equals_enumeration(spark):
+    rows = [(k, n) for n in (0, 1, 2, 7, 30) for k in range(n + 1)]
+    got = {(r.k, r.n): r.p for r in variants.binomial_test(spark.createDataFrame(rows, "k long, n long"), "k", "n").collect()}
+    for k, n in rows:
+        want = sum(math.comb(n, i) for i in range(n + 1) if math.comb(n, i) <= math.comb(n, k)) / 2**n
+        assert math.isclose(got[k, n], want, rel_tol=1e-9)
+
+
+def test_contrast_scores_equal_plain_loops():
+    rng = np.random.default_rng(4)
+    depth, expected = rng.poisson(np.r_[np.full(300, 2.0), np.full(250, 5.0), np.full(300, 2.0)]).astype(float), rng.uniform(1.8, 2.2, 850)
+    got, want = calls.contrast_scores(depth, expected, 60), np.zeros(850)
+    away = lambda x: math.copysign(math.floor(abs(x) + 0.5), x)
+    for s in calls.scales(60):
+        for at in range(s, 850 - s - 100):
+            a, b = (2 * depth[lo : lo + s].sum() / expected[lo : lo + s].sum() for lo in (at - s + 1, at + 101))
+            shift = away(abs(a - b))
+            off = abs(abs(a - b) - shift) + abs(a - away(a)) + abs(b - away(b))
+            want[at + 50] += shift * (shift - off) if shift >= 1 and off < 1 - 1e-6 else 0
+    want[want < 1.5] = 0
+    assert np.allclose(got, want, atol=1e-3) and (want > 0).sum() > 20
