@@ -69,5 +69,5 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), ratio: float = 1.0, ca
 
 
 def mixing_report(docs: DataFrame, **kw) -> DataFrame:
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")  # texts are read once
     return plan_mix(sizes, **kw).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
