@@ -177,3 +177,10 @@ def test_repeats(spark, monkeypatch, hot):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(d).collect()), key=repr)
     assert got == brute(rows)
     assert suffix.remove_repeats(d.limit(0)).count() == 0
+
+
+def test_repeats_on_a_whole_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(d).collect()), key=repr)
+    want = brute([tuple(r) for r in d.collect()])
+    assert got == want and sum(r[2] for r in want) > 10_000
