@@ -45,15 +45,18 @@ def peak_positions(pos: np.ndarray, left: np.ndarray, right: np.ndarray, bandwid
     every = sorted({*left_at, *right_at})
     # Left and right peaks close to each other are small indels: both go.
     events = sorted({p + 1 for p in every} | {p + bandwidth + 1 for p in every})
-    gone: list[tuple[int, int]] = []
-    for k, i in enumerate(events):
-        if i < bandwidth:
-            i = bandwidth
-        inside = [p for p in every if i - bandwidth <= p <= i - 1]
-        if sum(left_at.get(p, 0) for p in inside) > FLOOR_SUPPORT and sum(right_at.get(p, 0) for p in inside) > FLOOR_SUPPORT:
-            until = events[k + 1] - 1 if k + 1 < len(events) else i
-            gone.append((i - bandwidth, max(i, until) + 1))
-    out = [(p, max(left_at.get(p, 0), right_at.get(p, 0))) for p in every if not any(a <= p <= b for a, b in gone)]
+    place, event = np.array(every, np.int64), np.array(events, np.int64)
+    sums = [np.r_[0, np.cumsum([t.get(p, 0) for p in every])] for t in (left_at, right_at)]
+    at = np.maximum(event, bandwidth)
+    low, high = np.searchsorted(place, at - bandwidth), np.searchsorted(place, at)
+    close = np.all([s[high] - s[low] > FLOOR_SUPPORT for s in sums], axis=0)
+    until = np.maximum(at, np.append(event[1:] - 1, at[-1:])) + 1
+    # Of the places in order, how many stretches that go have begun and ended by each.
+    change = np.zeros(place.size + 1, np.int64)
+    np.add.at(change, np.searchsorted(place, (at - bandwidth)[close]), 1)
+    np.add.at(change, np.searchsorted(place, until[close], side="right"), -1)
+    stay = np.cumsum(change)[: place.size] == 0
+    out = [(p, max(left_at.get(p, 0), right_at.get(p, 0))) for p in place[stay].tolist()]
     return np.array([p for p, _ in out], np.int64), np.array([v for _, v in out], np.int64)
 
 
