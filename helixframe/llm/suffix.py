@@ -1,14 +1,21 @@
 """Removal of repeated passages: every byte covered by a string of ``length`` bytes that also starts earlier.
 
 Each window of ``length`` bytes has an anchor, its k-gram with the least hash (the
-leftmost of equals), so equal windows have equal anchors at equal places. An
-anchor with all windows that it owns is a sparse suffix with its left and right
-context. One scan counts the anchors; those found once can't be in a
-repeated window. A second scan emits the others, where equal contexts form classes:
-a class's occurrences beyond its first document are removed whole. Only
-where one anchor has several contexts, at the edges of repeats, a third scan emits the windows of
-each class's first document and compares them one by one. Strings are compared by
-128 bits of hash (64 of the anchor, 64 of context or window).
+leftmost of equals), so equal windows have equal anchors at equal places. Anchors are the
+sampled positions of the suffix arrays; an anchor with all windows that it owns is a sampled suffix
+with its left and right context.
+
+1. One scan counts the anchors; those found once can't be in a repeated window.
+2. A second scan sorts the others: equal contexts form classes, and a class's
+   occurrences beyond its first document are removed whole.
+3. Where one anchor has several contexts, at the edges of repeats, a third scan emits the bytes of
+   each class's first document. They go, batch by batch of documents, through a ``Family`` of suffix
+   arrays: a new batch is sorted and merge-scanned against the levels there are, neighbours' common
+   prefixes bound what can match, and matches of ``length`` bytes are compared byte by byte.
+   Levels of equal rank merge before the next batch.
+
+Classes are told apart by 128 bits of hash (64 of the anchor, 64 of the context), matches of
+step 3 by their bytes.
 
 Which anchors a scan emits is told to the tasks by a bitmap of ``MAP_BITS`` bits, whatever the
 input's size: a false mark costs a few rows, never a wrong result.
@@ -21,6 +28,7 @@ share an id are separate documents, neither earlier than the other. Texts shorte
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +38,8 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import materialize, text_key
 
 LENGTH, GRAM = 100, 32
+#: The documents come to the family of suffix arrays in so many batches.
+BATCHES = 4
 MAP_BITS = 1 << 29
 #: Texts are hashed together up to so many bytes.
 TOGETHER = 1 << 18
@@ -186,7 +196,7 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, repeated) -> DataFrame:
-    """The anchors that may be repeated: doc_id, _key, fp, ctx, low, high (first byte of the first window, end of the last) and again (an equal one stands earlier in the text)."""
+    """The anchors that may be repeated: doc_id, _key, fp, ctx, low, high (first byte of the first window, end of the last)."""
 
     def run(batches):
         for b in batches:
@@ -197,13 +207,62 @@ def _anchors(docs: DataFrame, repeated) -> DataFrame:
                 if not at.size:
                     continue
                 t, fp, ctx = s.texts_of(s.anchor[at]), fp[at], s.contexts(at)
-                again = _again(t, fp, ctx)
                 pick = pa.array(rows[t])
                 low, high = s.low[at] - s.start[t], s.high[at] - s.start[t] + s.length
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(low), pa.array(high), pa.array(again)], ["doc_id", "_key", "fp", "ctx", "low", "high", "again"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(low), pa.array(high)], ["doc_id", "_key", "fp", "ctx", "low", "high"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, ctx bigint, low bigint, high bigint, again boolean")
+    return docs.select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, ctx bigint, low bigint, high bigint")
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before it in any column, and for the first."""
+    out = np.ones(columns[0].size, bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal values get equal numbers; null is -1."""
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Anchors -> tables told apart by kind: "gone" holds the ranges that go whole, "edge" one row (its first) of each class whose anchor has several contexts.
+
+    The rows of a class pass in order, so what is kept from one Arrow batch to the next is two rows: the class's first and the first of its current document.
+    """
+    names = ["doc_id", "_key", "fp", "ctx", "low", "high"]
+
+    def run(batches):
+        kept, before = None, False  # before: the kept class's anchor had another class already
+
+        def told(t: pa.RecordBatch, at: np.ndarray, kind: str):
+            c = t.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([*c.columns, pa.array([kind] * at.size, pa.string())], [*names, "kind"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old = 0 if kept is None else kept.num_rows
+            t = b if kept is None else pa.Table.from_batches([kept, b.cast(kept.schema)]).combine_chunks().to_batches()[0]
+            fp, ctx, key, low = (t.column(c).to_numpy() for c in ("fp", "ctx", "_key", "low"))
+            doc, n = _codes(t.column("doc_id")), np.arange(t.num_rows)
+            start = _changes(fp, ctx)
+            first = np.maximum.accumulate(np.where(start, n, 0))
+            own = np.maximum.accumulate(np.where(start | _changes(doc, key), n, 0))
+            gone = (doc != doc[first]) | (low > low[own])
+            yield told(t, n[gone & (n >= old)], "gone")
+            at = np.flatnonzero(start)
+            same = np.r_[before, fp[at[1:]] == fp[at[:-1]]]
+            yield told(t, at[:-1][same[:-1] | same[1:]], "edge")
+            kept, before = t.take(pa.array([at[-1], own[-1]])), bool(same[-1])
+        if kept is not None and before:
+            yield told(kept, np.array([0]), "edge")
+
+    ordered = rows.select(names).repartition("fp").sortWithinPartitions("fp", "ctx", F.col("doc_id").asc_nulls_last(), "_key", "low")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return ordered.mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, ctx bigint, low bigint, high bigint, kind string")
 
 
 def _class_mark(fp: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -211,7 +270,7 @@ def _class_mark(fp: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _edges(docs: DataFrame, wanted) -> DataFrame:
-    """The marked classes' first anchors in the marked documents with their bytes: doc_id, _key, fp, low, place (of the anchor in the bytes), bytes."""
+    """The marked classes' first anchors in the marked documents with their bytes: doc_id, _key, fp, low, head (the bytes before the anchor), suffix (those from it on)."""
 
     def run(batches):
         for b in batches:
@@ -226,32 +285,38 @@ def _edges(docs: DataFrame, wanted) -> DataFrame:
                 if not at.size:
                     continue
                 t, pick = t[at], pa.array(rows[t[at]])
-                low, high, whole = s.low[at], s.high[at] + s.length, b"".join(texts)
-                data = [whole[x:y] for x, y in zip(low.tolist(), high.tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(fp[at].view(np.int64)), pa.array(low - s.start[t]), pa.array(s.anchor[at] - low), pa.array(data, pa.binary())], ["doc_id", "_key", "fp", "low", "place", "bytes"])
+                low, mid, high, whole = s.low[at], s.anchor[at], s.high[at] + s.length, b"".join(texts)
+                head = [whole[x:y] for x, y in zip(low.tolist(), mid.tolist())]
+                suffix = [whole[x:y] for x, y in zip(mid.tolist(), high.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(fp[at].view(np.int64)), pa.array(low - s.start[t]), pa.array(head, pa.binary()), pa.array(suffix, pa.binary())], ["doc_id", "_key", "fp", "low", "head", "suffix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, low bigint, place bigint, bytes binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, low bigint, head binary, suffix binary")
 
 
-def _windows(fp: np.ndarray, low: np.ndarray, place: np.ndarray, data: list[bytes], length: int):
-    """Every window of these edges: (row, w1, w2, pos)."""
-    sizes = np.array([len(x) for x in data], np.int64)
+def _windows(t: pa.RecordBatch, most: np.ndarray | None = None):
+    """Windows of these entries, those alone that reach ``most`` bytes at most from the anchor on: (row, w1, w2, pos, the bytes, start of each window in them)."""
+    fp, low = t.column("fp").to_numpy().view(np.uint64), t.column("low").to_numpy()
+    heads, suffixes = t.column("head").to_pylist(), t.column("suffix").to_pylist()
+    place = np.array([len(x) for x in heads], np.int64)
+    sizes = place + np.array([len(x) for x in suffixes], np.int64)
     start = np.cumsum(sizes) - sizes
-    b = np.frombuffer(b"".join(data), np.uint8)
+    b = np.frombuffer(b"".join([x for pair in zip(heads, suffixes) for x in pair]), np.uint8)
     up, down = Powers.to(b.size + 1)
     sums = np.zeros(b.size + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[: b.size], out=sums[1:])
-    n = sizes - length + 1
+    n = sizes - LENGTH + 1
+    if most is not None:
+        n = np.clip(place + most - LENGTH + 1, 0, n)
     row = np.repeat(np.arange(sizes.size), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     s = start[row] + k
-    w2 = mix((sums[s + length] - sums[s]) * down[s])
-    return row, mix(fp[row] ^ ((place[row] - k).astype(np.uint64) * np.uint64(_BASE))), w2, low[row] + k
+    w2 = mix((sums[s + LENGTH] - sums[s]) * down[s])
+    return row, mix(fp[row] ^ ((place[row] - k).astype(np.uint64) * np.uint64(_BASE))), w2, low[row] + k, b, s
 
 
-#: An anchor with more edges than this has its windows dealt out by Spark.
-HOT_EDGES, EDGES_A_TASK = 20_000, 20_000
+#: An anchor with more entries than this has its windows dealt out by Spark; others are scanned so many at a time.
+HOT_EDGES = 20_000
 
 
 def _ranks(doc_id: pa.Array) -> np.ndarray:
@@ -260,44 +325,126 @@ def _ranks(doc_id: pa.Array) -> np.ndarray:
     return np.where(codes < 0, codes.max(initial=0) + 1, codes)
 
 
-def _local_repeats(edges: DataFrame) -> DataFrame:
-    """edges with all of an anchor in one partition -> (doc_id, _key, low, high): runs of windows that occur earlier."""
-
-    def one(t: pa.Table):
-        fp, key, low = (t.column(c).to_numpy().view(np.uint64) if c == "fp" else t.column(c).to_numpy() for c in ("fp", "_key", "low"))
-        row, w1, w2, pos = _windows(fp, low, t.column("place").to_numpy(), t.column("bytes").to_pylist(), LENGTH)
-        doc = _ranks(t.column("doc_id").combine_chunks())
-        order = np.lexsort((pos, key[row], doc[row], w2, w1))
-        r, a, b, p = row[order], w1[order], w2[order], pos[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        first = np.maximum.accumulate(np.where(new, np.arange(r.size), 0))
-        later = doc[r] > doc[r[first]]
-        later[1:] |= ~new[1:] & (doc[r[1:]] == doc[r[:-1]]) & (key[r[1:]] == key[r[:-1]]) & (p[1:] > p[:-1])
-        r, p = r[later], p[later]
-        order = np.lexsort((p, r))
-        r, p = r[order], p[order]
-        cut = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)] if r.size else np.zeros(0, bool)
-        at = np.flatnonzero(cut)
-        end = p[np.r_[at[1:], r.size] - 1] + LENGTH if r.size else p
-        pick = pa.array(r[at])
-        return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pick), t.column("_key").combine_chunks().take(pick), pa.array(p[at]), pa.array(end)], ["doc_id", "_key", "low", "high"])
+def _common(t: pa.RecordBatch, start: np.ndarray) -> np.ndarray:
+    """Bytes that each entry's suffix has in common with one of its neighbours' of the same anchor: no other suffix of the anchor has more."""
+    suffixes = t.column("suffix").to_pylist()
+    wide = max(len(x) for x in suffixes)
+    size = np.array([len(x) for x in suffixes], np.int64)
+    m = np.frombuffer(b"".join([x.ljust(wide, b"\0") for x in suffixes]), np.uint8).reshape(-1, wide)
+    differ = m[1:] != m[:-1]
+    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+    lcp = np.where(start[1:], 0, np.minimum(lcp, np.minimum(size[1:], size[:-1])))
+    return np.maximum(np.r_[0, lcp], np.r_[lcp, 0])
+
+
+def _earlier(t: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Entries in suffix order, whole anchors -> (doc_id, _key, low, high): runs of windows that occur earlier."""
+    fp = t.column("fp").to_numpy()
+    start = _changes(fp)
+    most = _common(t, start)
+    fresh = np.bincount(np.cumsum(start) - 1, weights=t.column("fresh").to_numpy(zero_copy_only=False))[np.cumsum(start) - 1] > 0
+    at = np.flatnonzero(fresh & (most > 0))
+    if not at.size:
+        return None
+    t, most = t.take(pa.array(at)), most[at]
+    key = t.column("_key").to_numpy()
+    row, w1, w2, pos, b, s = _windows(t, most)
+    if not row.size:
+        return None
+    doc = _ranks(t.column("doc_id"))
+    order = np.lexsort((pos, key[row], doc[row], w2, w1))
+    r, p, s = row[order], pos[order], s[order]
+    new = _changes(w1[order], w2[order])
+    view, same = np.lib.stride_tricks.sliding_window_view(b, LENGTH), np.flatnonzero(~new)
+    for lo in range(0, same.size, 1 << 16):
+        q = same[lo : lo + (1 << 16)]
+        new[q] = (view[s[q]] != view[s[q - 1]]).any(axis=1)
+    first = np.maximum.accumulate(np.where(new, np.arange(r.size), 0))
+    own = np.maximum.accumulate(np.where(new | _changes(doc[r], key[r]), np.arange(r.size), 0))
+    later = (doc[r] > doc[r[first]]) | (p > p[own])
+    r, p = r[later], p[later]
+    order = np.lexsort((p, r))
+    r, p = r[order], p[order]
+    at = np.flatnonzero(_changes(r, p - np.arange(p.size))) if r.size else np.zeros(0, np.int64)
+    end = p[np.r_[at[1:], r.size] - 1] + LENGTH if r.size else p
+    pick = pa.array(r[at])
+    return pa.RecordBatch.from_arrays([t.column("doc_id").take(pick), t.column("_key").take(pick), pa.array(p[at]), pa.array(end)], ["doc_id", "_key", "low", "high"])
+
+
+_ENTRY = ["doc_id", "_key", "fp", "low", "head", "suffix"]
+
+
+def _suffix_order(entries: DataFrame) -> DataFrame:
+    """Partitions by anchor, each a suffix array: an anchor's suffixes stand in the order of their bytes."""
+    return entries.repartition("fp").sortWithinPartitions("fp", "suffix", "head", F.col("doc_id").asc_nulls_last(), "_key", "low")
+
+
+class Family:
+    """Suffix arrays in levels. A level of rank r holds 2^r batches; levels of equal rank merge before the next batch comes."""
+
+    def __init__(self):
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def add(self, batch: DataFrame) -> list[DataFrame]:
+        """batch (doc_id, _key, fp, low, head, suffix) -> (doc_id, _key, low, high) tables: what occurs earlier, in the batch or in the levels, for the batch's entries and the levels'."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, materialize(_suffix_order(one.unionByName(two)), "suffix-level")))
+        rows = batch.select(*_ENTRY, F.lit(True).alias("fresh"))
+        for _, level in self.levels:
+            rows = rows.unionByName(level.select(*_ENTRY, F.lit(False).alias("fresh")))
+        scan = materialize(_merge_scan(_suffix_order(rows)), "suffix-scan")
+        self.levels.append((0, scan.filter("kind = 'entry'").select(_ENTRY)))
+        hot = scan.filter("kind = 'hot'").select(_ENTRY)
+        return [scan.filter("kind = 'gone'").select("doc_id", "_key", "low", "high"), *([] if hot.isEmpty() else [_dealt_repeats(hot)])]
+
+
+def _merge_scan(rows: DataFrame) -> DataFrame:
+    """Entries in suffix order -> rows told apart by kind: "gone" (ranges), "entry" (the fresh ones, in order) and "hot" (all entries of anchors with more than HOT_EDGES)."""
+    doc = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "_key", "fp", "low", "head", "suffix", "high", "kind"]
+
+    def told(t: pa.RecordBatch, kind: str) -> pa.RecordBatch:
+        n = t.num_rows
+        return pa.RecordBatch.from_arrays([t.column(c) if c in t.schema.names else pa.nulls(n, {"fp": pa.int64(), "head": pa.binary(), "suffix": pa.binary(), "high": pa.int64()}[c]) for c in names[:-1]] + [pa.array([kind] * n, pa.string())], names)
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        t = t.take(pa.array(np.argsort(t.column("fp").to_numpy(), kind="stable")))
-        fp = t.column("fp").to_numpy()
-        cuts = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-        lo = 0
-        for hi in [*cuts[1:].tolist(), fp.size]:
-            if hi - lo >= HOT_EDGES or hi == fp.size:
-                yield one(t.slice(lo, hi - lo))
-                lo = hi
-
-    kind = edges.schema["doc_id"].dataType.simpleString()
-    return edges.mapInArrow(run, f"doc_id {kind}, _key bigint, low bigint, high bigint")
+        left: list[pa.RecordBatch] = []
+        size, hot = 0, None
+        for b in batches:
+            fresh = b.filter(b.column("fresh"))
+            if fresh.num_rows:
+                yield told(fresh, "entry")
+            if hot is not None:
+                n = int((b.column("fp").to_numpy() == hot).sum())
+                if n:
+                    yield told(b.slice(0, n), "hot")
+                b = b.slice(n)
+            if not b.num_rows:
+                continue
+            hot = None
+            left.append(b)
+            size += b.num_rows
+            if size <= HOT_EDGES:
+                continue
+            t = pa.Table.from_batches(left).combine_chunks().to_batches()[0]
+            cut = int(np.flatnonzero(_changes(t.column("fp").to_numpy()))[-1])
+            got = _earlier(t.slice(0, cut)) if cut else None
+            if got is not None:
+                yield told(got, "gone")
+            t = t.slice(cut)
+            if t.num_rows > HOT_EDGES:
+                hot = t.column("fp")[0].as_py()
+                yield told(t, "hot")
+                left, size = [], 0
+            else:
+                left, size = [t], t.num_rows
+        if left:
+            got = _earlier(pa.Table.from_batches(left).combine_chunks().to_batches()[0])
+            if got is not None:
+                yield told(got, "gone")
+
+    return rows.mapInArrow(run, f"doc_id {doc}, _key bigint, fp bigint, low bigint, head binary, suffix binary, high bigint, kind string")
 
 
 def _dealt_repeats(edges: DataFrame) -> DataFrame:
@@ -307,7 +454,7 @@ def _dealt_repeats(edges: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 c = b.slice(at, 512)
-                row, w1, w2, pos = _windows(c.column(2).to_numpy().view(np.uint64), c.column(3).to_numpy(), c.column(4).to_numpy(), c.column(5).to_pylist(), LENGTH)
+                row, w1, w2, pos, *_ = _windows(c)
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays([c.column(0).take(pick), c.column(1).take(pick), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(pos)], ["doc_id", "_key", "w1", "w2", "pos"])
 
@@ -331,26 +478,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, _key, low, high): byte ranges, overlapping perhaps, that together are all to remove."""
     spark, d = docs.sparkSession, _docs(docs)
     found = materialize(_counts(d), "suffix-repeated")
-    rows = materialize(_anchors(d, bitmap(spark, found, found.count())), "suffix-anchors")
-    once = rows.filter(~F.col("again"))
-    classes = once.groupBy("fp", "ctx").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    several = rows.groupBy("fp").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("fp")
-    classes = materialize(classes, "suffix-classes")
-    edge = materialize(classes.join(several, "fp").select("fp", "ctx", F.xxhash64("least").alias("mark")), "suffix-edge-classes")
+    classes = materialize(_classes(_anchors(d, bitmap(spark, found, found.count()))), "suffix-classes")
+    edge = classes.filter("kind = 'edge'").select("fp", "ctx", F.xxhash64("doc_id").alias("mark"))
 
     def marks(batches):
         for b in batches:
             fp, ctx, doc = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(_class_mark(fp, ctx, doc).view(np.int64))], ["h"])
 
-    edges = materialize(_edges(d, bitmap(spark, edge.mapInArrow(marks, "h bigint"), edge.count())), "suffix-edges")
-    hot = materialize(edges.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_EDGES).select("fp"), "suffix-hot")
-    calm = edges.join(hot, "fp", "left_anti").select(edges.columns)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES_A_TASK))
-    local = _local_repeats(calm.repartition(parts, "fp"))
-    dealt = _dealt_repeats(edges.join(hot, "fp", "left_semi").select(edges.columns))
-    more = rows.join(classes.filter("n > 1").select("fp", "ctx", "least"), ["fp", "ctx"], "left").filter(F.col("again") | _after("least") & F.col("least").isNotNull())
-    return more.select("doc_id", "_key", "low", "high").unionByName(local).unionByName(dealt)
+    edges = _edges(d, bitmap(spark, edge.mapInArrow(marks, "h bigint"), edge.count()))
+    edges = materialize(edges.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).cast("int")), "suffix-edges")
+    family, found = Family(), [classes.filter("kind = 'gone'").select("doc_id", "_key", "low", "high")]
+    for i in range(BATCHES):
+        found += family.add(edges.filter(F.col("batch") == i).drop("batch"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

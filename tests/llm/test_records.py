@@ -184,3 +184,20 @@ def test_repeats_on_a_whole_table(spark):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(d).collect()), key=repr)
     want = brute([tuple(r) for r in d.collect()])
     assert got == want and sum(r[2] for r in want) > 10_000
+
+
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_family_of_suffix_arrays(spark, monkeypatch, hot):
+    """Edges in batches: levels merge geometrically, and nothing depends on the batches' number or order."""
+    ranks = []
+    add = suffix.Family.add
+    monkeypatch.setattr(suffix.Family, "add", lambda self, batch: (add(self, batch), ranks.append([r for r, _ in self.levels]))[0])
+    monkeypatch.setattr(suffix, "BATCHES", 5)
+    monkeypatch.setattr(suffix, "HOT_EDGES", hot)
+    rng = random.Random(11)
+    passage = ["".join(rng.choice("abcdefgh ") for _ in range(260)) for _ in range(3)]
+    other = lambda: "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(5, 80)))
+    rows = [(i, other() + passage[i % 3][rng.randrange(60) : 260 - rng.randrange(60)] + other()) for i in range(60)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows)
+    assert ranks == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0]]
