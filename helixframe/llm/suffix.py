@@ -32,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,23 +197,40 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, repeated) -> DataFrame:
-    """The anchors that may be repeated: doc_id, _key, fp, ctx, low, high (first byte of the first window, end of the last)."""
+    """The anchors that may be repeated: doc_id, _key, fp, ctx, low, high (first byte of the first window, end of the last), copy and deal.
+
+    copy: an equal context stands earlier in the same Arrow batch of documents, so the range goes whatever else
+    there is. Such rows need no company: deal spreads them, where others are dealt by their anchor.
+    """
+    names = ["doc_id", "_key", "fp", "ctx", "low", "high"]
 
     def run(batches):
         for b in batches:
+            found = []
             for rows, texts in _runs(b, 2):
                 s = Scan(texts)
                 fp = s.fingerprints()
                 at = np.flatnonzero(marked(repeated.value, _half(fp) << np.uint64(32)))
-                if not at.size:
-                    continue
-                t, fp, ctx = s.texts_of(s.anchor[at]), fp[at], s.contexts(at)
-                pick = pa.array(rows[t])
-                low, high = s.low[at] - s.start[t], s.high[at] - s.start[t] + s.length
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(low), pa.array(high)], ["doc_id", "_key", "fp", "ctx", "low", "high"])
+                if at.size:
+                    t = s.texts_of(s.anchor[at])
+                    found.append((rows[t], fp[at], s.contexts(at), s.low[at] - s.start[t], s.high[at] - s.start[t] + s.length))
+            if not found:
+                continue
+            row, fp, ctx, low, high = (np.concatenate(c) for c in zip(*found))
+            doc, key = _ranks(b.column(0))[row], b.column(1).to_numpy()[row]
+            order = np.lexsort((low, key, doc, ctx, fp))
+            d, k, p = doc[order], key[order], low[order]
+            start, n = _changes(fp[order], ctx[order]), np.arange(order.size)
+            first = np.maximum.accumulate(np.where(start, n, 0))
+            own = np.maximum.accumulate(np.where(start | _changes(d, k), n, 0))
+            copy = np.empty(order.size, bool)
+            copy[order] = (d != d[first]) | (p > p[own])
+            deal = np.where(copy, mix(key.view(np.uint64) ^ low.astype(np.uint64)), fp).view(np.int64)
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(low), pa.array(high), pa.array(copy), pa.array(deal)], [*names, "copy", "deal"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, ctx bigint, low bigint, high bigint")
+    return docs.select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, ctx bigint, low bigint, high bigint, copy boolean, deal bigint")
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -242,6 +260,9 @@ def _classes(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*c.columns, pa.array([kind] * at.size, pa.string())], [*names, "kind"])
 
         for b in batches:
+            copy = b.column("copy")
+            yield told(b.select(names), np.flatnonzero(copy.to_numpy(zero_copy_only=False)), "gone")
+            b = b.select(names).filter(pc.invert(copy))
             if not b.num_rows:
                 continue
             old = 0 if kept is None else kept.num_rows
@@ -260,7 +281,7 @@ def _classes(rows: DataFrame) -> DataFrame:
         if kept is not None and before:
             yield told(kept, np.array([0]), "edge")
 
-    ordered = rows.select(names).repartition("fp").sortWithinPartitions("fp", "ctx", F.col("doc_id").asc_nulls_last(), "_key", "low")
+    ordered = rows.repartition("deal").drop("deal").sortWithinPartitions("copy", "fp", "ctx", F.col("doc_id").asc_nulls_last(), "_key", "low")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(run, f"doc_id {kind}, _key bigint, fp bigint, ctx bigint, low bigint, high bigint, kind string")
 
@@ -321,8 +342,7 @@ HOT_EDGES = 20_000
 
 def _ranks(doc_id: pa.Array) -> np.ndarray:
     """The order of ids among themselves; null last."""
-    codes, _ = doc_id.to_pandas().factorize(sort=True)
-    return np.where(codes < 0, codes.max(initial=0) + 1, codes)
+    return pc.rank(doc_id, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
 def _common(t: pa.RecordBatch, start: np.ndarray) -> np.ndarray:
@@ -488,9 +508,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     edges = _edges(d, bitmap(spark, edge.mapInArrow(marks, "h bigint"), edge.count()))
     edges = materialize(edges.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).cast("int")), "suffix-edges")
+    # Anchors with too many contexts for one task never meet in one.
+    hot = materialize(edges.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_EDGES).select("fp"), "suffix-hot")
     family, found = Family(), [classes.filter("kind = 'gone'").select("doc_id", "_key", "low", "high")]
+    calm = edges
+    if not hot.isEmpty():
+        calm = edges.join(hot, "fp", "left_anti")
+        found.append(_dealt_repeats(edges.join(hot, "fp", "left_semi").select(_ENTRY)))
     for i in range(BATCHES):
-        found += family.add(edges.filter(F.col("batch") == i).drop("batch"))
+        found += family.add(calm.filter(F.col("batch") == i).select(_ENTRY))
     return reduce(DataFrame.unionByName, found)
 
 
