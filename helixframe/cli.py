@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import datetime
 import sys
 
 from pyspark.sql import SparkSession
 
+from helixframe import __version__
 from helixframe.config import CallConfig, MergeConfig, SegmentConfig
 
 
@@ -35,6 +37,8 @@ def build() -> argparse.ArgumentParser:
     _options(seg, SegmentConfig)
     seg.add_argument("--signals", nargs="*", help="columns to use; all after the third by default")
     seg.add_argument("input")
+    sub.add_parser("version", help="the version")
+    sub.add_parser("help", help="this text")
     return parser
 
 
@@ -45,6 +49,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from helixframe.sources import bcf, sinks, text
 
     args = vars(build().parse_args(argv))
+    if args["command"] in ("version", "help"):
+        print(f"helixframe {__version__}" if args["command"] == "version" else build().format_help())
+        return 0
     spark = spark or SparkSession.builder.appName("helixframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     kind = {"call": CallConfig, "merge": MergeConfig, "segment": SegmentConfig}[args["command"]]
     cfg = kind(**{f.name: args[f.name] for f in dataclasses.fields(kind) if f.name in args})
@@ -61,8 +68,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if cfg.statsfile:
             sinks.stats_lines(r.library, r.bins, r.curve, r.low, r.high).write.mode("overwrite").csv(cfg.statsfile, sep="\t", quote="", compression="gzip")
         records = materialize(r.records, "records")
-        sinks.write_vcf(records, inputs["contigs"], f"{cfg.outprefix}.vcf", cfg.sample)
-        bcf.write_bcf(records, inputs["contigs"], f"{cfg.outprefix}.bcf", cfg.sample)
+        said = {"reference": cfg.genome, "day": datetime.date.today().strftime("%Y%m%d")}
+        sinks.write_vcf(records, inputs["contigs"], f"{cfg.outprefix}.vcf", cfg.sample, **said)
+        bcf.write_bcf(records, inputs["contigs"], f"{cfg.outprefix}.bcf", cfg.sample, **said)
     elif isinstance(cfg, MergeConfig):
         sinks.tsv(merge_tables([text.read_windows(spark, p) for p in args["inputs"]], cfg.by_type).withColumnRenamed("contig", "chr"), cfg.outfile, null="NaN")
     else:

@@ -212,10 +212,10 @@ def index(places: list[tuple[int, int, int, int, int]], lengths: list[int]) -> b
     return bgzf.compress(b"".join(out))[0]
 
 
-def write_bcf(records: DataFrame, contigs: DataFrame, path: str, sample: str, method: str = "helixframe") -> None:
+def write_bcf(records: DataFrame, contigs: DataFrame, path: str, sample: str, method: str = "helixframe", reference: str = "", day: str = "") -> None:
     """One file in order of place, and ``path``.csi. One task writes both: calls only, a few thousand a genome."""
     names = [(r["contig"], r["length"]) for r in contigs.orderBy("tid").collect()]
-    lines = vcf_header(names, sample)
+    lines = vcf_header(names, sample, reference, day)
     text = "\n".join([lines[0], '##FILTER=<ID=PASS,Description="All filters passed">', *lines[1:]]) + "\n"
     keys = {v: k for k, v in dictionaries(text)[2].items()}
     numbers = {c: i for i, (c, _) in enumerate(names)}

@@ -59,11 +59,12 @@ INFO = (
     ("PTY", "1", "Float", "Penalty of the boundaries"), ("MPB", "1", "Float", "Callable share"), ("RDS", "1", "Float", "Read-depth support"), ("IMPRECISE", "0", "Flag", "Ends from read depth"), ("PRECISE", "0", "Flag", "Both ends from split reads"),
     ("SVTYPE", "1", "String", "Type"), ("SVMETHOD", "1", "String", "Method"),
 )
-FORMAT = (("GT", "1", "String", "Genotype"), ("CNL", "10", "Float", "Log10 likelihoods of copy numbers 0 to 9"), ("GQ", "1", "Integer", "Quality"), ("FT", "1", "String", "Filter"), ("CN", "1", "Integer", "Copy number"))
+FORMAT = (("GT", "1", "String", "Genotype"), ("CNL", ".", "Float", "Log10 likelihoods of copy numbers 0 to 9"), ("GQ", "1", "Integer", "Quality"), ("FT", "1", "String", "Filter"), ("CN", "1", "Integer", "Copy number"))
 
 
-def vcf_header(contigs: list[tuple[str, int]], sample: str) -> list[str]:
-    out = ["##fileformat=VCFv4.2", '##FILTER=<ID=LowQual,Description="Quality below 15">', '##ALT=<ID=CNV,Description="Copy-number variant">']
+def vcf_header(contigs: list[tuple[str, int]], sample: str, reference: str = "", day: str = "") -> list[str]:
+    """day as YYYYMMDD; what is empty gets no line."""
+    out = ["##fileformat=VCFv4.2", *([f"##fileDate={day}"] if day else []), *([f"##reference={reference}"] if reference else []), '##FILTER=<ID=LowQual,Description="Quality below 15">', '##ALT=<ID=CNV,Description="Copy-number variant">']
     out += [f'##INFO=<ID={a},Number={n},Type={t},Description="{d}">' for a, n, t, d in INFO]
     out += [f'##FORMAT=<ID={a},Number={n},Type={t},Description="{d}">' for a, n, t, d in FORMAT]
     out += [f"##contig=<ID={c},length={n}>" for c, n in contigs]
@@ -88,9 +89,9 @@ def _plain(v):
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v.cast("double")), "0+$", ""), "\\.$", "")
 
 
-def write_vcf(records: DataFrame, contigs: DataFrame, path: str, sample: str) -> None:
+def write_vcf(records: DataFrame, contigs: DataFrame, path: str, sample: str, reference: str = "", day: str = "") -> None:
     """One text file: the header, then the records in order of their numbers; calls only, a few thousand a genome."""
     spark = records.sparkSession
     names = [(r["contig"], r["length"]) for r in contigs.orderBy("tid").collect()]
-    head = spark.createDataFrame([(f"!{i:08d}", x) for i, x in enumerate(vcf_header(names, sample))], "id string, line string")
+    head = spark.createDataFrame([(f"!{i:08d}", x) for i, x in enumerate(vcf_header(names, sample, reference, day))], "id string, line string")
     head.unionByName(vcf_lines(records)).coalesce(1).sortWithinPartitions("id").select(F.col("line").alias("value")).write.mode("overwrite").text(path)

@@ -48,7 +48,7 @@ def test_three_commands(spark, tmp_path):
     assert read_gz(t("o.adaptive.cov.gz"))[0] == rows[0]
     assert {r[0] for r in read_gz(t("stats"))} == {"LP", "SW", "GC", "BoundsGC"}
     vcf = [x for f in glob.glob(t("o.vcf") + "/part-*") for x in open(f)]
-    assert vcf[0].startswith("##fileformat") and sum(x.startswith("##INFO") for x in vcf) == 15
+    assert vcf[0].startswith("##fileformat") and vcf[1][:11] == "##fileDate=" and len(vcf[1].strip()) == 19 and vcf[2].startswith("##reference=") and sum(x.startswith("##INFO") for x in vcf) == 15
     calls = [x.split("\t") for x in vcf if x[0] != "#"]
     header, first = bcf.read_header(t("o.bcf"))
     with open(t("o.bcf"), "rb") as f:
@@ -76,3 +76,8 @@ def test_stream_equals_batch(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert {tuple(r) for r in spark.table(f"s{i}").collect()} == want
+
+
+def test_words_about_the_program(capsys):
+    assert cli.main(["version"]) == 0 and capsys.readouterr().out.startswith("helixframe ")
+    assert cli.main(["help"]) == 0 and "segment" in capsys.readouterr().out
