@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontamination, html_text, media, mixing, quality, sharding, simhash, suffix, toxicity, warc
+from helixframe.llm import decontamination, hard_negatives, html_text, media, mixing, prefix_hash, quality, resampling, sharding, simhash, suffix, toxicity, warc
 from helixframe.llm.common import table
 
 
@@ -47,7 +47,19 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op4_quality, op5_warc, op6_sharding, op7_media, op8_repeats, op9_toxicity, op10_simhash)}
+def op11_resampling(spark, sf_dir):
+    return resampling.resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark, sf_dir):
+    return prefix_hash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark, sf_dir):
+    return hard_negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_html_text, op4_quality, op5_warc, op6_sharding, op7_media, op8_repeats, op9_toxicity, op10_simhash, op11_resampling, op12_fingerprints, op13_negatives)}
 
 SQL = {}
 
@@ -93,3 +105,38 @@ SELECT page_id, payload_bytes,
         CAST((CAST(concat('0x', substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), lambda a, b: concat(a, b)) AS payload_digest,
     CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to FROM h
 """
+
+# CRC-32 by a table of 256 entries made from its polynomial, over the bytes of each distinct feature.
+SQL["op11_resampling"] = f"""
+WITH RECURSIVE steps AS (SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM generate_series(0, 255) g(i)
+    UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, len(w) AS n_words, flatten(list_transform([1, 2, 3], lambda k: list_transform(generate_series(1, greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS f FROM d),
+bf AS (SELECT unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(generate_series(1, greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS f FROM b),
+du AS (SELECT doc_id, unnest(f) AS f FROM df),
+dc AS (SELECT doc_id, f, count(*) AS n FROM du GROUP BY ALL),
+every AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dc UNION SELECT f FROM bf)),
+buckets AS (SELECT f, xor(list_reduce(list_transform(generate_series(1, len(h) // 2), lambda i: CAST(concat('0x', substr(h, 2 * i - 1, 2)) AS BIGINT)),
+    lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM every, crc),
+s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM dc JOIN buckets USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN buckets USING (f) GROUP BY bucket),
+totals AS (SELECT (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) FROM s) AS s_all, (SELECT CAST(coalesce(sum(t), 0) AS DOUBLE) FROM t) AS t_all),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), totals),
+weights AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM dc JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, n_words, CAST(len(f) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('42:', CAST(doc_id AS VARCHAR))), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM df LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+SQL["op13_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
