@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.stats import median_mad, upper_median
+from helixframe.operators.prefix import first_rows
 
 # Fixed values of the SAM format: bits of the flag field.
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE = 0x1, 0x4, 0x8, 0x10, 0x20
@@ -94,18 +95,27 @@ def fragment_midpoints(reads: DataFrame, low, high, mode: str = "count", meanisi
     return reads.withColumn("mid", mid).filter(F.col("mid").isNotNull())
 
 
-def fragments(reads: DataFrame, contigs: DataFrame, quality: int, low, high, mode: str = "count", meanisize: int = 251, single_end_layout: bool = False) -> DataFrame:
-    """(contig, pos): where each fragment counts. The scan wants facing pairs; single-end reads have no layout unless single_end_layout asks for it as the paired rule has it."""
-    r = mates_here(min_quality(drop_flagged(reads), quality))
+def paired_reads(reads: DataFrame, quality: int) -> DataFrame:
+    """What all ways of counting share: counted reads, unpaired ones and second mates, with alen. Write it where several of them follow."""
+    r = mates_here(min_quality(drop_flagged(reads), quality)).withColumn("alen", aligned_length(F.col("cigar")))
+    return second_mates(r.select("ord", "qname", "flag", "tid", "pos", "mtid", "mpos", "alen"))
+
+
+def fragment_points(paired: DataFrame, contigs: DataFrame, low, high, mode: str = "count", meanisize: int = 251, single_end_layout: bool = False) -> DataFrame:
+    """(contig, pos): where each fragment of paired_reads() counts. The scan wants facing pairs, which is the same for both reads of a pair; single-end reads have no layout unless single_end_layout asks for it as the paired rule has it."""
     if mode == "scan":
         wanted = layout() == 2
-        r = r.filter(wanted if single_end_layout else wanted | ~has(PAIRED))
-    r = r.withColumn("alen", aligned_length(F.col("cigar")))
-    mids = fragment_midpoints(second_mates(r.select("ord", "qname", "flag", "tid", "pos", "mtid", "mpos", "alen")), low, high, mode, meanisize)
+        paired = paired.filter(wanted if single_end_layout else wanted | ~has(PAIRED))
+    mids = fragment_midpoints(paired, low, high, mode, meanisize)
     c = contigs.select("tid", "contig", "length")
     return mids.join(F.broadcast(c), "tid").filter((F.col("mid") >= 0) & (F.col("mid") < F.col("length"))).select("contig", F.col("mid").alias("pos"))
 
 
+def fragments(reads: DataFrame, contigs: DataFrame, quality: int, low, high, mode: str = "count", meanisize: int = 251, single_end_layout: bool = False) -> DataFrame:
+    """(contig, pos) of the fragments of reads, counted one way."""
+    return fragment_points(paired_reads(reads, quality), contigs, low, high, mode, meanisize, single_end_layout)
+
+
 def depth(points: DataFrame) -> DataFrame:
     """(contig, pos) -> with depth, which stops at MOST_DEPTH."""
     return points.groupBy("contig", "pos").agg(F.least(F.count(F.lit(1)), F.lit(MOST_DEPTH)).alias("depth"))
@@ -114,13 +124,13 @@ def depth(points: DataFrame) -> DataFrame:
 def library_stats(reads: DataFrame, mad_cutoff: int = 3, screened: int = 10_000_000, wanted: int = 1_000_000, least: int = 1_000) -> dict:
     """Read length, insert size median, MAD and range of a bounded sample in file order; defaults for single-end data.
 
-    Gives rs, median, mad, min_isize, max_isize, meanisize, facing, not_facing.
+    Gives rs, median, mad, min_isize, max_isize, meanisize, facing, not_facing. The sample is cut by counting reads by their number, not by sorting them.
     """
-    r = drop_flagged(reads).filter(~has(READ2) & (F.col("l_qseq") < 65_000)).orderBy("ord").limit(screened + 1)
+    r = first_rows(drop_flagged(reads).filter(~has(READ2) & (F.col("l_qseq") < 65_000)), screened + 1)
     pair = has(PAIRED) & ~has(MATE_UNMAPPED) & (F.col("tid") == F.col("mtid"))
-    sizes = r.filter(pair).orderBy("ord").limit(wanted).select(F.abs("isize").alias("isize"), (layout() == 2).alias("facing"))
+    sizes = first_rows(r.filter(pair), wanted).select(F.abs("isize").alias("isize"), (layout() == 2).alias("facing"))
     out = {"rs": 0, "median": 250, "mad": 15, "min_isize": 0, "max_isize": 400, "facing": 0, "not_facing": 0}
-    n_reads, rs = r.orderBy("ord").limit(wanted).agg(F.count(F.lit(1)), upper_median("l_qseq")).first()
+    n_reads, rs = first_rows(r, wanted).agg(F.count(F.lit(1)), upper_median("l_qseq")).first()
     if n_reads >= least:
         out["rs"] = int(rs)
     n, facing = sizes.agg(F.count(F.lit(1)), F.count_if("facing")).first()
@@ -153,19 +163,15 @@ def split_breakpoints(reads: DataFrame, contigs: DataFrame, quality: int, minsiz
     return inside.groupBy("contig", F.col("m.pos").alias("pos")).agg(cap(F.col("m.left")).alias("left_n"), cap(~F.col("m.left")).alias("right_n"))
 
 
-def aligned_bases(reads: DataFrame) -> DataFrame:
-    """(tid, pos, base, bq): one row for each aligned base of a read."""
-    start = F.struct(F.col("pos").alias("rp"), F.lit(0).alias("sp"), F.array().cast("array<struct<rp:int,sp:int,n:int>>").alias("out"))
+def base_at(place: Column, pos: str = "pos", cigar: str = "cigar") -> Column:
+    """The 0-based place in the read of the base that is aligned to a reference place: prefix sums over the CIGAR's blocks; null in gaps."""
+    start = F.struct(F.col(pos).cast("int").alias("rp"), F.lit(0).alias("sp"), F.lit(None).cast("int").alias("at"))
 
     def step(a, c):
         op, n = c["op"], c["len"]
-        here = op.isin("M", "=", "X")
-        block = F.when(here, F.array(F.struct(a["rp"].alias("rp"), a["sp"].alias("sp"), n.alias("n")))).otherwise(F.array().cast("array<struct<rp:int,sp:int,n:int>>"))
+        inside = op.isin("M", "=", "X") & (place >= a["rp"]) & (place < a["rp"] + n)
         rp = a["rp"] + F.when(op.isin("M", "=", "X", "D", "N"), n).otherwise(0)
         sp = a["sp"] + F.when(op.isin("M", "=", "X", "I", "S"), n).otherwise(0)
-        return F.struct(rp.cast("int").alias("rp"), sp.cast("int").alias("sp"), F.concat(a["out"], block).alias("out"))
+        return F.struct(rp.cast("int").alias("rp"), sp.cast("int").alias("sp"), F.when(inside, a["sp"] + (place - a["rp"])).otherwise(a["at"]).cast("int").alias("at"))
 
-    blocks = reads.select("tid", "seq", "qual", F.explode(F.aggregate("cigar", start, step, lambda a: a["out"])).alias("b"))
-    at = blocks.filter(F.col("b.n") > 0).select("tid", "seq", "qual", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("k"))
-    sp = F.col("b.sp") + F.col("k")
-    return at.select("tid", (F.col("b.rp") + F.col("k")).alias("pos"), F.upper(F.substring("seq", sp + 1, F.lit(1))).alias("base"), F.try_element_at("qual", sp + 1).cast("int").alias("bq"))
+    return F.aggregate(cigar, start, step, lambda a: a["at"])

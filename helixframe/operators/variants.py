@@ -8,17 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.stats import safe_div
-from helixframe.operators.intervals import interval_join
-from helixframe.operators.reads import MOST_ALLELES, NOT_COUNTED, aligned_bases, drop_flagged, mates_here, min_quality
-
-
-def pileup(reads: DataFrame, variants: DataFrame, contigs: DataFrame, reference: DataFrame, quality: int, base_quality: int) -> DataFrame:
-    """(contig, pos, ref, alt, ref_n, alt_n). reference: contig, pos, base. Aligned bases meet variants by an equi-join on their place; mates that overlap count twice."""
-    r = mates_here(min_quality(drop_flagged(reads, NOT_COUNTED), quality))
-    bases = aligned_bases(r).filter(F.col("bq") >= base_quality).join(F.broadcast(contigs.select("tid", "contig")), "tid")
-    true = variants.select("contig", "pos", "ref", "alt").join(reference.select("contig", "pos", F.upper("base").alias("_base")), ["contig", "pos"]).filter(F.col("_base") == F.col("ref")).drop("_base")
-    both = bases.select("contig", "pos", "base").join(true, ["contig", "pos"])
-    n = both.groupBy("contig", "pos", "ref", "alt").agg(F.count_if(F.col("base") == F.col("alt")).alias("alt_n"), F.count_if((F.col("base") == F.col("ref")) & (F.col("base") != F.col("alt"))).alias("ref_n"))
+from helixframe.operators.intervals import bucketed, interval_join
+from helixframe.operators.reads import MOST_ALLELES, NOT_COUNTED, aligned_length, base_at, drop_flagged, mates_here, min_quality
+
+
+def true_sites(variants: DataFrame, reference: DataFrame, bucket: int = 1 << 10) -> DataFrame:
+    """(contig, pos, ref, alt) of the variants whose REF is the genome's base. reference: sequence blocks (contig, block_start, bases), of which a substring is taken."""
+    blocks = reference.select("contig", F.col("block_start").alias("start"), (F.col("block_start") + F.length("bases")).alias("end"), "bases")
+    at = interval_join(variants.select("contig", "pos", "ref", "alt"), blocks, bucket)
+    base = F.substring("bases", (F.col("pos") - F.col("start") + 1).cast("int"), F.lit(1))
+    return at.filter(F.upper(base) == F.col("ref")).select("contig", "pos", "ref", "alt")
+
+
+def pileup(reads: DataFrame, variants: DataFrame, contigs: DataFrame, reference: DataFrame, quality: int, base_quality: int, bucket: int = 1 << 10) -> DataFrame:
+    """(contig, pos, ref, alt, ref_n, alt_n). reference: sequence blocks (contig, block_start, bases). Mates that overlap count twice.
+
+    Reads as intervals meet the sites of their buckets, which are one sorted row a bucket; a read's
+    base at a site follows from the sums of its CIGAR. There are rows for pairs of a read and a site, none for bases without one.
+    """
+    r = mates_here(min_quality(drop_flagged(reads, NOT_COUNTED), quality)).join(F.broadcast(contigs.select("tid", "contig")), "tid")
+    spans = r.select("contig", "pos", "cigar", "seq", "qual", (F.col("pos") + aligned_length(F.col("cigar"))).alias("end")).filter(F.col("end") > F.col("pos"))
+    spans = bucketed(spans, bucket, "pos", "end")
+    per = true_sites(variants, reference, bucket).groupBy("contig", F.expr(f"pos div {bucket}").alias("_bucket")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), "ref", "alt"))).alias("sites"))
+    inside = F.filter("sites", lambda s: (s["at"] >= F.col("pos")) & (s["at"] < F.col("end")))
+    met = spans.join(per, ["contig", "_bucket"]).select("contig", "pos", "cigar", "seq", "qual", F.explode(inside).alias("s"))
+    met = met.withColumn("_k", base_at(F.col("s.at"))).filter(F.col("_k").isNotNull() & (F.try_element_at("qual", F.col("_k") + 1) >= base_quality))
+    met = met.select("contig", F.col("s.at").alias("pos"), F.col("s.ref").alias("ref"), F.col("s.alt").alias("alt"), F.upper(F.substring("seq", F.col("_k") + 1, F.lit(1))).alias("base"))
+    n = met.groupBy("contig", "pos", "ref", "alt").agg(F.count_if(F.col("base") == F.col("alt")).alias("alt_n"), F.count_if((F.col("base") == F.col("ref")) & (F.col("base") != F.col("alt"))).alias("ref_n"))
     cap = lambda c: F.least(F.col(c), F.lit(MOST_ALLELES)).cast("int").alias(c)
     out = variants.select("contig", "pos", "ref", "alt").join(n, ["contig", "pos", "ref", "alt"], "left").fillna(0, ["ref_n", "alt_n"])
     return out.select("contig", "pos", "ref", "alt", cap("ref_n"), cap("alt_n"))

@@ -39,8 +39,8 @@ class CallResult:
     records: DataFrame
 
 
-def _support(cfg: CallConfig, alignments, sites, contigs, reference_bases):
-    return variants.pileup(alignments, sites, contigs, reference_bases, cfg.quality, cfg.basequality)
+def _support(cfg: CallConfig, alignments, sites, contigs, reference):
+    return variants.pileup(alignments, sites, contigs, reference, cfg.quality, cfg.basequality)
 
 
 def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference: DataFrame, mappability: DataFrame, sites: DataFrame | None = None, control: DataFrame | None = None, bed: DataFrame | None = None, scan_regions: DataFrame | None = None) -> CallResult:
@@ -54,10 +54,9 @@ def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference:
     baf = support = control_support = None
     control_maf = None
     if sites is not None:
-        genome = content.bases_of(reference, "base")
-        support = _support(cfg, alignments, sites, contigs, genome)
+        support = _support(cfg, alignments, sites, contigs, reference)
         if control is not None:
-            control_support = materialize(variants.het_sites(_support(cfg, control, sites, contigs, genome), cfg.coverage, control=True), "control")
+            control_support = materialize(variants.het_sites(_support(cfg, control, sites, contigs, reference), cfg.coverage, control=True), "control")
             support = variants.matched_sites(support, control_support)
         else:
             support = variants.het_sites(support, cfg.coverage)
@@ -69,7 +68,9 @@ def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference:
     bases = materialize(content.content(reference, mappability, here, n), "bases")
 
     # Scan windows and the choice of normal ones.
-    at = reads.fragments(alignments, here, cfg.quality, lib["min_isize"], lib["max_isize"], "scan")
+    paired = materialize(reads.paired_reads(alignments, cfg.quality), "paired")
+    points = lambda mode: reads.fragment_points(paired, here, lib["min_isize"], lib["max_isize"], mode, n)
+    at = points("scan")
     at = at.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("n")).join(bases.select("contig", "pos", "uniq"), ["contig", "pos"]).select("contig", "pos", "n", content.unique_enough(cfg.fragment, n).alias("unique"))
     at = materialize(at, "fragments")
     scanned = scan.scanned_contigs(here, at.groupBy("contig").agg(F.sum("n").alias("cov")), n95_length(contigs), cfg.sex_contigs, cfg.enough_coverage)
@@ -83,7 +84,7 @@ def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference:
     bins = materialize(bins, "selected")
 
     # The curve over unique bases of selected windows, and its bounds.
-    mids = reads.depth(reads.fragments(alignments, here, cfg.quality, lib["min_isize"], lib["max_isize"], "bias", n))
+    mids = reads.depth(points("bias"))
     chosen = bins.filter("selected").select("contig", "start", "end")
     known = intervals.interval_join(bases.filter(content.unique_enough(cfg.fragment, n)), chosen, cfg.scan_window).join(mids, ["contig", "pos"], "left")
     curve = bias.curve(known.select("gc", F.coalesce("depth", F.lit(0)).alias("depth")), n + 1)
@@ -92,7 +93,7 @@ def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference:
     curve = materialize(bias.renormalised(curve, low, high), "curve")
 
     # Callable bases with depth and what the curve expects.
-    depth = reads.depth(reads.fragments(alignments, here, cfg.quality, lib["min_isize"], lib["max_isize"], "count"))
+    depth = reads.depth(points("count"))
     ok = bases.filter(content.callable_base(low, high, cfg.fragment, n)).join(depth, ["contig", "pos"], "left")
     ok = ok.join(F.broadcast(curve.select("gc", "obsexp", F.col("coverage").alias("expected"))), "gc").select("contig", "pos", F.coalesce("depth", F.lit(0)).alias("depth"), "obsexp", "expected")
     ok = materialize(ok, "callable")

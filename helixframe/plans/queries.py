@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import stats
 from helixframe.functions.work import materialize
-from helixframe.operators import bias, calls, genotype, intervals, merge, prefix, reads, scan, segment, variants, windows
+from helixframe.operators import bias, calls, content, genotype, intervals, merge, prefix, reads, scan, segment, variants, windows
 from helixframe.plans import views as v
 
 QUERIES = {}
@@ -50,40 +50,66 @@ def layout_class(spark, d):
     return x.select("qname", "line", reads.layout().alias("layout"))
 
 
-def _pairs(spark, d) -> DataFrame:
-    """Lines 1 and 2 of an order as the two reads of a pair, in the order of place and line."""
-    a = v.align(spark, d).filter("flag in (1, 2)")
-    mate = Window.partitionBy("qname")
-    other = lambda c: (F.sum(c).over(mate) - F.col(c)).cast("int")
-    p = a.withColumn("_n", F.count(F.lit(1)).over(mate)).select("qname", F.lit(1).alias("flag"), "tid", "pos", other("tid").alias("mtid"), other("pos").alias("mpos"), "alen", F.col("flag").alias("line"), "_n").filter("_n = 2")
-    return p.withColumn("ord", F.col("pos").cast("long") * 10 + F.col("line"))
+_READS = f"""{v.RECORDS}, r AS (SELECT * FROM v_records WHERE flag & 1796 = 0 AND mapq >= 10 AND NOT (mate AND tid <> mtid)),
+seconds AS (SELECT r.* FROM r LEFT JOIN r m ON m.mate AND m.qname = r.qname AND m.ord <> r.ord WHERE NOT r.mate OR (m.ord IS NOT NULL AND (r.pos > r.mpos OR (r.pos = r.mpos AND r.ord > m.ord))))"""
 
 
-_PAIRS = f"""{v.ALIGN}, two AS (SELECT a.qname, a.tid, a.pos, b.pos AS mpos, a.alen, a.flag AS line, b.flag AS mline FROM v_align a JOIN v_align b ON a.qname = b.qname AND a.flag + b.flag = 3 AND a.tid = b.tid WHERE a.flag IN (1, 2)),
-seconds AS (SELECT * FROM two WHERE pos > mpos OR (pos = mpos AND line > mline))"""
+def _seconds(spark, d) -> DataFrame:
+    return reads.second_mates(reads.mates_here(reads.min_quality(reads.drop_flagged(v.records(spark, d)), 10)))
 
 
-@query(f"WITH {_PAIRS} SELECT qname, tid, pos, mpos, line FROM seconds")
+@query(f"WITH {_READS} SELECT qname, tid, pos, mpos, line FROM seconds")
 def mate_pairs(spark, d):
-    return reads.second_mates(reads.mates_here(_pairs(spark, d))).select("qname", "tid", "pos", "mpos", "line")
+    """Unpaired reads and second mates of all lines of all orders."""
+    return _seconds(spark, d).select("qname", "tid", "pos", "mpos", "line")
 
 
-@query(f"""WITH {_PAIRS}, x AS (SELECT *, pos + alen - mpos AS isize FROM seconds)
-SELECT qname, tid, CAST(CASE WHEN isize > 100 AND isize < 900 THEN mpos + isize // 2 ELSE pos + alen // 2 END AS INTEGER) AS mid FROM x""")
+@query(f"""WITH {_READS}, x AS (SELECT *, pos + alen - mpos AS size FROM seconds)
+SELECT qname, tid, CAST(CASE WHEN mate AND size > 100 AND size < 900 THEN mpos + size // 2 ELSE pos + alen // 2 END AS INTEGER) AS mid FROM x""")
 def fragment_midpoints(spark, d):
-    return reads.fragment_midpoints(reads.second_mates(reads.mates_here(_pairs(spark, d))), 100, 900).select("qname", "tid", "mid")
+    return reads.fragment_midpoints(_seconds(spark, d), 100, 900).select("qname", "tid", "mid")
 
 
-@query(f"""WITH {_PAIRS}, x AS (SELECT pos + alen - mpos AS isize FROM seconds), m AS (SELECT count(*) AS n, list_sort(list(isize))[count(*) // 2 + 1] AS median FROM x),
-dev AS (SELECT list_sort(list(abs(isize - median)))[count(*) // 2 + 1] AS mad FROM x, m)
+@query(f"""WITH {_READS}, p AS (SELECT pos + alen - mpos AS isize FROM seconds WHERE mate), m AS (SELECT count(*) AS n, list_sort(list(isize))[count(*) // 2 + 1] AS median FROM p),
+dev AS (SELECT list_sort(list(abs(isize - median)))[count(*) // 2 + 1] AS mad FROM p, m)
 SELECT n, CAST(median AS INTEGER) AS median, CAST(mad AS INTEGER) AS mad, CAST(median // 2 * 2 + 1 AS INTEGER) AS meanisize, CAST(greatest(0, median - 3 * mad) AS INTEGER) AS low, CAST(median + 3 * mad AS INTEGER) AS high FROM m, dev""")
 def isize_stats(spark, d):
-    x = reads.second_mates(reads.mates_here(_pairs(spark, d))).select((F.col("pos") + F.col("alen") - F.col("mpos")).alias("isize"))
+    x = _seconds(spark, d).filter(reads.has(reads.PAIRED)).select((F.col("pos") + F.col("alen") - F.col("mpos")).alias("isize"))
     m = stats.median_mad(x, "isize").crossJoin(F.broadcast(x.agg(F.count(F.lit(1)).alias("n"))))
     c = F.col
     return m.select("n", c("median").cast("int"), c("mad").cast("int"), (F.floor(c("median") / 2) * 2 + 1).cast("int").alias("meanisize"), F.greatest(F.lit(0), c("median") - 3 * c("mad")).cast("int").alias("low"), (c("median") + 3 * c("mad")).cast("int").alias("high"))
 
 
+#: Reads looked at, reads and pairs taken: the sample's bounds, which cut at every scale but the smallest.
+SCREENED, TAKEN = 20_000, 10_000
+
+
+@query(f"""WITH {v.RECORDS}, s AS (SELECT * FROM v_records WHERE flag & 1796 = 0 AND flag & 128 = 0 AND l_qseq < 65000 ORDER BY ord LIMIT {SCREENED + 1}),
+rd AS (SELECT * FROM s ORDER BY ord LIMIT {TAKEN}), pr AS (SELECT abs(isize) AS isize, pos < mpos AS facing FROM s WHERE mate AND tid = mtid ORDER BY ord LIMIT {TAKEN}),
+a AS (SELECT count(*) AS n, list_sort(list(l_qseq))[count(*) // 2 + 1] AS rs FROM rd), m AS (SELECT count(*) AS n, count_if(facing) AS facing, list_sort(list(isize))[count(*) // 2 + 1] AS median FROM pr),
+dv AS (SELECT list_sort(list(abs(isize - median)))[count(*) // 2 + 1] AS mad FROM pr, m), k AS (SELECT m.*, mad, m.n >= 1000 AND median >= 50 AND median <= 100000 AS ok FROM m, dv)
+SELECT CASE WHEN a.n >= 1000 THEN rs ELSE 0 END AS rs, CASE WHEN ok THEN median ELSE 250 END AS median, CASE WHEN ok THEN mad ELSE 15 END AS mad, CASE WHEN ok THEN greatest(0, median - 3 * mad) ELSE 0 END AS min_isize,
+    CASE WHEN ok THEN median + 3 * mad ELSE 400 END AS max_isize, CASE WHEN ok THEN facing ELSE 0 END AS facing, CASE WHEN ok THEN k.n - facing ELSE 0 END AS not_facing, CASE WHEN ok THEN median ELSE 250 END // 2 * 2 + 1 AS meanisize FROM a, k""")
+def library_stats(spark, d):
+    """One row: what the library's first reads and pairs in file order say."""
+    got = reads.library_stats(materialize(v.records(spark, d), "records"), screened=SCREENED, wanted=TAKEN)
+    return spark.createDataFrame([tuple(map(int, got.values()))], ", ".join(f"{k} long" for k in got))
+
+
+_PILEUP = f"""{v.RECORDS}, {v.GENOME}, r AS (SELECT * FROM v_records WHERE flag & 1796 = 0 AND mapq >= 10 AND NOT (mate AND tid <> mtid)),
+cut AS (SELECT ord, 0 AS r, 0 AS s, alen AS n FROM r WHERE line % 3 = 0 UNION ALL SELECT ord, 0, 5, alen - 10 FROM r WHERE line % 3 = 1 UNION ALL SELECT ord, alen - 10, alen - 2, 10 FROM r WHERE line % 3 = 1
+    UNION ALL SELECT ord, 0, 0, 8 FROM r WHERE line % 3 = 2 UNION ALL SELECT ord, 12, 8, alen - 18 FROM r WHERE line % 3 = 2),
+aligned AS (SELECT concat('g', r.tid) AS contig, r.pos + c.r + k AS pos, substr(r.seq, CAST(c.s + k + 1 AS BIGINT), 1) AS base, 2 * (instr('{v.HEX}', substr(q, CAST(c.s + k + 1 AS BIGINT), 1)) - 1) AS bq
+    FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM cut) c JOIN r USING (ord)),
+sup AS (SELECT s.contig, s.pos, s.ref, s.alt, count_if(a.base = s.alt) AS alt_n, count_if(a.base = s.ref) AS ref_n FROM v_sites s JOIN v_genome g ON g.contig = s.contig AND g.pos = s.pos AND g.base = s.ref JOIN aligned a ON a.contig = s.contig AND a.pos = s.pos AND a.bq >= 10 GROUP BY ALL)"""
+
+
+@query(f"WITH {_PILEUP} SELECT contig, pos, ref, alt, CAST(coalesce(ref_n, 0) AS INTEGER) AS ref_n, CAST(coalesce(alt_n, 0) AS INTEGER) AS alt_n FROM v_sites LEFT JOIN sup USING (contig, pos, ref, alt)")
+def pileup(spark, d):
+    """Allele support of sites on a genome made of ship days."""
+    return variants.pileup(v.records(spark, d), v.sites(spark, d), v.genome_contigs(spark, d), v.genome(spark, d), 10, 10)
+
+
 @query("""WITH c AS (SELECT p_brand AS contig, CAST(sum(p_size) AS BIGINT) AS length FROM part GROUP BY p_brand),
 r AS (SELECT *, sum(length) OVER (ORDER BY length DESC, contig ROWS UNBOUNDED PRECEDING) AS run, sum(length) OVER () AS total FROM c) SELECT max(length) AS n95 FROM r WHERE run > 0.95 * total""")
 def n95_length(spark, d):
@@ -102,9 +128,8 @@ def depth_track(spark, d):
 @query(f"""WITH {v.SEQUENCE}, x AS (SELECT contig, pos, length, CAST(sum(CASE WHEN ch IN ('e', 't', 'E', 'T') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS BIGINT) AS g FROM v_seq),
 y AS (SELECT contig, CASE WHEN pos >= 25 AND pos < length - 25 THEN g ELSE 0 END AS gc FROM x) SELECT contig, gc, count(*) AS n FROM y GROUP BY contig, gc""")
 def gc_window(spark, d):
-    x = v.sequence(spark, d).select("contig", "pos", "length", F.col("ch").isin("e", "t", "E", "T").cast("long").alias("gc"))
-    out = prefix.centred_sums(x, ["gc"], 25, block=4_096)
-    return out.groupBy("contig", F.col("gc_sum").alias("gc")).agg(F.count(F.lit(1)).alias("n"))
+    out = content.block_sums({"gc": (v.sequence(spark, d), "etET")}, 25)
+    return out.groupBy("contig", F.col("gc").cast("long").alias("gc")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Scan windows, curve, bounds -------------------------------------------------------------------------------------

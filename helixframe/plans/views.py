@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Minutes of the events' month; hours of the day are strata; every seventh minute is not unique.
@@ -62,9 +62,8 @@ BASE = DEPTH + ", " + CONTIGS + f""", v_base AS (SELECT e.contig, e.pos, CAST((e
 
 
 def sequence(spark, sf_dir) -> DataFrame:
-    """Characters of the documents: contig (doc_id), pos, ch, length."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contig"), "text", F.length("text").cast("long").alias("length"))
-    return d.select("contig", "length", F.posexplode(F.split("text", "")).alias("pos", "ch")).filter(F.col("ch") != "")
+    """Texts of the documents as sequence blocks: contig (doc_id), length, block_start, bases."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contig"), F.length("text").cast("long").alias("length"), F.lit(0).alias("block_start"), F.col("text").alias("bases"))
 
 
 SEQUENCE = """v_seq AS (SELECT contig, length, pos - 1 AS pos, cs[pos] AS ch FROM (SELECT contig, length, cs, unnest(generate_series(1, len(cs))) AS pos
@@ -83,3 +82,66 @@ def snps(spark, sf_dir) -> DataFrame:
 
 
 SNP = "v_snp AS (SELECT o_orderstatus AS contig, o_orderkey AS pos, CAST(floor(o_totalprice) AS BIGINT) % 60 AS ref_n, CAST(floor(o_totalprice / 7) AS BIGINT) % 60 AS alt_n FROM orders)"
+
+
+#: Days that a genome made of ship dates has; letters of its bases and of its reads.
+DAYS, HEX, LETTERS = 2_560, "0123456789abcdef", "ACGTACGTACGTACGT"
+
+
+def ship_days(spark, sf_dir) -> DataFrame:
+    """Lines a (supplier group, ship day): tid, pos, n."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).cast("int").alias("tid"), day.alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def genome_contigs(spark, sf_dir) -> DataFrame:
+    return spark.range(5).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("g"), F.col("id").cast("string")).alias("contig"), F.lit(DAYS).alias("length"))
+
+
+def genome(spark, sf_dir) -> DataFrame:
+    """Sequence blocks of 64 bases: a day's base is that of its number of lines modulo 4, N on days without any."""
+    days = spark.range(DAYS).select(F.col("id").cast("int").alias("pos"))
+    every = genome_contigs(spark, sf_dir).join(days).join(ship_days(spark, sf_dir), ["tid", "pos"], "left")  # five contigs
+    base = F.coalesce(F.substring(F.lit("ACGT"), (F.col("n") % 4 + 1).cast("int"), F.lit(1)), F.lit("N"))
+    blocks = every.groupBy("contig", F.expr("pos div 64 * 64").cast("int").alias("block_start")).agg(F.array_sort(F.collect_list(F.struct("pos", base.alias("base")))).alias("b"))
+    return blocks.select("contig", "block_start", F.array_join("b.base", "").alias("bases"))
+
+
+def sites(spark, sf_dir) -> DataFrame:
+    """A site on each day whose number of lines isn't divisible by 3: REF the base, or another one on days divisible by 10."""
+    s = ship_days(spark, sf_dir).filter("n % 3 <> 0 AND pos >= 0")
+    letter = lambda k: F.substring(F.lit("ACGT"), (k % 4 + 1).cast("int"), F.lit(1))
+    wrong = F.when(F.col("pos") % 10 == 0, 1).otherwise(0)
+    return s.select(F.concat(F.lit("g"), F.col("tid").cast("string")).alias("contig"), "pos", letter(F.col("n") + wrong).alias("ref"), letter(F.col("n") + wrong + 1 + F.col("pos") % 3).alias("alt"))
+
+
+def records(spark, sf_dir) -> DataFrame:
+    """The reads of align() with sequences and qualities from hashes, in three shapes of CIGAR, in order of place. Lines 1 and 2, 3 and 4, ... of an order are pairs where they share a contig."""
+    a = align(spark, sf_dir).withColumnRenamed("flag", "line").withColumn("half", F.expr("(line + 1) div 2"))
+    two = Window.partitionBy("qname", "half")
+    other = lambda c: (F.sum(c).over(two) - F.col(c)).cast("int")
+    key = F.concat_ws("-", F.col("qname").cast("string"), F.col("line").cast("string"))
+    spelt = lambda salt: F.concat(*[F.md5(F.concat(F.lit(f"{salt}{i}"), key)) for i in range(2)])
+    piece = lambda op, n: F.struct(F.lit(op).alias("op"), n.cast("int").alias("len"))
+    n = F.col("alen")
+    cigar = F.when(F.col("line") % 3 == 0, F.array(piece("M", n))).when(F.col("line") % 3 == 1, F.array(piece("S", F.lit(5)), piece("M", n - 10), piece("I", F.lit(3)), piece("M", F.lit(10)))).otherwise(F.array(piece("M", F.lit(8)), piece("D", F.lit(4)), piece("=", n - 18), piece("N", F.lit(6))))
+    mate = F.col("_n") == 2
+    here = mate & (other("tid") == F.col("tid"))
+    reads = a.withColumn("_n", F.count(F.lit(1)).over(two)).select(
+        (F.shiftleft(F.col("pos").cast("long"), 33) + F.col("qname") * 8 + F.col("line")).alias("ord"), (F.col("qname") * 8 + F.col("half")).cast("string").alias("qname"),
+        (F.when(mate, 1 + F.when(F.col("line") % 2 == 1, 64 + 32).otherwise(128 + 16)).otherwise(0) + F.when(F.col("mapq") == 7, 1024).otherwise(0)).cast("int").alias("flag"),
+        "tid", "pos", "mapq", cigar.alias("cigar"), F.when(mate, other("tid")).otherwise(F.lit(-1)).alias("mtid"), F.when(mate, other("pos")).otherwise(F.lit(-1)).alias("mpos"),
+        F.when(here, other("pos") - F.col("pos")).otherwise(F.lit(0)).cast("int").alias("isize"), n.alias("l_qseq"), F.translate(spelt("s"), HEX, LETTERS).alias("seq"),
+        F.transform(F.filter(F.split(spelt("q"), ""), lambda c: c != ""), lambda c: (F.conv(c, 16, 10).cast("int") * 2).cast("tinyint")).alias("qual"), "line", "alen",
+    )
+    return reads
+
+
+#: v_days, v_genome (a row a base), v_sites and v_records, whose CIGAR is left to the queries.
+GENOME = f"""v_days AS (SELECT CAST(l_suppkey % 5 AS INTEGER) AS tid, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS pos, count(*) AS n FROM lineitem GROUP BY 1, 2),
+v_genome AS (SELECT concat('g', t.tid) AS contig, p.pos, coalesce(substr('ACGT', n % 4 + 1, 1), 'N') AS base FROM (SELECT unnest(generate_series(0, 4)) AS tid) t CROSS JOIN (SELECT unnest(generate_series(0, {DAYS - 1})) AS pos) p LEFT JOIN v_days d ON d.tid = t.tid AND d.pos = p.pos),
+v_sites AS (SELECT concat('g', tid) AS contig, pos, substr('ACGT', (n + w) % 4 + 1, 1) AS ref, substr('ACGT', (n + w + 1 + pos % 3) % 4 + 1, 1) AS alt FROM (SELECT *, CASE WHEN pos % 10 = 0 THEN 1 ELSE 0 END AS w FROM v_days WHERE n % 3 <> 0 AND pos >= 0))"""
+RECORDS = ALIGN + f""", v_two AS (SELECT *, (flag + 1) // 2 AS half, count(*) OVER two AS n, sum(tid) OVER two - tid AS otid, sum(pos) OVER two - pos AS opos FROM v_align WINDOW two AS (PARTITION BY qname, (flag + 1) // 2)),
+v_records AS (SELECT pos * 8589934592 + qname * 8 + flag AS ord, CAST(qname * 8 + half AS VARCHAR) AS qname, flag AS line, n = 2 AS mate, CASE WHEN n = 2 THEN 1 + CASE WHEN flag % 2 = 1 THEN 96 ELSE 144 END ELSE 0 END + CASE WHEN mapq = 7 THEN 1024 ELSE 0 END AS flag,
+    tid, pos, mapq, alen, CASE WHEN n = 2 THEN otid ELSE -1 END AS mtid, CASE WHEN n = 2 THEN opos ELSE -1 END AS mpos, CASE WHEN n = 2 AND otid = tid THEN opos - pos ELSE 0 END AS isize, alen AS l_qseq,
+    translate(concat(md5(concat('s0', qname, '-', flag)), md5(concat('s1', qname, '-', flag))), '{HEX}', '{LETTERS}') AS seq, concat(md5(concat('q0', qname, '-', flag)), md5(concat('q1', qname, '-', flag))) AS q FROM v_two)"""

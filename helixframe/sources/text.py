@@ -36,8 +36,8 @@ def read_sam(spark: SparkSession, sam: str, contigs: DataFrame | None = None) ->
     seq = F.when(field(9) != "*", field(9))
     quals = F.transform(F.filter(F.split(F.when(field(10) != "*", field(10)), ""), lambda c: c != ""), lambda c: (F.ascii(c) - 33).cast("tinyint"))
     rows = lines.select(
-        "ord", field(0).alias("qname"), field(1).cast("int").alias("flag"), field(2).alias("_c"), (field(3).cast("int") - 1).alias("pos"), field(4).cast("int").alias("mapq"), parse_cigar(field(5)).alias("cigar"),
-        mate.alias("_m"), (field(7).cast("int") - 1).alias("mpos"), field(8).cast("int").alias("isize"), F.coalesce(F.length(seq), F.lit(0)).alias("l_qseq"), seq.alias("seq"), quals.alias("qual"),
+        "ord", field(0).alias("qname"), field(1).try_cast("int").alias("flag"), field(2).alias("_c"), (field(3).try_cast("int") - 1).alias("pos"), field(4).try_cast("int").alias("mapq"), parse_cigar(field(5)).alias("cigar"),
+        mate.alias("_m"), (field(7).try_cast("int") - 1).alias("mpos"), field(8).try_cast("int").alias("isize"), F.coalesce(F.length(seq), F.lit(0)).alias("l_qseq"), seq.alias("seq"), quals.alias("qual"),
     )
     c = F.broadcast(contigs.select("tid", "contig"))
     out = rows.join(c.withColumnsRenamed({"tid": "tid", "contig": "_c"}), "_c", "left").join(c.withColumnsRenamed({"tid": "mtid", "contig": "_m"}), "_m", "left")
@@ -93,7 +93,7 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None) -> DataF
     head = lines.filter(F.col("value").startswith("#CHROM")).select("value").first()
     names = head[0].split("\t") if head else []
     f = F.split("value", "\t")
-    rows = lines.filter(~F.col("value").startswith("#")).select("ord", F.get(f, F.lit(0)).alias("contig"), (F.get(f, F.lit(1)).cast("int") - 1).alias("pos"), F.upper(F.get(f, F.lit(3))).alias("ref"), F.upper(F.get(f, F.lit(4))).alias("alt"), f.alias("_f"))
+    rows = lines.filter(~F.col("value").startswith("#")).select("ord", F.get(f, F.lit(0)).alias("contig"), (F.get(f, F.lit(1)).try_cast("int") - 1).alias("pos"), F.upper(F.get(f, F.lit(3))).alias("ref"), F.upper(F.get(f, F.lit(4))).alias("alt"), f.alias("_f"))
     rows = rows.filter((F.length("ref") == 1) & (F.length("alt") == 1) & (F.col("ref") != F.col("alt")) & ~F.col("alt").isin(".", "*"))
     if sample in names[9:]:
         rows = rows.withColumn("gt", genotype(F.get("_f", F.lit(names.index(sample)))))
