@@ -14,9 +14,10 @@ numbers alone (24 bytes a candidate), pointer jumping from the file's
 start marks the records on the chain; a version line inside a payload isn't on
 it. Pieces between two marked records are put together again.
 
-A piece is known by file, split and its place in the scan; the files are
-written once and never changed, so each scan sees the same. Compressed files
-(.gz) are one split each.
+A piece is known by file, split and its place in the scan. How files are cut into
+splits follows the cores at hand, so the scan happens once and its pieces are
+written; all that follows reads them from there, and a marked piece that isn't
+among them raises an error. Compressed files (.gz) are one split each.
 
 Nulls: a null html is an empty payload, empty payloads count as equal; a null url is left out.
 Pages that repeat the smallest page_id of a payload are all responses, as are
@@ -93,8 +94,12 @@ def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, seq, octets, size, value), from one scan, written. size: the bytes to where the successor must start, by the header."""
     text = spark.read.option("lineSep", VERSION).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
+    value = F.col("value")
+    size = F.when(F.instr(value, END) > 0, F.lit(len(VERSION) + 2 * len(END)) + F.octet_length(_head(value)) + _length(value)).cast("long")
+    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), F.octet_length(value).alias("octets"), size.alias("size"), "value")
+    return materialize(pieces, "warc-pieces")
 
 
 def _head(value: Column) -> Column:
@@ -166,10 +171,12 @@ def _records(pieces: DataFrame, keep_payload: bool) -> DataFrame:
 def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """The records on each file's chain: file, record (offset), header fields, payload_bytes, payload_digest and, if wanted, payload."""
     pieces = _pieces(spark, path)
-    value = F.col("value")
-    size = F.when(F.instr(value, END) > 0, F.lit(len(VERSION) + 2 * len(END)) + F.octet_length(_head(value)) + _length(value))
-    owners = materialize(_chains(pieces.select("file", "split", "seq", F.octet_length(value).alias("octets"), size.cast("long").alias("size"))), "warc-chains")
+    owners = materialize(_chains(pieces.select("file", "split", "seq", "octets", "size")), "warc-chains")
     key = ["file", "split", "seq"]
+    lost = owners.join(pieces.select(*key), key, "left_anti").count()
+    if lost:
+        raise RuntimeError(f"{lost} pieces of records on the chain are not among the pieces read")
+    pieces = pieces.select(*key, "value")
     several = owners.filter("n_pieces > 1")
     few = several.count() <= BROADCAST_PIECES
     parts = pieces.join(F.broadcast(several) if few else several, key)

@@ -50,6 +50,30 @@ def test_warc_report(spark, monkeypatch, most):
     assert warc.archive_report(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("cores", [(4, 6), (8, 4), (4, 40)])
+@pytest.mark.parametrize("keep", [True, False])
+def test_warc_when_cores_come_and_go(spark, tmp_path, cores, keep):
+    rows = [(i, f"http://{i}", f"page {i} " * (i % 90) + ("WARC/1.0\r\n" if i % 7 == 0 else "")) for i in range(250)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(12), path)
+    name = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(name, str(cores[0]))
+        r = warc.read_warc(spark, path, keep)
+        spark.conf.set(name, str(cores[1]))
+        assert sorted(int(x.page_id) for x in r.collect()) == list(range(250))
+    finally:
+        spark.conf.unset(name)
+
+
+def test_warc_missing_piece_raises(spark, tmp_path, monkeypatch):
+    path, chains = str(tmp_path / "w"), warc._chains
+    warc.write_warc(spark.createDataFrame([(1, "u", "x"), (2, "u", "y")], PAGES), path)
+    monkeypatch.setattr(warc, "_chains", lambda c: chains(c).withColumn("seq", F.col("seq") + 1))
+    with pytest.raises(RuntimeError, match="pieces"):
+        warc.read_warc(spark, path)
+
+
 def test_chain():
     off, size = np.array([0, 10, 15, 30, 40]), np.array([10, 20, 25, 10, 5])
     assert warc.mark_chain(off, size).tolist() == [True, True, False, True, True]
