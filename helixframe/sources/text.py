@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.work import materialize
 from helixframe.operators.intervals import union_intervals
 from helixframe.operators.reads import parse_cigar
 
@@ -49,7 +50,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Sequence lines with the place of their first base: contig, block_start, bases. Names and lengths run within a file split, then from split to split (one row each)."""
     name = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
     lines = _numbered(spark, path).filter(F.length("value") > 0).select("ord", F.shiftright("ord", 33).alias("split"), name.alias("name"), F.trim("value").alias("bases"))
-    lines = lines.withColumn("n", F.when(F.col("name").isNull(), F.length("bases")).otherwise(0))
+    # The numbers follow how this scan was cut into splits, so both sides of the join below must come from one scan.
+    lines = materialize(lines.withColumn("n", F.when(F.col("name").isNull(), F.length("bases")).otherwise(0)), "fasta-lines")
     so_far = Window.partitionBy("split").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("own", F.last("name", ignorenulls=True).over(so_far)).withColumn("heads", F.count("name").over(so_far))
     before = Window.partitionBy("split", "heads").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
