@@ -6,6 +6,9 @@ not. For each bucket the log ratio of its smoothed rate in toxic and in clean
 documents scales the feature; buckets whose ratio the sample doesn't support
 (chi-square) are left out, as are the weaker ones beyond a set number. Logistic regression with an L2 penalty weighs what
 remains; a toxic row counts ``POSITIVE`` times, as clean ones are many more. Each n-gram length has its own share of the buckets.
+Scores are calibrated to the fixed ``LIMIT``: every training row is scored by a fit on the other
+folds of the training rows, the cut is where the smaller of precision and recall of these scores is
+largest, and the intercept moves so that the cut scores ``LIMIT``.
 
 Fitting takes at most about ``MAX_ROWS`` labelled documents (a documented
 bound; whole texts) in one task. Scoring is a pass over whole texts.
@@ -37,6 +40,8 @@ CHI_SQUARE, MOST_KEPT = 12.0, 4000
 #: Weight of a toxic row in the fit, against 1 of a clean one.
 POSITIVE = 4.0
 LIMIT = 0.7
+#: Folds of the training rows for the calibration, which needs so many rows of each kind.
+FOLDS, LEAST_ROWS = 4, 8
 
 
 def characters(text: str) -> np.ndarray:
@@ -128,6 +133,37 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 150, penalty: float =
     return Model(float(bias), kept, (w * ratio).astype(np.float32))
 
 
+def balanced_cut(z: np.ndarray, labels: np.ndarray) -> float:
+    """Where the smaller of precision and recall of z >= cut is largest: the middle between the scores on both sides of the best cuts."""
+    order = np.argsort(-z, kind="stable")
+    z, hits = z[order], np.cumsum(labels[order])
+    ends = np.flatnonzero(np.r_[z[1:] != z[:-1], True])  # equal scores stay together
+    worth = np.minimum(hits[ends] / (ends + 1), hits[ends] / max(hits[-1], 1))
+    best = ends[worth >= worth.max() - 1e-12]
+    below = z[min(best[-1] + 1, z.size - 1)]
+    return float((z[best[0]] + below) / 2)
+
+
+def fit_calibrated(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> Model:
+    """fit() with the intercept moved to the cut found on scores of rows that their fit didn't see."""
+    model, good = fit(texts, labels), int(labels.sum())
+    if min(good, labels.size - good) < LEAST_ROWS:
+        return model
+    z = np.zeros(labels.size)
+    fold = np.zeros(labels.size, np.int64)
+    for kind in (0, 1):  # each fold has its share of both
+        at = np.flatnonzero(labels == kind)
+        fold[at] = np.arange(at.size) % folds
+    for f in range(folds):
+        one = fit([t for t, k in zip(texts, fold) if k != f], labels[fold != f])
+        weights = one.dense()
+        wanted = weights != 0
+        for i in np.flatnonzero(fold == f):
+            z[i] = one.bias + float(weights[held(texts[i], wanted)].sum())
+    model.bias += float(np.log(LIMIT / (1 - LIMIT))) - balanced_cut(z, labels)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = training_rows(docs, labels, "toxic", 3, 1, max_rows, 41)
 
@@ -136,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         if not got:
             return
         all_rows = pd.concat(got).sort_values("doc_id")
-        m = fit(all_rows["text"].tolist(), all_rows["label"].to_numpy(np.float64))
+        m = fit_calibrated(all_rows["text"].tolist(), all_rows["label"].to_numpy(np.float64))
         yield pd.DataFrame({"bias": [m.bias], "buckets": [m.buckets.astype(np.int32).tobytes()], "weights": [m.weights.tobytes()]})
 
     found = rows.repartition(1).mapInPandas(run, "bias double, buckets binary, weights binary").collect()

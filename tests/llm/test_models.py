@@ -40,6 +40,23 @@ def test_toxicity_learns():
     assert toxicity.fit(texts[:2], np.zeros(2)).buckets.size == 0
 
 
+def test_balanced_cut():
+    z, y = np.array([3.0, 2.5, 2.0, 1.0, 0.0, -1.0]), np.array([1, 1, 0, 1, 0, 0])
+    assert toxicity.balanced_cut(z, y) == 0.5  # three of four right, all found
+    assert toxicity.balanced_cut(np.array([5.0, 4.0, 0.0, -1.0]), np.array([1, 1, 0, 0])) == 2.0
+    assert toxicity.balanced_cut(np.ones(4), np.array([1, 0, 0, 1])) == 1.0
+
+
+def test_toxicity_held_out(spark):
+    """Of all held-out rows of the largest table at least nine in ten toxic ones are found, and nine in ten found ones are toxic."""
+    big = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    d = spark.read.parquet(f"{big}/documents.parquet").join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi")
+    got = toxicity.toxicity_report(d, labels).join(labels, "doc_id").filter("held_out AND toxic IS NOT NULL").toPandas()
+    assert len(got) > 1_000
+    assert got.toxic[got.predicted == 1].mean() >= 0.9 and got.predicted[got.toxic == 1].mean() >= 0.9
+
+
 def test_toxicity_report(spark, tables):
     d, labels = tables
     odd = spark.createDataFrame([(10_001, None), (10_002, ""), (10_003, "x " * 60_000), (None, "no id")], "doc_id long, text string")
