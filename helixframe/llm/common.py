@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.work import materialize, shared_dir, work_path
 
-__all__ = ["ascii_lower", "materialize", "shared_dir", "table", "text_key", "unit_hash", "work_path"]
+__all__ = ["ascii_lower", "free_name", "materialize", "shared_dir", "table", "text_key", "unit_hash", "work_path"]
 
 #: ASCII A-Z to a-z; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,6 +21,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share an id; null and empty texts differ."""
     return F.xxhash64(text.isNull(), text)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, text_key
+from helixframe.llm.common import free_name, materialize, text_key
 
 BUDGET, BLOCKS, BLOCK_BITS = 3, 4, 16
 #: Node pairs held at once.
@@ -241,6 +241,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     found = near_duplicates(docs, shingle)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("x"))
     keep = first.select(F.col("x.doc_id").alias("_id"), F.col("x._key").alias("_k"))
-    keyed = docs.withColumn("_simhash_key", text_key(F.col("text")))
-    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_simhash_key"] == keep["_k"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_simhash_key"]).drop("_simhash_key")
+    name = free_name(docs, "_simhash_key")
+    keyed = docs.withColumn(name, text_key(F.col("text")))
+    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed[name] == keep["_k"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", name]).drop(name)

@@ -77,3 +77,23 @@ def test_texts_that_share_a_part(spark):
     open_ = found.selectExpr("node", "n", "node as root")
     pairs = near_copies.prefix_pairs(near_copies.prefixes(open_, sets, 0.8), 0.8)
     assert 40 * 39 // 2 <= pairs.count() < 2000  # of 57,630 pairs
+
+
+def test_a_large_cluster(spark):
+    """10,000 near copies of one text of 200 words stay one; its pairs with the pivot are dealt out over tasks."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(10_000):
+        copy = list(base)
+        copy[r.randrange(200)] = f"x{k}"
+        texts.append((k, " ".join(copy)))
+    alone = [(10_000 + k, " ".join(f"y{k}-{i}" for i in range(30))) for k in range(20)]
+    docs = spark.createDataFrame(texts + alone, "doc_id long, text string").repartition(8)
+    assert sorted(x.doc_id for x in near_copies.drop_near_copies(docs).collect()) == [0, *range(10_000, 10_020)]
+
+
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "a b c", "x", "y")], "doc_id long, text string, _copies_key string, _SIMHASH_KEY string")
+    for drop in (near_copies.drop_near_copies, simhash.drop_near_duplicates):
+        assert [tuple(x) for x in drop(docs).collect()] == [(1, "a b c", "x", "y")]
