@@ -9,7 +9,9 @@ second pass joins the documents' positions with the prefixes alone, drops those
 where the window would begin before the document or end behind it, and compares
 the rest word by word. The documents' words are written once for both passes.
 
-Shingles are broadcast up to ``BROADCAST_ROWS``; beyond, both passes join them by shuffle.
+Shingles are broadcast up to ``BROADCAST_ROWS``; beyond, both passes join them by
+shuffle, and a bitmap of the shingles (``MAP_BITS`` bits each, one row of at most
+2**``MOST_BITS`` bits) keeps almost all other positions out of it. A fuller bitmap keeps out fewer, which costs shuffle, not results.
 
 Nulls: a null or empty text has no words and no hits. Rows that repeat an id
 are told apart by their text; identical rows get identical results. Benchmark
@@ -25,6 +27,7 @@ from helixframe.llm.common import ascii_lower, materialize, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
+MAP_BITS, MOST_BITS = 16, 29
 
 
 def words(text: Column) -> Column:
@@ -57,6 +60,22 @@ def _positions(texts: DataFrame, sizes: list[int]) -> DataFrame:
     return at.select("doc_id", "_key", "n_words", "words", "pos", (hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))).alias("h"))
 
 
+def _bitmap(shingles: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(one row: bits, an array of 64-bit words in which each shingle's bit is set; the number of bits' logarithm). shingles: n rows of h."""
+    bits = min(MOST_BITS, max(10, (MAP_BITS * n).bit_length()))
+    place = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    held = shingles.groupBy(place.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    every = shingles.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "w").join(held, "w", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("bits")), bits
+
+
+def _may_hold(rows: DataFrame, shingles: DataFrame, n: int) -> DataFrame:
+    """rows without most of those whose h is no shingle; the bitmap is a scalar that each task has."""
+    bitmap, bits = _bitmap(shingles, n)
+    word = F.element_at(materialize(bitmap, "bench-bitmap").scalar(), F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int") + 1)
+    return rows.filter(F.getbit(word, F.col("h").bitwiseAND(63).cast("int")) == 1)
+
+
 def find_windows(texts: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(hits: doc_id, _key, start, wlen, wtext; windows: item_id, wtext). texts: doc_words()."""
     windows = materialize(item_windows(benchmark, window), "bench-windows")
@@ -69,20 +88,20 @@ def find_windows(texts: DataFrame, benchmark: DataFrame, window: int = 10, shing
     if not sizes:
         none = texts.select("doc_id", "_key", F.lit(0).alias("start"), F.lit(0).alias("wlen"), F.lit("").alias("wtext")).filter(F.lit(False))
         return none, windows.select("item_id", "wtext")
-    small = distinct.count() <= most
+    n_distinct = distinct.count()
+    small = n_distinct <= most
     every = _positions(texts, sizes).select("h")
-    counts = (every.join(F.broadcast(distinct), "h").groupBy("h") if small else every.groupBy("h")).agg(F.count(F.lit(1)).alias("n_found"))
+    counts = (every.join(F.broadcast(distinct), "h").groupBy("h") if small else _may_hold(every, distinct, n_distinct).groupBy("h")).agg(F.count(F.lit(1)).alias("n_found"))
     first = cut.join(counts if small else counts.join(distinct, "h"), "h", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
     first = first.groupBy("wtext").agg(F.min_by(F.struct("win", "wlen", "offset", "h", "n_found"), F.struct("n_found", "offset")).alias("p")).select("wtext", "p.*").filter("n_found > 0").drop("n_found")
     first = materialize(first, "bench-prefixes")
     prefixes = first.select("h").distinct()
     begin = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     near = [begin.alias("from"), F.slice("words", begin + 1, F.lit(2 * window - 1)).alias("near")]
-    if prefixes.count() <= most:
-        found = _positions(texts, sizes).join(F.broadcast(prefixes), "h").select("doc_id", "_key", "n_words", "pos", "h", *near)
-    else:
-        at = _positions(texts, sizes).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "pos", "h").join(prefixes, "h").distinct()
-        found = texts.join(at, texts["doc_id"].eqNullSafe(at["_id"]) & (texts["_key"] == at["_k"])).select("doc_id", "_key", "n_words", "pos", "h", *near)
+    n_prefixes, at = prefixes.count(), _positions(texts, sizes)
+    found = at.join(F.broadcast(prefixes), "h") if n_prefixes <= most else _may_hold(at, prefixes, n_prefixes)
+    found = found.select("doc_id", "_key", "n_words", "pos", "h", *near)
+    found = found if n_prefixes <= most else found.join(prefixes, "h")
     start = F.col("pos") - F.col("offset")
     pairs = found.join(first, "h").filter((start >= 0) & (start + F.col("wlen") <= F.col("n_words")))
     hits = pairs.filter(F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("wlen")) == F.col("win")).select("doc_id", "_key", start.alias("start"), "wlen", "wtext")

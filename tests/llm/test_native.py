@@ -116,6 +116,15 @@ def test_benchmark_beyond_broadcast(spark, most):
     assert key(one) == key(many) and len(key(one)) == 18
 
 
+def test_bitmap_keeps_positions_out(spark):
+    """Of a corpus' shingles those of the benchmark stay, and few others."""
+    h = spark.range(40_000).select(F.xxhash64("id").alias("h"))
+    wanted = spark.range(500).select(F.xxhash64("id").alias("h"))
+    left = decontamination._may_hold(h, wanted, 500)
+    assert left.join(wanted, "h").count() == 500 and left.count() < 500 + 40_000 // 8
+    assert decontamination._may_hold(h, wanted.limit(0), 0).count() == 0
+
+
 def test_sharding(spark):
     rows = [(i, "é" * (i % 5) if i % 11 else None, "s") for i in range(500)] + [(7, "again", "s")] * 3 + [(None, "no id", "s")]
     d = docs(spark, rows).withColumn("shard", F.lit("own")).withColumn("bucket", F.lit("own"))
@@ -173,6 +182,7 @@ def test_written_shards(spark, tmp_path):
 def test_native_plans(spark):
     d = docs(spark, [(1, "a b c d e f g h i j", "s")])
     b = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    for df in (mixing.mixing_report(d), decontamination.contamination(d, b), sharding.shard_rows(d, ["doc_id"])):
+    beyond, _ = decontamination.find_windows(decontamination.doc_words(d), b, most=0)
+    for df in (mixing.mixing_report(d), decontamination.contamination(d, b), beyond, sharding.shard_rows(d, ["doc_id"])):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
