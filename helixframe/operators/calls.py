@@ -1,23 +1,34 @@
 """Copy-number calls: split-read peaks, multi-scale contrast, boundary search, refinement by reads and sites.
 
-The searches are sequential along a contig and run as grouped-map functions on
-compact arrays; what comes before and after is relational.
+Callable bases are ranked along their contig, with running sums in whole numbers, and
+all later steps work on blocks or neighbourhoods of ranks, never on a contig: contrast scores
+on blocks with a halo of the largest scale, peaks as islands of scores, pairs on the sparse peaks,
+greedy choice on islands of overlapping pairs, and the boundary search on a pair's own
+neighbourhood with its flanks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.work import materialize
 from helixframe.operators.intervals import interval_join
+from helixframe.operators.prefix import BLOCK, islands, ranked_sums
 
 #: A track counts above this support.
 FLOOR_SUPPORT = 3
-#: Bases between the two sides of a contrast, and the most of a flank.
+#: Bases between the two sides of a contrast, the most of a flank, and the largest scale.
 SPACER, FLANK, LARGEST = 100, 5_000, 100_000
 EPSILON = 0.001
+#: Scores below this don't count; pairs are looked for from the first threshold down to the last.
+LEAST_SCORE, THRESHOLDS = 1.5, (20, 3)
+#: Expected coverage and scores are summed in whole units, so that no sum depends on its order.
+UNIT, GAIN = float(1 << 32), float(1 << 30)
+#: Ranks that are scored together; the halo of the largest scale comes on both sides.
+RANKS = 500_000
 
 
 def _survivors(pos: np.ndarray, value: np.ndarray, bandwidth: int) -> np.ndarray:
@@ -60,82 +71,176 @@ def peak_positions(pos: np.ndarray, left: np.ndarray, right: np.ndarray, bandwid
     return np.array([p for p, _ in out], np.int64), np.array([v for _, v in out], np.int64)
 
 
-def split_peaks(breakpoints: DataFrame, bandwidth: int) -> DataFrame:
-    """(contig, pos, left_n, right_n) -> (contig, pos, support). One contig's sparse breakpoints a task."""
+def split_peaks(breakpoints: DataFrame, bandwidth: int, block: int = BLOCK) -> DataFrame:
+    """(contig, pos, left_n, right_n) -> (contig, pos, support). One island of breakpoints a task: across a gap of more than bandwidth + 1 no peak suppresses another."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         p, v = peak_positions(pdf["pos"].to_numpy(np.int64), pdf["left_n"].to_numpy(np.int64), pdf["right_n"].to_numpy(np.int64), bandwidth)
-        return pd.DataFrame({"contig": pdf["contig"].iloc[0], "pos": p.astype(np.int32), "support": v.astype(np.int32)})
+        return pd.DataFrame({"contig": key[0], "pos": p.astype(np.int32), "support": v.astype(np.int32)})
 
     strong = breakpoints.filter((F.col("left_n") > FLOOR_SUPPORT) | (F.col("right_n") > FLOOR_SUPPORT))
-    return strong.groupBy("contig").applyInPandas(run, "contig string, pos int, support int")
+    return islands(strong, bandwidth + 1, block=block).groupBy("contig", "island").applyInPandas(run, "contig string, pos int, support int")
 
 
-def scales(minsize: int) -> list[int]:
+def scales(minsize: int, largest: int = LARGEST) -> list[int]:
     out, s = [], minsize // 2
-    while s <= LARGEST:
+    while s <= largest:
         out.append(s)
         s = int(s * 1.3)
     return out
 
 
-def _away(x: np.ndarray) -> np.ndarray:
+def _away(x):
     return np.sign(x) * np.floor(np.abs(x) + 0.5)
 
 
-def contrast_scores(depth: np.ndarray, expected: np.ndarray, minsize: int, ploidy: int = 2) -> np.ndarray:
-    """The sum over scales of how clearly the copy number steps at each callable base; single precision, small scales first."""
-    n = depth.size
-    cov, exp = np.r_[0.0, np.cumsum(depth, dtype=np.float64)], np.r_[0.0, np.cumsum(expected, dtype=np.float64)]
-    total = np.zeros(n, np.float32)
-    for s in scales(minsize):
-        if n - s - SPACER <= s:
-            break
-        at = np.arange(s, n - s - SPACER)
+def ranked_bases(bases: DataFrame, block: int = BLOCK) -> DataFrame:
+    """bases (contig, pos, depth, expected) of callable positions -> (contig, pos, depth, units, rank, depth_before, units_before), written once. units: the expected coverage in whole numbers of 2**-32."""
+    b = bases.select("contig", "pos", F.col("depth").cast("long").alias("depth"), F.floor(F.col("expected") * UNIT).cast("long").alias("units"))
+    return materialize(ranked_sums(b, ["depth", "units"], block=block), "ranked")
+
+
+def callable_lengths(ranked: DataFrame) -> DataFrame:
+    """(contig, n): callable bases, one row a contig."""
+    return ranked.groupBy("contig").agg((F.max("rank") + 1).alias("n"))
+
+
+def score_block(first: int, depth: np.ndarray, units: np.ndarray, low: int, high: int, n: int, sizes: list[int], ploidy: int = 2) -> np.ndarray:
+    """Scores of the ranks [low, high) of a contig of n callable bases, from the depth and units of the ranks from first on."""
+    cov, exp = np.r_[0, np.cumsum(depth, dtype=np.int64)], np.r_[0, np.cumsum(units, dtype=np.int64)]
+    total = np.zeros(high - low, np.int64)
+    for s in sizes:
+        lo, hi = max(s, low - SPACER // 2), min(n - s - SPACER, high - SPACER // 2)
+        if hi <= lo:
+            continue
+        at = np.arange(lo, hi) - first
         l, r = at - s + 1, at + SPACER + 1
-        # Differences of running sums: an expectation of zero is a rest of rounding.
-        left, right = exp[at + 1] - exp[l], exp[r + s] - exp[r]
-        a = np.where(left > 1e-9, ploidy * (cov[at + 1] - cov[l]) / np.maximum(left, 1e-9), 0.0)
-        b = np.where(right > 1e-9, ploidy * (cov[r + s] - cov[r]) / np.maximum(right, 1e-9), 0.0)
+        left, right = (exp[at + 1] - exp[l]) / UNIT, (exp[r + s] - exp[r]) / UNIT
+        a = np.divide(float(ploidy) * (cov[at + 1] - cov[l]), left, out=np.zeros(at.size), where=left > 0)
+        b = np.divide(float(ploidy) * (cov[r + s] - cov[r]), right, out=np.zeros(at.size), where=right > 0)
         gap = np.abs(a - b)
         shift = _away(gap)
         off = np.abs(gap - shift) + np.abs(a - _away(a)) + np.abs(b - _away(b))
         # off is 1 over a whole range of values, where only rounding would decide: those count as 1.
         gain = np.where((shift >= 1) & (off < 1 - 1e-6), shift * (shift - off), 0.0)
-        total[at + SPACER // 2] += gain.astype(np.float32)
-    total[total < 1.5] = 0
-    return total
+        total[lo + SPACER // 2 - low : hi + SPACER // 2 - low] += np.floor(gain * GAIN).astype(np.int64)
+    score = total / GAIN
+    score[score < LEAST_SCORE] = 0
+    return score
+
+
+def contrast_scores(ranked: DataFrame, minsize: int, ploidy: int = 2, ranks: int = RANKS, largest: int = LARGEST) -> DataFrame:
+    """(contig, rank, score) of the ranks whose score counts: the sum over scales of how clearly the copy number steps there."""
+    sizes = scales(minsize, largest)
+    halo = (sizes[-1] if sizes else 0) + SPACER // 2 + 1
+    r = ranked.select("contig", "rank", "depth", "units").join(callable_lengths(ranked), "contig")
+    reach = F.sequence(F.expr(f"greatest(rank - {halo}, 0) div {ranks}"), F.expr(f"least(rank + {halo}, n - 1) div {ranks}"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        first, n = int(pdf["rank"].iloc[0]), int(pdf["n"].iloc[0])
+        low = int(key[1]) * ranks
+        score = score_block(first, pdf["depth"].to_numpy(np.int64), pdf["units"].to_numpy(np.int64), low, min(low + ranks, n), n, sizes, ploidy)
+        at = np.flatnonzero(score)
+        return pd.DataFrame({"contig": key[0], "rank": at + low, "score": score[at]})
+
+    return r.withColumn("_block", F.explode(reach)).groupBy("contig", "_block").applyInPandas(run, "contig string, rank long, score double")
+
+
+def score_peaks(scores: DataFrame, lengths: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Islands of scores that begin and end within their contig -> (contig, low, high, pos, height, n), in ranks; low and high are the zeros beside them.
+
+    A walk that holds its running maximum as a whole number ends at the last score above the largest such
+    number, or, if there is none, at the first that equals it.
+    """
+    t = F.floor("score")
+    level = islands(scores, 1, pos="rank", block=block).groupBy("contig", "island", t.alias("t")).agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max_by(F.struct("rank", "score"), F.when(F.col("score") > t, F.col("rank"))).alias("over"), F.min_by(F.struct("rank", "score"), "rank").alias("equal"))
+    top = F.max_by(F.struct("over", "equal"), "t")
+    per = level.groupBy("contig", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), top.alias("top"))
+    best = F.when(F.col("top.over.rank").isNotNull(), F.col("top.over")).otherwise(F.col("top.equal"))
+    out = per.join(lengths, "contig").filter((F.col("first") > 0) & (F.col("last") < F.col("n") - 1))
+    return out.select("contig", (F.col("first") - 1).alias("low"), (F.col("last") + 1).alias("high"), best["rank"].alias("pos"), best["score"].alias("height"), "n")
+
+
+def peak_pairs(peaks: DataFrame, minsize: int) -> DataFrame:
+    """(contig, n, a, b, threshold): peaks that are neighbours among those of at least some threshold, the first peak of a contig counting always, with the largest such threshold. Far enough apart."""
+    most, least = THRESHOLDS
+    first = peaks.groupBy("contig").agg(F.min("pos").alias("_first"))
+    p = peaks.join(first, "contig").withColumn("_is_first", F.col("pos") == F.col("_first"))
+    upto = F.when(F.col("_is_first"), F.lit(most)).otherwise(F.least(F.floor("height"), F.lit(most))).cast("int")
+    one = F.struct("low", "pos", "high", "height")
+    each = p.filter(upto >= least).select("contig", "n", "pos", "_is_first", one.alias("b"), F.explode(F.sequence(F.lit(least), upto)).alias("threshold"))
+    pairs = each.withColumn("a", F.lag("b").over(Window.partitionBy("contig", "threshold").orderBy("pos"))).filter(~F.col("_is_first"))
+    pairs = pairs.groupBy("contig", "n", "a", "b").agg(F.max("threshold").alias("threshold"))
+    return pairs.filter(F.col("b.pos") - F.col("a.pos") >= minsize)
+
+
+def _cn(cov: Column, units: Column, ploidy: int) -> Column:
+    return F.lit(float(ploidy)) * cov / (units / F.lit(UNIT) + F.lit(EPSILON))
+
+
+def clear_pairs(pairs: DataFrame, ranked: DataFrame, ploidy: int = 2) -> DataFrame:
+    """The pairs whose copy number is not the ploidy and differs clearly from both flanks'. The running sums at a pair's four ranks meet it by an equi-join."""
+    lo, hi = F.col("a.pos"), F.col("b.pos")
+    places = F.array(F.greatest(lo - FLANK, F.lit(0).cast("long")), lo, hi, F.least(hi + FLANK, F.col("n")))
+    key = ["contig", F.col("a.pos").alias("_a"), F.col("b.pos").alias("_b")]
+    asked = pairs.select(*key, "n", F.posexplode(places).alias("k", "at")).withColumn("rank", F.least("at", F.col("n") - 1))
+    found = asked.join(ranked.select("contig", "rank", "depth", "units", "depth_before", "units_before"), ["contig", "rank"])
+    upto = lambda c: F.col(f"{c}_before") + F.when(F.col("at") > F.col("rank"), F.col(c)).otherwise(0)
+    sums = found.groupBy("contig", "_a", "_b").agg(*[F.max(F.when(F.col("k") == k, F.struct(upto("depth").alias("d"), upto("units").alias("u")))).alias(f"s{k}") for k in range(4)])
+    between = lambda i, j: _cn(F.col(f"s{j}.d") - F.col(f"s{i}.d"), F.col(f"s{j}.u") - F.col(f"s{i}.u"), ploidy)
+    whole = lambda x: F.floor(x + 0.5)
+    sums = sums.select("contig", "_a", "_b", between(1, 2).alias("_in"), between(0, 1).alias("_left"), between(2, 3).alias("_right"))
+    apart = lambda c: (whole(F.col(c)) != whole(F.col("_in"))) & (F.abs(F.col(c) - F.col("_in")) > 0.5)
+    clear = sums.filter((whole(F.col("_in")) != ploidy) & apart("_left") & apart("_right") & (F.col("_a") > 0)).select(F.col("contig").alias("_contig"), "_a", "_b")
+    joined = pairs.join(clear, (F.col("contig") == F.col("_contig")) & (lo == F.col("_a")) & (hi == F.col("_b")))
+    return joined.filter(hi < F.col("n")).drop("_contig", "_a", "_b")
+
+
+def chosen_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs taken greedily: higher thresholds first, then from left to right, no peak twice. Pairs that share no peak, directly or through others, don't compete, so each island of overlapping pairs is on its own."""
+    w = Window.partitionBy("contig").orderBy("a.pos", "b.pos")
+    reach = F.max("b.pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = pairs.withColumn("_new", F.when(reach.isNull() | (F.col("a.pos") > reach), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    flat = marked.select("contig", "n", "threshold", "_island", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("low", "pos", "high", "height")])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        used, keep = set(), []
+        for r in pdf.sort_values(["threshold", "b_pos"], ascending=[False, True]).itertuples():
+            if r.a_pos not in used and r.b_pos not in used:
+                used |= {r.a_pos, r.b_pos}
+                keep.append(r.Index)
+        return pdf.loc[keep].drop(columns="_island")
+
+    out = "contig string, n long, threshold int, a_low long, a_pos long, a_high long, a_height double, b_low long, b_pos long, b_high long, b_height double"
+    return flat.groupBy("contig", "_island").applyInPandas(run, out)
 
 
 class _Sums:
-    def __init__(self, depth, expected, ploidy):
-        self.cov, self.exp, self.ploidy = np.r_[0.0, np.cumsum(depth, dtype=np.float64)], np.r_[0.0, np.cumsum(expected, dtype=np.float64)], ploidy
-
-    def cn(self, a, b):
-        """Copy number over callable bases [a, b); arrays will do."""
-        return self.ploidy * (self.cov[b] - self.cov[a]) / (self.exp[b] - self.exp[a] + EPSILON)
-
-
-def _offset(u, v):
-    s = np.abs(u - v)
-    return np.abs(_away(s) - s) + np.abs(_away(u) - u) + np.abs(_away(v) - v)
-
-
-def peaks(score: np.ndarray) -> list[list]:
-    """Runs of positive scores that begin and end within the array: [low, high, pos, height]. The running maximum is held as a whole number, so later places win unless they are lower than that."""
-    up = score > 0
-    edge = np.flatnonzero(up[1:] != up[:-1]) + 1
-    out = []
-    for k, lo in enumerate(edge):
-        if up[lo] and k + 1 < edge.size:
-            hi = edge[k + 1]
-            best, pos = 0, lo
-            for i in range(lo, hi):
-                if score[i] > best:
-                    best, pos = int(score[i]), i
-            out.append([int(lo) - 1, int(hi), int(pos), float(score[pos])])
-    return out
+    """Running sums at the ranks at hand, which are sorted; a place is the number of callable bases before it."""
+
+    def __init__(self, rank, depth, units, depth_before, units_before, ploidy):
+        self.rank, self.depth, self.units, self.cov, self.exp, self.ploidy = rank, depth, units, depth_before, units_before, ploidy
+
+    def upto(self, place: int) -> tuple[int, int]:
+        i = int(np.searchsorted(self.rank, place))
+        if i < self.rank.size and self.rank[i] == place:
+            return int(self.cov[i]), int(self.exp[i])
+        return int(self.cov[i - 1] + self.depth[i - 1]), int(self.exp[i - 1] + self.units[i - 1])
+
+    def between(self, a: int, b: int) -> tuple[int, float]:
+        (c, e), (d, f) = self.upto(a), self.upto(b)
+        return d - c, (f - e) / UNIT
+
+    def cn(self, a: int, b: int) -> float:
+        cov, exp = self.between(a, b)
+        return float(self.ploidy) * cov / (exp + EPSILON)
+
+
+def _offset(u: float, v: float) -> float:
+    s = abs(u - v)
+    return float(abs(_away(s) - s) + abs(_away(u) - u) + abs(_away(v) - v))
 
 
 def _climb(s: _Sums, edge: int, stop: int, step: int, inner: tuple[int, int], outer: tuple[int, int], side: str, best: float, fixed: bool):
@@ -146,7 +251,7 @@ def _climb(s: _Sums, edge: int, stop: int, step: int, inner: tuple[int, int], ou
         i, o = ((nxt, inner[1]), (outer[0], nxt)) if side == "left" else ((inner[0], nxt), (nxt, outer[1]))
         if i[1] <= i[0] or o[1] <= o[0]:
             break
-        off = float(_offset(s.cn(*i), s.cn(*o)))
+        off = _offset(s.cn(*i), s.cn(*o))
         if not off < best + 0.1:
             break
         at = nxt
@@ -155,74 +260,66 @@ def _climb(s: _Sums, edge: int, stop: int, step: int, inner: tuple[int, int], ou
     return place, best, at
 
 
-def call_contig(pos: np.ndarray, depth: np.ndarray, expected: np.ndarray, minsize: int, ploidy: int = 2) -> list[dict]:
-    """pos, depth and expected of a contig's callable bases -> calls."""
-    n = pos.size
-    found = peaks(contrast_scores(depth, expected, minsize, ploidy))
-    s = _Sums(depth, expected, ploidy)
-    used, out = [False] * len(found), []
-    penalty = [0.0] * len(found)
-    for threshold in range(20, FLOOR_SUPPORT - 1, -1):
-        last = 0
-        for i in range(1, len(found)):
-            if found[i][3] < threshold:
-                continue
-            a, b = found[last], found[i]
-            pair, last = (last, i), i
-            lo, hi = a[2], b[2]
-            if hi - lo < minsize or used[pair[0]] or used[pair[1]]:
-                continue
-            inner = float(s.cn(lo, hi))
-            if _away(inner) == ploidy:
-                continue
-            left, right = (max(0, lo - FLANK), lo), (hi, min(n, hi + FLANK))
-            if left[1] <= left[0] or right[1] <= right[0]:
-                continue
-            sides = [float(s.cn(*left)), float(s.cn(*right))]
-            if any(_away(x) == _away(inner) or abs(x - inner) <= 0.5 for x in sides):
-                continue
-            used[pair[0]] = used[pair[1]] = True
-            # Each boundary is searched towards and away from the other one, then its interval with the offset held.
-            for fixed in (False, True):
-                for peak, side, order in ((a, "left", (1, -1)), (b, "right", (-1, 1))):
-                    for step in order:
-                        lo, hi = a[2], b[2]
-                        outer = (max(0, lo - FLANK), lo) if side == "left" else (hi, min(n, hi + FLANK))
-                        best = float(_offset(s.cn(lo, hi), s.cn(*outer)))
-                        stop = peak[1] if step > 0 else peak[0]
-                        place, best, at = _climb(s, peak[2], stop, step, (lo, hi), outer, side, best, fixed)
-                        if fixed:
-                            peak[1 if step > 0 else 0] = at
-                        else:
-                            peak[2], penalty[pair[0] if side == "left" else pair[1]] = place, best
-            lo, hi = a[2], b[2]
-            if hi <= lo or s.exp[hi] - s.exp[lo] == 0:
-                continue
-            start, end = int(pos[lo]), int(pos[min(hi, n - 1)])
-            share = (hi - lo) / max(end - start, 1)
-            if end - start < minsize or share <= 0.1:
-                continue
-            at = lambda k: int(pos[min(max(k, 0), n - 1)])
-            out.append({
-                "start": start, "end": end, "cipos_lo": at(a[0]), "cipos_hi": at(a[1]), "ciend_lo": at(b[0]), "ciend_hi": at(b[1]),
-                "cn": float(ploidy * (s.cov[hi] - s.cov[lo]) / (s.exp[hi] - s.exp[lo])), "rds": min(a[3], b[3]), "pty": max(penalty[pair[0]], penalty[pair[1]]), "mpb": share,
-            })
-    return out
+def refined_call(s: _Sums, pos_of, a: list, b: list, n: int, minsize: int) -> dict | None:
+    """The call of a pair of peaks, each [low, pos, high, height] in ranks. s: sums at the peaks' ranks and their flanks; pos_of: the position of a rank."""
+    penalty = {}
+    # Each boundary is searched towards and away from the other one, then its interval with the offset held.
+    for fixed in (False, True):
+        for peak, side, order in ((a, "left", (1, -1)), (b, "right", (-1, 1))):
+            for step in order:
+                lo, hi = a[1], b[1]
+                outer = (max(0, lo - FLANK), lo) if side == "left" else (hi, min(n, hi + FLANK))
+                best = _offset(s.cn(lo, hi), s.cn(*outer))
+                place, best, at = _climb(s, peak[1], peak[2] if step > 0 else peak[0], step, (lo, hi), outer, side, best, fixed)
+                if fixed:
+                    peak[2 if step > 0 else 0] = at
+                else:
+                    peak[1], penalty[side] = place, best
+    lo, hi = a[1], b[1]
+    cov, exp = s.between(lo, hi) if hi > lo else (0, 0.0)
+    if exp == 0:
+        return None
+    start, end = pos_of(lo), pos_of(min(hi, n - 1))
+    share = (hi - lo) / max(end - start, 1)
+    if end - start < minsize or share <= 0.1:
+        return None
+    at = lambda k: pos_of(min(max(k, 0), n - 1))
+    return {
+        "start": start, "end": end, "cipos_lo": at(a[0]), "cipos_hi": at(a[2]), "ciend_lo": at(b[0]), "ciend_hi": at(b[2]),
+        "cn": float(s.ploidy) * cov / exp, "rds": min(a[3], b[3]), "pty": max(penalty.values()), "mpb": share,
+    }
 
 
 CALL = "contig string, start int, end int, cipos_lo int, cipos_hi int, ciend_lo int, ciend_hi int, cn float, rds float, pty float, mpb float"
 
 
-def cnv_calls(bases: DataFrame, minsize: int, ploidy: int = 2) -> DataFrame:
-    """bases (contig, pos, depth, expected) of callable positions -> calls. A contig's four numbers a base fit one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = call_contig(pdf["pos"].to_numpy(np.int64), pdf["depth"].to_numpy(np.float64), pdf["expected"].to_numpy(np.float64), minsize, ploidy)
-        names = [x.split()[0] for x in CALL.split(", ")]
-        return pd.DataFrame([{"contig": pdf["contig"].iloc[0], **r} for r in rows], columns=names)
-
-    return bases.select("contig", "pos", "depth", "expected").groupBy("contig").applyInPandas(run, CALL)
+def boundary_search(pairs: DataFrame, ranked: DataFrame, minsize: int, ploidy: int = 2, bucket: int = 1 << 14) -> DataFrame:
+    """chosen_pairs() -> calls. The ranks within a pair's peaks and their flanks meet it by a bucketed interval join; a pair's neighbourhood is one group."""
+    key = ["contig", "a_pos", "b_pos"]
+    spans = F.array(F.struct((F.greatest(F.col("a_low") - FLANK, F.lit(0).cast("long"))).alias("start"), (F.col("a_high") + 1).alias("end")), F.struct(F.col("b_low").alias("start"), F.least(F.col("b_high") + FLANK + 1, F.col("n")).alias("end")))
+    near = pairs.withColumn("_s", F.explode(spans)).select("*", "_s.start", "_s.end").drop("_s", "threshold")
+    met = interval_join(ranked, near, bucket, pos="rank").dropDuplicates([*key, "rank"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", ignore_index=True)
+        r, rank = pdf.iloc[0], pdf["rank"].to_numpy(np.int64)
+        s = _Sums(rank, *[pdf[c].to_numpy(np.int64) for c in ("depth", "units", "depth_before", "units_before")], ploidy)
+        position = pdf["pos"].to_numpy(np.int64)
+        pos_of = lambda k: int(position[min(int(np.searchsorted(rank, k)), rank.size - 1)])
+        peak = lambda x: [int(r[f"{x}_low"]), int(r[f"{x}_pos"]), int(r[f"{x}_high"]), float(r[f"{x}_height"])]
+        call = refined_call(s, pos_of, peak("a"), peak("b"), int(r["n"]), minsize)
+        return pd.DataFrame([{"contig": key[0], **call}] if call else [], columns=[x.split()[0] for x in CALL.split(", ")])
+
+    return met.groupBy(*key).applyInPandas(run, CALL)
+
+
+def cnv_calls(bases: DataFrame, minsize: int, ploidy: int = 2, block: int = BLOCK, ranks: int = RANKS, largest: int = LARGEST) -> DataFrame:
+    """bases (contig, pos, depth, expected) of callable positions -> calls. No task holds a contig's bases."""
+    ranked = ranked_bases(bases, block)
+    scores = materialize(contrast_scores(ranked, minsize, ploidy, ranks, largest), "scores")
+    peaks = materialize(score_peaks(scores, callable_lengths(ranked), block), "peaks")
+    pairs = clear_pairs(materialize(peak_pairs(peaks, minsize), "pairs"), ranked, ploidy)
+    return boundary_search(materialize(chosen_pairs(pairs), "chosen"), ranked, minsize, ploidy)
 
 
 def best_breakpoint(intervals: DataFrame, breakpoints: DataFrame, low: str, high: str, least: int = 2, bucket: int = 1 << 14) -> DataFrame:

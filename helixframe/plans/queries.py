@@ -294,45 +294,35 @@ def scale_variance(spark, d):
 
 
 _MIN = 60
-_CONTRAST = f"""{_OK}, v_rank AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY contig) AS n FROM v_ok),
-v_cum AS (SELECT contig, r, n, sum(depth) OVER w AS cs, sum(expected) OVER w AS es FROM v_rank WINDOW w AS (PARTITION BY contig ORDER BY r ROWS UNBOUNDED PRECEDING)),
+_U = "4294967296.0::DOUBLE"
+#: Sums of whole numbers alone: expected coverage and gains are cut to units before they are added.
+_CONTRAST = f"""{_OK}, v_rank AS (SELECT *, CAST(floor(expected * {_U}) AS BIGINT) AS units, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY contig) AS n FROM v_ok),
+v_cum AS (SELECT contig, r, n, CAST(sum(depth) OVER w AS BIGINT) AS cs, CAST(sum(units) OVER w AS BIGINT) AS es FROM v_rank WINDOW w AS (PARTITION BY contig ORDER BY r ROWS UNBOUNDED PRECEDING)),
 v_scale AS (SELECT unnest({calls.scales(_MIN)}) AS s),
 v_at AS (SELECT contig, s, r, n, cs, es, lag(cs, s) OVER k AS cb, lag(es, s) OVER k AS eb, lead(cs, 100) OVER k AS cc, lead(es, 100) OVER k AS ec, lead(cs, 100 + s) OVER k AS cd, lead(es, 100 + s) OVER k AS ed FROM v_cum, v_scale WINDOW k AS (PARTITION BY contig, s ORDER BY r)),
-v_sides AS (SELECT contig, s, r + 50 AS place, CASE WHEN es - eb > 1e-9 THEN 2.0::DOUBLE * (cs - cb) / (es - eb) ELSE 0 END AS l, CASE WHEN ed - ec > 1e-9 THEN 2.0::DOUBLE * (cd - cc) / (ed - ec) ELSE 0 END AS r FROM v_at WHERE r >= s AND r < n - s - 100),
-v_gap AS (SELECT contig, s, place, round(abs(coalesce(l, 0) - coalesce(r, 0))) AS shift, abs(abs(coalesce(l, 0) - coalesce(r, 0)) - round(abs(coalesce(l, 0) - coalesce(r, 0)))) + abs(coalesce(l, 0) - round(coalesce(l, 0))) + abs(coalesce(r, 0) - round(coalesce(r, 0))) AS off FROM v_sides),
-v_score AS (SELECT contig, place, sum(CASE WHEN shift >= 1 AND off < 1 - 1e-6 THEN shift * (shift - off) ELSE 0 END) AS score FROM v_gap GROUP BY contig, place HAVING sum(CASE WHEN shift >= 1 AND off < 1 - 1e-6 THEN shift * (shift - off) ELSE 0 END) >= 1.5)"""
+v_sides AS (SELECT contig, s, r + 50 AS place, CASE WHEN es > coalesce(eb, 0) THEN 2.0::DOUBLE * (cs - coalesce(cb, 0)) / ((es - coalesce(eb, 0)) / {_U}) ELSE 0 END AS l, CASE WHEN ed > ec THEN 2.0::DOUBLE * (cd - cc) / ((ed - ec) / {_U}) ELSE 0 END AS r FROM v_at WHERE r >= s AND r < n - s - 100),
+v_gap AS (SELECT contig, s, place, round(abs(l - r)) AS shift, abs(abs(l - r) - round(abs(l - r))) + abs(l - round(l)) + abs(r - round(r)) AS off FROM v_sides),
+v_score0 AS (SELECT contig, place, CAST(sum(CASE WHEN shift >= 1 AND off < 1 - 1e-6 THEN CAST(floor(shift * (shift - off) * 1073741824) AS BIGINT) ELSE 0 END) AS BIGINT) / 1073741824.0::DOUBLE AS score FROM v_gap GROUP BY contig, place),
+v_score AS (SELECT * FROM v_score0 WHERE score >= 1.5)"""
 
 
-def _per_contig(run, schema):
-    """bases -> run(depth, expected) of each contig's callable bases, as the caller runs it."""
+def _scores(spark, d):
+    ranked = calls.ranked_bases(_ok(spark, d), 10_000)
+    return ranked, calls.contrast_scores(ranked, _MIN, ranks=20_000)
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return run(pdf["depth"].to_numpy(float), pdf["expected"].to_numpy(float)).assign(contig=key[0])
 
-    return lambda bases: bases.select("contig", "pos", "depth", "expected").groupBy("contig").applyInPandas(one, schema)
-
-
-@query(f"WITH {_CONTRAST} SELECT contig, place, CAST(floor(2 * ln(score) + 0.2) AS BIGINT) AS band FROM v_score")
+@query(f"WITH {_CONTRAST} SELECT contig, place, round(score, 6) AS score FROM v_score")
 def contrast_scores(spark, d):
-    """Scores in bands of half a unit of their logarithm: they are sums in single precision."""
-
-    def run(depth, expected):
-        score = calls.contrast_scores(depth, expected, _MIN)
-        at = score.nonzero()[0]
-        return pd.DataFrame({"place": at, "score": score[at].astype(float)})
+    return _scores(spark, d)[1].select("contig", F.col("rank").alias("place"), r6("score"))
 
-    return _per_contig(run, "contig string, place long, score double")(_ok(spark, d)).select("contig", "place", F.floor(2 * F.log("score") + 0.2).alias("band"))
 
-
-@query(f"""WITH {_CONTRAST}, g AS (SELECT *, place - row_number() OVER (PARTITION BY contig ORDER BY place) AS island FROM v_score)
-SELECT contig, min(place) - 1 AS low, max(place) + 1 AS high FROM g GROUP BY contig, island""")
+@query(f"""WITH {_CONTRAST}, g AS (SELECT *, place - row_number() OVER (PARTITION BY contig ORDER BY place) AS island FROM v_score),
+m AS (SELECT *, floor(max(score) OVER (PARTITION BY contig, island)) AS whole FROM g),
+p AS (SELECT contig, min(place) - 1 AS low, max(place) + 1 AS high, coalesce(max(CASE WHEN score > whole THEN place END), min(CASE WHEN score = whole THEN place END)) AS pos, max(island) AS island FROM m GROUP BY contig, island)
+SELECT p.contig, low, high, pos, round(s.score, 6) AS height FROM p JOIN v_score s ON s.contig = p.contig AND s.place = p.pos""")
 def positive_runs(spark, d):
-    def run(depth, expected):
-        found = calls.peaks(calls.contrast_scores(depth, expected, _MIN))
-        return pd.DataFrame(found, columns=["low", "high", "pos", "height"])[["low", "high"]]
-
-    return _per_contig(run, "contig string, low long, high long")(_ok(spark, d)).select("contig", "low", "high")
+    ranked, scores = _scores(spark, d)
+    return calls.score_peaks(scores, calls.callable_lengths(ranked), 5_000).select("contig", "low", "high", "pos", r6("height"))
 
 
 # Intervals and variants ------------------------------------------------------------------------------------------
@@ -512,15 +502,25 @@ def segment_lars_dp(spark, d):
     return segment.segment(s, ["a", "b"])
 
 
+BAND = 12
+
+
+def _breaks(spark, d):
+    """Hours as places: events of even and odd minutes as the two tracks."""
+    return v.depth(spark, d).groupBy("contig", F.expr("cast(pos div 60 as int)").alias("pos")).agg(F.sum(F.when(F.col("pos") % 2 == 0, F.col("depth")).otherwise(0)).alias("left_n"), F.sum(F.when(F.col("pos") % 2 == 1, F.col("depth")).otherwise(0)).alias("right_n"))
+
+
 @query()
 def nms_peaks(spark, d):
-    z = v.depth(spark, d).groupBy("contig", F.expr("cast(pos div 60 as int)").alias("pos")).agg(F.sum(F.when(F.col("pos") % 2 == 0, F.col("depth")).otherwise(0)).alias("left_n"), F.sum(F.when(F.col("pos") % 2 == 1, F.col("depth")).otherwise(0)).alias("right_n"))
-    return calls.split_peaks(z, 12)
+    return calls.split_peaks(_breaks(spark, d), BAND, 100)
+
+
+CALL_SIZE = 500
 
 
 @query()
 def cnv_calls(spark, d):
-    return calls.cnv_calls(_ok(spark, d), 500)
+    return calls.cnv_calls(_ok(spark, d), CALL_SIZE, block=10_000, ranks=20_000)
 
 
 @query("SELECT doc_id, (text LIKE '%N%' OR text LIKE '%n%') AS holds_n FROM documents")
