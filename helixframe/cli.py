@@ -13,6 +13,13 @@ from helixframe import __version__
 from helixframe.config import CallConfig, MergeConfig, SegmentConfig
 
 
+INFO = {
+    "version": f"helixframe {__version__}",
+    "warranty": "helixframe comes without warranty of any kind; whoever runs it bears the risk of its results.",
+    "license": "No licence text comes with this copy of helixframe; ask those you have it from before you pass it on.",
+}
+
+
 def _options(parser: argparse.ArgumentParser, kind) -> None:
     for f in dataclasses.fields(kind):
         if f.name in ("sex_contigs", "enough_coverage"):
@@ -37,7 +44,8 @@ def build() -> argparse.ArgumentParser:
     _options(seg, SegmentConfig)
     seg.add_argument("--signals", nargs="*", help="columns to use; all after the third by default")
     seg.add_argument("input")
-    sub.add_parser("version", help="the version")
+    for verb in INFO:
+        sub.add_parser(verb, help=f"the {verb}")
     sub.add_parser("help", help="this text")
     return parser
 
@@ -49,8 +57,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from helixframe.sources import bcf, sinks, text
 
     args = vars(build().parse_args(argv))
-    if args["command"] in ("version", "help"):
-        print(f"helixframe {__version__}" if args["command"] == "version" else build().format_help())
+    if args["command"] in (*INFO, "help"):
+        print(INFO.get(args["command"]) or build().format_help())
         return 0
     spark = spark or SparkSession.builder.appName("helixframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     kind = {"call": CallConfig, "merge": MergeConfig, "segment": SegmentConfig}[args["command"]]

@@ -78,13 +78,12 @@ def render(x: float | None, digits: int = 6, null: str = "NA") -> str:
 
 
 def percent_identity(seq: str, cigar: list[tuple[str, int]], ref: str, pos: int) -> float:
-    """Share of aligned read bases that equal the reference."""
+    """Share of a read's bases that equal the reference, of those compared, inserted, deleted and skipped; a model of the operator on reads."""
     same = total = 0
     r, q = pos, 0
     for op, n in cigar:
-        if op in "M=X":
-            total += n
-            same += sum(a == b for a, b in zip(seq[q : q + n].upper(), ref[r : r + n].upper()))
+        total += n if op in "M=XIDN" else 0
+        same += sum(a == b for a, b in zip(seq[q : q + n].upper(), ref[r : r + n].upper())) if op in "M=X" else 0
         r += n if op in "M=XDN" else 0
         q += n if op in "M=XIS" else 0
     return same / total if total else 0.0

@@ -175,3 +175,18 @@ def base_at(place: Column, pos: str = "pos", cigar: str = "cigar") -> Column:
         return F.struct(rp.cast("int").alias("rp"), sp.cast("int").alias("sp"), F.when(inside, a["sp"] + (place - a["rp"])).otherwise(a["at"]).cast("int").alias("at"))
 
     return F.aggregate(cigar, start, step, lambda a: a["at"])
+
+
+def aligned_blocks(cigar: Column, pos: Column) -> Column:
+    """[(rp, sp, n)]: the stretches of aligned bases, by their first place in the reference and in the read."""
+    none = F.array().cast("array<struct<rp:int,sp:int,n:int>>")
+    start = F.struct(pos.cast("int").alias("rp"), F.lit(0).alias("sp"), none.alias("out"))
+
+    def step(a, c):
+        op, n = c["op"], c["len"]
+        block = F.when(op.isin("M", "=", "X") & (n > 0), F.array(F.struct(a["rp"].alias("rp"), a["sp"].alias("sp"), n.alias("n")))).otherwise(none)
+        rp = a["rp"] + F.when(op.isin("M", "=", "X", "D", "N"), n).otherwise(0)
+        sp = a["sp"] + F.when(op.isin("M", "=", "X", "I", "S"), n).otherwise(0)
+        return F.struct(rp.cast("int").alias("rp"), sp.cast("int").alias("sp"), F.concat(a["out"], block).alias("out"))
+
+    return F.aggregate(cigar, start, step, lambda a: a["out"])

@@ -7,12 +7,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.stats import upper_median
+from helixframe.operators.intervals import interval_join
+
 SEGMENT = "contig string, start bigint, end bigint, cn double"
 
 
-def forward_fill(df: DataFrame, columns: list[str], key: str = "contig", order: str = "start", initial: float = 0.0) -> DataFrame:
+def contig_runs(rows: DataFrame, order: str = "ord", shift: int = 33) -> DataFrame:
+    """rows with run: which stretch of one contig in file order a row is in, from 0. A contig that comes again begins another run.
+
+    Splits of the file (the leading bits of the order) count their own changes; one row a split tells where each split's count begins and whether its
+    first row continues the split before.
+    """
+    cut = rows.withColumn("_split", F.shiftright(F.col(order), shift))
+    within = Window.partitionBy("_split").orderBy(order)
+    cut = cut.withColumn("_change", F.coalesce((~F.lag("contig").over(within).eqNullSafe(F.col("contig")) & (F.row_number().over(within) > 1)).cast("int"), F.lit(0)))
+    per = cut.groupBy("_split").agg(F.sum("_change").alias("n"), F.min_by(F.struct("contig"), order).alias("first"), F.max_by(F.struct("contig"), order).alias("last"))
+    by = Window.orderBy("_split")  # a row a split
+    seam = F.coalesce((F.lag("last").over(by) != F.col("first")).cast("int"), F.lit(0))
+    base = per.withColumn("_seam", seam).select(F.col("_split").alias("_s"), (F.sum("_seam").over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_base"))
+    so_far = F.sum("_change").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_so_far", so_far).join(base, F.col("_split") == F.col("_s")).select(*rows.columns, (F.col("_base") + F.col("_so_far")).cast("long").alias("run"))
+
+
+def forward_fill(df: DataFrame, columns: list[str], key: str | list[str] = "contig", order: str | list[str] = "start", initial: float = 0.0) -> DataFrame:
     """Missing values take the last one before them along the key, or the initial value."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    listed = lambda x: [x] if isinstance(x, str) else x
+    w = Window.partitionBy(*listed(key)).orderBy(*listed(order)).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.coalesce(F.last(F.when(~F.isnan(c), F.col(c)), ignorenulls=True).over(w), F.lit(initial)) for c in columns})
 
 
@@ -119,23 +140,34 @@ def segment_contig(start: np.ndarray, end: np.ndarray, y: np.ndarray, k: int = 3
 
 
 def segment(matrix: DataFrame, signal_cols: list[str], ploidy: float = 2, k: int = 300, threshold: float = 0.5, epsilon: float = 1e-9) -> DataFrame:
-    """matrix (contig, start, end, signals) -> piecewise constant levels. One contig's bins a task."""
-    ready = matrix.select("contig", "start", "end", *[(F.col(c).cast("double") - ploidy).alias(c) for c in signal_cols])
-    ready = forward_fill(ready, signal_cols)
+    """matrix (contig, start, end, signals) -> piecewise constant levels. One contig's bins a task. With a column run (contig_runs()) each run is segmented on its own, in the order of ord."""
+    runs = [c for c in ("run",) if c in matrix.columns]
+    order = ["ord"] if runs and "ord" in matrix.columns else ["start", "end"]
+    extra = [c for c in order if c not in ("start", "end")]
+    ready = matrix.select("contig", *runs, *extra, "start", "end", *[(F.col(c).cast("double") - ploidy).alias(c) for c in signal_cols])
+    ready = forward_fill(ready, signal_cols, ["contig", *runs], order)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"])
+        pdf = pdf.sort_values(order)
         rows = segment_contig(pdf["start"].to_numpy(), pdf["end"].to_numpy(), pdf[signal_cols].to_numpy(np.float64), k, threshold, epsilon)
         return pd.DataFrame([(key[0], a, b, v + ploidy) for a, b, v in rows], columns=["contig", "start", "end", "cn"])
 
-    return ready.groupBy("contig").applyInPandas(run, SEGMENT)
+    return ready.groupBy("contig", *runs).applyInPandas(run, SEGMENT)
+
+
+def run_levels(df: DataFrame, keys: list[str], order: str, columns: list[str], name: str = "level") -> DataFrame:
+    """Per key the mean over columns of the upper median of the values in order, repeats in a row counted once: levels() as window and aggregation."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    kept = df.withColumns({f"_{c}": F.when(F.lag(c).over(w).isNull() | (F.lag(c).over(w) != F.col(c)), F.col(c)) for c in columns})
+    per = kept.groupBy(*keys).agg(*[upper_median(f"_{c}").cast("double").alias(f"_{c}") for c in columns])
+    return per.select(*keys, (sum((F.col(f"_{c}") for c in columns), F.lit(0.0)) / len(columns)).alias(name))
 
 
-def expand(segments: DataFrame, bins: DataFrame) -> DataFrame:
-    """Every bin (contig, start, end) with the level of its segment."""
-    s = segments.select("contig", F.col("start").alias("_s"), F.col("end").alias("_e"), "cn")
-    on = (bins["contig"] == s["contig"]) & (bins["start"] >= s["_s"]) & (bins["end"] <= s["_e"])
-    return bins.join(s, on).select(bins["contig"], bins["start"], bins["end"], "cn")
+def expand(segments: DataFrame, bins: DataFrame, bucket: int = 1 << 20) -> DataFrame:
+    """Every bin (contig, start, end) with the level of its segment, by a bucketed join of bins' starts with segments."""
+    points = bins.select("contig", F.col("start").alias("pos"), F.col("end").alias("_end"))
+    met = interval_join(points, segments.select("contig", "start", "end", "cn"), bucket)
+    return met.filter(F.col("_end") <= F.col("end")).select("contig", F.col("pos").alias("start"), F.col("_end").alias("end"), "cn")
 
 
 def undo_breaks(y: np.ndarray, cuts: list[int], scale: float = 1.0) -> list[int]:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.stats import safe_div
+from helixframe.operators.content import tiled
 from helixframe.operators.intervals import bucketed, interval_join
-from helixframe.operators.reads import MOST_ALLELES, NOT_COUNTED, aligned_length, base_at, drop_flagged, mates_here, min_quality
+from helixframe.operators.reads import MOST_ALLELES, NOT_COUNTED, aligned_blocks, aligned_length, base_at, drop_flagged, mates_here, min_quality
 
 
 def true_sites(variants: DataFrame, reference: DataFrame, bucket: int = 1 << 10) -> DataFrame:
@@ -111,16 +112,52 @@ def maf_ratio(sums: DataFrame, min_snps: int, min_coverage: int, control: DataFr
     return out.withColumn("maf", F.when(enough, safe_div(t, F.coalesce("exp_maf", F.lit(beyond))))).drop("_depth", "_d", "exp_maf")
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: from a short list up to 31, beyond by Stirling's series, whose rest is below 1e-13 there. An expression, so no table of them is joined."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    few = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(32)])
+    return F.when(n < 32, F.element_at(few, n.cast("int") + 1)).otherwise(series)
+
+
 def binomial_test(counts: DataFrame, k: str, n: str) -> DataFrame:
-    """counts with p: the exact two-sided chance of k of n at one half, summed over the outcomes of each distinct (k, n)."""
-    pairs = counts.select(F.col(k).alias("_k"), F.col(n).alias("_n")).distinct()
-    each = pairs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long"))))
-    # ln n! by sums of logarithms: one row a number up to the largest n.
-    top = pairs.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
-    facts = counts.sparkSession.range(top + 1).select(F.col("id").alias("_m"), F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("id")), F.lit(0.0), lambda a, x: a + F.when(x > 1, F.log(x.cast("double"))).otherwise(0.0)).alias("_f"))
-    fact = lambda df, col, name: df.join(F.broadcast(facts.select(F.col("_m").alias(f"_m_{name}"), F.col("_f").alias(name))), F.expr(f"{col} = _m_{name}")).drop(f"_m_{name}")
-    each = fact(fact(fact(fact(fact(each, "_n", "fn"), "_i", "fi"), "_n - _i", "fj"), "_k", "fk"), "_n - _k", "fl")
-    log = lambda a, b: F.col("fn") - F.col(a) - F.col(b) - F.col("_n") * F.log(F.lit(2.0))
-    chance = F.sum(F.when(log("fi", "fj") <= log("fk", "fl") + 1e-7, F.exp(log("fi", "fj"))).otherwise(0.0))
+    """counts with p: the exact two-sided chance of k of n at one half, summed over the outcomes of each distinct (k, n). Up to n = 20 the chances are exact fractions of whole numbers."""
+    pairs = counts.select(F.col(k).cast("long").alias("_k"), F.col(n).cast("long").alias("_n")).distinct()
+    log = lambda i: log_factorial(F.col("_n")) - log_factorial(i) - log_factorial(F.col("_n") - i) - F.col("_n") * F.log(F.lit(2.0))
+    each = pairs.withColumn("_own", log(F.col("_k"))).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n")))).withColumn("_at", log(F.col("_i")))
+    few = lambda c: F.factorial(F.least(c, F.lit(20)).cast("int"))
+    exact = few(F.col("_n")) / (few(F.col("_i")) * few(F.col("_n") - F.col("_i"))) / F.pow(F.lit(2.0), F.col("_n"))
+    own = F.when(F.col("_n") <= 20, exact).otherwise(F.exp("_at"))
+    chance = F.sum(F.when(F.col("_at") <= F.col("_own") + 1e-7, own).otherwise(0.0))
     p = each.groupBy("_k", "_n").agg(F.least(chance, F.lit(1.0)).alias("p"))
     return counts.join(p, (counts[k] == p["_k"]) & (counts[n] == p["_n"])).drop("_k", "_n")
+
+
+def percent_identity(reads: DataFrame, contigs: DataFrame, reference: DataFrame, tile: int = 1 << 14) -> DataFrame:
+    """(ord, same, aligned, identity) of reads with a CIGAR: bases equal to the reference, by bases compared, inserted, deleted and skipped together.
+
+    A read meets the tiles of the sequence that it reaches, its blocks are compared there as arrays of letters,
+    and a read across a tile's end adds up what both tiles say.
+    """
+    c = F.broadcast(contigs.select("tid", "contig", "length"))
+    r = reads.join(c, "tid").select("ord", "contig", "pos", "cigar", F.upper("seq").alias("seq"), (F.col("pos") + aligned_length(F.col("cigar"))).alias("end"))
+    counted = F.aggregate(F.filter("cigar", lambda x: x["op"].isin("M", "=", "X", "I", "D", "N")), F.lit(0), lambda a, x: a + x["len"])
+    totals = r.select("ord", counted.alias("aligned"))
+    held = tiled(reference.join(F.broadcast(contigs.select("contig", "length")), "contig"), 0, tile).groupBy("contig", "tile").agg(F.array_sort(F.collect_list(F.struct("at", "bases"))).alias("parts"))
+    # Parts of a tile in order; what no part covers is a blank, which equals no base.
+    text = F.aggregate("parts", F.lit(""), lambda a, x: F.concat(F.rpad(a, x["at"], " "), F.upper(x["bases"])))
+    spans = bucketed(r.withColumn("blocks", aligned_blocks(F.col("cigar"), F.col("pos"))), tile, "pos", "end").withColumnRenamed("_bucket", "tile")
+    met = spans.join(held.select("contig", "tile", text.alias("text")), ["contig", "tile"])
+    origin = F.col("tile") * tile
+
+    def equal(b):
+        lo, hi = F.greatest(b["rp"], origin), F.least(b["rp"] + b["n"], origin + tile)
+        size = F.greatest(hi - lo, F.lit(0)).cast("int")
+        letters = lambda x, at: F.split(F.substring(x, (at + 1).cast("int"), size), "")
+        both = F.zip_with(letters(F.col("seq"), b["sp"] + lo - b["rp"]), letters(F.col("text"), lo - origin), lambda p, q: (p == q) & (p != ""))
+        return F.when(size > 0, F.size(F.filter(both, lambda x: x))).otherwise(0)
+
+    same = F.aggregate("blocks", F.lit(0), lambda a, b: a + equal(b))
+    found = met.select("ord", same.alias("same")).groupBy("ord").agg(F.sum("same").alias("same"))
+    out = totals.join(found, "ord", "left").fillna(0, ["same"])
+    return out.select("ord", F.col("same").cast("int").alias("same"), "aligned", F.coalesce(safe_div(F.col("same").cast("double"), F.col("aligned")), F.lit(0.0)).alias("identity"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import stats
 from helixframe.functions.work import materialize
-from helixframe.operators import bias, calls, content, genotype, intervals, merge, prefix, reads, scan, segment, variants, windows
+from helixframe.operators import axis, bias, calls, content, genotype, intervals, merge, prefix, reads, scan, segment, variants, windows
 from helixframe.plans import views as v
 
 QUERIES = {}
@@ -110,6 +109,18 @@ def pileup(spark, d):
     return variants.pileup(v.records(spark, d), v.sites(spark, d), v.genome_contigs(spark, d), v.genome(spark, d), 10, 10)
 
 
+_IDENTITY = f"""{v.RECORDS}, {v.GENOME}, cut AS (SELECT ord, 0 AS r, 0 AS s, alen AS n FROM v_records WHERE line % 3 = 0 UNION ALL SELECT ord, 0, 5, alen - 10 FROM v_records WHERE line % 3 = 1 UNION ALL SELECT ord, alen - 10, alen - 2, 10 FROM v_records WHERE line % 3 = 1
+    UNION ALL SELECT ord, 0, 0, 8 FROM v_records WHERE line % 3 = 2 UNION ALL SELECT ord, 12, 8, alen - 18 FROM v_records WHERE line % 3 = 2),
+aligned AS (SELECT r.ord, concat('g', r.tid) AS contig, r.pos + c.r + k AS pos, substr(r.seq, CAST(c.s + k + 1 AS BIGINT), 1) AS base FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM cut) c JOIN v_records r USING (ord)),
+hit AS (SELECT ord, count_if(a.base = g.base) AS same FROM aligned a JOIN v_genome g ON g.contig = a.contig AND g.pos = a.pos GROUP BY ord)"""
+
+
+@query(f"""WITH {_IDENTITY} SELECT r.ord, CAST(coalesce(same, 0) AS INTEGER) AS same, CAST(alen + CASE WHEN line % 3 = 1 THEN 3 ELSE 0 END AS INTEGER) AS aligned, round(coalesce(same, 0)::DOUBLE / (alen + CASE WHEN line % 3 = 1 THEN 3 ELSE 0 END), 6) AS identity FROM v_records r LEFT JOIN hit USING (ord)""")
+def percent_identity(spark, d):
+    """Of all reads against the genome made of ship days, in tiles of 512 bases."""
+    return variants.percent_identity(v.records(spark, d), v.genome_contigs(spark, d), v.genome(spark, d), 512).select("ord", "same", "aligned", r6("identity"))
+
+
 @query("""WITH c AS (SELECT p_brand AS contig, CAST(sum(p_size) AS BIGINT) AS length FROM part GROUP BY p_brand),
 r AS (SELECT *, sum(length) OVER (ORDER BY length DESC, contig ROWS UNBOUNDED PRECEDING) AS run, sum(length) OVER () AS total FROM c) SELECT max(length) AS n95 FROM r WHERE run > 0.95 * total""")
 def n95_length(spark, d):
@@ -485,14 +496,48 @@ def ffill_signal(spark, d):
 SELECT contig, day, CAST(list_sort(list(x))[count(*) // 2 + 1] AS DOUBLE) AS level FROM k WHERE before IS NULL OR before <> x GROUP BY contig, day""")
 def run_dedupe_median(spark, d):
     """The level of each day of hours, as of a segment."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h", ignore_index=True)
-        ends = pdf.groupby("day").tail(1)
-        return pd.DataFrame({"contig": key[0], "day": ends["day"], "level": segment.levels(pdf[["x"]].to_numpy(float), ends.index.tolist())})
-
     s = v.depth(spark, d).groupBy("contig", F.expr("pos div 60").alias("h")).agg(F.sum("depth").alias("x")).withColumn("day", F.expr("h div 24"))
-    return s.groupBy("contig").applyInPandas(run, "contig string, day long, level double")
+    return segment.run_levels(s, ["contig", "day"], "h", ["x"])
+
+
+@query(f"""WITH {v.DEPTH}, s AS (SELECT contig, pos // 60 AS h, CAST(sum(depth) AS BIGINT) AS x FROM v_depth GROUP BY contig, pos // 60), d AS (SELECT contig, h // 24 AS day, CAST(max(x) AS DOUBLE) AS cn FROM s GROUP BY contig, h // 24)
+SELECT s.contig, s.h * 60 AS start, s.h * 60 + 60 AS "end", d.cn FROM s JOIN d ON d.contig = s.contig AND d.day = s.h // 24""")
+def expand_segments(spark, d):
+    """Hours with the value of their day's segment."""
+    h = v.depth(spark, d).groupBy("contig", F.expr("pos div 60").alias("h")).agg(F.sum("depth").alias("x"))
+    days = h.groupBy("contig", F.expr("h div 24").alias("day")).agg(F.max("x").cast("double").alias("cn")).select("contig", (F.col("day") * 1440).alias("start"), (F.col("day") * 1440 + 1440).alias("end"), "cn")
+    return segment.expand(days, h.select("contig", (F.col("h") * 60).alias("start"), (F.col("h") * 60 + 60).alias("end")), 1440)
+
+
+@query("""WITH c AS (SELECT event_id, event_type AS contig, value, CASE WHEN lag(event_type) OVER (ORDER BY event_id) <> event_type THEN 1 ELSE 0 END AS new FROM events), r AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM c)
+SELECT CAST(run AS BIGINT) AS run, contig, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM r GROUP BY run, contig""")
+def contig_runs(spark, d):
+    """Stretches of equal event types in the order of events, as of contigs in a file of splits of 1,024 lines."""
+    e = v.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("contig"))
+    return segment.contig_runs(e, shift=10).groupBy("run", "contig").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+
+
+_AXIS = f"""{v.MINUTE}, x AS (SELECT CASE WHEN user_id % 7 = 0 THEN '' ELSE 'chr' END || CASE WHEN user_id % 25 = 23 THEN 'X' WHEN user_id % 25 = 24 THEN 'M' ELSE CAST(user_id % 25 + 1 AS VARCHAR) END AS contig, pos // 720 * 720 AS start, value FROM v_min),
+w AS (SELECT contig, start, start + 720 AS "end", count(*)::DOUBLE AS cn, CASE WHEN count(*) % 5 > 0 THEN (count(*) % 5) / 2.0::DOUBLE END AS maf FROM x GROUP BY contig, start),
+nm AS (SELECT i AS place, CASE WHEN i = 22 THEN 'X' ELSE CAST(i + 1 AS VARCHAR) END AS short FROM generate_series(0, 22) g(i)),
+pick AS (SELECT CASE WHEN count_if(contig IN (SELECT 'chr' || short FROM nm)) > count_if(contig IN (SELECT short FROM nm)) THEN 'chr' ELSE '' END AS prefix FROM w),
+n AS (SELECT place, prefix || short AS contig FROM nm, pick), l AS (SELECT n.contig, place, max("end") AS length FROM n JOIN w ON w.contig = n.contig GROUP BY n.contig, place),
+o AS (SELECT *, coalesce(sum(length) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+s AS (SELECT contig, min(start) AS start, max("end") AS "end", avg(cn) AS cn, avg(maf) AS maf FROM w GROUP BY contig), m AS (SELECT avg(CASE WHEN maf IS NULL THEN 1.0 ELSE 0.0 END) <= 0.5 AS with_maf FROM w JOIN n USING (contig)),
+f AS (SELECT 'window' AS kind, * FROM w UNION ALL SELECT 'segment', * FROM s)"""
+
+
+@query(f"""WITH {_AXIS} SELECT kind, f.contig, CAST(place AS INTEGER) AS place, start, "end", CAST(start + off AS BIGINT) AS x, CAST("end" + off AS BIGINT) AS x_end, round(CASE WHEN cn BETWEEN 0 AND 8 THEN cn END, 6) AS cn, round(CASE WHEN with_maf AND maf BETWEEN 0 AND 1.5 THEN maf END, 6) AS maf
+FROM f JOIN o USING (contig), m""")
+def genome_plot(spark, d):
+    """Windows and segments of events on one axis; users stand for contigs, most with long names."""
+    u = F.col("user_id")
+    name = F.concat(F.when(u % 7 == 0, "").otherwise("chr"), F.when(u % 25 == 23, "X").when(u % 25 == 24, "M").otherwise((u % 25 + 1).cast("string")))
+    w = v.minutes(spark, d).groupBy(name.alias("contig"), F.expr("pos div 720 * 720").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    w = w.select("contig", "start", (F.col("start") + 720).alias("end"), F.col("n").cast("double").alias("cn"), F.when(F.col("n") % 5 > 0, (F.col("n") % 5) / 2).alias("maf"))
+    s = w.groupBy("contig").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("cn").alias("cn"), F.avg("maf").alias("maf"))
+    out = axis.plot_frame(w, s)
+    return out.select("kind", "contig", "place", "start", "end", "x", "x_end", r6("cn"), r6("maf"))
 
 
 @query()

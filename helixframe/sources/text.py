@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.work import materialize
 from helixframe.operators.intervals import union_intervals
 from helixframe.operators.reads import parse_cigar
+from helixframe.operators.segment import contig_runs
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -115,11 +116,11 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """A signal matrix: (contig, start, end, signals) and the signals' names; NA and NaN are null."""
+    """A signal matrix: (contig, start, end, signals, ord, run) and the signals' names; NA and NaN are null. A contig that comes again later in the file begins another run."""
     first = spark.read.text(path).first()
     names = re.split(r"[ \t,;]+", first[0]) if first else []
     lines = _numbered(spark, path).filter(F.col("value") != (first[0] if first else ""))
     f = F.split("value", "[ \\t,;]+")
     number = lambda i: F.when(~F.get(f, F.lit(i)).isin("NA", "NaN", "nan"), F.get(f, F.lit(i)).cast("double"))
     rows = lines.select("ord", F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).cast("long").alias("start"), F.get(f, F.lit(2)).cast("long").alias("end"), *[number(i).alias(n) for i, n in enumerate(names) if i > 2])
-    return rows.drop("ord"), names[3:]
+    return contig_runs(materialize(rows, "matrix")), names[3:]
