@@ -134,7 +134,8 @@ def test_binomial_equals_enumeration(spark):
 def test_contrast_scores_equal_plain_loops():
     rng = np.random.default_rng(4)
     depth, expected = rng.poisson(np.r_[np.full(300, 2.0), np.full(250, 5.0), np.full(300, 2.0)]).astype(float), rng.uniform(1.8, 2.2, 850)
-    got, want = calls.contrast_scores(depth, expected, 60), np.zeros(850)
+    units = np.floor(expected * calls.UNIT).astype(np.int64)
+    got, want = calls.score_block(0, depth.astype(np.int64), units, 0, 850, 850, calls.scales(60)), np.zeros(850)
     away = lambda x: math.copysign(math.floor(abs(x) + 0.5), x)
     for s in calls.scales(60):
         for at in range(s, 850 - s - 100):
