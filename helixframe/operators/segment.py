@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.stats import upper_median
+from helixframe.functions.work import materialize
 from helixframe.operators.intervals import interval_join
+from helixframe.operators.prefix import rank_rows
 
 SEGMENT = "contig string, start bigint, end bigint, cn double"
 
@@ -83,13 +85,17 @@ def change_points(y: np.ndarray, k: int, epsilon: float = 1e-9) -> list[int]:
 
 def choose(y: np.ndarray, jumps: list[int], k: int, threshold: float = 0.5) -> list[int]:
     """The best subset of the candidate breakpoints: sorted."""
-    n = y.shape[0]
-    b = np.unique(np.r_[[j for j in jumps if 0 <= j < n - 1], -1, n - 1])
-    m = b.size - 1
+    b = np.unique(np.r_[[j for j in jumps if 0 <= j < len(y) - 1], -1, len(y) - 1])
+    total, square = np.vstack([np.zeros(y.shape[1]), np.cumsum(y, axis=0)])[b + 1], np.r_[0.0, np.cumsum((y**2).sum(axis=1))][b + 1]
+    return choose_from(b, total, square, k, threshold)
+
+
+def choose_from(b: np.ndarray, total: np.ndarray, square: np.ndarray, k: int, threshold: float = 0.5) -> list[int]:
+    """choose() from what it needs of the rows alone: the last row of each elementary block, -1 before them, and the sums and sums of squares up to each."""
+    n, m = int(b[-1]) + 1, b.size - 1
     most = min(k, n // 4, m - 1)
     if n < 4 or most < 1:
         return []
-    total, square = np.vstack([np.zeros(y.shape[1]), np.cumsum(y, axis=0)])[b + 1], np.r_[0.0, np.cumsum((y**2).sum(axis=1))][b + 1]
     size = np.maximum((b[None, 1:] - b[:-1, None]), 1).astype(float)
     gap = total[None, 1:] - total[:-1, None]
     cost = square[None, 1:] - square[:-1, None] - (gap**2).sum(axis=2) / size  # cost[i, j]: elementary blocks i..j
@@ -139,6 +145,122 @@ def segment_contig(start: np.ndarray, end: np.ndarray, y: np.ndarray, k: int = 3
     return [(int(start[lo]), int(end[hi]), v) for lo, hi, v in zip([0, *[c + 1 for c in cuts]], ends, levels(y, ends))]
 
 
+class _Search:
+    """The state of one group's search, which is small: the active points in order, and the correlations' change as a piecewise linear function with knots at them."""
+
+    def __init__(self, n: int, total: np.ndarray):
+        self.n, self.total, self.found, self.rows, self.done = n, total, [], {}, n < 2
+        self.knots, self.change = np.array([0, n], np.int64), np.zeros((2, total.size))
+
+    def add(self, row: int, held: np.ndarray) -> None:
+        """A new active row, with its first correlations, running sums and sum of squares."""
+        self.found.append(row)
+        self.rows[row] = held
+        at = row + 1
+        k = int(np.searchsorted(self.knots, at))
+        if self.knots[k] != at:
+            value = [np.interp(at, self.knots, c) for c in self.change.T]
+            self.knots, self.change = np.insert(self.knots, k, at), np.insert(self.change, k, value, axis=0)
+
+    def direction(self) -> dict:
+        """What a pass over the rows needs: the knots, the correlations' change and its direction at them, the largest squared correlation."""
+        p = self.total.size
+        at = self.knots[1:-1]
+        w = np.sqrt(self.n / (at * (self.n - at)))[:, None]
+        c = np.array([self.rows[int(k) - 1][:p] for k in at]) - w * self.change[1:-1]
+        gap, u = np.diff(self.knots)[:, None], c / w
+        delta = np.vstack([u[:1] / gap[0], np.diff(u, axis=0) / gap[1:-1], -u[-1:] / gap[-1]])
+        t = delta[:-1] - delta[1:]
+        slope = np.vstack([np.cumsum(t[::-1], axis=0)[::-1], np.zeros((1, p))]) - (t * at[:, None]).sum(axis=0) / self.n
+        turn = np.vstack([np.zeros((1, p)), np.cumsum(slope * gap, axis=0)])
+        return {"knots": self.knots, "change": self.change, "turn": turn, "top": float((c**2).sum(axis=1).max())}
+
+
+def _passes(n: int, first: int, c0: np.ndarray, said: dict | None, epsilon: float) -> tuple[float, int]:
+    """(step, row) of a block's best next point: the smallest step, or without a search so far the largest correlation, negated."""
+    i = np.arange(first + 1, first + 1 + len(c0))
+    if said is None:
+        norms = (c0**2).sum(axis=1)
+        return -float(norms.max()), first + int(norms.argmax())
+    w = np.sqrt(n / (i * (n - i)))[:, None]
+    line = lambda y: np.stack([np.interp(i, said["knots"], v) for v in y.T], axis=1)
+    c, q = c0 - w * line(said["change"]), w * line(said["turn"])
+    norms, top = (c**2).sum(axis=1), said["top"]
+    alpha, beta, kappa = top - (q**2).sum(axis=1), top - (q * c).sum(axis=1), top - norms
+    with np.errstate(divide="ignore", invalid="ignore"):
+        root = np.sqrt(beta**2 - alpha * kappa)
+        steps = np.where(alpha > epsilon, np.stack([(beta - root) / alpha, (beta + root) / alpha]), np.where(beta > epsilon, kappa / (2 * beta), np.inf))
+    steps = np.where(np.isnan(steps) | (steps <= 0), np.inf, steps).min(axis=0)
+    steps[np.isin(i, said["knots"])] = np.inf
+    return float(steps.min()), first + int(steps.argmin())
+
+
+def segment_blocks(matrix: DataFrame, signal_cols: list[str], ploidy: float = 2, k: int = 300, threshold: float = 0.5, epsilon: float = 1e-9, block: int = 1 << 16) -> DataFrame:
+    """segment() for contigs whose bins don't fit a task: rows are written once in blocks with their running sums, and each step of the search is a
+    pass over the blocks and a minimum per contig. What comes to the driver is one row a contig and step.
+    """
+    p = len(signal_cols)
+    ready = matrix.select("contig", "start", "end", *[(F.col(c).cast("double") - ploidy).alias(c) for c in signal_cols])
+    ready = forward_fill(ready, signal_cols)
+    ranked = materialize(rank_rows(ready, pos="start", block=max(block, 1)), "segment-rows")
+    held = [*signal_cols, "_square"]
+    cut = ranked.withColumn("_square", sum((F.col(c) * F.col(c) for c in signal_cols), F.lit(0.0))).withColumn("_block", F.expr(f"rank div {block}"))
+    per = cut.groupBy("contig", "_block").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"{c}_sum") for c in held])
+    before = Window.partitionBy("contig").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("contig")
+    base = per.select("contig", "_block", F.sum("_n").over(whole).alias("n"), *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0.0)).alias(f"{c}_base") for c in held], *[F.sum(f"{c}_sum").over(whole).alias(f"{c}_all") for c in held])
+    packed = cut.groupBy("contig", "_block").agg(F.array_sort(F.collect_list(F.struct("rank", *held))).alias("rows")).join(base, ["contig", "_block"])
+
+    def prepare(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                y = np.array([[x[c] for c in held] for x in r["rows"]], np.float64)
+                sums = np.cumsum(y, axis=0) + np.array([r[f"{c}_base"] for c in held])
+                first, n, every = int(r["rows"][0]["rank"]), int(r["n"]), np.array([r[f"{c}_all"] for c in held])
+                i = np.arange(first + 1, first + 1 + len(y))[:, None]
+                inner = i[:, 0] < n
+                c0 = np.sqrt(n / (i[inner] * (n - i[inner]))) * (i[inner] * every[:p] / n - sums[inner, :p])
+                yield pd.DataFrame({"contig": [r["contig"]], "n": [n], "first": [first], "c0": [c0.tobytes()], "sums": [sums[inner].tobytes()], "every": [every.tobytes()]})
+
+    blocks = materialize(packed.mapInPandas(prepare, "contig string, n long, first long, c0 binary, sums binary, every binary"), "segment-blocks")
+    searches = {r["contig"]: _Search(r["n"], np.frombuffer(r["every"])[:p]) for r in blocks.groupBy("contig").agg(F.first("n").alias("n"), F.first("every").alias("every")).collect()}  # one row a contig
+    everything = {r["contig"]: np.frombuffer(r["every"]) for r in blocks.groupBy("contig").agg(F.first("every").alias("every")).collect()}
+    for step in range(k):
+        open_ = {c: (s.direction() if s.found else None) for c, s in searches.items() if not s.done and len(s.found) < min(k, s.n - 1)}
+        if not open_:
+            break
+
+        def one_pass(batches, said=open_):
+            for b in batches:
+                for r in b.itertuples():
+                    if r.contig in said and r.c0:
+                        c0 = np.frombuffer(r.c0).reshape(-1, p)
+                        size, row = _passes(r.n, r.first, c0, said[r.contig], epsilon)
+                        at = row - r.first
+                        yield pd.DataFrame({"contig": [r.contig], "step": [size], "row": [row], "held": [np.r_[c0[at], np.frombuffer(r.sums).reshape(-1, p + 1)[at]].tobytes()]})
+
+        best = blocks.mapInPandas(one_pass, "contig string, step double, row long, held binary").groupBy("contig").agg(F.min_by(F.struct("step", "row", "held"), F.struct("step", "row")).alias("x"))
+        for r in best.select("contig", "x.*").collect():  # one row a contig
+            s = searches[r["contig"]]
+            if not np.isfinite(r["step"]):
+                s.done = True
+                continue
+            if s.found:
+                s.change = s.change + r["step"] * open_[r["contig"]]["turn"]
+            s.add(r["row"], np.frombuffer(r["held"]))
+    cuts = []
+    for c, s in searches.items():
+        b = np.array([-1, *sorted(s.found), s.n - 1])
+        sums = np.vstack([np.zeros(p + 1), *[s.rows[j][p:] for j in sorted(s.found)], everything[c]])
+        ends = [*(choose_from(b, sums[:, :p], sums[:, p], k, threshold) if s.n >= 4 else []), s.n - 1]
+        cuts += [(c, lo, hi + 1) for lo, hi in zip([0, *[e + 1 for e in ends[:-1]]], ends)]
+    parts = matrix.sparkSession.createDataFrame(cuts, "contig string, start long, end long") if cuts else matrix.sparkSession.createDataFrame([], "contig string, start long, end long")
+    placed = interval_join(ranked.withColumnsRenamed({"start": "_start", "end": "_end"}), parts.withColumn("part", F.col("start")), block, pos="rank")
+    level = run_levels(placed, ["contig", "part"], "rank", signal_cols, "cn")
+    span = placed.groupBy("contig", "part").agg(F.min_by("_start", "rank").cast("long").alias("start"), F.max_by("_end", "rank").cast("long").alias("end"))
+    return span.join(level, ["contig", "part"]).select("contig", "start", "end", (F.col("cn") + ploidy).alias("cn"))
+
+
 def segment(matrix: DataFrame, signal_cols: list[str], ploidy: float = 2, k: int = 300, threshold: float = 0.5, epsilon: float = 1e-9) -> DataFrame:
     """matrix (contig, start, end, signals) -> piecewise constant levels. One contig's bins a task. With a column run (contig_runs()) each run is segmented on its own, in the order of ord."""
     runs = [c for c in ("run",) if c in matrix.columns]

@@ -124,8 +124,18 @@ def _with_maf(cfg: CallConfig, table: DataFrame, support: DataFrame | None, cont
     return variants.maf_ratio(sums, cfg.snps, cfg.coverage, expected=variants.expected_table(table.sparkSession)).drop("minor", "major", "n_snps")
 
 
-def segment_matrix(cfg: SegmentConfig, matrix: DataFrame, signals: list[str]) -> DataFrame:
-    return segment.segment(matrix, signals, cfg.ploidy, cfg.kchange, cfg.dpthreshold, cfg.epsilon)
+#: Bins of one contig that a task takes; beyond, the search goes over blocks, with the same breakpoints.
+TASK_ROWS = 5_000_000
+
+
+def segment_matrix(cfg: SegmentConfig, matrix: DataFrame, signals: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    settings = (cfg.ploidy, cfg.kchange, cfg.dpthreshold, cfg.epsilon)
+    keys = [c for c in ("contig", "run") if c in matrix.columns]
+    most = matrix.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= task_rows:
+        return segment.segment(matrix, signals, *settings)
+    named = matrix.withColumn("contig", F.concat_ws("\t", *keys))
+    return segment.segment_blocks(named, signals, *settings).withColumn("contig", F.substring_index("contig", "\t", 1))
 
 
 def load(spark: SparkSession, cfg: CallConfig, path: str) -> dict:

@@ -540,11 +540,14 @@ def genome_plot(spark, d):
     return out.select("kind", "contig", "place", "start", "end", "x", "x_end", r6("cn"), r6("maf"))
 
 
+def _hourly(spark, d):
+    """Hourly counts of two user groups as a two-column signal."""
+    return v.minutes(spark, d).groupBy("contig", F.expr("pos div 60").alias("start")).agg(F.count_if(F.col("user_id") % 2 == 0).cast("double").alias("a"), F.count_if(F.col("user_id") % 2 == 1).cast("double").alias("b")).withColumn("end", F.col("start") + 1)
+
+
 @query()
 def segment_lars_dp(spark, d):
-    """Hourly counts of two user groups as a two-column signal."""
-    s = v.minutes(spark, d).groupBy("contig", F.expr("pos div 60").alias("start")).agg(F.count_if(F.col("user_id") % 2 == 0).cast("double").alias("a"), F.count_if(F.col("user_id") % 2 == 1).cast("double").alias("b")).withColumn("end", F.col("start") + 1)
-    return segment.segment(s, ["a", "b"])
+    return segment.segment(_hourly(spark, d), ["a", "b"])
 
 
 BAND = 12

@@ -137,3 +137,53 @@ def test_info_verbs(capsys):
     for verb in ("version", "warranty", "license"):
         assert cli.main([verb]) == 0
     assert len(capsys.readouterr().out.strip().splitlines()) == 3
+
+
+@pytest.mark.parametrize("block", [16, 10_000])
+def test_segments_by_blocks_equal_a_task(spark, block):
+    """The search over blocks takes the same breakpoints as the one that holds a contig, and true steps are among them."""
+    rng = random.Random(block)
+    step = lambda k: 0 if k < 40 else 6 if k < 90 else -3
+    rows = [("a", k, k + 1, 2.0 + step(k) + rng.randint(-1, 1), None if k % 13 == 4 else 2.0 + step(k) + rng.randint(-1, 1)) for k in range(150)]
+    rows += [("b", 5 * k, 5 * k + 5, 2.0 + rng.randint(0, 9), 1.0) for k in range(37)] + [("short", k, k + 1, 3.0, 3.0) for k in range(3)] + [("one", 0, 9, 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "contig string, start long, end long, x double, y double")
+    got = sorted(tuple(r) for r in segment.segment_blocks(df, ["x", "y"], k=12, block=block).collect())
+    want = sorted(tuple(r) for r in segment.segment(df, ["x", "y"], k=12).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+    assert {40, 90} <= {r[2] for r in got if r[0] == "a"}
+
+
+def test_segments_of_a_table_by_blocks(spark):
+    from helixframe.config import SegmentConfig
+    from helixframe.plans import pipeline, queries
+
+    m = queries._hourly(spark, "/root/testdata/sf0.01").filter("contig < 'd'").withColumn("run", F.lit(1))
+    cfg = SegmentConfig(kchange=25)
+    got, want = (sorted(tuple(r) for r in pipeline.segment_matrix(cfg, m, ["a", "b"], rows).collect()) for rows in (100, 10**9))
+    assert got == want and len(want) > 2
+
+
+def test_change_points_equal_the_dense_model():
+    """The search with explicit design matrices and a linear solver in each step."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, p in ((30, 1), (41, 2), (25, 3)):
+        y = rng.normal(size=(n, p)) + np.repeat(rng.normal(size=(5, p)) * 4, -(-n // 5), axis=0)[:n]
+        i = np.arange(1, n)
+        x = np.where(np.arange(n)[:, None] >= i, np.sqrt(n / (i * (n - i))), 0.0)
+        x -= x.mean(axis=0)
+        c, gram = x.T @ (y - y.mean(axis=0)), x.T @ x
+        active = [int(np.argmax((c**2).sum(axis=1)))]
+        for _ in range(9):
+            norms = (c**2).sum(axis=1)
+            q = gram[:, active] @ np.linalg.solve(gram[np.ix_(active, active)], c[active])
+            top = norms[active].max()
+            step = np.full(n - 1, np.inf)
+            for j in set(range(n - 1)) - set(active):
+                a, b, k = top - q[j] @ q[j], top - q[j] @ c[j], top - norms[j]
+                found = [(b + s * np.sqrt(b * b - a * k)) / a for s in (-1, 1)] if a > 1e-9 and b * b >= a * k else [k / (2 * b)] if a <= 1e-9 < b else []
+                step[j] = min([f for f in found if f > 0], default=np.inf)
+            active.append(int(step.argmin()))
+            c = c - step.min() * q
+        assert segment.change_points(y, 10) == active
