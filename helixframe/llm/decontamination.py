@@ -15,7 +15,8 @@ shuffle, and a bitmap of the shingles (``MAP_BITS`` bits each, one row of at mos
 
 Nulls: a null or empty text has no words and no hits. Rows that repeat an id
 are told apart by their text; identical rows get identical results. Benchmark
-rows with a null item_id mark words as hit but are not listed as items.
+rows with a null item_id mark words as hit but are not listed as items. Empty
+tables: without documents an empty result, without items no hits.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ bound; whole texts). Scoring is one pass over whole texts.
 
 Nulls: a null text counts as empty; an empty text has all statistics zero and is scored
 like any other. Without labelled rows of both kinds every score is the share of label 1, or 0.5.
+Rows that repeat an id are scored by their own texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ each round written to the shared folder. Only fingerprints with a link take part
 
 Nulls: a null or wordless text has fingerprint zero, which links like any
 other. A null doc_id takes part but never names a component unless all of
-the component's ids are null.
+the component's ids are null. Rows that repeat an id keep their own fingerprints and
+each a row; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,15 +14,15 @@ with its left and right context.
    prefixes bound what can match, and matches of ``length`` bytes are compared byte by byte.
    Levels of equal rank merge before the next batch.
 
-Classes are told apart by 128 bits of hash (64 of the anchor, 64 of the context), matches of
-step 3 by their bytes.
+Matches of step 3 are compared by their bytes. The classes of step 2 are not: contexts with one
+anchor are told apart by 64 bits of a polynomial hash, beside the anchor's own 64.
 
 Which anchors a scan emits is told to the tasks by a bitmap of ``MAP_BITS`` bits, whatever the
 input's size: a false mark costs a few rows, never a wrong result.
 
 Nulls: a null text is empty. A null doc_id comes after all others. Rows that
 share an id are separate documents, neither earlier than the other. Texts shorter than
-``length`` lose nothing.
+``length`` lose nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations

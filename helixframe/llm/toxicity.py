@@ -15,7 +15,7 @@ bound; whole texts) in one task. Scoring is a pass over whole texts.
 
 Nulls: a null or empty text scores the intercept, equal texts alike; rows that repeat
 an id are scored by their own texts. Without labelled rows of both
-kinds every score is the share of toxic ones, or 0.
+kinds every score is the share of toxic ones, or 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
