@@ -43,6 +43,11 @@ def renormalised(curve_: DataFrame, low: int, high: int) -> DataFrame:
     return curve_.select("gc", "sample", "reference", "coverage").join(inside, "gc", "left").select("gc", "sample", "reference", "coverage", *[zero(c, 0.0) for c in ("frac_s", "frac_r", "pct_s", "pct_r")], zero("obsexp", 1.0))
 
 
+def with_expected(bases: DataFrame, curve_: DataFrame) -> DataFrame:
+    """Callable bases (contig, pos, gc, depth) with what the curve says of their gc: obsexp and expected, its coverage. The curve has a row a gc value."""
+    return bases.join(F.broadcast(curve_.select("gc", "obsexp", F.col("coverage").alias("expected"))), "gc").select("contig", "pos", F.coalesce("depth", F.lit(0)).alias("depth"), "obsexp", "expected")
+
+
 def scaled_shares(curve_: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """For plots: within a range of relative gc, sample scaled so that it sums to the reference, and the ratio of both."""
     size = F.max("gc").over(Window.partitionBy())

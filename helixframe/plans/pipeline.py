@@ -95,8 +95,7 @@ def call(cfg: CallConfig, alignments: DataFrame, contigs: DataFrame, reference:
     # Callable bases with depth and what the curve expects.
     depth = reads.depth(points("count"))
     ok = bases.filter(content.callable_base(low, high, cfg.fragment, n)).join(depth, ["contig", "pos"], "left")
-    ok = ok.join(F.broadcast(curve.select("gc", "obsexp", F.col("coverage").alias("expected"))), "gc").select("contig", "pos", F.coalesce("depth", F.lit(0)).alias("depth"), "obsexp", "expected")
-    ok = materialize(ok, "callable")
+    ok = materialize(bias.with_expected(ok, curve), "callable")
 
     if bed is not None:
         fixed = windows.bed_windows(ok, bed, here, cfg.fraction_window, cfg.ploidy)

@@ -182,8 +182,8 @@ def _ok(spark, d):
     c = _curve(spark, d)
     low, high = bias.bounds(c, PERCENTILE).first()
     curve = bias.renormalised(c, low, high)
-    b = v.base(spark, d).filter((F.col("gc") > low) & (F.col("gc") < high) & (F.col("uniq") == 1))
-    return b.join(F.broadcast(curve.select("gc", "obsexp", F.col("coverage").alias("expected"))), "gc").select("contig", "pos", "depth", "obsexp", "expected")
+    # A minute is unique or not, so a fragment of one position asks for uniqueness.
+    return bias.with_expected(v.base(spark, d).filter(content.callable_base(low, high, 0.97, 1)), curve)
 
 
 @query(f'WITH {_BINS} SELECT contig, start, "end", cov, uniqcov FROM v_bins')

@@ -115,6 +115,12 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`").cast(kinds[min(i, 6)]).alias(c) for i, c in enumerate(raw.columns)])
 
 
+def read_plot(spark: SparkSession, path: str) -> DataFrame:
+    """A window table as plots read it, by the places of its columns: contig, start, end, cn, maf."""
+    w = read_windows(spark, path)
+    return w.toDF(*[f"c{i}" for i in range(len(w.columns))]).select(F.col("c0").alias("contig"), F.col("c1").cast("long").alias("start"), F.col("c2").cast("long").alias("end"), F.col("c5").alias("cn"), F.col("c6").alias("maf"))
+
+
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """A signal matrix: (contig, start, end, signals, ord, run) and the signals' names; NA and NaN are null. A contig that comes again later in the file begins another run."""
     first = spark.read.text(path).first()

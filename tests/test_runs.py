@@ -104,6 +104,14 @@ def test_genome_axis(spark):
     assert {r.maf for r in axis.plot_frame(w).collect()} == {None} and axis.plot_frame(w.limit(0), s).count() == 0
 
 
+def test_plot_of_a_window_file(spark, tmp_path):
+    path = str(tmp_path / "w.tsv")
+    with open(path, "w") as f:
+        f.write("chr\tstart\tend\ts_mappable\ts_counts\ts_CN\ts_MAF\n1\t0\t10\t5\t3.5\t2.1\tNA\nX\t10\t20\t5\tNA\tNA\t0.4\n")
+    got = sorted(tuple(r) for r in axis.genome_axis(text.read_plot(spark, path), axis.contig_offsets(text.read_plot(spark, path), axis.SHORT)).collect())
+    assert got == [("1", 0, 10, 2.1, None, 0, 0, 10), ("X", 10, 20, None, 0.4, 22, 20, 30)]
+
+
 def test_pairs_of_a_stream_equal_the_batch(spark, tmp_path):
     rng = random.Random(8)
     rows, k = [], 0
