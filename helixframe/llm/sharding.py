@@ -69,8 +69,8 @@ def shard_rows(docs: DataFrame, carry: list[str], n_shards: int = 16, bucket_byt
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, bucket_bytes: int = BUCKET_BYTES, seed: int = 29) -> None:
-    """Write all of docs in shard=N folders, in shuffled order."""
-    shard_rows(docs, docs.columns, n_shards, bucket_bytes, seed).write.partitionBy("shard").parquet(path)
+    """Write all of docs in shard=N folders, in shuffled order: each file's rows are sorted by slot."""
+    shard_rows(docs, docs.columns, n_shards, bucket_bytes, seed).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def sharding_report(docs: DataFrame, path: str | None = None, **kw) -> DataFrame:

@@ -38,6 +38,8 @@ BUDGET, BLOCKS, BLOCK_BITS = 3, 4, 16
 CHUNK = 1 << 15
 #: Fingerprints of one leading block beyond which its node is split among tasks.
 CROWD = 50_000
+#: Turned fingerprints that a task of the trie join takes; it holds some four copies of their 33 bytes.
+ROWS = 4_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -198,7 +200,8 @@ def links(fps: DataFrame) -> DataFrame:
                 back = (e >> by) | (e << (np.uint64(64) - by)) if k else e
                 yield pa.RecordBatch.from_arrays([pa.array(back[0].view(np.int64)), pa.array(back[1].view(np.int64))], ["a", "b"])
 
-    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # As many tasks as the session asks for, or as keep a task's rows near ROWS; a crowded node's rows come on top, up to CROWD a job.
+    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-BLOCKS * fps.count() // ROWS))
     return spread.repartition(n, "block", "lead", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 

@@ -186,3 +186,15 @@ def test_native_plans(spark):
     for df in (mixing.mixing_report(d), decontamination.contamination(d, b), beyond, sharding.shard_rows(d, ["doc_id"])):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_shard_files_are_in_slot_order(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    d = docs(spark, [(i, f"text {i} " * (i % 50), "s") for i in range(3000)]).repartition(7)
+    sharding.write_shards(d, str(tmp_path / "out"), n_shards=3, bucket_bytes=20_000)
+    files = glob.glob(str(tmp_path / "out/shard=*/*.parquet"))
+    slots = [pq.ParquetFile(f).read(columns=["slot"]).column(0).to_pylist() for f in files]
+    assert len(files) >= 3 and all(s == sorted(s) for s in slots) and sum(map(len, slots)) == 3000
