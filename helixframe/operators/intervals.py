@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def union_intervals(df: DataFrame) -> DataFrame:
-    """contig, start, end -> disjoint intervals; those that touch are joined."""
-    w = Window.partitionBy("contig").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    island = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("contig", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+def union_intervals(df: DataFrame, block: int = 1 << 22) -> DataFrame:
+    """contig, start, end -> disjoint intervals; those that touch are joined.
+
+    An interval begins an island if it starts beyond all ends before it: those of its block of starts, and the largest of
+    earlier blocks, which is one row a block. Islands are counted in the same two steps.
+    """
+    cut = df.select("contig", "start", "end").withColumn("_block", F.expr(f"start div {block}"))
+    within = Window.partitionBy("contig", "_block").orderBy("start", "end")
+    blocks = Window.partitionBy("contig").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = cut.groupBy("contig", "_block").agg(F.max("end").alias("_most")).select(F.col("contig").alias("_c"), F.col("_block").alias("_b"), F.max("_most").over(blocks).alias("_far"))
+    reach = F.greatest(F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    marked = cut.join(per, (F.col("contig") == F.col("_c")) & (F.col("_block") == F.col("_b"))).drop("_c", "_b")
+    marked = marked.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    counts = marked.groupBy("contig", "_block").agg(F.sum("_new").alias("_n")).select(F.col("contig").alias("_c"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias("_base"))
+    # Intervals of one start have one number, whichever of them began the island.
+    upto = Window.partitionBy("contig", "_block").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    placed = marked.withColumn("_within", F.sum("_new").over(upto)).join(counts, (F.col("contig") == F.col("_c")) & (F.col("_block") == F.col("_b")))
+    islands = placed.groupBy("contig", (F.col("_base") + F.col("_within")).alias("_island"))
+    return islands.agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def bucketed(intervals: DataFrame, width: int, start: str = "start", end: str = "end") -> DataFrame:

@@ -32,11 +32,22 @@ def contig_runs(rows: DataFrame, order: str = "ord", shift: int = 33) -> DataFra
     return cut.withColumn("_so_far", so_far).join(base, F.col("_split") == F.col("_s")).select(*rows.columns, (F.col("_base") + F.col("_so_far")).cast("long").alias("run"))
 
 
-def forward_fill(df: DataFrame, columns: list[str], key: str | list[str] = "contig", order: str | list[str] = "start", initial: float = 0.0) -> DataFrame:
-    """Missing values take the last one before them along the key, or the initial value."""
-    listed = lambda x: [x] if isinstance(x, str) else x
-    w = Window.partitionBy(*listed(key)).orderBy(*listed(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.coalesce(F.last(F.when(~F.isnan(c), F.col(c)), ignorenulls=True).over(w), F.lit(initial)) for c in columns})
+def forward_fill(df: DataFrame, columns: list[str], key: str | list[str] = "contig", order: str | list[str] = "start", initial: float = 0.0, block: int = 1 << 22) -> DataFrame:
+    """Missing values take the last one before them along the key, or the initial value. Blocks of the first order column are filled on their own; what stands before a block is the last value of the blocks before it, one row a block."""
+    keys, orders = ([x] if isinstance(x, str) else x for x in (key, order))
+    cut = df.withColumn("_block", F.expr(f"`{orders[0]}` div {block}"))
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
+    place = F.struct(*orders)
+    last = cut.groupBy(*keys, "_block").agg(*[F.max_by(known[c], F.when(known[c].isNotNull(), place)).alias(f"_last_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_last_{c}") for c in columns])
+    on = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    w = Window.partitionBy(*keys, "_block").orderBy(*orders).rowsBetween(Window.unboundedPreceding, 0)
+    within = cut.withColumns({f"_own_{c}": F.last(known[c], ignorenulls=True).over(w) for c in columns})
+    filled = within.join(carried, on)
+    return filled.select(*[F.coalesce(f"_own_{c}", f"_last_{c}", F.lit(initial)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def weights(n: int) -> np.ndarray:

@@ -195,3 +195,28 @@ def test_change_points_equal_the_dense_model():
             active.append(int(step.argmin()))
             c = c - step.min() * q
         assert segment.change_points(y, 10) == active
+
+
+@pytest.mark.parametrize("block", [3, 40, 1 << 22])
+def test_unions_and_fills_by_blocks(spark, block):
+    from helixframe.operators import intervals
+
+    rng = random.Random(block)
+    rows = [(c, s, s + rng.choice([0, 1, 4, 9, 60])) for c in "ab" for s in (rng.randint(0, 300) for _ in range(60))] * 2
+    covered = []
+    for c in "ab":
+        for s, e in sorted((s, e) for x, s, e in rows if x == c):
+            if covered and covered[-1][0] == c and s <= covered[-1][2]:
+                covered[-1][2] = max(covered[-1][2], e)
+            else:
+                covered.append([c, s, e])
+    df = spark.createDataFrame(rows, "contig string, start long, end long").repartition(4)
+    assert sorted([r.contig, r.start, r.end] for r in intervals.union_intervals(df, block).collect()) == covered
+    values = [(c, k, rng.choice([None, None, float("nan"), 1.0, 2.0, 3.0]), "kept") for c in "ab" for k in range(80)]
+    got = {(r.contig, r.start): (r.x, r.y) for r in segment.forward_fill(spark.createDataFrame(values, "contig string, start long, x double, y string").repartition(3), ["x"], initial=9.0, block=block).collect()}
+    for c in "ab":
+        now = 9.0
+        for name, k, x, _ in values:
+            if name == c:
+                now = now if x is None or x != x else x
+                assert got[c, k] == (now, "kept")
