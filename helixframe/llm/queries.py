@@ -106,26 +106,40 @@ SELECT page_id, payload_bytes,
     CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to FROM h
 """
 
-# CRC-32 by a table of 256 entries made from its polynomial, over the bytes of each distinct feature.
+
+
+def _crc_step(byte: str) -> str:
+    """CRC-32's step from state c by a byte: the table's entry is the exclusive sum of the entries of its index's bits."""
+    terms = []
+    for k in range(8):
+        entry = 1 << k
+        for _ in range(8):
+            entry = (entry >> 1) ^ (0xEDB88320 if entry & 1 else 0)
+        terms.append(f"((xor(c, {byte}) >> {k}) & 1) * {entry}")
+    out = "(c >> 8)"
+    for t in terms:
+        out = f"xor({out}, {t})"
+    return out
+
+
 SQL["op11_resampling"] = f"""
-WITH RECURSIVE steps AS (SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM generate_series(0, 255) g(i)
-    UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
-crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
-d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT {_WORDS} AS w FROM benchmark),
-df AS (SELECT doc_id, len(w) AS n_words, flatten(list_transform([1, 2, 3], lambda k: list_transform(generate_series(1, greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS f FROM d),
-bf AS (SELECT unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(generate_series(1, greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS f FROM b),
-du AS (SELECT doc_id, unnest(f) AS f FROM df),
+dx AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d), bx AS (SELECT item, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS item, w FROM b)),
+dn AS (SELECT doc_id, x, lead(x) OVER p AS y, lead(x, 2) OVER p AS z FROM dx WINDOW p AS (PARTITION BY doc_id ORDER BY i)), bn AS (SELECT x, lead(x) OVER p AS y, lead(x, 2) OVER p AS z FROM bx WINDOW p AS (PARTITION BY item ORDER BY i)),
+du AS (SELECT doc_id, x AS f FROM dn UNION ALL SELECT doc_id, concat(x, ' ', y) FROM dn WHERE y IS NOT NULL UNION ALL SELECT doc_id, concat(x, ' ', y, ' ', z) FROM dn WHERE z IS NOT NULL),
+bf AS (SELECT x AS f FROM bn UNION ALL SELECT concat(x, ' ', y) FROM bn WHERE y IS NOT NULL UNION ALL SELECT concat(x, ' ', y, ' ', z) FROM bn WHERE z IS NOT NULL),
+df AS (SELECT doc_id, len(w) AS n_words, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features FROM d),
 dc AS (SELECT doc_id, f, count(*) AS n FROM du GROUP BY ALL),
 every AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dc UNION SELECT f FROM bf)),
 buckets AS (SELECT f, xor(list_reduce(list_transform(generate_series(1, len(h) // 2), lambda i: CAST(concat('0x', substr(h, 2 * i - 1, 2)) AS BIGINT)),
-    lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM every, crc),
+    lambda c, x: {_crc_step("x")}, CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM every),
 s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM dc JOIN buckets USING (f) GROUP BY bucket),
 t AS (SELECT bucket, count(*) AS t FROM bf JOIN buckets USING (f) GROUP BY bucket),
 totals AS (SELECT (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) FROM s) AS s_all, (SELECT CAST(coalesce(sum(t), 0) AS DOUBLE) FROM t) AS t_all),
 gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), totals),
 weights AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM dc JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
-scored AS (SELECT doc_id, n_words, CAST(len(f) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+scored AS (SELECT doc_id, n_words, CAST(n_features AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
     coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('42:', CAST(doc_id AS VARCHAR))), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM df LEFT JOIN weights USING (doc_id)),
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
