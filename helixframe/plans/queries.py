@@ -109,6 +109,14 @@ def pileup(spark, d):
     return variants.pileup(v.records(spark, d), v.sites(spark, d), v.genome_contigs(spark, d), v.genome(spark, d), 10, 10)
 
 
+@query(f"""WITH {v.RECORDS}, r AS (SELECT * FROM v_records WHERE flag & 1540 = 0 AND mapq >= 10),
+m AS (SELECT concat('g', tid) AS contig, pos, 1 AS l, 0 AS r FROM r WHERE line % 3 = 1 UNION ALL SELECT concat('g', tid), pos + 8, 0, 1 FROM r WHERE line % 3 = 2 UNION ALL SELECT concat('g', tid), pos + 12, 1, 0 FROM r WHERE line % 3 = 2)
+SELECT contig, CAST(pos AS INTEGER) AS pos, CAST(sum(l) AS INTEGER) AS left_n, CAST(sum(r) AS INTEGER) AS right_n FROM m WHERE pos >= 0 AND pos < {v.DAYS} GROUP BY contig, pos""")
+def split_breakpoints(spark, d):
+    """Clips of over 4 and deletions of over 3 bases, so that those of the made reads count."""
+    return reads.split_breakpoints(v.records(spark, d), v.genome_contigs(spark, d), 10, 3, clip=4)
+
+
 _IDENTITY = f"""{v.RECORDS}, {v.GENOME}, cut AS (SELECT ord, 0 AS r, 0 AS s, alen AS n FROM v_records WHERE line % 3 = 0 UNION ALL SELECT ord, 0, 5, alen - 10 FROM v_records WHERE line % 3 = 1 UNION ALL SELECT ord, alen - 10, alen - 2, 10 FROM v_records WHERE line % 3 = 1
     UNION ALL SELECT ord, 0, 0, 8 FROM v_records WHERE line % 3 = 2 UNION ALL SELECT ord, 12, 8, alen - 18 FROM v_records WHERE line % 3 = 2),
 aligned AS (SELECT r.ord, concat('g', r.tid) AS contig, r.pos + c.r + k AS pos, substr(r.seq, CAST(c.s + k + 1 AS BIGINT), 1) AS base FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM cut) c JOIN v_records r USING (ord)),
@@ -225,6 +233,26 @@ def plot_curve(spark, d):
     return bias.scaled_shares(_curve(spark, d)).select("gc", r6("share"), "reference", F.round("scaled_sample", 4).alias("scaled_sample"), r6("bias"))
 
 
+@query("""WITH c AS (SELECT c_nationkey AS tid, concat('n', c_nationkey) AS contig, count(*) AS length, CAST(sum(CASE WHEN c_acctbal > 0 THEN floor(c_acctbal) ELSE 0 END) AS BIGINT) AS cov FROM customer GROUP BY c_nationkey), k AS (SELECT * FROM c WHERE contig NOT IN ('n3', 'n7')),
+x AS (SELECT *, coalesce(sum(cov) OVER (ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT avg(length) FROM c) AS mean, (SELECT sum(cov) / 2 FROM c) AS enough FROM k)
+SELECT tid, contig, length FROM x WHERE length >= floor(mean) OR before <= floor(enough)""")
+def scanned_contigs(spark, d):
+    """Nations as contigs, two of them as sex chromosomes; small ones are left out once half the coverage is seen."""
+    c = v.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("tid")).agg(F.count(F.lit(1)).alias("length"), F.sum(F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal")).otherwise(0)).cast("long").alias("cov"))
+    c = materialize(c.withColumn("contig", F.concat(F.lit("n"), F.col("tid").cast("string"))), "nations")  # a row a nation
+    mean, enough = c.agg(F.floor(F.avg("length")), F.floor(F.sum("cov") / 2)).first()
+    return scan.scanned_contigs(c.select("tid", "contig", "length"), c.select("contig", "cov"), mean, ("n3", "n7"), enough).select("tid", "contig", "length")
+
+
+@query(f"""WITH {v.ITV}, c AS (SELECT contig, max("end") AS length FROM v_itv WHERE start % 2 = 0 GROUP BY contig), i AS (SELECT contig, start, CASE WHEN start % 9 = 0 THEN start ELSE "end" END AS "end" FROM v_itv)
+SELECT i.contig, i.start, i."end" FROM i JOIN c ON c.contig = i.contig WHERE i.start < i."end" AND i."end" < c.length""")
+def valid_intervals(spark, d):
+    """Parts as regions to scan: not empty, and before their contig's end."""
+    i = v.part_intervals(spark, d)
+    c = i.filter("start % 2 = 0").groupBy("contig").agg(F.max("end").alias("length"))
+    return intervals.valid_windows(i.withColumn("end", F.when(F.col("start") % 9 == 0, F.col("start")).otherwise(F.col("end"))), c, strict=True).select("contig", "start", "end")
+
+
 # Windows ---------------------------------------------------------------------------------------------------------
 
 
@@ -304,6 +332,16 @@ def scale_variance(spark, d):
     return windows.scale_variance(_ok(spark, d), v.contigs(spark, d), 45).select("ws", F.round("dev", 4).alias("dev"), "n")
 
 
+@query(f"""WITH {_OK}, lv AS (SELECT unnest([45, 90, 180, 360, 720, 1440, 2880, 5760, 11520, 23040]) AS ws), t AS (SELECT o.contig, ws, o.pos // ws AS k, sum(depth) AS cov, sum(expected) AS ex FROM v_ok o, lv GROUP BY o.contig, ws, o.pos // ws),
+x AS (SELECT ws, 2.0::DOUBLE * cov / ex - 2 AS dv FROM t WHERE (k + 1) * ws < {v.MINUTES} AND ex > 0), y AS (SELECT ws, CASE WHEN count(*) > 1 THEN least(greatest(sum(dv * dv) / (count(*) - 1), 1e-6), 0.5) ELSE 0.5 END AS sd FROM x GROUP BY ws),
+p AS (SELECT p_partkey AS id, p_size * 700 AS size FROM part) SELECT id, size, round(coalesce((SELECT arg_min(sd, ws) FROM y WHERE 2 * ws > size), 0.5), 6) AS sd FROM p""")
+def sd_lookup(spark, d):
+    """The deviation that calls of many sizes get from the levels."""
+    levels = genotype.level_sd(windows.scale_variance(_ok(spark, d), v.contigs(spark, d), 45))
+    p = v.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 700).alias("size"))
+    return genotype.with_sd(p, levels).select("id", "size", r6("sd"))
+
+
 _MIN = 60
 _U = "4294967296.0::DOUBLE"
 #: Sums of whole numbers alone: expected coverage and gains are cut to units before they are added.
@@ -412,6 +450,15 @@ def maf_windows(spark, d):
     return variants.maf_ratio(t, 3, 10, control=c).select("contig", "start", r6("maf"))
 
 
+@query(f"""WITH {_MAFW}, e AS (SELECT d, sum(exp(lgamma(d + 1) - lgamma(k + 1) - lgamma(d - k + 1) - d * ln(2)) * least(k, d - k) / d) AS exp_maf FROM (SELECT d, unnest(generate_series(0, d)) AS k FROM generate_series(1, 999) g(d)) GROUP BY d),
+x AS (SELECT contig, start, minor::DOUBLE / nullif(minor + major, 0) AS a, CAST(floor((minor + major)::DOUBLE / nullif(n_snps, 0)) AS BIGINT) AS d, n_snps >= 3 AND minor + major >= 10 AS ok FROM t)
+SELECT contig, start, CASE WHEN ok AND coalesce(exp_maf, 0.491) > 0 THEN round(a / coalesce(exp_maf, 0.491), 6) END AS maf FROM x LEFT JOIN e USING (d)""")
+def maf_expected(spark, d):
+    """Windows' allele fractions against the expected one of their mean depth."""
+    t = variants.maf_sums(_maf_windows(spark, d), v.snps(spark, d), 500)
+    return variants.maf_ratio(t, 3, 10, expected=variants.expected_table(spark)).select("contig", "start", r6("maf"))
+
+
 @query(f"""WITH {v.ITV}, {v.SNP}, i AS (SELECT p_partkey AS id, p_brand, p_partkey * 5 AS low, p_partkey * 5 + p_size * 4 AS high, CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS contig FROM part),
 h AS (SELECT i.id, s.pos, s.ref_n, row_number() OVER (PARTITION BY i.id ORDER BY s.ref_n DESC, s.pos) AS n FROM i JOIN v_snp s ON s.contig = i.contig AND s.pos >= i.low AND s.pos <= i.high WHERE s.ref_n >= 2)
 SELECT id, pos AS best_pos, ref_n AS best_support FROM h WHERE n = 1""")
