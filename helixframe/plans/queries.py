@@ -79,6 +79,23 @@ def isize_stats(spark, d):
     return m.select("n", c("median").cast("int"), c("mad").cast("int"), (F.floor(c("median") / 2) * 2 + 1).cast("int").alias("meanisize"), F.greatest(F.lit(0), c("median") - 3 * c("mad")).cast("int").alias("low"), (c("median") + 3 * c("mad")).cast("int").alias("high"))
 
 
+_POINTS = f"""{_READS}, x AS (SELECT *, pos + alen - mpos AS size FROM seconds), y AS (SELECT *, mate AND size > 100 AND size < 900 AS normal FROM x),
+p AS (SELECT 'count' AS mode, tid, CASE WHEN normal THEN mpos + size // 2 ELSE pos + alen // 2 END AS pos FROM y
+    UNION ALL SELECT 'bias', tid, CASE WHEN NOT mate THEN pos + alen // 2 WHEN normal THEN mpos + size // 2 WHEN line % 2 = 0 THEN pos + alen - 125 ELSE pos + 125 END FROM y
+    UNION ALL SELECT 'scan', tid, CASE WHEN NOT mate THEN pos + alen // 2 ELSE mpos + size // 2 END FROM y WHERE NOT mate OR (normal AND line % 2 = 0 AND pos > mpos))"""
+
+
+@query(f"WITH {_POINTS} SELECT mode, concat('g', tid) AS contig, CAST(pos AS INTEGER) AS pos, least(count(*), 65534) AS depth FROM p WHERE pos >= 0 AND pos < {v.DAYS} GROUP BY mode, tid, pos")
+def fragment_depth(spark, d):
+    """Depth by the three ways of counting, which branch from mates paired once."""
+    paired = materialize(reads.paired_reads(v.records(spark, d), 10), "paired")
+    out = None
+    for mode in ("count", "bias", "scan"):
+        one = reads.depth(reads.fragment_points(paired, v.genome_contigs(spark, d), 100, 900, mode)).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 #: Reads looked at, reads and pairs taken: the sample's bounds, which cut at every scale but the smallest.
 SCREENED, TAKEN = 20_000, 10_000
 
