@@ -37,6 +37,8 @@ SIZES = (4, 5, 6, 7)
 BITS = 20
 #: Buckets kept: those that reach CHI_SQUARE, and of them the strongest MOST_KEPT.
 CHI_SQUARE, MOST_KEPT = 12.0, 4000
+#: Texts that must hold a bucket.
+LEAST_TEXTS = 3
 #: Weight of a toxic row in the fit, against 1 of a clean one.
 POSITIVE = 4.0
 LIMIT = 0.7
@@ -86,26 +88,40 @@ class Model:
         return w
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 150, penalty: float = 2e-3, positive: float = POSITIVE) -> Model:
+def common_buckets(texts: list[str]) -> list[np.ndarray]:
+    """Each text's distinct buckets that at least LEAST_TEXTS texts hold: all that a fit on them or on a part of them can use."""
+    every, seen = np.ones(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
+    for t in texts:
+        seen[held(t, every)] += 1
+    common = seen >= LEAST_TEXTS
+    return [held(t, common) for t in texts]
+
+
+def fit(texts: list[str], labels: np.ndarray, **settings) -> Model:
+    return fit_buckets(common_buckets(texts), labels, **settings)
+
+
+def fit_buckets(found: list[np.ndarray], labels: np.ndarray, steps: int = 150, penalty: float = 2e-3, positive: float = POSITIVE) -> Model:
+    """found: common_buckets() of the rows."""
     n, good = labels.size, int(labels.sum())
     if good in (0, n):
         share = min(max(good / n if n else 0.0, 1e-6), 1 - 1e-6)
         return Model(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0, np.float32))
-    every, with_it, clean = np.ones(1 << BITS, bool), np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for t, y in zip(texts, labels):
-        (with_it if y else clean)[held(t, every)] += 1
+    with_it, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for f, y in zip(found, labels):
+        (with_it if y else clean)[f] += 1
     p, q = (with_it + 0.5) / (good + 1), (clean + 0.5) / (n - good + 1)
     both = with_it + clean
     expected = both * good / n
     chi = (with_it - expected) ** 2 / np.maximum(expected * (1 - both / n), 1e-9) * (n / (n - good))
-    kept = np.flatnonzero((chi >= CHI_SQUARE) & (both >= 3))
+    kept = np.flatnonzero((chi >= CHI_SQUARE) & (both >= LEAST_TEXTS))
     kept = np.sort(kept[np.argsort(-chi[kept], kind="stable")[:MOST_KEPT]])
     ratio = np.log(p / q)[kept]
     place, wanted = np.full(1 << BITS, -1, np.int64), np.zeros(1 << BITS, bool)
     place[kept], wanted[kept] = np.arange(kept.size), True
     row, col = [], []
-    for i, t in enumerate(texts):
-        f = place[held(t, wanted)]
+    for i, f in enumerate(found):
+        f = place[f[wanted[f]]]
         row.append(np.full(f.size, i))
         col.append(f)
     row, col = np.concatenate(row), np.concatenate(col)
@@ -146,7 +162,8 @@ def balanced_cut(z: np.ndarray, labels: np.ndarray) -> float:
 
 def fit_calibrated(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> Model:
     """fit() with the intercept moved to the cut found on scores of rows that their fit didn't see."""
-    model, good = fit(texts, labels), int(labels.sum())
+    found = common_buckets(texts)
+    model, good = fit_buckets(found, labels), int(labels.sum())
     if min(good, labels.size - good) < LEAST_ROWS:
         return model
     z = np.zeros(labels.size)
@@ -155,11 +172,10 @@ def fit_calibrated(texts: list[str], labels: np.ndarray, folds: int = FOLDS) ->
         at = np.flatnonzero(labels == kind)
         fold[at] = np.arange(at.size) % folds
     for f in range(folds):
-        one = fit([t for t, k in zip(texts, fold) if k != f], labels[fold != f])
+        one = fit_buckets([x for x, k in zip(found, fold) if k != f], labels[fold != f])
         weights = one.dense()
-        wanted = weights != 0
         for i in np.flatnonzero(fold == f):
-            z[i] = one.bias + float(weights[held(texts[i], wanted)].sum())
+            z[i] = one.bias + float(weights[found[i][weights[found[i]] != 0]].sum())
     model.bias += float(np.log(LIMIT / (1 - LIMIT))) - balanced_cut(z, labels)
     return model
 
