@@ -211,9 +211,9 @@ def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
     blocks = begin.size + 1
 
     @F.pandas_udf("array<int>")
-    def places(doc_id: pd.Series) -> pd.Series:
-        """The row's block, and the one before where the row is its block's first."""
-        null = doc_id.isna().to_numpy()
+    def places(doc_id: pd.Series, is_null: pd.Series) -> pd.Series:
+        """The row's block, and the one before where the row is its block's first. Nulls come apart from the ids, which stay whole numbers so."""
+        null = is_null.to_numpy(bool)
         known = doc_id[~null].to_numpy().astype(begin.dtype)
         block, opens = np.zeros(len(doc_id), np.int64), null & has_null
         block[~null] = np.searchsorted(begin, known, side="right")
@@ -222,7 +222,7 @@ def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
             opens[~null] |= known == first[0]
         return pd.Series([[b, (b - 1) % blocks] if o else [b] for b, o in zip(block.tolist(), opens.tolist())])
 
-    placed = docs.select("doc_id", "text", F.posexplode(places("doc_id")).alias("ahead", "block"))
+    placed = docs.select("doc_id", "text", F.posexplode(places(F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), F.col("doc_id").isNull())).alias("ahead", "block"))
     return placed.repartition(n, "block").sortWithinPartitions("block", "ahead", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 

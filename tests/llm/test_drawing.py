@@ -156,6 +156,8 @@ def test_fingerprints_of_odd_rows(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("own")).withColumn("block", F.lit(0)).repartition(4)
     for block_bytes in (10**7, 1500):
         assert sorted(map(tuple, prefix_hash.fingerprint_report(d, block_bytes, 700).collect()), key=repr) == expected(rows)
+    large = [((1 << 60) + k, f"{k} " * 40) for k in range(60)] + [(None, "no id"), (0, "zero")]
+    assert sorted(map(tuple, prefix_hash.fingerprint_report(spark.createDataFrame(large, "doc_id long, text string").repartition(3), 1500).collect()), key=repr) == expected(large)
     one = spark.createDataFrame([(3, "abcdefgh")], "doc_id long, text string")
     assert [tuple(x) for x in prefix_hash.fingerprint_report(one).collect()] == expected([(3, "abcdefgh")])
     assert prefix_hash.fingerprint_report(one.limit(0)).collect() == []
