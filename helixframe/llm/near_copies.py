@@ -4,9 +4,13 @@ Shingles: words of the ASCII-lower-cased text, as in simhash; a text of no more
 words than a shingle is one shingle, and texts without words are alike. A text's
 set is its distinct shingles by XXH64; texts of equal sets are one class.
 
-Candidates: min-hashes in BANDS bands of ROWS; classes that agree in a band are
-a group. A pair at Jaccard 0.8 agrees in none with probability (1 - 0.8^5)^20 =
-0.04 %, and with less above.
+Candidates: each set has a SimHash fingerprint, and the trie self-join of simhash links
+those within its budget of 3 bits; a component of fingerprints is a group. Sets at the
+similarity differ in some 10 bits, beyond what a trie can prune, so that links farther
+apart are found by min-hashes in BANDS bands of ROWS as well: classes that agree in a band
+are a group too. A pair at Jaccard 0.8 agrees in no band with probability
+(1 - 0.8^5)^20 = 0.04 %, and with less above; it is lost only if its fingerprints
+aren't in one component either.
 
 Verification: every link is a pair whose exact Jaccard similarity was computed
 from both sets. Each group's members are held against one pivot, its smallest
@@ -29,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm import simhash
 from helixframe.llm.common import free_name, materialize, text_key
 from helixframe.llm.simhash import components
 
@@ -65,19 +70,21 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, _key, node, n, bands): node is the class of the text's set, n the set's size."""
+    """(doc_id, _key, node, n, fp, bands): node is the class of the text's set, n the set's size, fp its fingerprint."""
 
     def run(batches):
         for b in batches:
             node, n, bands = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
+            fp = np.zeros(b.num_rows, np.uint64)
             for i, t in enumerate(b.column(2)):
                 h = shingle_set(t.as_py() or b"", shingle)
                 node[i], n[i] = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64), h.size
+                fp[i] = simhash.majority(h)
                 bands.append(band_keys(h).view(np.int64) if h.size else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(n), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "_key", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(n), pa.array(fp.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "_key", "node", "n", "fp", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, _key bigint, node bigint, n bigint, bands array<bigint>")
+    return docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, _key bigint, node bigint, n bigint, fp bigint, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -181,10 +188,18 @@ def prefix_pairs(first: DataFrame, similarity: float, one: bool = False) -> Data
     return pairs.select("a", "b").distinct()
 
 
+def trie_groups(one: DataFrame) -> DataFrame:
+    """one (node, n, fp), distinct -> (node, n, band): band is the component that the trie self-join gives the node's fingerprint. The empty set has none."""
+    some = one.filter("n > 0").select("node", "n", "fp")
+    roots = components(simhash.links(some.select("fp").distinct()))
+    named = some.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return named.select("node", "n", F.coalesce("root", "fp").alias("band"))
+
+
 def links(docs: DataFrame, found: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """found: classes() of docs -> (node, root), components of the pairs that agree in a band and reach the similarity; nodes without a link are left out."""
-    one = materialize(found.groupBy("node").agg(F.min_by(F.struct("_key", "n", "bands"), "_key").alias("x")).select("node", "x.*"), "sets")
-    spread = one.select("node", "n", F.explode("bands").alias("band"))
+    """found: classes() of docs -> (node, root), components of the pairs that share a trie's component or a band and reach the similarity; nodes without a link are left out."""
+    one = materialize(found.groupBy("node").agg(F.min_by(F.struct("_key", "n", "fp", "bands"), "_key").alias("x")).select("node", "x.*"), "sets")
+    spread = one.select("node", "n", F.explode("bands").alias("band")).unionByName(trie_groups(one))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
     groups = materialize(spread.join(shared, "band").select("band", "node", "n"), "groups")
     wanted = one.join(groups.select("node").distinct(), "node", "left_semi").select("_key", "node")

@@ -51,7 +51,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     else:
         parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(p, 42) for p in parts), np.uint64)
+    return majority(np.fromiter((digest(p, 42) for p in parts), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes: bits set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, h.size, 1 << 14):
         part = h[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from helixframe.llm import near_copies, simhash
 
@@ -97,3 +99,38 @@ def test_own_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "a b c", "x", "y")], "doc_id long, text string, _copies_key string, _SIMHASH_KEY string")
     for drop in (near_copies.drop_near_copies, simhash.drop_near_duplicates):
         assert [tuple(x) for x in drop(docs).collect()] == [(1, "a b c", "x", "y")]
+
+
+def linked(docs, found):
+    """Classes of ids that links() makes of the rows of found."""
+    roots = near_copies.links(docs, found)
+    out = {}
+    for x in found.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).collect():
+        out.setdefault(x.root, set()).add(x.doc_id)
+    return sorted(map(sorted, out.values()))
+
+
+def test_trie_join_links_without_bands(spark):
+    """Near copies within the trie's budget are one class without any band; what is linked there also reaches the similarity."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    rows = []
+    for k in range(30):
+        base = [word() for _ in range(600)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join([*base, word()])), (3 * k + 2, " ".join([word() for _ in range(600)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_copies.classes(docs).localCheckpoint()
+    bits = {x.doc_id: x.fp for x in found.collect()}
+    assert all(bits[i] == (f - 2**64 if f >= 2**63 else f) for i, t in rows for f in [simhash.fingerprint(t.encode(), 5)])
+    near = {3 * k for k in range(30) if ((bits[3 * k] ^ bits[3 * k + 1]) & (2**64 - 1)).bit_count() <= simhash.BUDGET}
+    got = linked(docs, found.withColumn("bands", F.array().cast("array<bigint>")))
+    assert near and got == sorted([[i, i + 1] for i in near] + [[i] for i in range(90) if i not in near and i - 1 not in near])
+
+
+def test_trie_component_below_the_similarity_stays_apart(spark):
+    """Texts in one component of fingerprints are held against each other exactly."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join([*base, *(f"y{i}" for i in range(30))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_copies.classes(docs).withColumn("fp", F.lit(7).cast("long")).withColumn("bands", F.array().cast("array<bigint>")).localCheckpoint()
+    assert linked(docs, found) == [[0, 1], [2]]
