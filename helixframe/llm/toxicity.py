@@ -88,21 +88,36 @@ class Model:
         return w
 
 
-def common_buckets(texts: list[str]) -> list[np.ndarray]:
-    """Each text's distinct buckets that at least LEAST_TEXTS texts hold: all that a fit on them or on a part of them can use."""
-    every, seen = np.ones(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
-    for t in texts:
-        seen[held(t, every)] += 1
-    common = seen >= LEAST_TEXTS
-    return [held(t, common) for t in texts]
+def strongest(with_it: np.ndarray, clean: np.ndarray, good: int, n: int) -> np.ndarray:
+    """The buckets that a fit keeps, from the number of toxic and clean rows of its n that hold each."""
+    both = with_it + clean
+    expected = both * good / n
+    chi = (with_it - expected) ** 2 / np.maximum(expected * (1 - both / n), 1e-9) * (n / (n - good))
+    kept = np.flatnonzero((chi >= CHI_SQUARE) & (both >= LEAST_TEXTS))
+    return np.sort(kept[np.argsort(-chi[kept], kind="stable")[:MOST_KEPT]])
+
+
+def useful_buckets(texts: list[str], labels: np.ndarray, fold: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each text's distinct buckets among those that the fit on all rows keeps, or that on all but one fold: all that these fits use."""
+    fold = np.zeros(labels.size, np.int64) if fold is None else fold
+    every, counts = np.ones(1 << BITS, bool), np.zeros((int(fold.max(initial=0)) + 1, 2, 1 << BITS), np.int32)
+    for t, k, y in zip(texts, fold, labels):
+        counts[k, int(y > 0), held(t, every)] += 1
+    total, wanted = counts.sum(axis=0, dtype=np.int64), np.zeros(1 << BITS, bool)
+    for k in (None, *range(len(counts))):
+        rows, left = (labels, total) if k is None else (labels[fold != k], total - counts[k])
+        good = int(rows.sum())
+        if good not in (0, rows.size):
+            wanted[strongest(left[1].astype(float), left[0].astype(float), good, rows.size)] = True
+    return [held(t, wanted) for t in texts]
 
 
 def fit(texts: list[str], labels: np.ndarray, **settings) -> Model:
-    return fit_buckets(common_buckets(texts), labels, **settings)
+    return fit_buckets(useful_buckets(texts, labels), labels, **settings)
 
 
 def fit_buckets(found: list[np.ndarray], labels: np.ndarray, steps: int = 150, penalty: float = 2e-3, positive: float = POSITIVE) -> Model:
-    """found: common_buckets() of the rows."""
+    """found: useful_buckets() of the rows."""
     n, good = labels.size, int(labels.sum())
     if good in (0, n):
         share = min(max(good / n if n else 0.0, 1e-6), 1 - 1e-6)
@@ -111,11 +126,7 @@ def fit_buckets(found: list[np.ndarray], labels: np.ndarray, steps: int = 150, p
     for f, y in zip(found, labels):
         (with_it if y else clean)[f] += 1
     p, q = (with_it + 0.5) / (good + 1), (clean + 0.5) / (n - good + 1)
-    both = with_it + clean
-    expected = both * good / n
-    chi = (with_it - expected) ** 2 / np.maximum(expected * (1 - both / n), 1e-9) * (n / (n - good))
-    kept = np.flatnonzero((chi >= CHI_SQUARE) & (both >= LEAST_TEXTS))
-    kept = np.sort(kept[np.argsort(-chi[kept], kind="stable")[:MOST_KEPT]])
+    kept = strongest(with_it, clean, good, n)
     ratio = np.log(p / q)[kept]
     place, wanted = np.full(1 << BITS, -1, np.int64), np.zeros(1 << BITS, bool)
     place[kept], wanted[kept] = np.arange(kept.size), True
@@ -162,15 +173,16 @@ def balanced_cut(z: np.ndarray, labels: np.ndarray) -> float:
 
 def fit_calibrated(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> Model:
     """fit() with the intercept moved to the cut found on scores of rows that their fit didn't see."""
-    found = common_buckets(texts)
-    model, good = fit_buckets(found, labels), int(labels.sum())
+    good = int(labels.sum())
     if min(good, labels.size - good) < LEAST_ROWS:
-        return model
+        return fit(texts, labels)
     z = np.zeros(labels.size)
     fold = np.zeros(labels.size, np.int64)
     for kind in (0, 1):  # each fold has its share of both
         at = np.flatnonzero(labels == kind)
         fold[at] = np.arange(at.size) % folds
+    found = useful_buckets(texts, labels, fold)
+    model = fit_buckets(found, labels)
     for f in range(folds):
         one = fit_buckets([x for x, k in zip(found, fold) if k != f], labels[fold != f])
         weights = one.dense()

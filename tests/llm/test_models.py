@@ -269,3 +269,18 @@ def test_pipeline(spark):
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_toxicity_fit_holds_few_buckets_a_text():
+    """The rows of a fit and of its folds hold only what these fits keep, and the fits are those on every bucket of the texts."""
+    r = np.random.default_rng(8)
+    word = lambda: "".join(chr(c) for c in r.integers(97, 123, 6))
+    common, bad = [word() for _ in range(3000)], [word() for _ in range(5)]
+    y = (r.random(400) < 0.2).astype(float)
+    texts = [" ".join([*r.choice(common, 200), *(r.choice(bad, 2) if k else [])]) for k in y]
+    fold = np.arange(400) % 4
+    found, every = toxicity.useful_buckets(texts, y, fold), [toxicity.held(t, np.ones(1 << toxicity.BITS, bool)) for t in texts]
+    assert sum(x.size for x in found) * 5 < sum(x.size for x in every)
+    for rows in (fold >= 0, *(fold != k for k in range(4))):
+        a, b = (toxicity.fit_buckets([x for x, k in zip(f, rows) if k], y[rows]) for f in (found, every))
+        assert a.bias == b.bias and (a.buckets == b.buckets).all() and (a.weights == b.weights).all() and a.buckets.size
