@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.stats import safe_div
+from helixframe.functions.work import materialize
+from helixframe.operators import bases
 from helixframe.operators.content import tiled
 from helixframe.operators.intervals import bucketed, interval_join
-from helixframe.operators.reads import MOST_ALLELES, NOT_COUNTED, aligned_blocks, aligned_length, base_at, drop_flagged, mates_here, min_quality
+from helixframe.operators.reads import MOST_ALLELES, NOT_COUNTED, aligned_blocks, aligned_length, drop_flagged, mates_here, min_quality
 
 
 def true_sites(variants: DataFrame, reference: DataFrame, bucket: int = 1 << 10) -> DataFrame:
@@ -24,18 +26,19 @@ def true_sites(variants: DataFrame, reference: DataFrame, bucket: int = 1 << 10)
 def pileup(reads: DataFrame, variants: DataFrame, contigs: DataFrame, reference: DataFrame, quality: int, base_quality: int, bucket: int = 1 << 10) -> DataFrame:
     """(contig, pos, ref, alt, ref_n, alt_n). reference: sequence blocks (contig, block_start, bases). Mates that overlap count twice.
 
-    Reads as intervals meet the sites of their buckets, which are one sorted row a bucket; a read's
-    base at a site follows from the sums of its CIGAR. There are rows for pairs of a read and a site, none for bases without one.
+    The aligned stretches of reads, cut where words of 64 places end, meet the marks of their word, a long with a bit a site,
+    and the letters at marked places are counted within the task before they are shuffled: no row for a base without
+    a site. The sites are written first, so that Spark knows their size before it shuffles: a small table of marks goes to the reads.
     """
     r = mates_here(min_quality(drop_flagged(reads, NOT_COUNTED), quality)).join(F.broadcast(contigs.select("tid", "contig")), "tid")
-    spans = r.select("contig", "pos", "cigar", "seq", "qual", (F.col("pos") + aligned_length(F.col("cigar"))).alias("end")).filter(F.col("end") > F.col("pos"))
-    spans = bucketed(spans, bucket, "pos", "end")
-    per = true_sites(variants, reference, bucket).groupBy("contig", F.expr(f"pos div {bucket}").alias("_bucket")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), "ref", "alt"))).alias("sites"))
-    inside = F.filter("sites", lambda s: (s["at"] >= F.col("pos")) & (s["at"] < F.col("end")))
-    met = spans.join(per, ["contig", "_bucket"]).select("contig", "pos", "cigar", "seq", "qual", F.explode(inside).alias("s"))
-    met = met.withColumn("_k", base_at(F.col("s.at"))).filter(F.col("_k").isNotNull() & (F.try_element_at("qual", F.col("_k") + 1) >= base_quality))
-    met = met.select("contig", F.col("s.at").alias("pos"), F.col("s.ref").alias("ref"), F.col("s.alt").alias("alt"), F.upper(F.substring("seq", F.col("_k") + 1, F.lit(1))).alias("base"))
-    n = met.groupBy("contig", "pos", "ref", "alt").agg(F.count_if(F.col("base") == F.col("alt")).alias("alt_n"), F.count_if((F.col("base") == F.col("ref")) & (F.col("base") != F.col("alt"))).alias("ref_n"))
+    sites = materialize(true_sites(variants, reference, bucket), "sites")
+    bit = F.expr(f"shiftleft(1L, cast(pos % {bases.WORD} as int))")
+    marks = sites.groupBy("contig", F.expr(f"pos div {bases.WORD}").alias("word")).agg(F.bit_or(bit).alias("marks"))
+    pieces = r.select("contig", "pos", "cigar", "seq", "qual").mapInArrow(bases.cut(base_quality), bases.PIECES)
+    met = pieces.join(marks, ["contig", "word"]).select("contig", "lo", "letters", "marks")
+    n = met.mapInArrow(bases.count, bases.COUNTS).groupBy("contig", "pos", "base").agg(F.sum("n").alias("n"))
+    is_alt, is_ref = F.col("base") == F.col("alt"), F.col("base") == F.col("ref")
+    n = n.join(sites, ["contig", "pos"]).groupBy("contig", "pos", "ref", "alt").agg(F.sum(F.when(is_alt, F.col("n"))).alias("alt_n"), F.sum(F.when(is_ref & ~is_alt, F.col("n"))).alias("ref_n"))
     cap = lambda c: F.least(F.col(c), F.lit(MOST_ALLELES)).cast("int").alias(c)
     out = variants.select("contig", "pos", "ref", "alt").join(n, ["contig", "pos", "ref", "alt"], "left").fillna(0, ["ref_n", "alt_n"])
     return out.select("contig", "pos", "ref", "alt", cap("ref_n"), cap("alt_n"))

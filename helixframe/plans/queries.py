@@ -122,8 +122,9 @@ sup AS (SELECT s.contig, s.pos, s.ref, s.alt, count_if(a.base = s.alt) AS alt_n,
 
 @query(f"WITH {_PILEUP} SELECT contig, pos, ref, alt, CAST(coalesce(ref_n, 0) AS INTEGER) AS ref_n, CAST(coalesce(alt_n, 0) AS INTEGER) AS alt_n FROM v_sites LEFT JOIN sup USING (contig, pos, ref, alt)")
 def pileup(spark, d):
-    """Allele support of sites on a genome made of ship days."""
-    return variants.pileup(v.records(spark, d), v.sites(spark, d), v.genome_contigs(spark, d), v.genome(spark, d), 10, 10)
+    """Allele support of sites on a genome made of ship days, which are counted once."""
+    days = materialize(v.ship_days(spark, d), "days")
+    return variants.pileup(v.records(spark, d), v.sites(spark, d, days), v.genome_contigs(spark, d), v.genome(spark, d, days), 10, 10)
 
 
 @query(f"""WITH {v.RECORDS}, r AS (SELECT * FROM v_records WHERE flag & 1540 = 0 AND mapq >= 10),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType
 
 #: Minutes of the events' month; hours of the day are strata; every seventh minute is not unique.
 MINUTES, ORIGIN, ORIGIN_US = 43_200, "2024-01-01", 1_704_067_200_000_000
@@ -98,23 +103,32 @@ def genome_contigs(spark, sf_dir) -> DataFrame:
     return spark.range(5).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("g"), F.col("id").cast("string")).alias("contig"), F.lit(DAYS).alias("length"))
 
 
-def genome(spark, sf_dir) -> DataFrame:
-    """Sequence blocks of 64 bases: a day's base is that of its number of lines modulo 4, N on days without any."""
+def genome(spark, sf_dir, lines: DataFrame | None = None) -> DataFrame:
+    """Sequence blocks of 64 bases: a day's base is that of its number of lines modulo 4, N on days without any. lines: ship_days() where they are at hand."""
     days = spark.range(DAYS).select(F.col("id").cast("int").alias("pos"))
-    every = genome_contigs(spark, sf_dir).join(days).join(ship_days(spark, sf_dir), ["tid", "pos"], "left")  # five contigs
+    every = genome_contigs(spark, sf_dir).join(days).join(lines or ship_days(spark, sf_dir), ["tid", "pos"], "left")  # five contigs
     base = F.coalesce(F.substring(F.lit("ACGT"), (F.col("n") % 4 + 1).cast("int"), F.lit(1)), F.lit("N"))
     blocks = every.groupBy("contig", F.expr("pos div 64 * 64").cast("int").alias("block_start")).agg(F.array_sort(F.collect_list(F.struct("pos", base.alias("base")))).alias("b"))
     return blocks.select("contig", "block_start", F.array_join("b.base", "").alias("bases"))
 
 
-def sites(spark, sf_dir) -> DataFrame:
-    """A site on each day whose number of lines isn't divisible by 3: REF the base, or another one on days divisible by 10."""
-    s = ship_days(spark, sf_dir).filter("n % 3 <> 0 AND pos >= 0")
+def sites(spark, sf_dir, lines: DataFrame | None = None) -> DataFrame:
+    """A site on each day whose number of lines isn't divisible by 3: REF the base, or another one on days divisible by 10. lines: as in genome()."""
+    s = (lines or ship_days(spark, sf_dir)).filter("n % 3 <> 0 AND pos >= 0")
     letter = lambda k: F.substring(F.lit("ACGT"), (k % 4 + 1).cast("int"), F.lit(1))
     wrong = F.when(F.col("pos") % 10 == 0, 1).otherwise(0)
     return s.select(F.concat(F.lit("g"), F.col("tid").cast("string")).alias("contig"), "pos", letter(F.col("n") + wrong).alias("ref"), letter(F.col("n") + wrong + 1 + F.col("pos") % 3).alias("alt"))
 
 
+@F.arrow_udf(ArrayType(ByteType()))
+def hashed_qualities(keys: pa.Array) -> pa.Array:
+    """Twice each hexadecimal digit of the MD5 sums of q0key and q1key. As array functions with a lambda these take some 30 us for 64 digits."""
+    named = [k.encode() for k in keys.to_pylist()]
+    digits = np.frombuffer(b"".join([md5(salt + k).digest() for k in named for salt in (b"q0", b"q1")]), np.uint8)
+    values = (np.stack([digits >> 4, digits & 15], 1).ravel() * 2).astype(np.int8)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(named) + 1, dtype=np.int32) * 64), pa.array(values))
+
+
 def records(spark, sf_dir) -> DataFrame:
     """The reads of align() with sequences and qualities from hashes, in three shapes of CIGAR, in order of place. Lines 1 and 2, 3 and 4, ... of an order are pairs where they share a contig."""
     a = align(spark, sf_dir).withColumnRenamed("flag", "line").withColumn("half", F.expr("(line + 1) div 2"))
@@ -132,7 +146,7 @@ def records(spark, sf_dir) -> DataFrame:
         (F.when(mate, 1 + F.when(F.col("line") % 2 == 1, 64 + 32).otherwise(128 + 16)).otherwise(0) + F.when(F.col("mapq") == 7, 1024).otherwise(0)).cast("int").alias("flag"),
         "tid", "pos", "mapq", cigar.alias("cigar"), F.when(mate, other("tid")).otherwise(F.lit(-1)).alias("mtid"), F.when(mate, other("pos")).otherwise(F.lit(-1)).alias("mpos"),
         F.when(here, other("pos") - F.col("pos")).otherwise(F.lit(0)).cast("int").alias("isize"), n.alias("l_qseq"), F.translate(spelt("s"), HEX, LETTERS).alias("seq"),
-        F.transform(F.filter(F.split(spelt("q"), ""), lambda c: c != ""), lambda c: (F.conv(c, 16, 10).cast("int") * 2).cast("tinyint")).alias("qual"), "line", "alen",
+        hashed_qualities(key).alias("qual"), "line", "alen",
     )
     return reads
 
